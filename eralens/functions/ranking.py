@@ -1,12 +1,15 @@
 """Exact ranks, positions, running sums and quantiles for groups of any size.
 
-A plain ranking window puts each group in one task, which fails when one era
-holds a third of the table. Here a group is first collapsed to its distinct
-values (so a flood of ties costs one row), then large groups are cut into value
-ranges. The cut points are drawn by hash, so they depend on the data alone and
-every branch of the plan (and every retried task) sees the same ones. Each range
-is ranked by its own task and gets the row count of the ranges below it; ranges
-of one group are at most ``max_splits``, so that second step stays small.
+Two plans, chosen by a count of the largest group (``plan_groups``):
+
+* up to ``MAX_GROUP_ROWS`` rows per group: a window per group. Every rank and
+  every aggregate on the same keys then shares one shuffle.
+* beyond it: the group is cut into value ranges. Cut points are drawn by hash, so
+  they depend on the data alone and all branches of the plan (and retried tasks)
+  see the same ones. A range is ranked by its own task and gets the row count of
+  the ranges below it; a group has at most ``max_splits`` ranges, so that second
+  step stays small. Ranks collapse ties first, so a flood of equal values costs
+  one row. The input is checkpointed once, because three branches read it.
 """
 
 from __future__ import annotations
@@ -18,20 +21,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eralens.functions.exprs import avg_rank_unit
+from eralens.session import cut_lineage
+
+MAX_GROUP_ROWS = 4_000_000
+
 
 @dataclass(frozen=True)
 class Split:
-    """When and how finely a large group is cut."""
+    """How finely large groups are cut."""
 
-    rows: int = 1_000_000     # distinct keys wanted per range
+    rows: int = 1_000_000     # rows wanted per range
     max_splits: int = 4096    # upper bound of ranges per group, a power of two
     sample: int = 16          # one key in `sample` may become a cut point
 
 
-DEFAULT = Split()
+AUTO = "auto"
+Plan = Split | None | str     # None: window per group; AUTO: count, then choose
 SINGLE = "__single"
 
 
+def plan_groups(df: DataFrame, keys: Sequence[str], bound: int = MAX_GROUP_ROWS) -> Split | None:
+    """None if no group of ``keys`` exceeds ``bound`` rows, else a Split."""
+    largest = (
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
+        if keys
+        else df.agg(F.count(F.lit(1)).alias("n"))
+    ).first()["n"]
+    return None if (largest or 0) <= bound else Split()
+
+
+def resolve(df: DataFrame, keys: Sequence[str], plan: Plan) -> Split | None:
+    return plan_groups(df, keys) if plan == AUTO else plan
+
+
 def _with_keys(df: DataFrame, keys: Sequence[str], order: str) -> tuple[DataFrame, list[str]]:
     if keys:
         return df, list(keys)
@@ -83,13 +106,23 @@ def _range_of(split: Split) -> Column:
 
 def running_weight(
     df: DataFrame, keys: Sequence[str], order: Sequence[str] | str, weight: Column,
-    split: Split = DEFAULT,
+    plan: Plan = AUTO,
 ) -> DataFrame:
     """Adds ``before`` (weight of the rows strictly earlier) and ``whole``
     (weight of the group). The order columns must be unique within a group."""
+    split = resolve(df, keys, plan)
     cols = [order] if isinstance(order, str) else list(order)
     given, keys_ = _with_keys(df, keys, cols[0])
-    d = given.withColumn("__o", F.col(cols[0]) if len(cols) == 1 else F.struct(*cols)).withColumn("__wt", weight)
+    kept = [c for c in given.columns if c != SINGLE]
+    if split is None:
+        g = W.partitionBy(*keys_)
+        upto = g.orderBy(*cols).rowsBetween(W.unboundedPreceding, 0)
+        return given.select(
+            *kept, (F.sum(weight).over(upto) - weight).alias("before"), F.sum(weight).over(g).alias("whole")
+        )
+
+    order_key = F.col(cols[0]) if len(cols) == 1 else F.struct(*cols)
+    d = cut_lineage(given.withColumn("__o", order_key).withColumn("__wt", weight))
     cuts = _cut_points(d, keys_, split)
     in_range = d.join(cuts, keys_, "left").withColumn("__b", _range_of(split)).drop("__cuts")
     w = W.partitionBy(*keys_, "__b")
@@ -107,18 +140,15 @@ def running_weight(
         (F.sum("__r").over(g.orderBy("__b").rowsBetween(W.unboundedPreceding, 0)) - F.col("__r")).alias("__off"),
         F.sum("__r").over(g).alias("__grp"),
     )
-    out = local.join(offsets, [*keys_, "__b"], "left")
-    zero = F.lit(0)
-    return out.select(
-        *given.columns if keys else [c for c in given.columns if c != SINGLE],
-        (F.col("__cum") - F.col("__wt") + F.coalesce(F.col("__off"), zero)).alias("before"),
+    return local.join(offsets, [*keys_, "__b"], "left").select(
+        *kept,
+        (F.col("__cum") - F.col("__wt") + F.coalesce(F.col("__off"), F.lit(0))).alias("before"),
         F.coalesce(F.col("__grp"), F.col("__all")).alias("whole"),
     )
 
 
 def distinct_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, extra: Sequence[Column] = (),
-    split: Split = DEFAULT,
+    df: DataFrame, keys: Sequence[str], value: str, extra: Sequence[Column] = (), plan: Plan = AUTO,
 ) -> DataFrame:
     """One row per distinct (keys, value): ``below``, ``ties``, ``total`` and the
     ``extra`` aggregates of the rows that carry the value. NULLs are not ranked."""
@@ -128,7 +158,7 @@ def distinct_ranks(
         .agg(F.count(F.lit(1)).alias("ties"), *extra)
     )
     return (
-        running_weight(d, keys, value, F.col("ties"), split)
+        running_weight(d, keys, value, F.col("ties"), plan)
         .withColumnRenamed("before", "below")
         .withColumnRenamed("whole", "total")
     )
@@ -136,36 +166,48 @@ def distinct_ranks(
 
 def with_rank(
     df: DataFrame, keys: Sequence[str], value: str, out: str,
-    formula=None, split: Split = DEFAULT,
+    formula=avg_rank_unit, plan: Plan = AUTO,
 ) -> DataFrame:
     """Row-level rank, ties averaged; ``formula(below, ties, total)`` gives the
-    value, by default (average rank - 1/2) / n."""
-    from eralens.functions.exprs import avg_rank_unit
-
-    f = formula or avg_rank_unit
-    ranks = distinct_ranks(df, keys, value, split=split).select(
-        *keys, value, f(F.col("below"), F.col("ties"), F.col("total")).alias(out)
+    value, by default (average rank - 1/2) / n. NULLs get NULL and do not count."""
+    split = resolve(df, keys, plan)
+    if split is None:
+        given, keys_ = _with_keys(df, keys, value)
+        present = F.col(value).isNotNull()
+        g = W.partitionBy(*keys_)
+        ordered = g.orderBy(F.col(value).asc_nulls_last())
+        below = F.rank().over(ordered) - F.lit(1)
+        ties = F.count(F.lit(1)).over(ordered.rangeBetween(W.currentRow, W.currentRow))
+        total = F.count(F.col(value)).over(g)
+        ranked = given.select(
+            "*", below.alias("__below"), ties.alias("__ties"), total.alias("__total")
+        )
+        rank = formula(F.col("__below"), F.col("__ties"), F.col("__total"))
+        return ranked.withColumn(out, F.when(present, rank)).drop("__below", "__ties", "__total", SINGLE)
+    df = cut_lineage(df)
+    ranks = distinct_ranks(df, keys, value, plan=split).select(
+        *keys, value, formula(F.col("below"), F.col("ties"), F.col("total")).alias(out)
     )
     return df.join(ranks, [*keys, value], "left")
 
 
 def row_positions(
     df: DataFrame, keys: Sequence[str], order: Sequence[str] | str, out: str = "pos",
-    split: Split = DEFAULT, total: str | None = None,
+    plan: Plan = AUTO, total: str | None = None,
 ) -> DataFrame:
     """0-based dense position of each row; the order must be unique in a group."""
-    res = running_weight(df, keys, order, F.lit(1).cast("bigint"), split)
+    res = running_weight(df, keys, order, F.lit(1).cast("bigint"), plan)
     res = res.withColumnRenamed("before", out)
     return res.withColumnRenamed("whole", total) if total else res.drop("whole")
 
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-    extra: Sequence[Column] = (), split: Split = DEFAULT,
+    extra: Sequence[Column] = (), plan: Plan = AUTO,
 ) -> DataFrame:
-    """Linear-interpolated quantiles without holding a group in one task.
-    ``extra`` are aggregates over (ties, below, total, value) rows."""
-    r = distinct_ranks(df, keys, value, split=split)
+    """Linear-interpolated quantiles without holding a group in one map.
+    ``extra`` are aggregates over the (ties, below, total, value) rows."""
+    r = distinct_ranks(df, keys, value, plan=plan)
     v = F.col(value)
     aggs = []
     for name, p in probs.items():

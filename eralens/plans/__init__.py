@@ -1,0 +1,16 @@
+"""The registered queries, one module per family."""
+
+from __future__ import annotations
+
+import importlib
+
+FAMILIES = ("score_queries",)
+
+
+def load():
+    """(queries, oracles), importing every family once."""
+    for family in FAMILIES:
+        importlib.import_module(f"eralens.plans.{family}")
+    from eralens.plans.registry import ORACLES, QUERIES
+
+    return dict(QUERIES), dict(ORACLES)
