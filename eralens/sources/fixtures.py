@@ -41,6 +41,9 @@ CODES = {
 }
 
 
+STORED: dict = {}
+
+
 class Tables:
     """Lazy access to the given tables and the frames derived from them."""
 
@@ -164,9 +167,13 @@ class Tables:
 
     def era_scores(self) -> DataFrame:
         from eralens.operators import score
+        from eralens.session import cut_lineage
 
-        keys = ["arm", "seed", "era"]
-        return score.bmc_covered_only(self.pred(), keys, plan=self.plan())
+        slot = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if slot not in STORED:
+            # kept once per application, as a stage file: one row per (model, era)
+            STORED[slot] = cut_lineage(score.bmc_covered_only(self.pred(), ["arm", "seed", "era"], plan=self.plan()))
+        return STORED[slot]
 
 
 # ---- the same frames as SQL text for the comparison engine -------------------------
