@@ -98,9 +98,9 @@ def _(t):
     return summary.ema(t.logs(), ["run"], "update", "loss", 0.98, "ema").select("run", "update", rounded(F.col("ema"), 7).alias("ema"))
 
 
-@query("rolling_batch_mean", with_(LOGS, 'SELECT run, "update", round(avg(loss) OVER (PARTITION BY run ORDER BY "update" ROWS BETWEEN 249 PRECEDING AND CURRENT ROW), 7) AS batch_mean FROM logs'))
+@query("rolling_batch_mean", with_(LOGS, 'SELECT run, "update", round(avg(loss) OVER (PARTITION BY run ORDER BY "update" ROWS BETWEEN 249 PRECEDING AND CURRENT ROW), 10) AS batch_mean FROM logs'))
 def _(t):
-    return summary.rolling_batch_mean(t.logs(), ["run"], "update", "loss").select("run", "update", rounded(F.col("batch_mean"), 7).alias("batch_mean"))
+    return summary.rolling_batch_mean(t.logs(), ["run"], "update", "loss").select("run", "update", rounded(F.col("batch_mean"), 10).alias("batch_mean"))
 
 
 @query("loss_over_initial", with_(LOGS, 'SELECT run, "update", round(loss / first_value(loss) OVER (PARTITION BY run ORDER BY "update"), 8) AS loss_over_initial FROM logs'))
@@ -109,11 +109,11 @@ def _(t):
 
 
 @query("curve_envelope", with_(LOGS + """,
-ps AS (SELECT arm, run, step, avg(loss) AS v FROM logs GROUP BY 1, 2, 3), sd AS (SELECT arm, count(DISTINCT run) AS seeds FROM ps GROUP BY arm),
+ps AS (SELECT arm, kind, step, avg(loss) AS v FROM logs GROUP BY 1, 2, 3), sd AS (SELECT arm, count(DISTINCT kind) AS seeds FROM ps GROUP BY arm),
 e AS (SELECT arm, step, avg(v) AS mean, min(v) AS low, max(v) AS high, stddev_samp(v)/sqrt(count(*)) AS sem, count(*) AS n FROM ps GROUP BY arm, step)""",
-    "SELECT arm, step, round(mean, 8) AS mean, round(low, 8) AS low, round(high, 8) AS high, round(sem, 8) AS sem, n FROM e JOIN sd USING (arm) WHERE n >= 0 AND n = seeds"))
+    "SELECT arm, step, round(mean, 8) AS mean, round(low, 8) AS low, round(high, 8) AS high, round(sem, 8) AS sem, n FROM e JOIN sd USING (arm) WHERE n = seeds"))
 def _(t):
-    return summary.curve_envelope(t.logs(), "arm", "step", "run", "loss").select("arm", "step", *r("mean", "low", "high", "sem"), "n")
+    return summary.curve_envelope(t.logs(), "arm", "step", "kind", "loss").select("arm", "step", *r("mean", "low", "high", "sem"), "n")
 
 
 @query("paired_curve_difference", with_(LOGS + """,

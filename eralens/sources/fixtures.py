@@ -159,7 +159,7 @@ class Tables:
         e = self.table("events")
         return e.select(
             F.when(F.col("event_type").isin("click", "view"), "filtered").otherwise("plain").alias("arm"),
-            F.col("user_id").alias("run"),
+            F.col("event_type").alias("kind"), F.col("user_id").alias("run"),
             F.col("event_id").alias("update"),
             F.dayofmonth("ts").cast("int").alias("step"),
             (F.col("value") + 1.0).alias("loss"),
@@ -218,7 +218,7 @@ cells AS (SELECT arm, config_id, split, updates, seed, CAST(sum(d) AS BIGINT)/CA
   GROUP BY 1,2,3,4,5)"""
 
 LOGS = """
-logs AS (SELECT CASE WHEN event_type IN ('click','view') THEN 'filtered' ELSE 'plain' END AS arm, user_id AS run,
+logs AS (SELECT CASE WHEN event_type IN ('click','view') THEN 'filtered' ELSE 'plain' END AS arm, event_type AS kind, user_id AS run,
   event_id AS "update", CAST(day(ts) AS INT) AS step, value + 1e0 AS loss FROM events)"""
 
 
