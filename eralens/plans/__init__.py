@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("panel_queries", "score_queries", "summary_queries", "inference_queries", "selection_queries")
+FAMILIES = ("panel_queries", "score_queries", "summary_queries", "inference_queries", "selection_queries", "vector_queries", "stream_queries")
 
 
 def load():
