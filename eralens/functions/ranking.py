@@ -178,7 +178,7 @@ def with_rank(
         ordered = g.orderBy(F.col(value).asc_nulls_last())
         below = F.rank().over(ordered) - F.lit(1)
         ties = F.count(F.lit(1)).over(ordered.rangeBetween(W.currentRow, W.currentRow))
-        total = F.count(F.col(value)).over(g)
+        total = F.count(F.col(value)).over(ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
         ranked = given.select(
             "*", below.alias("__below"), ties.alias("__ties"), total.alias("__total")
         )

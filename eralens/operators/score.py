@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eralens.functions.exprs import moments_corr, signed_pow, with_probit
+from eralens.functions.exprs import on_grid, moments_corr, signed_pow, with_probit
 from eralens.functions.ranking import AUTO, Plan, distinct_ranks, resolve, row_positions, with_rank
 
 
@@ -192,7 +192,7 @@ def benchmark_blend(df: DataFrame, weights: Sequence[float] = (0.1, 0.25, 0.5, 0
     w = r.withColumn("weight", F.explode(F.array(*[F.lit(float(x)) for x in weights])))
     mixed = w.withColumn("__mix", F.col("weight") * F.col("__m") + (F.lit(1.0) - F.col("weight")) * F.col("__b"))
     # sums of the same ranks in another order differ in the last digit: compare at 12 places
-    mixed = mixed.withColumn("__mix", F.round("__mix", 12))
+    mixed = mixed.withColumn("__mix", on_grid(F.col("__mix"), 12))
     return with_rank(mixed, ["weight", *keys], "__mix", "blend", plan=split).drop("__m", "__b", "__mix")
 
 
@@ -211,7 +211,7 @@ def target_rank_ensemble(df: DataFrame, targets: Sequence[str], keys: Sequence[s
     total = F.col("__r0")
     for i in range(1, len(targets)):
         total = total + F.col(f"__r{i}")
-    d = d.withColumn("__mean", F.round(total / F.lit(float(len(targets))), 12))
+    d = d.withColumn("__mean", on_grid(total / F.lit(float(len(targets))), 12))
     d = with_rank(d, keys, "__mean", out, plan=split)
     return d.drop("__mean", *[f"__t{i}" for i in range(len(targets))], *[f"__r{i}" for i in range(len(targets))])
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eralens.functions.checks import together, violation
-from eralens.functions.exprs import finite
+from eralens.functions.exprs import on_grid, finite
 from eralens.functions.ranking import AUTO, Plan, exact_quantiles, top_n
 
 CELL = ("split", "seed")
@@ -66,7 +66,7 @@ def candidate_scores(scores: DataFrame, candidate: Sequence[str], value: str = "
 
 def _best_first(ties: Sequence[str]) -> list[Column]:
     # means of the same cells may differ in the last digit between plans
-    return [F.desc(F.round("mean", 12)), F.desc(F.round("worst", 12)), *[F.asc(c) for c in ties]]
+    return [F.desc(on_grid(F.col("mean"), 12)), F.desc(on_grid(F.col("worst"), 12)), *[F.asc(c) for c in ties]]
 
 
 def select_topk(scores: DataFrame, k: int, keys: Sequence[str] = ("arm",), ties: Sequence[str] = ("config_id",)) -> DataFrame:
@@ -179,7 +179,7 @@ def select_stopping_point(history: DataFrame, batch: int, train_eras: int, final
     """Checkpoint with the best mean over folds (earlier on ties), and the number of
     updates scaled to the larger final train set (half rounded to even)."""
     m = history.groupBy(*keys, step).agg(F.avg(value).alias("mean"))
-    best = top_n(m, list(keys), [F.desc(F.round("mean", 12)), F.asc(step)], 1)
+    best = top_n(m, list(keys), [F.desc(on_grid(F.col("mean"), 12)), F.asc(step)], 1)
     updates = F.floor(F.col(step) / batch)
     return best.select(*keys, F.col(step).alias("examples"), "mean", updates.alias("updates"),
                        F.rint(updates * (final_eras / train_eras)).cast("bigint").alias("refit_updates"))
@@ -202,7 +202,7 @@ def select_blend(blend_scores: DataFrame, ensemble_scores: DataFrame, seed_score
     cand = blend_scores.groupBy("arm", "weight").agg(F.avg("corr").alias("corr"), F.avg("bmc").alias("bmc"))
     worst = split_mean_worst(blend_scores, ["arm", "weight"], "corr", split).select("arm", "weight", "worst_split")
     d = cand.join(worst, ["arm", "weight"]).join(ok, "arm")
-    order = [F.desc("stable"), F.desc(F.round("corr", 10)), F.desc(F.round("worst_split", 10)), F.desc(F.round("bmc", 10)),
+    order = [F.desc("stable"), F.desc(on_grid(F.col("corr"), 10)), F.desc(on_grid(F.col("worst_split"), 10)), F.desc(on_grid(F.col("bmc"), 10)),
              F.desc("weight"), F.asc(F.when(F.col("arm") == "filtered", 0).otherwise(1))]
     return top_n(d.withColumn("all", F.lit(1)), ["all"], order, 12).drop("all").withColumn(
         "selected", (F.col("place") == 1) & F.col("stable"))
@@ -217,7 +217,7 @@ def select_feasible_source(scores: DataFrame, feasible: DataFrame, arm: str = "f
 def rank_sweep_winner(scores: DataFrame, rank: str, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Mean and sample std over replicas per rank; the best mean, lower rank on ties."""
     m = scores.groupBy(*keys, rank).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("replicas"))
-    return top_n(m, list(keys), [F.desc(F.round("mean", 12)), F.asc(rank)], 1)
+    return top_n(m, list(keys), [F.desc(on_grid(F.col("mean"), 12)), F.asc(rank)], 1)
 
 
 def fold_winners(scores: DataFrame) -> DataFrame:
@@ -263,7 +263,7 @@ def grid_axis_slices(trials: DataFrame, axes: Sequence[str], value: str) -> Data
     still improving there, and the shape of the slice. A grid axis has few values."""
     from pyspark.sql import Window as W
 
-    best = trials.orderBy(F.desc(F.round(value, 12)), *[F.asc(a) for a in axes]).limit(1).select(*[F.col(a).alias(f"b_{a}") for a in axes])
+    best = trials.orderBy(F.desc(on_grid(F.col(value), 12)), *[F.asc(a) for a in axes]).limit(1).select(*[F.col(a).alias(f"b_{a}") for a in axes])
     parts = []
     for axis in axes:
         others = [a for a in axes if a != axis]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eralens.functions.exprs import finite
+from eralens.functions.exprs import on_grid, finite
 from eralens.functions.ranking import AUTO, Plan, exact_quantiles, row_positions, running_weight, top_n
 from eralens.functions.series import era_positions, era_window, ema, rolling  # noqa: F401
 from eralens.operators.score import pearson
@@ -53,7 +53,7 @@ def rolling_valid_argmax(curves: DataFrame, keys: Sequence[str], step: str, vali
                          width: int = 5, plan: Plan = AUTO) -> DataFrame:
     """Step with the largest full-window moving mean (earliest on ties)."""
     s = rolling(curves, keys, step, valid, width, width, "smoothed", plan).where(F.col("smoothed").isNotNull())
-    best = top_n(s, keys, [F.desc(F.round("smoothed", 12)), F.asc(step)], 1)
+    best = top_n(s, keys, [F.desc(on_grid(F.col("smoothed"), 12)), F.asc(step)], 1)
     return best.select(*keys, F.col(step).alias("selected_step"), "smoothed", F.col(valid).alias("raw"), *also)
 
 

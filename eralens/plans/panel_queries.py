@@ -303,7 +303,7 @@ def _(t):
 
 @query("inner_join_predictions", with_(PANEL, "SELECT p.id, p.era, p.target, l.prediction FROM panel p JOIN (SELECT l_orderkey, sum(CAST(round(l_discount*100) AS BIGINT))/100e0 AS prediction FROM lineitem GROUP BY 1) l ON l_orderkey = id WHERE target IS NOT NULL"))
 def _(t):
-    ext = t.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg((F.sum(F.round(F.col("l_discount") * 100).cast("bigint")) / 100.0).alias("prediction"))
+    ext = t.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg((F.sum(F.rint(F.col("l_discount") * 100).cast("bigint")) / 100.0).alias("prediction"))
     return align.inner_join_predictions(t.panel().select("id", "era", "target"), ext).select("id", "era", "target", "prediction")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eralens.functions.exprs import rounded, with_probit
+from eralens.functions.exprs import on_grid, rounded, with_probit
 from eralens.operators import score
 from eralens.plans.registry import query, with_
 from eralens.sources.fixtures import (
@@ -122,7 +122,7 @@ ENSEMBLE_ROUNDED = ENSEMBLE + ", ensr AS (SELECT * REPLACE (round(prediction, 10
 
 @query("benchmark_blend", with_(ENSEMBLE_ROUNDED + BLEND, "SELECT arm, era, id, weight, round(blend, 8) AS blend FROM blend"))
 def _(t):
-    ens = score.seed_ensemble(t.pred(), plan=t.plan()).withColumn("prediction", F.round("prediction", 10))
+    ens = score.seed_ensemble(t.pred(), plan=t.plan()).withColumn("prediction", on_grid(F.col("prediction"), 10))
     return score.benchmark_blend(ens, keys=["arm", "era"], plan=t.plan()).select("arm", "era", "id", "weight", rounded(F.col("blend")).alias("blend"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from eralens.functions.exprs import rounded
+from eralens.functions.exprs import on_grid, rounded
 from eralens.functions.ranking import plan_groups
 from eralens.operators import audit, score, selection
 from eralens.plans.registry import query, with_
@@ -140,7 +140,7 @@ rk AS (SELECT *, row_number() OVER (ORDER BY stable DESC, round(corr, 10) DESC,
     "SELECT arm, weight, round(corr, 8) + 0e0 AS corr, round(worst_split, 8) + 0e0 AS worst_split, round(bmc, 8) + 0e0 AS bmc, stable, place, place = 1 AND stable AS selected FROM rk"))
 def _(t):
     pred, fold = t.pred().where(F.col("benchmark").isNotNull()), F.expr(FOLD)
-    ens = score.seed_ensemble(t.pred(), plan=t.plan()).withColumn("prediction", F.round("prediction", 10)).where(F.col("benchmark").isNotNull())
+    ens = score.seed_ensemble(t.pred(), plan=t.plan()).withColumn("prediction", on_grid(F.col("prediction"), 10)).where(F.col("benchmark").isNotNull())
     blend = score.benchmark_blend(ens, keys=["arm", "era"], plan=t.plan()).select("arm", "weight", "era", "target", "benchmark", F.col("blend").alias("prediction"))
     bs = score.bmc_covered_only(blend, ["arm", "weight", "era"], plan=t.plan()).withColumn("split", fold)
     es = score.corr_official(ens, ["arm", "era"], plan=t.plan()).withColumn("split", fold)
@@ -198,7 +198,7 @@ SELECT axis, best_value, points, best_value = lo OR best_value = hi AS on_bounda
  CASE WHEN turns = 0 THEN 'monotone' WHEN turns = 1 AND first_step > 0 THEN 'interior_peak' ELSE 'irregular' END AS shape FROM g""")
 def _(t):
     trials = t.table("lineitem").groupBy(
-        F.col("l_linenumber").alias("lr"), F.round(F.col("l_tax") * 100).cast("int").alias("wd"), F.round(F.col("l_discount") * 100).cast("int").alias("dropout"),
+        F.col("l_linenumber").alias("lr"), F.rint(F.col("l_tax") * 100).cast("int").alias("wd"), F.rint(F.col("l_discount") * 100).cast("int").alias("dropout"),
     ).agg((F.sum(F.col("l_quantity").cast("bigint")) / F.count(F.lit(1))).alias("v"))
     return selection.grid_axis_slices(trials, ["lr", "wd", "dropout"], "v")
 
@@ -210,7 +210,7 @@ def _(t):
 UNION ALL SELECT 'bmc', count(*), 0, count(*) FILTER (WHERE NOT (abs(bmc - rb) <= 1e-9 + 1e-6*abs(rb))) FROM c"""))
 def _(t):
     fresh = score.bmc_covered_only(t.pred(), KEYS, plan=t.plan())
-    recorded = t.era_scores().withColumn("corr", F.round("corr", 7))
+    recorded = t.era_scores().withColumn("corr", on_grid(F.col("corr"), 7))
     return audit.metric_reproduction(fresh, recorded, KEYS, ["corr", "bmc"]).select("metric", "compared", "unmatched", "outside")
 
 

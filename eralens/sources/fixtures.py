@@ -14,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eralens.functions.exprs import hash_unit, keyed
+from eralens.functions.exprs import AS241_CENTRE, AS241_FAR, AS241_MIDDLE, hash_unit, keyed, ratio_text
 from eralens.functions.ranking import plan_groups
+from eralens.sources.tables import read_spread
 
 ERA_SQL = "CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INT)"
 BENCHMARK_FROM = 12      # first era with benchmark predictions
@@ -55,7 +56,7 @@ class Tables:
         return f"{self.sf_dir}/{name}.parquet"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        return read_spread(self.spark, self.path(name))
 
     def eras(self) -> DataFrame:
         return self.table("orders").select(F.col("o_orderkey").alias("id"), F.expr(ERA_SQL).alias("era"))
@@ -69,8 +70,8 @@ class Tables:
     def panel(self) -> DataFrame:
         lines = self.table("lineitem").groupBy("l_orderkey").agg(
             F.sum("l_quantity").alias("qty"),
-            F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).alias("disc"),
-            F.sum(F.round(F.col("l_tax") * 100).cast("bigint")).alias("tax"),
+            F.sum(F.rint(F.col("l_discount") * 100).cast("bigint")).alias("disc"),
+            F.sum(F.rint(F.col("l_tax") * 100).cast("bigint")).alias("tax"),
             F.count(F.lit(1)).alias("n_lines"),
         )
         customers = self.table("customer").select("c_custkey", "c_acctbal")
@@ -141,8 +142,8 @@ class Tables:
                 F.when(F.col("l_linenumber") <= 2, 5000).when(F.col("l_linenumber") <= 4, 20000)
                 .otherwise(100000).alias("updates"),
                 F.when(F.col("l_quantity") <= 17, 0).when(F.col("l_quantity") <= 34, 1).otherwise(2).alias("seed"),
-                F.round(F.col("l_discount") * 100).cast("bigint").alias("d"),
-                F.round(F.col("l_tax") * 100).cast("bigint").alias("t"),
+                F.rint(F.col("l_discount") * 100).cast("bigint").alias("d"),
+                F.rint(F.col("l_tax") * 100).cast("bigint").alias("t"),
             )
             .groupBy("arm", "config_id", "split", "updates", "seed")
             .agg(F.sum("d").alias("d"), F.sum("t").alias("t"), F.count(F.lit(1)).alias("runs"))
@@ -224,23 +225,12 @@ logs AS (SELECT CASE WHEN event_type IN ('click','view') THEN 'filtered' ELSE 'p
 
 def probit_sql(p: str) -> str:
     """Inverse normal as SQL text over a column name."""
-    from eralens.functions.exprs import AS241_CENTRE, AS241_FAR, AS241_MIDDLE
-
-    def poly(c, x):
-        acc = f"{c[-1]:.17e}"
-        for a in reversed(c[:-1]):
-            acc = f"({acc}*{x} + {a:.17e})"
-        return acc
-
-    def ratio(c, x):
-        return f"{poly(c[0], x)}/{poly(c[1], x)}"
-
     q, r = f"({p}-0.5e0)", f"sqrt(-ln(least({p}, 1e0-{p})))"
     return (
         f"CASE WHEN {p}<=0 OR {p}>=1 THEN NULL "
-        f"WHEN abs{q}<=0.425e0 THEN {q}*{ratio(AS241_CENTRE, f'(0.180625e0-{q}*{q})')} "
-        f"WHEN {r}<=5e0 THEN sign{q}*{ratio(AS241_MIDDLE, f'({r}-1.6e0)')} "
-        f"ELSE sign{q}*{ratio(AS241_FAR, f'({r}-5e0)')} END"
+        f"WHEN abs{q}<=0.425e0 THEN {q}*{ratio_text(AS241_CENTRE, f'(0.180625e0-{q}*{q})')} "
+        f"WHEN {r}<=5e0 THEN sign{q}*{ratio_text(AS241_MIDDLE, f'({r}-1.6e0)')} "
+        f"ELSE sign{q}*{ratio_text(AS241_FAR, f'({r}-5e0)')} END"
     )
 
 

@@ -12,10 +12,23 @@ from eralens.functions.checks import violation
 SCORE_SCHEMA = "arm string, config_id int, split string, updates int, seed int, corr_mean double, bmc_mean double, runs bigint"
 MANIFEST_SCHEMA = "job string, split string, updates int, seed int, arm string, config_id int"
 REFIT_SCHEMA = "job string, updates int, seed int, arm string, config_id int"
+SPREAD_FROM, ONE_SPLIT = 1 << 20, 128 << 20   # bytes
+SCHEMAS: dict = {}
 # Directory naming of stored results.
 TASK_PATTERN = r"stage-(.+)-u(\d+)-s(\d+)-([a-z]+)"
 
 
+def read_spread(spark: SparkSession, path: str) -> DataFrame:
+    """Read Parquet (schema looked up once per application). A table that fits into one
+    split but is not tiny is spread over the cores; larger ones have splits enough."""
+    slot = (spark.sparkContext.applicationId, path)
+    reader = spark.read.schema(SCHEMAS[slot]) if slot in SCHEMAS else spark.read
+    d = reader.parquet(path)
+    SCHEMAS.setdefault(slot, d.schema)
+    size = int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return d.repartition(spark.sparkContext.defaultParallelism) if SPREAD_FROM <= size <= ONE_SPLIT else d
+
+
 def write_panel(df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[str] = ("era",)) -> None:
     """Partitioned by era. Rows are spread over a few writers per era by hash, so a
     large era is not written by one task and a small one gives few files."""

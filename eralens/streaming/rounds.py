@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eralens.functions.checks import together, violation
-from eralens.functions.exprs import finite
+from eralens.functions.exprs import on_grid, finite
 from eralens.functions.ranking import with_rank
 
 ROUND_CHECKS = "kind string, key string, detail string"
@@ -36,7 +36,7 @@ def score_whole_rounds(rounds: DataFrame, models: list[str], benchmark: str, wei
     for i in range(1, len(models)):
         mean = mean + F.col(f"__r{i}")
     mix = F.lit(weight) * mean / F.lit(float(len(models))) + F.lit(1.0 - weight) * F.col(f"__r{len(models)}")
-    d = d.withColumn("__mix", F.round(mix, 12))
+    d = d.withColumn("__mix", on_grid(mix, 12))
     return with_rank(d, [round_key], "__mix", "prediction").select(round_key, key, "prediction")
 
 
