@@ -179,7 +179,7 @@ def batch_assignment(rows: DataFrame, mode: str, batch: int, steps: int, seed: i
     if mode == "within":
         counts = counts.where(F.col("n") >= batch + held_out)
     eras = row_positions(counts, [], era, "__e", None, total="__eras")       # one row per era
-    n_eras = counts.agg(F.count(F.lit(1))).scalar()
+    n_eras = F.nullif(counts.agg(F.count(F.lit(1))).scalar(), F.lit(0))
     chosen = draw.withColumn("__e", F.pmod(hash_u32(keyed(seed, mode, F.col("step"))), n_eras)).join(eras, "__e")
     if mode == "era":
         split = resolve(rows, [era], plan)
