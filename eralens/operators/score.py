@@ -44,6 +44,12 @@ def _scorable(df: DataFrame, *cols: str) -> DataFrame:
     return df.na.drop(subset=list(cols))
 
 
+def gaussian_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, split) -> DataFrame:
+    """Normal quantile of the within-group rank. Computed right after its rank: two
+    quantiles in one generated stage would exceed what the JIT compiles."""
+    return with_probit(with_rank(df, keys, value, "__rank", plan=split), F.col("__rank"), out).drop("__rank")
+
+
 def corr_v1(df: DataFrame, keys: Sequence[str], pred: str = "prediction", target: str = "target",
             plan: Plan = AUTO, out: str = "corr") -> DataFrame:
     """avg rank/(n+1) -> normal quantile -> signed power 1.5, against target - 1/2."""
@@ -77,8 +83,8 @@ def corr_official(df: DataFrame, keys: Sequence[str], pred: str = "prediction",
     """(avg rank - 1/2)/n -> normal quantile -> power, against the mean-centred target."""
     d = _scorable(df, pred, target)
     split = resolve(d, keys, plan)
-    r = with_rank(_centred_target(d, keys, target, split), keys, pred, "__r", plan=split)
-    return pearson(with_probit(r, F.col("__r"), "__z"), keys, signed_pow(F.col("__z")), signed_pow(F.col("__tc")), out, True)
+    r = gaussian_rank(_centred_target(d, keys, target, split), keys, pred, "__z", split)
+    return pearson(r, keys, signed_pow(F.col("__z")), signed_pow(F.col("__tc")), out, True)
 
 
 def bmc(df: DataFrame, keys: Sequence[str], pred: str = "prediction", benchmark: str = "benchmark",
@@ -87,8 +93,7 @@ def bmc(df: DataFrame, keys: Sequence[str], pred: str = "prediction", benchmark:
     gaussianised prediction that is orthogonal to the gaussianised benchmark."""
     d = _scorable(df, pred, benchmark, target)
     split = resolve(d, keys, plan)
-    r = with_rank(with_rank(d, keys, benchmark, "__rm", plan=split), keys, pred, "__rp", plan=split)
-    g = with_probit(with_probit(r, F.col("__rp"), "p"), F.col("__rm"), "m").withColumn("t", F.col(target))
+    g = gaussian_rank(gaussian_rank(d, keys, benchmark, "m", split), keys, pred, "p", split).withColumn("t", F.col(target))
     s = g.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum("p").alias("sp"), F.sum("m").alias("sm"), F.avg("t").alias("tm"),
         F.min("t").alias("lo"), F.max("t").alias("hi"),
@@ -108,11 +113,9 @@ def bmc_covered_only(df: DataFrame, keys: Sequence[str], plan: Plan = AUTO, benc
     split = resolve(d, keys, plan)
     covered = F.col(benchmark).isNotNull()
     d = _centred_target(d, keys, target, split)
-    d = with_rank(d, keys, pred, "__r", plan=split)
     d = d.withColumn("__cp", F.when(covered, F.col(pred)))
-    d = with_rank(with_rank(d, keys, "__cp", "__rp", plan=split), keys, benchmark, "__rm", plan=split)
-    for source, name in (("__r", "z"), ("__rp", "p"), ("__rm", "m")):
-        d = with_probit(d, F.col(source), name)
+    for source, name in ((pred, "z"), ("__cp", "p"), (benchmark, "m")):
+        d = gaussian_rank(d, keys, source, name, split)
     d = d.select(*keys, "p", "m", signed_pow(F.col("z")).alias("x"), signed_pow(F.col("__tc")).alias("y"),
                  F.when(covered, F.col(target)).alias("t"))
     c, total = F.col, lambda e: F.sum(e)

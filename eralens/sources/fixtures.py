@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from eralens.functions.exprs import AS241_CENTRE, AS241_FAR, AS241_MIDDLE, hash_unit, keyed, ratio_text
 from eralens.functions.ranking import plan_groups
+from eralens.session import cut_lineage
 from eralens.sources.tables import read_spread
 
 ERA_SQL = "CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INT)"
@@ -50,7 +51,6 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
-        self._plan = "unset"
 
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
@@ -63,11 +63,23 @@ class Tables:
 
     def plan(self):
         """Window or range plan for era groups: counted once on the order table."""
-        if self._plan == "unset":
-            self._plan = plan_groups(self.eras(), ["era"])
-        return self._plan
+        return self._once("plan", lambda: plan_groups(self.eras(), ["era"]))
+
+    def _once(self, name: str, build):
+        slot = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if slot not in STORED:
+            STORED[slot] = build()
+        return STORED[slot]
 
     def panel(self) -> DataFrame:
+        """The panel as a stored table, built once per application."""
+        return self._once("panel", lambda: cut_lineage(self.build_panel(), "panel"))
+
+    def pred(self) -> DataFrame:
+        """The predictions as a stored table, built once per application."""
+        return self._once("pred", lambda: cut_lineage(self.build_pred(), "pred"))
+
+    def build_panel(self) -> DataFrame:
         lines = self.table("lineitem").groupBy("l_orderkey").agg(
             F.sum("l_quantity").alias("qty"),
             F.sum(F.rint(F.col("l_discount") * 100).cast("bigint")).alias("disc"),
@@ -117,7 +129,7 @@ class Tables:
             .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("era")
         )
 
-    def pred(self) -> DataFrame:
+    def build_pred(self) -> DataFrame:
         rows = self.panel().where(F.col("target").isNotNull()).join(self.scored_eras(), "era", "left_semi")
         models = F.explode(F.array(*[
             F.struct(F.lit(a).alias("arm"), F.lit(s).alias("seed"), F.lit(w).alias("signal"))
@@ -167,14 +179,11 @@ class Tables:
         )
 
     def era_scores(self) -> DataFrame:
+        """Scores per model and era, stored once like a stage file."""
         from eralens.operators import score
-        from eralens.session import cut_lineage
 
-        slot = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if slot not in STORED:
-            # kept once per application, as a stage file: one row per (model, era)
-            STORED[slot] = cut_lineage(score.bmc_covered_only(self.pred(), ["arm", "seed", "era"], plan=self.plan()))
-        return STORED[slot]
+        return self._once("era_scores", lambda: cut_lineage(
+            score.bmc_covered_only(self.pred(), ["arm", "seed", "era"], plan=self.plan()), "era-scores"))
 
 
 # ---- the same frames as SQL text for the comparison engine -------------------------
