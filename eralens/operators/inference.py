@@ -171,20 +171,19 @@ def threshold_of(baseline: DataFrame, keys: Sequence[str], value: str, cap: floa
     return baseline.groupBy(*keys).agg(F.least(F.lit(cap), F.lit(share) * F.avg(value)).alias("threshold"))
 
 
-def model_pairs(scores: DataFrame, models: Sequence[str], values: Sequence[str], era: str = "era") -> DataFrame:
-    """Long table (pair, metric, era, difference) of all named model pairs."""
+def model_pairs(scores: DataFrame, models: Sequence[str], values: Sequence[str], pairs: DataFrame, era: str = "era") -> DataFrame:
+    """Long table (pair, metric, era, difference) of the named pairs (model_a, model_b)."""
     name = F.concat_ws("_s", *[F.col(m).cast("string") for m in models])
     long = scores.select(name.alias("model"), era, *values).unpivot(["model", era], list(values), "metric", "v").where(finite(F.col("v")))
     a = long.select(F.col("model").alias("model_a"), era, "metric", F.col("v").alias("va"))
     b = long.select(F.col("model").alias("model_b"), era, "metric", F.col("v").alias("vb"))
-    # joined on (era, metric): a group is the handful of models of one era
-    return a.join(b, [era, "metric"]).where(F.col("model_a") < F.col("model_b")).select(
+    return pairs.join(a, "model_a").join(b, ["model_b", era, "metric"]).select(
         F.concat_ws("-", "model_a", "model_b").alias("pair"), "metric", era, (F.col("va") - F.col("vb")).alias("difference"))
 
 
-def pair_matrix(scores: DataFrame, models: Sequence[str], values: Sequence[str], threshold: float,
+def pair_matrix(scores: DataFrame, models: Sequence[str], values: Sequence[str], pairs: DataFrame, threshold: float,
                 length: int = 8, samples: int = 2000) -> DataFrame:
-    d = model_pairs(scores, models, values)
+    d = model_pairs(scores, models, values, pairs)
     boot = block_bootstrap_mean(d, ["pair", "metric"], "difference", length, samples, shared=True)
     return with_verdict(boot, threshold)
 

@@ -231,13 +231,3 @@ def secondary_targets(df: DataFrame, pairs: Sequence[tuple[str, str]], models: S
         *models, era, "prediction", "e.*"
     ).where(F.col("target").isNotNull())
     return bmc_covered_only(rows, ["target_name", *models, era], split)
-
-
-def feature_exposure(df: DataFrame, keys: Sequence[str], features: str = "features", pred: str = "prediction",
-                     era: str = "era") -> DataFrame:
-    """Largest absolute era-mean correlation of the prediction with any feature."""
-    rows = df.select(*keys, era, pred, F.posexplode(features).alias("feature", "x"))
-    per = pearson(rows, [*keys, era, "feature"], F.col("x").cast("double"), F.col(pred), "c")
-    means = per.groupBy(*keys, "feature").agg(F.avg("c").alias("exposure"))
-    return means.groupBy(*keys).agg(F.max(F.abs(F.col("exposure"))).alias("max_exposure"),
-                                    F.count("exposure").alias("features"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eralens.functions.exprs import hash_u32, keyed
+from eralens.functions.exprs import hash_u32, keyed, moments_corr
 from eralens.functions.lowrank import (
     effective_rank, fold, hashed_normals, horizon, orthogonality_error, project, soft_project, start_state,
 )
@@ -25,13 +25,19 @@ from eralens.functions.ranking import AUTO, Plan, exact_quantiles, row_positions
 FLUSH_GROUPS = 256   # partial sums a task holds before it hands them on
 
 
-def group_sums(df: DataFrame, group: str, vector: str, parts: Callable, dim: int, row_id: str | None = None) -> DataFrame:
-    """(group, sums): element-wise sums over the group of ``parts(ids, X) -> 1-d array``.
+def element_sums(df: DataFrame, group: str, vector: str, parts: Callable, dim: int, row_id: str | None = None) -> DataFrame:
+    """(group, pos, v): element-wise sums over the group of ``parts(ids, X) -> 1-d array``.
 
     Tasks add up per group with Arrow batches, then single elements are summed by hash
-    aggregation with map-side combine, then a group's few elements are put together."""
+    aggregation with map-side combine."""
     cols = [group, vector] + ([row_id] if row_id else [])
     kind = dict(df.dtypes)[group]
+    arrow_key = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
+
+    def pack(held):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(held), type=arrow_key), pa.array([v.tolist() for v in held.values()], type=pa.list_(pa.float64()))],
+            names=["g", "s"])
 
     def partial(batches):
         held: dict = {}
@@ -48,22 +54,21 @@ def group_sums(df: DataFrame, group: str, vector: str, parts: Callable, dim: int
                 add = parts(None if ids is None else ids[a:b], x[a:b])
                 held[g] = held[g] + add if g in held else add
             if len(held) > FLUSH_GROUPS:
-                yield _pack(held)
+                yield pack(held)
                 held = {}
         if held:
-            yield _pack(held)
-
-    arrow_key = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
-
-    def _pack(held):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(held), type=arrow_key), pa.array([v.tolist() for v in held.values()], type=pa.list_(pa.float64()))],
-            names=["g", "s"])
+            yield pack(held)
 
     got = df.select(*cols).where(F.col(vector).isNotNull()).mapInArrow(partial, f"g {kind}, s array<double>")
     each = got.select("g", F.posexplode("s").alias("pos", "v")).groupBy("g", "pos").agg(F.sum("v").alias("v"))
-    whole = each.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("p"))
-    return whole.select(F.col("g").alias(group), F.transform("p", lambda e: e["v"]).alias("sums"))
+    return each.withColumnRenamed("g", group)
+
+
+def group_sums(df: DataFrame, group: str, vector: str, parts: Callable, dim: int, row_id: str | None = None) -> DataFrame:
+    """(group, sums): the element sums put together; their number depends on dim only."""
+    each = element_sums(df, group, vector, parts, dim, row_id)
+    whole = each.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("p"))
+    return whole.select(group, F.transform("p", lambda e: e["v"]).alias("sums"))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -322,16 +327,38 @@ def distributed_covariance(df: DataFrame, vector: str, dim: int) -> DataFrame:
     def parts(_ids, x):
         return np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
 
-    s = group_sums(d, "__g", vector, parts, dim)
-    n, mean_i = F.col("sums")[0], lambda i: F.element_at("sums", (i + 2).cast("int")) / F.col("sums")[0]
-    pairs = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(dim - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))))
-    i, j = F.col("i"), F.col("j")
-
-    def cov(a, b):
-        return F.element_at("sums", (a * dim + b + dim + 2).cast("int")) / n - mean_i(a) * mean_i(b)
-
-    d = pairs.select("i", "j", cov(i, j).alias("covariance"), cov(i, i).alias("vi"), cov(j, j).alias("vj"))
-    return d.select("i", "j", "covariance", (F.col("covariance") / F.sqrt(F.col("vi") * F.col("vj"))).alias("correlation"))
+    s = element_sums(d, "__g", vector, parts, dim).select("pos", "v")
+    first = s.where(F.col("pos") == 0).select(F.col("v").alias("n"))
+    mean = s.where(F.col("pos").between(1, dim)).select((F.col("pos") - 1).alias("k"), (F.col("v") / first.scalar()).alias("m"))
+    cell = F.col("pos") - (dim + 1)
+    xx = s.where(F.col("pos") > dim).select(
+        F.floor(cell / dim).cast("int").alias("i"), F.pmod(cell, F.lit(dim)).cast("int").alias("j"), (F.col("v") / first.scalar()).alias("xx"))
+    diagonal = xx.where(F.col("i") == F.col("j")).join(mean, F.col("i") == F.col("k")).select("k", "m", (F.col("xx") - F.col("m") * F.col("m")).alias("var"))
+    a = diagonal.select(F.col("k").alias("i"), F.col("m").alias("mi"), F.col("var").alias("vi"))
+    b = diagonal.select(F.col("k").alias("j"), F.col("m").alias("mj"), F.col("var").alias("vj"))
+    c = xx.join(a, "i").join(b, "j").withColumn("covariance", F.col("xx") - F.col("mi") * F.col("mj"))
+    return c.select("i", "j", "covariance", (F.col("covariance") / F.sqrt(F.col("vi") * F.col("vj"))).alias("correlation"))
+
+
+def feature_exposure(df: DataFrame, keys: Sequence[str], dim: int, features: str = "features", pred: str = "prediction", era: str = "era") -> DataFrame:
+    """Largest absolute era-mean correlation of the prediction with any feature. Per
+    (keys, era) the tasks add up sums of all features at once; no row is exploded."""
+    d = df.select(*keys, era, F.to_json(F.struct(*keys, era)).alias("__g"),
+                  F.array_append(F.transform(features, lambda v: v.cast("double")), F.col(pred).cast("double")).alias("__z"))
+
+    def parts(_ids, z):
+        x, y = z[:, :-1], z[:, -1]
+        return np.concatenate([[len(z), y.sum(), y @ y], x.sum(0), (x * x).sum(0), x.T @ y])
+
+    s = element_sums(d, "__g", "__z", parts, dim + 1)
+    wide = s.where(F.col("pos") < 3).groupBy("__g").agg(*[F.max(F.when(F.col("pos") == i, F.col("v"))).alias(n) for i, n in enumerate(("n", "sy", "syy"))])
+    at = F.col("pos") - 3
+    per = s.where(F.col("pos") >= 3).groupBy("__g", F.pmod(at, F.lit(dim)).alias("feature")).agg(
+        *[F.max(F.when(F.floor(at / dim) == i, F.col("v"))).alias(n) for i, n in enumerate(("sx", "sxx", "sxy"))])
+    c = moments_corr(*[F.col(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    names = d.select(*keys, "__g").distinct()
+    means = per.join(wide, "__g").select("__g", "feature", c.alias("c")).join(names, "__g").groupBy(*keys, "feature").agg(F.avg("c").alias("exposure"))
+    return means.groupBy(*keys).agg(F.max(F.abs(F.col("exposure"))).alias("max_exposure"), F.count("exposure").alias("features"))
 
 
 def engagement_summary(logs: DataFrame, run: str, step: str, value: str, late: int, low: float, high: float,

@@ -75,16 +75,26 @@ pairs AS (SELECT a.model || '-' || b.model AS pair, a.metric, a.era, a.v - b.v A
 SHARED = PAIRS + "," + boot_sql("pairs", "pair, metric", "d", f"'{SEED}:sample:' || sample || ':' || block", 1000)
 
 
+def named_pairs(t):
+    """The comparisons asked for, by name."""
+    from itertools import combinations
+
+    from eralens.sources.fixtures import ARMS, SEEDS
+
+    names = [f"{a}_s{s}" for a in ARMS for s in SEEDS]
+    return t.spark.createDataFrame(list(combinations(names, 2)), "model_a string, model_b string")
+
+
 @query("shared_resamples", with_(SHARED, f"SELECT pair, metric, {ROUNDED}, eras FROM bt_ci"))
 def _(t):
-    d = inference.model_pairs(t.era_scores(), ["arm", "seed"], ["corr", "bmc"])
+    d = inference.model_pairs(t.era_scores(), ["arm", "seed"], ["corr", "bmc"], named_pairs(t))
     got = inference.block_bootstrap_mean(d, ["pair", "metric"], "difference", L, 1000, SEED, shared=True)
     return got.select("pair", "metric", *r("estimate", "ci_low", "ci_high"), "eras")
 
 
 @query("pair_matrix", with_(SHARED, f"SELECT pair, metric, {ROUNDED}, {VERDICT.format(t='0.005e0')} AS category FROM bt_ci"))
 def _(t):
-    got = inference.pair_matrix(t.era_scores(), ["arm", "seed"], ["corr", "bmc"], 0.005, L, 1000)
+    got = inference.pair_matrix(t.era_scores(), ["arm", "seed"], ["corr", "bmc"], named_pairs(t), 0.005, L, 1000)
     return got.select("pair", "metric", *r("estimate", "ci_low", "ci_high"), "category")
 
 
@@ -132,7 +142,7 @@ def _(t):
     """SELECT a.pair, round(a.estimate, 8) + 0e0 AS estimate_a, a.category AS category_a, round(b.estimate, 8) + 0e0 AS estimate_b, b.category AS category_b,
  a.category = b.category AS same_category, sign(a.estimate) = sign(b.estimate) AS same_sign FROM (SELECT * FROM v WHERE metric = 'corr') a JOIN (SELECT * FROM v WHERE metric = 'bmc') b USING (pair)"""))
 def _(t):
-    m = inference.pair_matrix(t.era_scores(), ["arm", "seed"], ["corr", "bmc"], 0.005, L, 1000)
+    m = inference.pair_matrix(t.era_scores(), ["arm", "seed"], ["corr", "bmc"], named_pairs(t), 0.005, L, 1000)
     got = inference.consistency_compare(m.where("metric = 'corr'"), m.where("metric = 'bmc'"), ["pair"])
     return got.select("pair", *r("estimate_a"), "category_a", *r("estimate_b"), "category_b", "same_category", "same_sign")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eralens.functions.exprs import on_grid, rounded, with_probit
-from eralens.operators import score
+from eralens.operators import score, vectors
 from eralens.plans.registry import query, with_
 from eralens.sources.fixtures import (
     ERA_SCORES, PANEL, PRED, avg_rank_sql, bmc_sql, official_sql, probit_sql, spow,
@@ -150,5 +150,5 @@ e AS (SELECT feature, avg(c) AS exposure FROM c GROUP BY feature)""",
     "SELECT 'signal' AS model, round(max(abs(exposure)), 8) AS max_exposure, count(exposure) AS features FROM e"))
 def _(t):
     p = t.panel().where(F.col("target").isNotNull()).withColumn("model", F.lit("signal"))
-    got = score.feature_exposure(p, ["model"], pred="latent")
+    got = vectors.feature_exposure(p, ["model"], 6, pred="latent")
     return got.select("model", rounded(F.col("max_exposure")).alias("max_exposure"), "features")

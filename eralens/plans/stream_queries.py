@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eralens.functions.exprs import moments_corr, rounded
-from eralens.operators import align  # noqa: F401
 from eralens.plans.registry import query, with_
 from eralens.session import scratch
 from eralens.sources.fixtures import ERA_SCORES, H, avg_rank_sql
 from eralens.streaming import keyed, rounds
-from eralens.streaming.sink import arrivals, file_stream, latest, run_available, stored, write_batches
+from eralens.streaming.sink import latest, replay, run_available, stored, write_batches
 
 CHUNKS = 3
 
@@ -25,9 +24,9 @@ def events(t, *extra):
     return e.withColumn("chunk", F.least(F.lit(CHUNKS - 1), F.floor((F.col("round") - 1) / 10)).cast("int"))
 
 
-def as_stream(df, name, chunk="chunk", chunks=CHUNKS):
-    path = arrivals(df, name, chunk, chunks)
-    return file_stream(df.sparkSession, path, df.drop(chunk).schema)
+def arrive(sources, build, out, mode="append", transform=None):
+    """The sources arrive in three steps; the query resumes after each."""
+    replay(sources, "chunk", CHUNKS, lambda s, _last: run_available(build(**s), write_batches(f"{out}/rows", transform), f"{out}/checkpoint", mode))
 
 
 SCORED = f"""e AS (SELECT event_id AS id, CAST(day(ts) AS INT) AS round, value AS m1, {H("'m2:' || event_id")} AS m2, user_id * 1e0 AS bench FROM events),
@@ -43,8 +42,8 @@ def _(t):
     d = events(t).select(F.col("event_id").alias("id"), "round", F.col("value").alias("m1"), hash_unit(text("m2", F.col("event_id"))).alias("m2"),
                          F.col("user_id").cast("double").alias("bench"), "chunk")
     out = scratch(t.spark, "scored")
-    scores, _bad = rounds.score_rounds(as_stream(d, "rounds"), out, f"{out}/checkpoint", ["m1", "m2"], "bench")
-    got = stored(t.spark, scores, "round int, id bigint, prediction double")
+    replay({"live": d}, "chunk", CHUNKS, lambda s, last: rounds.score_rounds(s["live"], out, f"{out}/checkpoint", ["m1", "m2"], "bench", finish=last))
+    got = stored(t.spark, f"{out}/scores", "round int, id bigint, prediction double")
     return got.select("round", "id", *rr("prediction"))
 
 
@@ -57,9 +56,8 @@ def _(t):
     # a label arrives three days later; signups never resolve
     labels = e.where("event_type <> 'signup'").select(
         F.col("event_id").alias("id"), (F.col("ts") + F.expr("INTERVAL 3 DAYS")).alias("label_ts"), F.col("user_id").cast("double").alias("label"), "chunk")
-    joined = rounds.label_join(as_stream(preds, "preds"), as_stream(labels, "labels"), "4 DAYS", "12 days")
     out = scratch(t.spark, "joined")
-    run_available(joined, write_batches(f"{out}/rows"), f"{out}/checkpoint")
+    arrive({"preds": preds, "labels": labels}, lambda preds, labels: rounds.label_join(preds, labels, "4 DAYS", "12 days"), out)
     rows = stored(t.spark, f"{out}/rows", "id bigint, round int, ts timestamp, prediction double, label_ts timestamp, label double")
     expected = e.groupBy("round").agg(F.count(F.lit(1)).alias("rows"))
     return rounds.matched_scores(rows, expected).select("round", "rows", "matched", *rr("mse", digits=6), "provisional")
@@ -71,8 +69,7 @@ def _(t):
     last = t.table("embeddings").agg(F.max("vec_id")).first()[0]
     d = d.withColumn("chunk", F.least(F.lit(CHUNKS - 1), F.floor(F.col("vec_id") * CHUNKS / (last + 1))).cast("int"))
     out = scratch(t.spark, "lowrank")
-    s = keyed.stream_lowrank_cov(as_stream(d, "vectors"), "label", "vec_id", "embedding")
-    run_available(s, write_batches(f"{out}/rows"), f"{out}/checkpoint", "update")
+    arrive({"vectors": d}, lambda vectors: keyed.stream_lowrank_cov(vectors, "label", "vec_id", "embedding"), out, "update")
     rows = stored(t.spark, f"{out}/rows", "label int, rows bigint, eigenvalues array<double>, effective_rank double, turnover double, orthogonality_error double")
     return latest(rows, ["label"], ["rows", "eigenvalues", "effective_rank", "turnover", "orthogonality_error"])
 
@@ -81,8 +78,7 @@ def _(t):
 def _(t):
     d = events(t).select("ts", "value", F.col("user_id").cast("double").alias("label"), "chunk")
     out = scratch(t.spark, "moments")
-    s = rounds.era_moments(as_stream(d, "events"), "ts", "value", "label")
-    run_available(s, write_batches(f"{out}/rows"), f"{out}/checkpoint", "update")
+    arrive({"live": d}, lambda live: rounds.era_moments(live, "ts", "value", "label"), out, "update")
     names = ["n", "sx", "sy", "sxx", "syy", "sxy", "sse"]
     rows = stored(t.spark, f"{out}/rows", "start timestamp, n bigint, sx double, sy double, sxx double, syy double, sxy double, sse double")
     d = latest(rows, ["start"], names)
@@ -97,7 +93,7 @@ SELECT run, round(ema, 7) AS ema, n AS rows FROM e WHERE k = n""")
 def _(t):
     d = events(t).select(F.col("user_id").alias("run"), "event_id", "value", "chunk")
     out = scratch(t.spark, "ema")
-    run_available(keyed.stream_ema(as_stream(d, "losses"), "run", "event_id", "value"), write_batches(f"{out}/rows"), f"{out}/checkpoint", "update")
+    arrive({"losses": d}, lambda losses: keyed.stream_ema(losses, "run", "event_id", "value"), out, "update")
     rows = stored(t.spark, f"{out}/rows", "run bigint, ema double, rows bigint")
     return latest(rows, ["run"], ["ema", "rows"]).select("run", *rr("ema", digits=7), "rows")
 
@@ -109,8 +105,7 @@ def _(t):
     s = t.era_scores().where(F.col("corr").isNotNull())
     d = s.select(F.concat("arm", F.lit("_s"), F.col("seed").cast("string")).alias("model"), "era", "corr", F.least(F.lit(CHUNKS - 1), F.floor(F.col("era") / 27)).cast("int").alias("chunk"))
     out = scratch(t.spark, "drawdown")
-    m = keyed.stream_drawdown_monitor(as_stream(d, "scores"), "model", "era", "corr", 0.2)
-    run_available(m, write_batches(f"{out}/rows"), f"{out}/checkpoint", "append")
+    arrive({"scores": d}, lambda scores: keyed.stream_drawdown_monitor(scores, "model", "era", "corr", 0.2), out)
     rows = stored(t.spark, f"{out}/rows", "model string, era int, cumulative double, peak double, drawdown double, alert boolean, rejected boolean")
     return rows.select("model", "era", *rr("cumulative", "peak", "drawdown"), "alert", "rejected")
 
@@ -123,8 +118,7 @@ def _(t):
     li = t.table("lineitem").select(F.expr(SHIP).alias("round"), "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("timestamp").alias("ts"))
     d = li.withColumn("chunk", F.least(F.lit(CHUNKS - 1), F.greatest(F.lit(0), F.floor(F.col("round") / 27))).cast("int"))
     out = scratch(t.spark, "dedup")
-    s = rounds.dedup_ids(as_stream(d, "lines"), ["round", "l_orderkey", "l_linenumber"], "ts", "60 days")
-    run_available(s.select("round"), write_batches(f"{out}/rows"), f"{out}/checkpoint")
+    arrive({"lines": d}, lambda lines: rounds.dedup_ids(lines, ["round", "l_orderkey", "l_linenumber"], "ts", "60 days").select("round"), out)
     kept = stored(t.spark, f"{out}/rows", "round int").groupBy("round").agg(F.count(F.lit(1)).alias("kept"))
     every = li.groupBy("round").agg(F.count(F.lit(1)).alias("n"))
     return every.join(kept, "round", "left").select("round", "kept", (F.col("n") - F.coalesce("kept", F.lit(0))).alias("duplicates"))
@@ -135,5 +129,5 @@ def _(t):
 def _(t):
     d = events(t).select("round", "event_id", "chunk")
     out = scratch(t.spark, "constancy")
-    run_available(as_stream(d, "constancy-in"), write_batches(f"{out}/rows", rounds.round_constancy()), f"{out}/checkpoint")
+    arrive({"live": d}, lambda live: live, out, transform=rounds.round_constancy())
     return stored(t.spark, f"{out}/rows", "first_round int, last_round int, rows bigint, constant boolean").select("batch_id", "first_round", "last_round", "rows", "constant")

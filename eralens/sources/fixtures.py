@@ -143,6 +143,10 @@ class Tables:
         )
 
     def cells(self) -> DataFrame:
+        """The score table, stored once per application."""
+        return self._once("cells", lambda: cut_lineage(self.build_cells(), "cells"))
+
+    def build_cells(self) -> DataFrame:
         """Score cells from line items: a supplier is a config, its lines are runs."""
         return (
             self.table("lineitem")

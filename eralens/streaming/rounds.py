@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eralens.functions.checks import together, violation
 from eralens.functions.exprs import on_grid, finite
-from eralens.functions.ranking import with_rank
+from eralens.functions.ranking import AUTO, resolve, with_rank
 
 ROUND_CHECKS = "kind string, key string, detail string"
 
@@ -29,15 +29,15 @@ def round_violations(rounds: DataFrame, models: list[str], benchmark: str, key:
 def score_whole_rounds(rounds: DataFrame, models: list[str], benchmark: str, weight: float, key: str = "id",
                        round_key: str = "round") -> DataFrame:
     """Rank every model within the round, average, blend with the benchmark rank, re-rank."""
-    d = rounds
+    d, split = rounds, resolve(rounds, [round_key], AUTO)
     for i, m in enumerate([*models, benchmark]):
-        d = with_rank(d, [round_key], m, f"__r{i}")
+        d = with_rank(d, [round_key], m, f"__r{i}", plan=split)
     mean = F.col("__r0")
     for i in range(1, len(models)):
         mean = mean + F.col(f"__r{i}")
     mix = F.lit(weight) * mean / F.lit(float(len(models))) + F.lit(1.0 - weight) * F.col(f"__r{len(models)}")
     d = d.withColumn("__mix", on_grid(mix, 12))
-    return with_rank(d, [round_key], "__mix", "prediction").select(round_key, key, "prediction")
+    return with_rank(d, [round_key], "__mix", "prediction", plan=split).select(round_key, key, "prediction")
 
 
 def score_rounds(stream: DataFrame, out: str, checkpoint: str, models: list[str], benchmark: str, weight: float = 0.5,
@@ -54,26 +54,29 @@ def score_rounds(stream: DataFrame, out: str, checkpoint: str, models: list[str]
     row_schema = ", ".join(f"{c} {kind[c]}" for c in stream.columns)
     score_schema = f"{round_key} {kind[round_key]}, {key} {kind[key]}, prediction double"
 
-    def settle(batch_id: int, until) -> None:
-        staged = _read(spark, staging, row_schema).where(F.col("batch_id") <= batch_id)
-        done = _read(spark, scores, score_schema).where(F.col("batch_id") < batch_id).select(round_key).distinct()
+    def settle(own: int, upto: int, until) -> None:
+        """Score the staged rounds before ``until`` that no other folder holds."""
+        staged = _read(spark, staging, row_schema).where(F.col("batch_id") <= upto)
+        earlier = (F.col("batch_id") < upto) & (F.col("batch_id") != own)
+        done = _read(spark, scores, score_schema).where(earlier).select(round_key).distinct()
         ready = staged.join(done, round_key, "left_anti").drop("batch_id")
         if until is not None:
             ready = ready.where(F.col(round_key) < F.lit(until))
         checks = round_violations(ready, models, benchmark, key, round_key)
-        checks.write.mode("overwrite").parquet(f"{bad}/batch_id={batch_id}")
-        score_whole_rounds(ready, models, benchmark, weight, key, round_key).write.mode("overwrite").parquet(f"{scores}/batch_id={batch_id}")
+        checks.write.mode("overwrite").parquet(f"{bad}/batch_id={own}")
+        score_whole_rounds(ready, models, benchmark, weight, key, round_key).write.mode("overwrite").parquet(f"{scores}/batch_id={own}")
 
     def body(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{staging}/batch_id={batch_id}")
         newest = _read(spark, staging, row_schema).where(F.col("batch_id") <= batch_id).agg(F.max(round_key)).first()[0]
-        settle(batch_id, newest)
+        settle(batch_id, batch_id, newest)
 
     run_available(stream, body, checkpoint)
     if finish:
+        # the open round, in a folder of its own (negative) that later batches respect
         last = _read(spark, staging, row_schema).agg(F.max("batch_id")).first()[0]
         if last is not None:
-            settle(last + 1, None)
+            settle(-1 - last, last + 1, None)
     return scores, bad
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from eralens.session import scratch
 
 
-def file_stream(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> DataFrame:
-    """Files of a growing folder, a bounded number per micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema, per_trigger: int | None = None) -> DataFrame:
+    """Files of a growing folder; ``per_trigger`` bounds the files of a micro-batch."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(path)
 
 
 def write_batches(out: str, transform: Callable[[DataFrame, int], DataFrame] | None = None):
@@ -46,15 +47,11 @@ def latest(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(packed).select(*keys, "v.*")
 
 
-def arrivals(df: DataFrame, name: str, chunk: str, chunks: int) -> str:
-    """Writes a frame as files that arrive one after another (tests, queries): rows with
-    chunk value c land in file c."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    kept = df.persist()
-    try:
-        for c in range(chunks):
-            kept.where(F.col(chunk) == c).drop(chunk).coalesce(1).write.mode("append").parquet(path)
-    finally:
-        kept.unpersist()
-    return path
+def replay(sources: dict[str, DataFrame], chunk: str, chunks: int, start: Callable[[dict[str, DataFrame], bool], None]) -> None:
+    """Lets frames arrive in ``chunks`` steps (rows with chunk value c in step c) and calls
+    ``start(streams, last)`` after each; every call resumes from its checkpoint."""
+    paths = {name: scratch(df.sparkSession, name) for name, df in sources.items()}
+    for c in range(chunks):
+        for name, df in sources.items():
+            df.where(F.col(chunk) == c).drop(chunk).write.mode("append").parquet(paths[name])
+        start({name: file_stream(df.sparkSession, paths[name], df.drop(chunk).schema) for name, df in sources.items()}, c == chunks - 1)

@@ -9,7 +9,7 @@ from eralens.functions import lowrank
 from eralens.operators import models, vectors
 from eralens.session import scratch
 from eralens.streaming import keyed, rounds
-from eralens.streaming.sink import arrivals, file_stream, latest, run_available, stored, write_batches
+from eralens.streaming.sink import latest, replay, run_available, stored, write_batches
 
 DIM = 12
 
@@ -204,9 +204,8 @@ def test_batches(spark):
 
 # ---- streaming ----------------------------------------------------------------------------
 
-def stream(df, chunks):
-    path = arrivals(df, "in", "chunk", chunks)
-    return file_stream(df.sparkSession, path, df.drop("chunk").schema)
+def arrive(df, chunks, build, out, mode="append"):
+    replay({"live": df}, "chunk", chunks, lambda s, _: run_available(build(s["live"]), write_batches(f"{out}/rows"), f"{out}/cp", mode))
 
 
 def test_keyed_fold_resumes_and_rejects_old_rows(spark):
@@ -215,7 +214,7 @@ def test_keyed_fold_resumes_and_rejects_old_rows(spark):
     data = [(0, i, v.tolist(), i // 30) for i, v in enumerate(x)] + [(0, 3, [9.0] * 4, 2)]      # a late repeat
     df = spark.createDataFrame(data, "grp int, seq long, vec array<double>, chunk int")
     out = scratch(spark, "fold")
-    run_available(keyed.stream_lowrank_cov(stream(df, 3), "grp", "seq", "vec", 4, 0.9), write_batches(f"{out}/rows"), f"{out}/cp", "update")
+    arrive(df, 3, lambda s: keyed.stream_lowrank_cov(s, "grp", "seq", "vec", 4, 0.9), out, "update")
     got = latest(stored(spark, f"{out}/rows", "grp int, rows bigint, eigenvalues array<double>"), ["grp"], ["rows", "eigenvalues"]).first()
     _, cov = dense_fold(x, 0.9)
     assert got["rows"] == 90 and np.allclose(got["eigenvalues"], np.sort(np.linalg.eigvalsh(cov))[::-1], atol=1e-10)
@@ -225,7 +224,7 @@ def test_ema_with_a_hot_key(spark):
     x = np.random.default_rng(5).random(6000)
     df = spark.createDataFrame([(1, i, float(v), i // 3000) for i, v in enumerate(x)], "run int, seq long, loss double, chunk int")
     out = scratch(spark, "ema")
-    run_available(keyed.stream_ema(stream(df, 2), "run", "seq", "loss", 0.9), write_batches(f"{out}/rows"), f"{out}/cp", "update")
+    arrive(df, 2, lambda s: keyed.stream_ema(s, "run", "seq", "loss", 0.9), out, "update")
     got = latest(stored(spark, f"{out}/rows", "run int, ema double, rows bigint"), ["run"], ["ema", "rows"]).first()
     assert got["rows"] == 6000 and got["ema"] == pytest.approx(pd.Series(x).ewm(alpha=0.1, adjust=False).mean().iloc[-1], rel=1e-12)
 
@@ -234,7 +233,8 @@ def test_a_round_split_over_batches_is_scored_once_and_whole(spark):
     data = [(r, 10 * r + i, float(i), float(-i), 0 if r == 0 else min(2, r - 1 + (i > 4))) for r in range(3) for i in range(10)]
     df = spark.createDataFrame(data, "round int, id long, m1 double, bench double, chunk int")
     out = scratch(spark, "rounds")
-    scores, bad = rounds.score_rounds(stream(df, 3), out, f"{out}/cp", ["m1"], "bench", 1.0)
+    replay({"live": df}, "chunk", 3, lambda s, last: rounds.score_rounds(s["live"], out, f"{out}/cp", ["m1"], "bench", 1.0, finish=last))
+    scores, bad = f"{out}/scores", f"{out}/violations"
     got = stored(spark, scores, "round int, id bigint, prediction double").toPandas().sort_values("id")
     assert len(got) == 30 and np.allclose(got["prediction"], np.tile((np.arange(10) + 0.5) / 10, 3))
     assert stored(spark, bad, rounds.ROUND_CHECKS).count() == 0
@@ -249,8 +249,26 @@ def test_round_violations(rows):
 def test_drawdown_monitor_rejects_late_eras(spark):
     df = spark.createDataFrame([("m", 1, 0.1, 0), ("m", 2, -0.3, 0), ("m", 3, 0.2, 1), ("m", 2, 0.9, 1)], "model string, era int, corr double, chunk int")
     out = scratch(spark, "dd")
-    run_available(keyed.stream_drawdown_monitor(stream(df, 2), "model", "era", "corr", 0.25), write_batches(f"{out}/rows"), f"{out}/cp")
+    arrive(df, 2, lambda s: keyed.stream_drawdown_monitor(s, "model", "era", "corr", 0.25), out)
     rows_ = stored(spark, f"{out}/rows", "model string, era int, cumulative double, peak double, drawdown double, alert boolean, rejected boolean").toPandas()
     ok = rows_[~rows_["rejected"]].sort_values("era")
     assert ok["drawdown"].tolist() == pytest.approx([0.0, 0.3, 0.1]) and ok["alert"].tolist() == [False, True, False]
     assert rows_["rejected"].sum() == 1
+
+
+def test_feature_exposure(panel, spark):
+    x, y, df = panel
+    got = vectors.feature_exposure(df.withColumn("model", F.lit("m")).withColumnRenamed("target", "prediction"), ["model"], 6).first()
+    era = np.arange(240) % 6
+    c = np.array([[np.corrcoef(x[era == e, f], y[era == e])[0, 1] for f in range(6)] for e in range(6)])
+    assert got["max_exposure"] == pytest.approx(np.abs(c.mean(axis=0)).max()) and got["features"] == 6
+
+
+def test_a_later_round_after_finishing(spark):
+    """Finishing scores the open round; a new one afterwards does not touch it."""
+    data = [(r, 10 * r + i, float(i), float(-i), r) for r in range(3) for i in range(4)]
+    df = spark.createDataFrame(data, "round int, id long, m1 double, bench double, chunk int")
+    out = scratch(spark, "rounds")
+    replay({"live": df}, "chunk", 3, lambda s, _: rounds.score_rounds(s["live"], out, f"{out}/cp", ["m1"], "bench", 1.0))
+    got = stored(spark, f"{out}/scores", "round int, id bigint, prediction double").toPandas()
+    assert sorted(got["id"]) == [10 * r + i for r in range(3) for i in range(4)]
