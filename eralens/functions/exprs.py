@@ -98,10 +98,12 @@ def moments_corr(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sx
 
 
 def on_grid(x: Column, digits: int) -> Column:
-    """Nearest multiple of 10^-digits in floating point; F.round would go through
-    BigDecimal for every row."""
+    """Nearest multiple of 10^-digits, halves away from zero, in floating point; F.round
+    would go through BigDecimal for every row."""
     scale = F.lit(10.0 ** digits)
-    return F.rint(x * scale) / scale
+    size = F.abs(x * scale)
+    whole = F.rint(size)                        # halves to even: one more if it went down
+    return F.signum(x) * (whole + F.when(size - whole == 0.5, 1.0).otherwise(0.0)) / scale
 
 
 def rounded(x: Column, digits: int = 8) -> Column:

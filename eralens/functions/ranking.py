@@ -36,19 +36,20 @@ class Split:
     sample: int = 16          # one key in `sample` may become a cut point
 
 
+DEFAULT_SPLIT = Split()
 AUTO = "auto"
 Plan = Split | None | str     # None: window per group; AUTO: count, then choose
 SINGLE = "__single"
 
 
-def plan_groups(df: DataFrame, keys: Sequence[str], bound: int = MAX_GROUP_ROWS) -> Split | None:
+def plan_groups(df: DataFrame, keys: Sequence[str], bound: int | None = None) -> Split | None:
     """None if no group of ``keys`` exceeds ``bound`` rows, else a Split."""
     largest = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
         if keys
         else df.agg(F.count(F.lit(1)).alias("n"))
     ).first()["n"]
-    return None if (largest or 0) <= bound else Split()
+    return None if (largest or 0) <= (MAX_GROUP_ROWS if bound is None else bound) else DEFAULT_SPLIT
 
 
 def resolve(df: DataFrame, keys: Sequence[str], plan: Plan) -> Split | None:

@@ -187,10 +187,10 @@ RES = " + ".join(f"features[{f + 1}]/4e0*({w}e0)" for f, w in enumerate(W0))
 
 
 @query("era_gradients", with_(PANEL + f", g AS (SELECT era, ({RES}) - target AS res, unnest(features)/4e0 AS x, unnest(range(len(features))) AS feature FROM panel WHERE target IS NOT NULL)",
-    "SELECT era, CAST(feature AS INT) AS feature, round(2e0*sum(res*x)/count(*), 8) + 0e0 AS gradient FROM g GROUP BY 1, 2"))
+    "SELECT era, CAST(feature AS INT) AS feature, round(2e0*sum(res*x)/count(*), 12) + 0e0 AS gradient FROM g GROUP BY 1, 2"))
 def _(t):
     d = t.panel().where(F.col("target").isNotNull())
-    return models.era_gradients(d, np.array(W0)).select("era", "feature", *rr("gradient"))
+    return models.era_gradients(d, np.array(W0)).select("era", "feature", *rr("gradient", digits=12))
 
 
 MODES = ("none", "consensus", "sign", "random", "lowrank_top", "lowrank_remove", "lowrank_remove_renorm")
