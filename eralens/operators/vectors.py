@@ -356,8 +356,10 @@ def feature_exposure(df: DataFrame, keys: Sequence[str], dim: int, features: str
     per = s.where(F.col("pos") >= 3).groupBy("__g", F.pmod(at, F.lit(dim)).alias("feature")).agg(
         *[F.max(F.when(F.floor(at / dim) == i, F.col("v"))).alias(n) for i, n in enumerate(("sx", "sxx", "sxy"))])
     c = moments_corr(*[F.col(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-    names = d.select(*keys, "__g").distinct()
-    means = per.join(wide, "__g").select("__g", "feature", c.alias("c")).join(names, "__g").groupBy(*keys, "feature").agg(F.avg("c").alias("exposure"))
+    kinds = dict(df.dtypes)
+    named = per.join(wide, "__g").select(
+        F.from_json("__g", ", ".join(f"{k} {kinds[k]}" for k in (*keys, era))).alias("__k"), "feature", c.alias("c"))
+    means = named.select("__k.*", "feature", "c").groupBy(*keys, "feature").agg(F.avg("c").alias("exposure"))
     return means.groupBy(*keys).agg(F.max(F.abs(F.col("exposure"))).alias("max_exposure"), F.count("exposure").alias("features"))
 
 
