@@ -10,8 +10,8 @@ among pieces of the same size, which is counted in salted groups."""
 from __future__ import annotations
 
 import re
+import struct
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,41 +27,47 @@ CACHED_WORDS = 1_000_000      # per Python worker
 ROWS_PER_GROUP = 100_000      # pieces ranked in one group
 
 
-class WordTokenizer:
-    """Ids of a tokenizer whose words never cross white space, remembered word by word.
+class WordTokenizer(dict):
+    """Ids (packed, 32 bits) of a tokenizer whose words never cross white space, by word.
 
-    Texts made of printable ASCII and Latin letters take that way: such a tokenizer drops
-    white space first, so a text's ids are those of its words in a row. Any other text, and
-    one that may spell a special token, is encoded as a whole."""
+    Such a tokenizer drops white space and lowers case first, so a text's ids are those of
+    its words in a row, and a word's are those of its pieces (letters, single digits, marks)
+    in lower case. Texts of printable ASCII and Latin letters take that way; any other text,
+    and one that may spell a special token, is encoded as a whole."""
 
-    PLAIN = re.compile("[^\t\n\r -~¡-ɏ]|<\\|")
+    PLAIN = re.compile("[^\t\n\r -~¡-ſ]|<\\|")
+    LETTERS = "".join(chr(c) for c in range(0xA1, 0x180) if chr(c).isalpha())
+    PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9²³¹¼½¾]|[^\sa-z{LETTERS}0-9²³¹¼½¾]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        for at in range(0, len(words), 4096):
-            some = words[at:at + 4096]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, some: list[str]) -> Iterator[bytes]:
-        plain = [not self.PLAIN.search(t) for t in some]
-        split = [t.split() if p else [] for t, p in zip(some, plain)]
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if new:
-            self.learn(list(new | {w for words in split for w in words}) if len(known) > CACHED_WORDS else list(new))
-        for text, ok, words in zip(some, plain, split):
-            yield b"".join([known[w] for w in words]) if ok else self.whole(text)
+    def piece(self, p: str) -> bytes:
+        if not p.isascii():
+            return self.whole(p)
+        ids = [t.id for t in self.tokenizer.model.tokenize(p)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+            self.pieces.clear()
+        out = b""
+        for p in self.PIECE.findall(word.lower()):
+            if p not in self.pieces:
+                self.pieces[p] = self.piece(p)
+            out += self.pieces[p]
+        self[word] = out
+        return out
+
+    def encode(self, text: str) -> bytes:
+        return self.whole(text) if self.PLAIN.search(text) else b"".join(map(self.__getitem__, text.split()))
 
 
 TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -86,8 +92,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 rows, ids = [], []
-                for k, raw in enumerate(tokenizer.encode(texts(part.column(1)))):
-                    raw += end
+                for k, text in enumerate(texts(part.column(1))):
+                    raw = tokenizer.encode(text) + end
                     for piece, b in enumerate(range(0, len(raw), step)):
                         own = raw[b:b + step]
                         rows.append((k, piece, b // 4, len(own) // 4, zlib.crc32(own)))
