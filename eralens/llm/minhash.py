@@ -24,6 +24,7 @@ BANDS, ROWS = 20, 3          # 30 permutations
 PERMUTATIONS = 64             # drawn; more than any banding here uses
 THRESHOLD = 80             # 100 * intersection >= THRESHOLD * union
 KNOWN_WORDS = 1_000_000
+BLOCK_SHINGLES = 1 << 16     # of the sets in a block
 ODD = np.random.default_rng(7).integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = np.random.default_rng(8).integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 
@@ -134,56 +135,100 @@ def jaccard(pairs: DataFrame, held: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(run, f"a {kind}, b {kind}, both bigint, either bigint")
 
 
-def similar_sizes(a, b):
-    """Sets whose sizes alone rule out the threshold are not compared."""
-    return (F.least(a, b) * 100) >= (F.greatest(a, b) * THRESHOLD)
+def block_links(x: list[np.ndarray], y: list[np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all linked pairs of two blocks of sets. Shingles that only one set has
+    add nothing to an intersection and are left out; the others are columns of 0 and 1,
+    multiplied some thousands at a time."""
+    row = lambda sets: np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    fx, fy = np.concatenate(x), np.concatenate(y)
+    if same:
+        value, times = np.unique(fx, return_counts=True)
+        shared = value[times > 1]
+    else:
+        shared = np.intersect1d(fx, fy)
+    both = np.zeros((len(x), len(y)), np.float32)
+    if len(shared):
+        place = lambda flat: np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
+        px, py, rx, ry = place(fx), place(fy), row(x), row(y)
+        kx, ky = shared[px] == fx, shared[py] == fy
+        px, rx, py, ry = px[kx], rx[kx], py[ky], ry[ky]
+        for at in range(0, len(shared), 4096):
+            width = min(4096, len(shared) - at)
+            mx, my = np.zeros((len(x), width), np.float32), np.zeros((len(y), width), np.float32)
+            ix, iy = (px >= at) & (px < at + width), (py >= at) & (py < at + width)
+            mx[rx[ix], px[ix] - at] = 1
+            my[ry[iy], py[iy] - at] = 1
+            both += mx @ my.T
+    both = both.astype(np.int64)
+    if same:
+        np.fill_diagonal(both, 0)
+    either = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :] - both
+    return np.nonzero((both > 0) & (both * 100 >= either * THRESHOLD))
+
+
+def compared(blocks_: DataFrame, kind: str) -> DataFrame:
+    """Links ``a, b`` within and between blocks of a group whose sizes allow them.
+    ``blocks_``: ``part, crowd, bin, docs, sets``. A block pair gives a tree of its links."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                one, two = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                x, y = ([np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column(c)[k].values] for c in (3, 5))
+                i, j = block_links(x, y, one == two)
+                if not len(i):
+                    continue
+                up = list(range(len(x) + (0 if one == two else len(y))))
+
+                def root(v):
+                    while up[v] != v:
+                        up[v] = up[up[v]]
+                        v = up[v]
+                    return v
+
+                a, b = [], []
+                for p, q in zip(i.tolist(), (j if one == two else j + len(x)).tolist()):
+                    if root(p) != root(q):
+                        up[root(q)] = root(p)
+                        a.append(p), b.append(q)
+                docs = batch.column(2)[k].values
+                docs = docs if one == two else pa.concat_arrays([docs, batch.column(4)[k].values])
+                yield pa.RecordBatch.from_arrays([docs.take(pa.array(a)), docs.take(pa.array(b))], names=["a", "b"])
+
+    head = blocks_.select("part", "crowd", "bin")
+    near = head.toDF("one", "crowd", "x").join(head.toDF("two", "crowd", "y"), "crowd").where((F.col("one") <= F.col("two")) & (F.abs(F.col("x") - F.col("y")) <= 2)).select("one", "two")
+    load = lambda side, n: blocks_.select(F.col("part").alias(side), F.col("docs").alias(f"docs_{n}"), F.col("sets").alias(f"sets_{n}"))
+    return near.join(load("two", "y"), "two").join(load("one", "x"), "one").select("one", "two", "docs_x", "sets_x", "docs_y", "sets_y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def linked(classes: DataFrame, held_sets, name: str) -> DataFrame:
     """Components of the link graph of classes: ``node, component`` for those with a link.
 
     ``classes``: ``doc, n_shingles, bands``. ``held_sets(ids)``: ``doc, shingles`` of these."""
+    kind = classes.schema["doc"].dataType.simpleString()
     entry = classes.select("doc", "n_shingles", F.explode("bands").alias("key"))
     lead = entry.groupBy("key").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     bucket = stage(entry.join(lead, "key"), f"{name}-buckets")          # key, doc, n_shingles, first
     held = stage(held_sets(bucket.select("doc").distinct()), f"{name}-sets")
     # 1. with the first of each bucket; a pair that several buckets share counts once
     star = bucket.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()
-    done = stage(jaccard(star, held), f"{name}-first")
-    is_link = F.col("both") * 100 >= F.col("either") * THRESHOLD
-    links = done.where(is_link).select("a", "b")
-    # 2. Rounds among those apart: each bucket's components, and what the distances allow.
-    tried = done.select("a", "b")
-    for step in range(64):
-        comp = components(links, name)
-        far = F.lit(1.0) - F.col("both") / F.col("either")
-        placed = (bucket.join(done.select(F.col("a").alias("first"), F.col("b").alias("doc"), far.alias("far")), ["first", "doc"], "left").fillna(0.0, ["far"])
-                  .join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc")))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        placed = stage(placed.join(mixed, "key"), f"{name}-apart")
-        if placed.isEmpty():
-            return comp
-        # Whatever is outside a bucket's largest component, against members of the others
-        # whose distance from the bucket's first differs by the limit at most. The first
-        # time, a component's first member in each range of distances stands for it.
-        limit = 1 - THRESHOLD / 100
-        largest = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-        cell = F.floor(F.col("far") / limit).cast("int")
-        one = placed.join(largest, "key").where("component <> main").select("key", F.col("doc").alias("x"), F.col("n_shingles").alias("nx"), F.col("far").alias("fx"), F.col("component").alias("cx"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-        other = placed.select("key", F.col("doc").alias("y"), F.col("n_shingles").alias("ny"), F.col("far").alias("fy"), F.col("component").alias("cy"), cell.alias("cell"))
-        if step == 0:
-            other = other.groupBy("key", "cell", "cy").agg(F.min_by(F.struct("y", "ny", "fy"), "y").alias("s")).select("key", "cell", "cy", "s.*")
-        near = one.join(other, ["key", "cell"]).where((F.col("cx") != F.col("cy")) & (F.abs(F.col("fx") - F.col("fy")) <= limit + 1e-9) & similar_sizes(F.col("nx"), F.col("ny")))
-        more = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        found = stage(jaccard(more, held), f"{name}-more")
-        new = found.where(is_link).select("a", "b")
-        fresh = not new.isEmpty()
-        tried = tried.unionByName(found.select("a", "b"))
-        if fresh:
-            links = comp.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(new)
-        if not fresh and step:
-            return comp
-    raise RuntimeError("links did not settle")
+    links = stage(jaccard(star, held).where(F.col("both") * 100 >= F.col("either") * THRESHOLD).select("a", "b"), f"{name}-first")
+    comp = components(links, name)
+    # 2. buckets that still hold several components; what they tie together is a crowd
+    placed = bucket.join(comp.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    apart = stage(placed.join(mixed, "key").select("doc", "n_shingles", "first").distinct(), f"{name}-apart")
+    if apart.isEmpty():
+        return comp
+    crowd = components(apart.select(F.col("first").alias("a"), F.col("doc").alias("b")), name).select(F.col("node").alias("doc"), F.col("component").alias("crowd"))
+    # Blocks of one crowd and range of sizes; sets more than two ranges apart cannot link.
+    sized = apart.select("doc", "n_shingles").distinct().join(crowd, "doc").withColumn("bin", F.floor(F.log("n_shingles") / F.log(F.lit(1.125))).cast("int"))
+    parts = sized.groupBy("crowd", "bin").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).alias("parts"))
+    cut = sized.join(parts, ["crowd", "bin"]).withColumn("part", F.xxhash64("crowd", "bin", F.pmod(F.xxhash64("doc"), F.col("parts"))))
+    packed = stage(cut.join(held, "doc").groupBy("part", "crowd", "bin").agg(F.collect_list(F.struct("doc", "shingles")).alias("own"))
+                   .select("part", "crowd", "bin", F.col("own.doc").alias("docs"), F.col("own.shingles").alias("sets")), f"{name}-blocks")
+    more = compared(packed, kind)
+    return components(stage(links.unionByName(more), f"{name}-links"), name)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, name: str = "near") -> DataFrame:
