@@ -67,15 +67,19 @@ def min_max(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> np.
     all sets and gives both its minimum and its maximum; minima fill the first bands and
     maxima the last, so a band seldom holds both of one permutation. Keys depend on the
     band's number, so that bands never mix."""
-    flat = np.concatenate(sets)
-    starts = np.concatenate(([0], np.cumsum([len(s) for s in sets])[:-1]))
+    return banded(np.concatenate(sets), np.array([len(s) for s in sets]), bands, rows)
+
+
+def banded(flat: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The same for sets in a row, of these sizes."""
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     half = -(-bands * rows // 2)
-    values = np.empty((len(sets), 2 * half), np.uint64)
+    values = np.empty((len(sizes), 2 * half), np.uint64)
     for k in range(half):
         h = mix(flat * ODD[k] + ADD[k])
         values[:, k], values[:, half + k] = np.minimum.reduceat(h, starts), np.maximum.reduceat(h, starts)
-    values = values[:, : bands * rows].reshape(len(sets), bands, rows)
-    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(sets), bands))
+    values = values[:, : bands * rows].reshape(len(sizes), bands, rows)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(sizes), bands))
     for r in range(rows):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, :, r])
     return key
