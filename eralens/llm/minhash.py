@@ -23,7 +23,7 @@ WORDS = 4
 BANDS, ROWS = 20, 3          # 30 permutations
 PERMUTATIONS = 64             # drawn; more than any banding here uses
 THRESHOLD = 80             # 100 * intersection >= THRESHOLD * union
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 500_000
 BLOCK_SHINGLES = 1 << 16     # of the sets in a block
 ODD = np.random.default_rng(7).integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = np.random.default_rng(8).integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -249,5 +249,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comp = linked(classes, lambda ids: sets(rows.join(ids, "doc", "left_semi"), words).dropDuplicates(["doc"]), name)
     # an id that is repeated with another text joins the classes of all its texts
     label = same.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
-    out = signed.join(label, "set_hash", "left").select(F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("component", "doc").alias("component_id"))
+    out = signed.withColumn("set_hash", F.when(F.col("doc").isNotNull(), F.col("set_hash"))).join(label, "set_hash", "left").select(F.col("doc").alias("doc_id"), "n_shingles", F.coalesce("component", "doc").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
