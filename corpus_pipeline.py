@@ -17,10 +17,12 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays, once."""
+    """Of each group of near-duplicates the document with the smallest id stays, once.
+    Documents without an id are no one's duplicates."""
     seen = minhash.deduplicate(docs)
     gone = stage(seen.where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    known = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return known.dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null"))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
