@@ -57,7 +57,7 @@ def _(t):
 p AS (SELECT seed, d + base AS x, base AS y, row_number() OVER (PARTITION BY seed ORDER BY era) - 1 AS pos, count(*) OVER (PARTITION BY seed) AS n FROM diff),
 h AS (SELECT DISTINCT seed, n FROM p),
 dr AS (SELECT seed, n, sample, {hu(f"'{SEED}:' || seed || ':' || sample || ':' || block")} % n AS start, least({L}, n - block*{L}) AS take FROM h
- CROSS JOIN (SELECT unnest(range(2000)) AS sample) s, LATERAL (SELECT unnest(range(CAST(ceil(n/{L}.0) AS BIGINT))) AS block) b),
+ CROSS JOIN (SELECT unnest(range(10000)) AS sample) s, LATERAL (SELECT unnest(range(CAST(ceil(n/{L}.0) AS BIGINT))) AS block) b),
 ix AS (SELECT seed, n, sample, start, unnest(range(take)) AS off FROM dr),
 bm AS (SELECT seed, sample, avg(x)/stddev_samp(x) - avg(y)/stddev_samp(y) AS dd FROM (SELECT seed, n, sample, (start + off) % n AS pos FROM ix) JOIN p USING (seed, n, pos) GROUP BY seed, sample),
 ci AS (SELECT seed, quantile_cont(dd, 0.025) AS ci_low, quantile_cont(dd, 0.975) AS ci_high FROM bm GROUP BY seed),
@@ -65,14 +65,14 @@ pt AS (SELECT seed, avg(d+base)/stddev_samp(d+base) AS sa, avg(base)/stddev_samp
     "SELECT seed, round(sa, 7) AS sharpe_a, round(sb, 7) AS sharpe_b, round(sa - sb, 7) + 0e0 AS difference, round(ci_low, 7) + 0e0 AS ci_low, round(ci_high, 7) + 0e0 AS ci_high FROM pt JOIN ci USING (seed)"))
 def _(t):
     d = paired(t).withColumn("a", F.col("difference") + F.col("base"))
-    got = inference.block_bootstrap_sharpe(d, ["seed"], "a", "base", L, 2000, SEED)
+    got = inference.block_bootstrap_sharpe(d, ["seed"], "a", "base", L, 10_000, SEED)
     return got.select("seed", *[rounded(F.col(c), 7).alias(c) for c in ("sharpe_a", "sharpe_b", "difference", "ci_low", "ci_high")])
 
 
 PAIRS = ES + """,
 long AS (SELECT arm || '_s' || seed AS model, era, metric, v FROM (SELECT arm, seed, era, 'corr' AS metric, corr AS v FROM era_scores UNION ALL SELECT arm, seed, era, 'bmc', bmc FROM era_scores) WHERE v IS NOT NULL),
 pairs AS (SELECT a.model || '-' || b.model AS pair, a.metric, a.era, a.v - b.v AS d FROM long a JOIN long b ON a.era = b.era AND a.metric = b.metric AND a.model < b.model)"""
-SHARED = PAIRS + "," + boot_sql("pairs", "pair, metric", "d", f"'{SEED}:sample:' || sample || ':' || block", 1000)
+SHARED = PAIRS + "," + boot_sql("pairs", "pair, metric", "d", f"'{SEED}:sample:' || sample || ':' || block", 10_000)
 
 
 def named_pairs(t):
@@ -88,13 +88,13 @@ def named_pairs(t):
 @query("shared_resamples", with_(SHARED, f"SELECT pair, metric, {ROUNDED}, eras FROM bt_ci"))
 def _(t):
     d = inference.model_pairs(t.era_scores(), ["arm", "seed"], ["corr", "bmc"], named_pairs(t))
-    got = inference.block_bootstrap_mean(d, ["pair", "metric"], "difference", L, 1000, SEED, shared=True)
+    got = inference.block_bootstrap_mean(d, ["pair", "metric"], "difference", L, 10_000, SEED, shared=True)
     return got.select("pair", "metric", *r("estimate", "ci_low", "ci_high"), "eras")
 
 
 @query("pair_matrix", with_(SHARED, f"SELECT pair, metric, {ROUNDED}, {VERDICT.format(t='0.005e0')} AS category FROM bt_ci"))
 def _(t):
-    got = inference.pair_matrix(t.era_scores(), ["arm", "seed"], ["corr", "bmc"], named_pairs(t), 0.005, L, 1000)
+    got = inference.pair_matrix(t.era_scores(), ["arm", "seed"], ["corr", "bmc"], named_pairs(t), 0.005, L, 10_000)
     return got.select("pair", "metric", *r("estimate", "ci_low", "ci_high"), "category")
 
 
@@ -103,14 +103,14 @@ q AS (SELECT seed, quantile_cont(base, 0.25) AS q1, quantile_cont(base, 0.5) AS
 b AS (SELECT d.*, CAST(base >= q1 AS INT) + CAST(base >= q2 AS INT) + CAST(base >= q3 AS INT) AS bucket FROM diff d JOIN q USING (seed)),
 p AS (SELECT seed, bucket, d AS x, row_number() OVER (PARTITION BY seed, bucket ORDER BY era) - 1 AS pos, count(*) OVER (PARTITION BY seed, bucket) AS n FROM b),
 h AS (SELECT DISTINCT seed, bucket, n FROM p),
-dr AS (SELECT seed, bucket, n, sample, {hu(f"'{SEED}:' || seed || ':' || bucket || ':' || sample || ':' || draw")} % n AS pos FROM h CROSS JOIN (SELECT unnest(range(2000)) AS sample) s, LATERAL (SELECT unnest(range(n)) AS draw) g),
+dr AS (SELECT seed, bucket, n, sample, {hu(f"'{SEED}:' || seed || ':' || bucket || ':' || sample || ':' || draw")} % n AS pos FROM h CROSS JOIN (SELECT unnest(range(10000)) AS sample) s, LATERAL (SELECT unnest(range(n)) AS draw) g),
 bm AS (SELECT seed, bucket, sample, avg(x) AS m FROM dr JOIN p USING (seed, bucket, n, pos) GROUP BY 1, 2, 3),
 ci AS (SELECT seed, bucket, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM bm GROUP BY 1, 2),
 e AS (SELECT seed, bucket, avg(d) AS estimate, count(*) AS eras FROM b GROUP BY 1, 2)""",
     f"SELECT seed, bucket, {ROUNDED}, eras FROM e JOIN ci USING (seed, bucket)"))
 def _(t):
     b = summary.quartile_buckets(paired(t), ["seed"], "base")
-    got = inference.iid_bootstrap_bucket(b, ["seed", "bucket"], "difference", 2000, SEED)
+    got = inference.iid_bootstrap_bucket(b, ["seed", "bucket"], "difference", 10_000, SEED)
     return got.select("seed", "bucket", *r("estimate", "ci_low", "ci_high"), "eras")
 
 
@@ -126,10 +126,10 @@ def _(t):
 
 @query("per_seed_comparison", with_(ES + """,
 d2 AS (SELECT a.seed, a.era, a.bmc - b.bmc AS d FROM era_scores a JOIN era_scores b ON a.seed = b.seed AND a.era = b.era AND a.arm = 'filtered' AND b.arm = 'plain' WHERE a.bmc IS NOT NULL AND b.bmc IS NOT NULL),
-""" + boot_sql("d2", "seed", "d", f"'{SEED}:sample:' || sample || ':' || block", 2000), f"SELECT seed, {ROUNDED} FROM bt_ci"))
+""" + boot_sql("d2", "seed", "d", f"'{SEED}:sample:' || sample || ':' || block", 10_000), f"SELECT seed, {ROUNDED} FROM bt_ci"))
 def _(t):
     d = inference.paired_difference(t.era_scores(), "filtered", "plain", ["seed"], "bmc")
-    return inference.block_bootstrap_mean(d, ["seed"], "difference", L, 2000, SEED, shared=True).select("seed", *r("estimate", "ci_low", "ci_high"))
+    return inference.block_bootstrap_mean(d, ["seed"], "difference", L, 10_000, SEED, shared=True).select("seed", *r("estimate", "ci_low", "ci_high"))
 
 
 @query("seed_pool", with_(ES, """SELECT arm, era, round(avg(corr) FILTER (WHERE seed IN (0, 1)), 8) + 0e0 AS original, round(avg(corr) FILTER (WHERE seed = 2), 8) + 0e0 AS rerun,
@@ -142,19 +142,11 @@ def _(t):
     """SELECT a.pair, round(a.estimate, 8) + 0e0 AS estimate_a, a.category AS category_a, round(b.estimate, 8) + 0e0 AS estimate_b, b.category AS category_b,
  a.category = b.category AS same_category, sign(a.estimate) = sign(b.estimate) AS same_sign FROM (SELECT * FROM v WHERE metric = 'corr') a JOIN (SELECT * FROM v WHERE metric = 'bmc') b USING (pair)"""))
 def _(t):
-    m = inference.pair_matrix(t.era_scores(), ["arm", "seed"], ["corr", "bmc"], named_pairs(t), 0.005, L, 1000)
+    m = inference.pair_matrix(t.era_scores(), ["arm", "seed"], ["corr", "bmc"], named_pairs(t), 0.005, L, 10_000)
     got = inference.consistency_compare(m.where("metric = 'corr'"), m.where("metric = 'bmc'"), ["pair"])
     return got.select("pair", *r("estimate_a"), "category_a", *r("estimate_b"), "category_b", "same_category", "same_sign")
 
 
-@query("bootstrap_power")
-def _(t):
-    es = t.era_scores()
-    pool = inference.noise_pool(es, "corr")
-    thr = inference.threshold_of(es, ["arm"], "corr")
-    return inference.bootstrap_power(pool, ["arm"], thr, eras=64)
-
-
 @query("power_gate", with_(BOOT, "SELECT 'P(positive)' AS gate, round(min(probability_positive), 8) AS gate_value, count(*) AS scenarios, CASE WHEN min(probability_positive) >= 0.6 THEN 'GO' ELSE 'NO-GO' END AS decision FROM bt_ci"))
 def _(t):
     p = boot(t).withColumn("gate", F.lit("P(positive)"))

@@ -143,16 +143,6 @@ def _(t):
 
 # ---- models ---------------------------------------------------------------------------
 
-@query("score_mlp")
-def _(t):
-    return models.score_mlp(t.panel(), models.seeded_mlp(P, 32, 3, 1))
-
-
-@query("score_gru")
-def _(t):
-    return models.score_gru(t.panel(), models.seeded_gru(3, 2, 8, 2))
-
-
 LINEAR = np.array([[((m * 7 + f * 3) % 11 - 5) / 10.0 for m in range(4)] for f in range(P)])
 DOTS = " UNION ALL ".join(
     f"SELECT id, era, 'm{m}' AS model, round({' + '.join(f'features[{f + 1}]/4e0*({float(LINEAR[f, m])!r}e0)' for f in range(P))}, 8) + 0e0 AS prediction FROM panel" for m in range(4))
@@ -191,21 +181,3 @@ RES = " + ".join(f"features[{f + 1}]/4e0*({w}e0)" for f, w in enumerate(W0))
 def _(t):
     d = t.panel().where(F.col("target").isNotNull())
     return models.era_gradients(d, np.array(W0)).select("era", "feature", *rr("gradient", digits=12))
-
-
-MODES = ("none", "consensus", "sign", "random", "lowrank_top", "lowrank_remove", "lowrank_remove_renorm")
-
-
-@query("fit_linear_filtered")
-def _(t):
-    train = t.panel().where(F.col("data_type") == "train")
-    trials = [{"mode": m, "lr": 0.05, "wd": 0.01, "seed": 0} for m in MODES]
-    log, _ = models.fit_linear_filtered(train, P, trials, steps=6, clip=5.0, warmup=2)
-    return t.spark.createDataFrame([tuple(r[c] for c in ("trial", "mode", "update", "loss", "learning_rate", "gradient_norm", "filtered_norm")) for r in log], models.LOG_SCHEMA)
-
-
-@query("grid_fan_out")
-def _(t):
-    p = t.panel().where(F.col("target").isNotNull())
-    grid = {"lr": (0.02, 0.1), "wd": (0.0, 0.1), "dropout": (0.0, 0.2)}
-    return models.grid_fan_out(p.where("data_type = 'train'"), p.where("data_type = 'validation'"), P, grid, steps=4, plan=t.plan())

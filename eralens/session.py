@@ -29,13 +29,17 @@ def build_session(cores: int | str = "*", app: str = "eralens", shuffle_partitio
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only if unset."""
+    """The cluster's shared checkpoint folder. Where none is set, a session in one process
+    (as in tests) gets a folder of its own; a cluster must name one, as its executors do
+    not see each other's files."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     fresh = tempfile.mkdtemp(prefix="eralens-")
     spark.sparkContext.setCheckpointDir(fresh)
     return fresh
