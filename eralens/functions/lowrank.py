@@ -1,4 +1,4 @@
-"""Small per-row numerics used inside tasks: hashed normals and one low-rank update."""
+"""Small numerics used inside tasks: hashed normals, decayed moments, projections."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import math
 import numpy as np
 
 TOL = 1e-12
+EPS = np.finfo(np.float64).eps
 
 
 def hashed_units(ids: np.ndarray, width: int, seed: int) -> np.ndarray:
@@ -28,57 +29,55 @@ def hashed_normals(ids: np.ndarray, width: int, seed: int) -> np.ndarray:
     return np.sqrt(-2.0 * np.log(u[:, :width])) * np.cos(2.0 * math.pi * u[:, width:])
 
 
-def horizon(decay: float, floor: float = 1e-18) -> int:
-    """Number of latest observations whose weight is not below ``floor``."""
-    return max(1, math.ceil(math.log(floor) / math.log(decay)))
-
-
-def start_state() -> dict:
-    return {"mean": None, "basis": None, "values": np.zeros(0), "updates": 0, "turnover": 0.0}
-
-
-def fold(state: dict, x: np.ndarray, decay: float, rank: int, tol: float = TOL, centre: str = "before") -> dict:
-    """One observation into the exponentially weighted mean and rank-k covariance.
-
-    C <- decay C + (1 - decay) c c', with c measured from the mean before the update
-    (``centre='after'``: from the updated mean). The first observation sets the mean."""
-    if state["mean"] is None:
-        return {**state, "mean": x.astype(np.float64)}
-    old_mean = state["mean"]
-    mean = decay * old_mean + (1.0 - decay) * x
-    c = x - (old_mean if centre == "before" else mean)
-    size = float(np.linalg.norm(c))
-    eps = 10.0 * np.finfo(np.float64).eps * max(1.0, size)
-    basis, values = state["basis"], state["values"]
-    if basis is None:
-        if size <= eps:
-            return {**state, "mean": mean}
-        return {**state, "mean": mean, "basis": (c / size)[:, None], "values": np.array([(1.0 - decay) * size * size]),
-                "updates": state["updates"] + 1}
-    inside = basis.T @ c
-    rest = c - basis @ inside
-    again = basis.T @ rest            # second pass keeps the basis orthogonal
-    inside, rest = inside + again, rest - basis @ again
-    length = float(np.linalg.norm(rest))
-    frame, weights = basis, inside
-    if length > eps:
-        frame, weights = np.column_stack([basis, rest / length]), np.append(inside, length)
-    small = (1.0 - decay) * np.outer(weights, weights)
-    small[np.arange(len(values)), np.arange(len(values))] += decay * values
-    frame, values = top_eigen(frame, small, rank, tol)
-    q, r = np.linalg.qr(frame)        # repair round-off, keeping the covariance
-    frame, values = top_eigen(q, (r * values) @ r.T, rank, tol)
-    shared = min(basis.shape[1], frame.shape[1])
-    turnover = 1.0 - float(np.sum((basis.T @ frame) ** 2)) / shared if shared else 0.0
-    return {"mean": mean, "basis": frame, "values": values, "updates": state["updates"] + 1,
-            "turnover": min(1.0, max(0.0, turnover))}
-
-
-def top_eigen(frame: np.ndarray, small: np.ndarray, rank: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
-    lam, rot = np.linalg.eigh((small + small.T) / 2.0)
-    lam, rot = lam[::-1], rot[:, ::-1]
-    keep = lam > tol * max(0.0, float(lam[0]))
-    return frame @ rot[:, keep][:, :rank], lam[keep][:rank]
+# ---- decayed moments --------------------------------------------------------------------
+# The covariance after n rows is the sum of (1 - decay) decay^(rows after) c c', with c the
+# row's distance from the mean before it. So blocks of rows can be summed apart, once each
+# knows the mean it starts from.
+
+def mean_share(x: np.ndarray, decay: float, first: bool) -> np.ndarray:
+    """What consecutive rows add to the mean at their end; the first row of all counts whole."""
+    w = decay ** np.arange(len(x) - 1, -1, -1, dtype=np.float64)
+    w[1 if first else 0:] *= 1.0 - decay
+    return w @ x
+
+
+def distances(x: np.ndarray, decay: float, mean: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Every row's distance from the mean before it, and the mean after the last row.
+    Distances within the rounding of a settled mean are zero."""
+    out = np.zeros_like(x)
+    for k, row in enumerate(x):
+        if mean is None:
+            mean = row
+            continue
+        out[k] = row - mean
+        mean = mean + (1.0 - decay) * out[k]
+    settled = EPS * (4.0 + 1.0 / (1.0 - decay))
+    out[np.abs(out) <= settled * np.maximum(np.abs(x), np.abs(x - out))] = 0.0
+    return out, mean
+
+
+def outer_sum(c: np.ndarray, decay: float) -> np.ndarray:
+    """Decayed sum of outer products of consecutive distances, as of the last one."""
+    w = (1.0 - decay) * decay ** np.arange(len(c) - 1, -1, -1, dtype=np.float64)
+    return (c * w[:, None]).T @ c
+
+
+def leading(cov: np.ndarray, rank: int, tol: float = TOL) -> tuple[np.ndarray, np.ndarray]:
+    """Largest eigenvalues and their directions, none below ``tol`` of the largest."""
+    size = float(np.abs(cov).max(initial=0.0))
+    if size == 0.0:
+        return np.zeros((len(cov), 0)), np.zeros(0)
+    lam, vec = np.linalg.eigh((cov + cov.T) / (2.0 * size))
+    n = min(rank, int(np.count_nonzero(lam > tol * lam[-1])))
+    return vec[:, ::-1][:, :n], lam[::-1][:n] * size
+
+
+def turnover(old: np.ndarray, new: np.ndarray) -> float:
+    """Share of the smaller subspace that the other one does not hold."""
+    n = min(old.shape[1], new.shape[1])
+    if n == 0:
+        return 0.0
+    return float(np.clip(1.0 - np.square(np.linalg.svd(old.T @ new, compute_uv=False)).sum() / n, 0.0, 1.0))
 
 
 def effective_rank(values: np.ndarray) -> float:
@@ -89,66 +88,67 @@ def effective_rank(values: np.ndarray) -> float:
     return float(np.exp(-np.sum(p * np.log(p))))
 
 
-def orthogonality_error(basis: np.ndarray | None) -> float:
-    if basis is None or basis.shape[1] == 0:
+def orthogonality_error(basis: np.ndarray) -> float:
+    """Largest distance of the basis' singular values, squared, from one."""
+    if basis.shape[1] == 0:
         return 0.0
-    return float(np.linalg.norm(basis.T @ basis - np.eye(basis.shape[1]), 2))
+    return float(np.abs(np.square(np.linalg.svd(basis, compute_uv=False)) - 1.0).max())
+
+
+# ---- projections ------------------------------------------------------------------------
+
+def lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def at_length(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Rows scaled to the wanted lengths; rows of no length stay."""
+    own = lengths(x)
+    return x * np.divide(wanted, own, out=np.ones_like(own), where=own > TOL)
 
 
 def project(x: np.ndarray, basis: np.ndarray, mode: str = "top", strength: float = 1.0) -> np.ndarray:
     """Rows of x on a basis: top, remove, remove_renorm, or norm_matched (x scaled to
     the projection's length); blended with x by ``strength``."""
-    top = (x @ basis) @ basis.T
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    if mode == "top":
-        y = top
-    elif mode in ("remove", "remove_renorm"):
-        y = x - top
-        if mode == "remove_renorm":
-            y = y * norm / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-    elif mode == "norm_matched":
-        y = x * np.linalg.norm(top, axis=1, keepdims=True) / np.maximum(norm, np.finfo(np.float64).tiny)
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
     if strength == 0.0:
         return x
-    return y if strength == 1.0 else (1.0 - strength) * x + strength * y
+    inside = x @ basis @ basis.T
+    made = {
+        "top": lambda: inside,
+        "remove": lambda: x - inside,
+        "remove_renorm": lambda: at_length(x - inside, lengths(x)),
+        "norm_matched": lambda: at_length(x, lengths(inside)),
+    }
+    if mode not in made:
+        raise ValueError(f"no such projection: {mode!r}")
+    return x + strength * (made[mode]() - x) if strength != 1.0 else made[mode]()
 
 
 def rank_by_rule(values: np.ndarray, rule: str, most: int, energy: float = 0.9) -> int:
-    """Directions kept: 'energy' share, 'entropy' (effective rank) or largest log 'gap'."""
-    v = values[values > 1e-12]
-    if len(v) == 0:
-        return 0
-    if rule == "energy":
-        k = int(np.sum(np.cumsum(v) / v.sum() < energy)) + 1
-    elif rule == "entropy":
-        k = int(round(effective_rank(v)))
-    elif rule == "gap":
-        k = 1 if len(v) == 1 else int(np.argmax(-np.diff(np.log(v)))) + 1
-    else:
-        raise ValueError(f"unknown rule {rule!r}")
-    return max(1, min(most, len(v), k))
+    """Directions kept: 'energy' share, 'entropy' (effective rank) or largest 'gap' (ratio of neighbours)."""
+    live = values[values > TOL]
+    rules = {
+        "energy": lambda: 1 + int(np.searchsorted(np.cumsum(live), energy * live.sum())),
+        "entropy": lambda: int(round(effective_rank(live))),
+        "gap": lambda: 1 + int(np.argmax(live[:-1] / live[1:])) if len(live) > 1 else 1,
+    }
+    if rule not in rules:
+        raise ValueError(f"no such rule: {rule!r}")
+    return int(np.clip(rules[rule](), 1, min(most, len(live)))) if len(live) else 0
 
 
 def soft_project(x: np.ndarray, basis: np.ndarray, values: np.ndarray, alpha: float = 1.0,
                  keep_rest: bool = True, normalise: str = "none") -> np.ndarray:
     """Directions weighted by (value / largest)^alpha with the length restored; or the
-    projection on the basis scaled by variance or degree of the covariance."""
+    ridge projection on the basis scaled by variance or degree of the covariance."""
     if normalise == "none":
-        w = np.clip(values / max(float(values.max()), 1e-30), 1e-12, None) ** alpha
-        along = x @ basis
-        y = x + (along * (w - 1.0)) @ basis.T if keep_rest else (along * w) @ basis.T
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return y * norm / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-    s = np.sqrt(values)
-    scaled = basis * s
-    if normalise == "var":
-        d = np.sum(scaled * scaled, axis=1)
-    elif normalise == "degree":
-        d = np.abs(scaled @ (s * basis.sum(axis=0)))
-    else:
-        raise ValueError(f"unknown normalisation {normalise!r}")
-    a = scaled / np.sqrt(np.maximum(d, 1e-12))[:, None]
-    gram = a.T @ a + 1e-6 * np.eye(a.shape[1])
-    return np.linalg.solve(gram, (x @ a).T).T @ a.T
+        weight = np.maximum(values / max(float(values.max()), 1e-30), TOL) ** alpha
+        rest = x - x @ basis @ basis.T if keep_rest else 0.0
+        return at_length(rest + (x @ basis * weight) @ basis.T, lengths(x))
+    root = basis * np.sqrt(values)
+    per_row = {"var": lambda: np.square(root).sum(axis=1), "degree": lambda: np.abs(root @ root.sum(axis=0))}
+    if normalise not in per_row:
+        raise ValueError(f"no such normalisation: {normalise!r}")
+    # ridge on the scaled directions, through their singular values
+    left, s, _ = np.linalg.svd(root / np.sqrt(np.maximum(per_row[normalise](), TOL))[:, None], full_matrices=False)
+    return (x @ left * (s * s / (s * s + 1e-6))) @ left.T

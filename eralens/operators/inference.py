@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -207,78 +206,6 @@ def consistency_compare(first: DataFrame, second: DataFrame, keys: Sequence[str]
         "same_sign", F.signum("estimate_a") == F.signum("estimate_b"))
 
 
-def noise_pool(scores: DataFrame, value: str, keys: Sequence[str] = ("arm",), seeds: int = 3) -> DataFrame:
-    """Demeaned seed-pair differences / sqrt(seeds), one array of eras per pair."""
-    a = scores.where(F.col(value).isNotNull()).select(*keys, "era", F.col("seed").alias("sa"), F.col(value).alias("x"))
-    b = scores.where(F.col(value).isNotNull()).select(*keys, "era", F.col("seed").alias("sb"), F.col(value).alias("y"))
-    d = a.join(b, [*keys, "era"]).where(F.col("sa") < F.col("sb")).withColumn("d", F.col("x") - F.col("y"))
-    d = d.withColumn("d", (F.col("d") - F.avg("d").over(W.partitionBy(*keys, "sa", "sb"))) / F.sqrt(F.lit(float(seeds))))
-    packed = d.groupBy(*keys, "sa", "sb").agg(F.sort_array(F.collect_list(F.struct("era", "d"))).alias("p"))
-    w = W.partitionBy(*keys).orderBy("sa", "sb")
-    return packed.select(*keys, (F.row_number().over(w) - 1).alias("source"), F.transform("p", lambda v: v["d"]).alias("noise"))
-
-
-def bootstrap_power(pool: DataFrame, keys: Sequence[str], thresholds: DataFrame, eras: int, length: int = 4,
-                    outer: int = 200, inner: int = 200, seed: int = 11) -> DataFrame:
-    """P(each verdict) when a known effect is added to resampled seed noise.
-
-    One row per outer draw; a row carries its source series (one value per era), and
-    its own seed, and the inner bootstrap runs on that row alone."""
-    scenarios = F.array(*[
-        F.struct(F.lit(n).alias("scenario"), F.lit(e).alias("effect"), F.lit(m).alias("noise_factor"), F.lit(i).alias("iid"))
-        for n, e, m, i in (
-            ("null", 0.0, 1.0, False), ("plus_thr", 1.0, 1.0, False), ("minus_thr", -1.0, 1.0, False),
-            ("plus_2thr", 2.0, 1.0, False), ("null_2x_noise", 0.0, 2.0, False), ("null_iid", 0.0, 1.0, True))
-    ])
-    sources = pool.groupBy(*keys).agg(F.max("source").alias("last"))
-    outer_rows = (
-        sources.withColumn("s", F.explode(scenarios)).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(outer - 1))))
-        .repartition(*[F.col(k) for k in keys], F.col("s.scenario"), F.col("draw"))
-        .select(*keys, "s.*", "draw",
-                hash_u32(keyed(seed, *[F.col(k) for k in keys], F.col("s.scenario"), F.col("draw"))).alias("row_seed"), "last")
-        .withColumn("source", F.pmod("row_seed", F.col("last") + 1).cast("int"))
-        .join(pool, [*keys, "source"]).join(thresholds, list(keys))
-    )
-    names = list(keys)
-
-    def simulate(batches):
-        for pdf in batches:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                rng = np.random.default_rng(row.row_seed)
-                noise = np.asarray(row.noise) * row.noise_factor
-                n, size = len(noise), 1 if row.iid else length
-
-                def resample(x, count, k):
-                    starts = rng.integers(0, len(x), size=(count, -(-k // size)))
-                    at = (starts[..., None] + np.arange(size)) % len(x)
-                    return x[at].reshape(count, -1)[:, :k]
-
-                sim = resample(noise, 1, min(eras, n))[0] + row.effect * row.threshold
-                lo, hi = np.percentile(resample(sim, inner, len(sim)).mean(axis=1), [2.5, 97.5])
-                rows.append((lo, hi, sim.mean()))
-            out = pdf[names + ["scenario", "threshold"]].copy()
-            out[["lo", "hi", "m"]] = pd.DataFrame(rows, index=out.index, columns=["lo", "hi", "m"])
-            yield out
-
-    types = dict(outer_rows.dtypes)
-    schema = ", ".join([f"{k} {types[k]}" for k in names] + ["scenario string", "threshold double", "lo double", "hi double", "m double"])
-    c = F.col
-    helps, hurts = c("lo") > 0, c("hi") < 0
-    doesnt = (c("lo") > -c("threshold")) & (c("hi") < c("threshold"))
-
-    def share(e):
-        return F.avg(F.when(e, 1.0).otherwise(0.0))
-
-    half = (c("hi") - c("lo")) / 2
-    return outer_rows.mapInPandas(simulate, schema).groupBy(*names, "scenario").agg(
-        share(helps).alias("helps"), share(hurts).alias("hurts"), share(doesnt).alias("doesnt_help"),
-        share(helps | hurts | doesnt).alias("any_verdict"),
-        share(helps & (c("m") >= c("threshold"))).alias("helps_strict"), share(hurts & (c("m") <= -c("threshold"))).alias("hurts_strict"),
-        F.percentile(half, F.lit(0.5)).alias("half_width_median"), F.percentile(half, F.lit(0.9)).alias("half_width_p90"),
-    )
-
-
 def power_gate(power: DataFrame, keys: Sequence[str], probability: str, least: float = 0.6) -> DataFrame:
     worst = power.groupBy(*keys).agg(F.min(probability).alias("gate_value"), F.count(F.lit(1)).alias("scenarios"))
     return worst.withColumn("decision", F.when(F.col("gate_value") >= least, "GO").otherwise("NO-GO"))

@@ -1,115 +1,21 @@
-"""Scoring small models over a panel, and a trainer whose heavy step is one Spark
-aggregation per update. Model weights are small fixed arrays; rows stay in Arrow."""
+"""Linear scorers over a panel, their gradients per era, and deterministic batches. Model
+weights are small fixed arrays; rows stay in Arrow."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from eralens.functions.exprs import hash_u32, keyed
-from eralens.functions.lowrank import fold, hashed_units, project, start_state
 from eralens.functions.ranking import AUTO, Plan, resolve, row_positions, top_n
 
 
 # ---- batch inference ------------------------------------------------------------------
 
-@dataclass(frozen=True)
-class MLP:
-    """Scalar-output network: input layer, hidden layers with optional residual, output."""
-
-    w_in: np.ndarray
-    b_in: np.ndarray
-    hidden: list = field(default_factory=list)      # (gain, shift, weight, bias) per layer
-    gain: np.ndarray | None = None                   # output normalisation
-    shift: np.ndarray | None = None
-    w_out: np.ndarray | None = None
-    b_out: float = 0.0
-    residual: bool = True
-    normalization: str = "layer"                     # none, layer, batch
-    activation: str = "gelu"                         # relu, gelu, silu
-    batch_stats: tuple | None = None                 # (means, variances) per norm, for batch
-
-
-_erf = np.frompyfunc(math.erf, 1, 1)
-
-
-def _activate(x: np.ndarray, name: str) -> np.ndarray:
-    if name == "relu":
-        return np.maximum(x, 0.0)
-    if name == "silu":
-        return x / (1.0 + np.exp(-x))
-    if name == "gelu":
-        return 0.5 * x * (1.0 + _erf(x / math.sqrt(2.0)).astype(np.float64))
-    raise ValueError(f"unknown activation {name!r}")
-
-
-def mlp_forward(m: MLP, x: np.ndarray) -> np.ndarray:
-    def norm(h, gain, shift, at):
-        if m.normalization == "none":
-            return h
-        if m.normalization == "layer":
-            mu, var = h.mean(axis=1, keepdims=True), h.var(axis=1, keepdims=True)
-        else:
-            mu, var = m.batch_stats[0][at], m.batch_stats[1][at]
-        return (h - mu) / np.sqrt(var + 1e-5) * gain + shift
-
-    h = _activate(x @ m.w_in + m.b_in, m.activation)
-    for i, (gain, shift, w, b) in enumerate(m.hidden):
-        step = _activate(norm(h, gain, shift, i) @ w + b, m.activation)
-        h = h + step if m.residual else step
-    return norm(h, m.gain, m.shift, len(m.hidden)) @ m.w_out + m.b_out
-
-
-def seeded_mlp(inputs: int, width: int, depth: int, seed: int, **options) -> MLP:
-    """Untrained network with scaled normal weights (tests, benchmarks)."""
-    g = np.random.default_rng(seed)
-    layers = [(np.ones(width), np.zeros(width), g.standard_normal((width, width)) / math.sqrt(width), np.zeros(width)) for _ in range(depth - 1)]
-    return MLP(g.standard_normal((inputs, width)) / math.sqrt(inputs), np.zeros(width), layers, np.ones(width), np.zeros(width),
-               g.standard_normal(width) / math.sqrt(width), 0.0, **options)
-
-
-@dataclass(frozen=True)
-class GRU:
-    w_ih: np.ndarray
-    w_hh: np.ndarray
-    b_ih: np.ndarray
-    b_hh: np.ndarray
-    head: np.ndarray
-    bias: float
-    steps: int
-
-
-def gru_forward(m: GRU, x: np.ndarray) -> np.ndarray:
-    """Flat rows as ``steps`` slices through one recurrent layer and a linear head."""
-    seq = x.reshape(len(x), m.steps, -1)
-    width = m.w_hh.shape[1]
-    h = np.zeros((len(x), width))
-
-    def sigmoid(v):
-        return 1.0 / (1.0 + np.exp(-v))
-
-    for t in range(m.steps):
-        a, b = seq[:, t] @ m.w_ih.T + m.b_ih, h @ m.w_hh.T + m.b_hh
-        reset = sigmoid(a[:, :width] + b[:, :width])
-        update = sigmoid(a[:, width:2 * width] + b[:, width:2 * width])
-        h = (1.0 - update) * np.tanh(a[:, 2 * width:] + reset * b[:, 2 * width:]) + update * h
-    return h @ m.head + m.bias
-
-
-def seeded_gru(steps: int, width_in: int, width: int, seed: int) -> GRU:
-    g = np.random.default_rng(seed)
-    return GRU(g.standard_normal((3 * width, width_in)) / math.sqrt(width_in), g.standard_normal((3 * width, width)) / math.sqrt(width),
-               np.zeros(3 * width), np.zeros(3 * width), g.standard_normal(width) / math.sqrt(width), 0.0, steps)
-
-
 def _matrix(column, scale: float) -> np.ndarray:
     n = len(column)
     if n == 0:
@@ -117,28 +23,6 @@ def _matrix(column, scale: float) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) / scale
 
 
-def score_rows(df: DataFrame, keep: Sequence[str], features: str, forward: Callable[[np.ndarray], np.ndarray],
-               out: str = "prediction", scale: float = 4.0) -> DataFrame:
-    """One prediction per row; Arrow batches in and out, row columns passed through."""
-    types = dict(df.dtypes)
-
-    def run(batches):
-        for b in batches:
-            y = forward(_matrix(b.column(len(keep)), scale)) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(y, type=pa.float64())], names=[*keep, out])
-
-    schema = ", ".join([f"{k} {types[k]}" for k in keep] + [f"{out} double"])
-    return df.select(*keep, features).mapInArrow(run, schema)
-
-
-def score_mlp(df: DataFrame, model: MLP, keep: Sequence[str] = ("id", "era"), features: str = "features") -> DataFrame:
-    return score_rows(df, keep, features, lambda x: mlp_forward(model, x))
-
-
-def score_gru(df: DataFrame, model: GRU, keep: Sequence[str] = ("id", "era"), features: str = "features") -> DataFrame:
-    return score_rows(df, keep, features, lambda x: gru_forward(model, x))
-
-
 def score_linear_many(df: DataFrame, weights: np.ndarray, names: Sequence[str], keep: Sequence[str] = ("id", "era"),
                       features: str = "features", scale: float = 4.0) -> DataFrame:
     """Many linear models (dim x models) in one pass, as rows (keep, model, prediction)."""
@@ -197,154 +81,43 @@ def batch_assignment(rows: DataFrame, mode: str, batch: int, steps: int, seed: i
 
 # ---- gradients and training -----------------------------------------------------------
 
-def _gradient_rows(df: DataFrame, weights: np.ndarray, dropout: np.ndarray | None, step: int, seeds: np.ndarray | None,
-                   loss: str, delta: float, row: str, era: str, features: str, target: str) -> DataFrame:
-    """(era, pos, value): per era the flattened [count, losses, gradient sums] of all models."""
-    p, models = weights.shape
+def _gradient_rows(df: DataFrame, weights: np.ndarray, loss: str, delta: float, era: str, features: str, target: str) -> DataFrame:
+    """(era, pos, v): per era the sums [count, losses, gradient] of a linear scorer."""
+    p = len(weights)
 
     def run(batches):
         held: dict = {}
         for b in batches:
-            x = _matrix(b.column(2), 4.0)
-            if len(x) == 0:
+            if b.num_rows == 0:
                 continue
-            ids, eras = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            y = b.column(3).to_numpy(zero_copy_only=False)
-            shared = x @ weights
-            for t in range(models):
-                xt, guess = x, shared[:, t]
-                if dropout is not None and dropout[t] > 0:
-                    keep = hashed_units(ids, p, int(seeds[t]) * 1_000_003 + step) >= dropout[t]
-                    xt = x * keep / (1.0 - dropout[t])
-                    guess = xt @ weights[:, t]
-                r = guess - y
-                if loss == "mse":
-                    value, slope = r * r, 2.0 * r
-                else:
-                    value = np.where(np.abs(r) <= delta, 0.5 * r * r, delta * (np.abs(r) - 0.5 * delta))
-                    slope = np.clip(r, -delta, delta)
-                contribution = np.column_stack([np.ones(len(r)), value, slope[:, None] * xt])
-                order = np.argsort(eras, kind="stable")
-                names, starts = np.unique(eras[order], return_index=True)
-                sums = np.add.reduceat(contribution[order], starts, axis=0)
-                for e, s in zip(names, sums):
-                    mine = held.setdefault(int(e), np.zeros((models, p + 2)))
-                    mine[t] += s
+            x = _matrix(b.column(1), 4.0)
+            eras = b.column(0).to_numpy(zero_copy_only=False)
+            r = x @ weights - b.column(2).to_numpy(zero_copy_only=False)
+            if loss == "mse":
+                value, slope = r * r, 2.0 * r
+            else:
+                value = np.where(np.abs(r) <= delta, 0.5 * r * r, delta * (np.abs(r) - 0.5 * delta))
+                slope = np.clip(r, -delta, delta)
+            contribution = np.column_stack([np.ones(len(r)), value, slope[:, None] * x])
+            order = np.argsort(eras, kind="stable")
+            names, starts = np.unique(eras[order], return_index=True)
+            for e, sums in zip(names, np.add.reduceat(contribution[order], starts, axis=0)):
+                held[int(e)] = held.get(int(e), np.zeros(p + 2)) + sums
         if held:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(held), type=pa.int32()), pa.array([v.ravel().tolist() for v in held.values()], type=pa.list_(pa.float64()))],
+                [pa.array(list(held), type=pa.int32()), pa.array([v.tolist() for v in held.values()], type=pa.list_(pa.float64()))],
                 names=["era", "s"])
 
-    got = df.select(row, F.col(era).cast("int").alias(era), features, F.col(target).cast("double")).mapInArrow(run, "era int, s array<double>")
+    got = df.select(F.col(era).cast("int").alias("era"), features, F.col(target).cast("double")).mapInArrow(run, "era int, s array<double>")
     return got.select("era", F.posexplode("s").alias("pos", "v")).groupBy("era", "pos").agg(F.sum("v").alias("v"))
 
 
-def era_gradients(df: DataFrame, weights: np.ndarray, loss: str = "mse", delta: float = 1.0, row: str = "id", era: str = "era",
+def era_gradients(df: DataFrame, weights: np.ndarray, loss: str = "mse", delta: float = 1.0, era: str = "era",
                   features: str = "features", target: str = "target") -> DataFrame:
     """(era, feature, gradient) of one linear scorer's mean loss per era."""
     p = len(weights)
-    rows = _gradient_rows(df, np.asarray(weights, float)[:, None], None, 0, None, loss, delta, row, era, features, target)
+    rows = _gradient_rows(df, np.asarray(weights, float), loss, delta, era, features, target)
     counts = rows.where(F.col("pos") == 0).select("era", F.col("v").alias("n"))
     return rows.where(F.col("pos") >= 2).join(counts, "era").select(
         "era", (F.col("pos") - 2).alias("feature"), (F.col("v") / F.col("n")).alias("gradient")).where(F.col("feature") < p)
 
-
-def learning_rate(step: int, steps: int, warmup: int, schedule: str) -> float:
-    """Multiplier of the base rate: linear warm-up, then constant or half a cosine."""
-    if step < warmup:
-        return (step + 1) / warmup
-    if schedule == "constant":
-        return 1.0
-    return 0.5 * (1.0 + math.cos(math.pi * min(1.0, (step - warmup) / max(1, steps - warmup))))
-
-
-def combine_eras(grads: np.ndarray, mode: str, state: dict, rank: int, decay: float, factor: float, seed: int) -> tuple[np.ndarray, dict]:
-    """One gradient from the per-era gradients (eras x dim)."""
-    mean, n = grads.mean(axis=0), len(grads)
-    if mode == "none":
-        return mean, state
-    if mode in ("consensus", "random"):
-        if mode == "consensus":
-            u = grads / np.maximum(np.linalg.norm(grads, axis=1, keepdims=True), 1e-12)
-            left, s, _ = np.linalg.svd(u, full_matrices=False)
-            k = max(1, int(np.sum(s * s > factor * np.sum(s * s) / n)))
-            frame = left[:, :k]
-        else:
-            frame = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, min(rank, n))))[0]
-        return (frame @ (frame.T @ np.full(n, 1.0 / n))) @ grads, state
-    if mode == "sign":
-        return mean * (np.abs(np.sign(grads).sum(axis=0)) >= 2.0 * math.sqrt(n)), state
-    state = fold(state, mean, decay, rank)
-    if state["basis"] is None:
-        return mean, state
-    names = {"lowrank_top": "top", "lowrank_remove": "remove", "lowrank_remove_renorm": "remove_renorm"}
-    return project(mean[None, :], state["basis"], names[mode])[0], state
-
-
-def fit_linear_filtered(df: DataFrame, dim: int, trials: Sequence[dict], steps: int, checkpoints: Sequence[int] = (), rank: int = 2,
-                        decay: float = 0.9, factor: float = 2.0, clip: float | None = None, loss: str = "mse", delta: float = 1.0,
-                        warmup: int = 0, schedule: str = "cosine", row: str = "id", era: str = "era", features: str = "features",
-                        target: str = "target") -> tuple[list[dict], dict[int, np.ndarray]]:
-    """Train all trials (mode, lr, wd, dropout, seed) together with decoupled weight decay.
-
-    Per update one aggregation over the rows gives every trial's gradient per era; the
-    driver sees eras x trials x (dim + 2) numbers. Returns the log and the weights at
-    the checkpoints (and at the end)."""
-    count = len(trials)
-    data = df.select(row, era, features, target).persist(StorageLevel.MEMORY_AND_DISK)
-    w = np.column_stack([0.01 * np.random.default_rng(t.get("seed", 0)).standard_normal(dim) for t in trials])
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    states = [start_state() for _ in trials]
-    drop = np.array([t.get("dropout", 0.0) for t in trials])
-    seeds = np.array([t.get("seed", 0) for t in trials])
-    log, saved = [], {}
-    try:
-        for step in range(steps):
-            rows = _gradient_rows(data, w, drop if drop.any() else None, step, seeds, loss, delta, row, era, features, target).toPandas()
-            table = rows.pivot(index="era", columns="pos", values="v").sort_index().to_numpy().reshape(-1, count, dim + 2)
-            rate = learning_rate(step, steps, warmup, schedule)
-            for i, t in enumerate(trials):
-                n = table[:, i, 0]
-                per_era = table[:, i, 2:] / n[:, None]
-                norm = float(np.linalg.norm(per_era.mean(axis=0)))
-                if clip is not None and norm > clip:
-                    per_era = per_era * (clip / norm)
-                g, states[i] = combine_eras(per_era, t.get("mode", "none"), states[i], rank, decay, factor, t.get("seed", 0) + step)
-                m[:, i], v[:, i] = 0.9 * m[:, i] + 0.1 * g, 0.999 * v[:, i] + 0.001 * g * g
-                lr = t["lr"] * rate
-                w[:, i] *= 1.0 - lr * t.get("wd", 0.0)
-                w[:, i] -= lr * (m[:, i] / (1 - 0.9 ** (step + 1))) / (np.sqrt(v[:, i] / (1 - 0.999 ** (step + 1))) + 1e-8)
-                log.append({"trial": i, "mode": t.get("mode", "none"), "update": step + 1, "loss": float(np.sum(table[:, i, 1]) / np.sum(n)),
-                            "learning_rate": lr, "gradient_norm": norm, "filtered_norm": float(np.linalg.norm(g))})
-            if step + 1 in checkpoints or step + 1 == steps:
-                saved[step + 1] = w.copy()
-    finally:
-        data.unpersist()
-    return log, saved
-
-
-LOG_SCHEMA = "trial int, mode string, update int, loss double, learning_rate double, gradient_norm double, filtered_norm double"
-
-
-def grid_fan_out(train: DataFrame, valid: DataFrame, dim: int, grid: dict, steps: int, seed: int = 0, extra_seeds: Sequence[int] = (1, 2),
-                 plan: Plan = AUTO) -> DataFrame:
-    """All trials of lr x wd x dropout fitted together on all rows, scored on the
-    validation eras; the best by mean Spearman is refitted with further seeds."""
-    from eralens.operators.score import spearman_per_era
-
-    trials = [{"lr": lr, "wd": wd, "dropout": do, "seed": seed} for lr in grid["lr"] for wd in grid["wd"] for do in grid["dropout"]]
-
-    def evaluate(ts):
-        weights = fit_linear_filtered(train, dim, ts, steps)[1][steps]
-        scored = score_linear_many(valid, weights, [str(i) for i in range(len(ts))], ("id", "era", "target"))
-        per = spearman_per_era(scored, ["model", "era"], plan=plan)
-        return per.groupBy("model").agg(F.avg("spearman").alias("mean_spearman"), F.stddev_samp("spearman").alias("std_spearman"))
-
-    first = {r["model"]: (r["mean_spearman"], r["std_spearman"]) for r in evaluate(trials).collect()}    # one row per trial
-    best = max(range(len(trials)), key=lambda i: (first[str(i)][0], -i))
-    rows = [(i, t["lr"], t["wd"], t["dropout"], t["seed"], *first[str(i)], i == best) for i, t in enumerate(trials)]
-    again = [{**trials[best], "seed": s} for s in extra_seeds]
-    if again:
-        more = {r["model"]: (r["mean_spearman"], r["std_spearman"]) for r in evaluate(again).collect()}
-        rows += [(best, t["lr"], t["wd"], t["dropout"], t["seed"], *more[str(i)], False) for i, t in enumerate(again)]
-    return train.sparkSession.createDataFrame(rows, "trial int, lr double, wd double, dropout double, seed int, mean_spearman double, std_spearman double, best boolean")

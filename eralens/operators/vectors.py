@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 from eralens.functions.exprs import hash_u32, keyed, moments_corr
 from eralens.functions.lowrank import (
-    effective_rank, fold, hashed_normals, horizon, orthogonality_error, project, soft_project, start_state,
+    distances, effective_rank, hashed_normals, leading, mean_share, orthogonality_error, outer_sum, project, soft_project, turnover,
 )
 from eralens.functions.ranking import AUTO, Plan, exact_quantiles, row_positions
+from eralens.session import cut_lineage
 
 FLUSH_GROUPS = 256   # partial sums a task holds before it hands them on
+BLOCK_ROWS = 4096    # consecutive rows of a key that a task sums at once
 
 
 def element_sums(df: DataFrame, group: str, vector: str, parts: Callable, dim: int, row_id: str | None = None) -> DataFrame:
@@ -112,40 +114,42 @@ def group_gram_spectrum(df: DataFrame, group: str, vector: str, dim: int) -> Dat
     return sums.mapInPandas(run, f"{group} {dict(df.dtypes)[group]}, n bigint, eigenvalues array<double>")
 
 
+def direction_gains(lam: np.ndarray, n: int, mode: str, factor: float, soft_temp: float, variance: float) -> tuple[np.ndarray, int]:
+    """How much of each direction stays, and how many count as kept. Values are measured in
+    units of a row's average share of the trace."""
+    share = lam * (n / lam.sum())
+    strong = int(np.count_nonzero(share > factor))
+    if mode == "soft":
+        return 0.5 + 0.5 * np.tanh((share - factor) / (2.0 * soft_temp)), strong
+    kept = strong if mode == "hard" else 1 + int(np.searchsorted(np.cumsum(share), variance * n))
+    kept = int(np.clip(kept, 1, len(lam)))
+    return np.repeat([1.0, 0.0], [kept, len(lam) - kept]), kept
+
+
 def consensus_filter(df: DataFrame, group: str, vector: str, dim: int, mode: str = "hard", factor: float = 2.0,
                      soft_temp: float = 0.5, variance: float = 0.9) -> DataFrame:
     """Mean of a group restricted to the directions its rows agree on.
 
     With unit rows U and eigenpairs (l, v) of U'U, the row weights of direction v are
-    (U v)(v . sum of U) / (l n), so the filtered mean needs the sums only."""
+    (U v)(v . sum of U) / (l n), so the filtered mean needs the sums only. A group of
+    zero vectors keeps nothing."""
     sums = group_sums(df, group, vector, _moments, dim)
 
+    def one(s):
+        n, mean, unit, uu, xu = _unpack(s, dim)
+        lam, vec = _spectrum(uu, n)
+        live = lam > 1e-12 * max(float(lam[0]), 1.0)
+        if not live.any():
+            return n, 0, 0.0, [0.0] * dim
+        gain, kept = direction_gains(lam, n, mode, factor, soft_temp, variance)
+        vec, scale = vec[:, live], gain[live] / (n * lam[live])
+        got, size = xu @ (vec @ (scale * (vec.T @ unit))), float(np.sqrt(mean @ mean))
+        return n, kept, float(np.sqrt(got @ got)) / size if size > 1e-12 else 0.0, got.tolist()
+
     def run(batches):
         for pdf in batches:
-            out = []
-            for g, s in zip(pdf[group], pdf["sums"]):
-                n, mean, unit, uu, xu = _unpack(np.asarray(s), dim)
-                lam, vec = _spectrum(uu, n)
-                total = float(lam.sum())
-                if total < 1e-12:
-                    out.append((g, n, 0, 0.0, [0.0] * dim))
-                    continue
-                per_row = total / n
-                above = int(np.sum(lam > factor * per_row))
-                if mode == "soft":
-                    t = max(soft_temp * per_row, 1e-12)
-                    a = 1.0 / (1.0 + np.exp(-np.clip((lam - factor * per_row) / t, -700, 700)))
-                    k = above
-                else:
-                    k = above if mode == "hard" else int(np.sum(np.cumsum(lam) / total < variance)) + 1
-                    k = max(1, min(k, n, len(lam)))
-                    a = (np.arange(len(lam)) < k).astype(float)
-                live = lam > 1e-12 * lam[0]
-                w = np.where(live, a * (unit @ vec) / np.where(live, lam, 1.0) / n, 0.0)
-                got = xu @ (vec @ w)
-                size = float(np.linalg.norm(mean))
-                out.append((g, n, k, float(np.linalg.norm(got)) / size if size > 1e-12 else 0.0, got.tolist()))
-            yield pd.DataFrame(out, columns=[group, "n", "k", "ratio", "filtered_mean"])
+            found = [(g, *one(np.asarray(s))) for g, s in zip(pdf[group], pdf["sums"])]
+            yield pd.DataFrame(found, columns=[group, "n", "k", "ratio", "filtered_mean"])
 
     return sums.mapInPandas(run, f"{group} {dict(df.dtypes)[group]}, n bigint, k int, ratio double, filtered_mean array<double>")
 
@@ -226,37 +230,100 @@ def group_mean_cosine(df: DataFrame, group: str, vector: str, row_id: str, seed:
     return d.groupBy(group).agg(cosine("a", "b").alias("same_group"), cosine("a", "o").alias("other_groups"))
 
 
-def _fold_rows(pdf: pd.DataFrame, order: str, vector: str, decay: float, rank: int, tol: float, centre: str) -> dict:
-    state = start_state()
-    for x in pdf.sort_values(order)[vector]:
-        state = fold(state, np.asarray(x, dtype=np.float64), decay, rank, tol, centre)
-    return state
+def _stack(vectors_) -> np.ndarray:
+    return np.array([np.asarray(v, dtype=np.float64) for v in vectors_])
+
 
+def decayed_moments(df: DataFrame, keys: Sequence[str], order: str, vector: str, decay: float, centre: str = "before",
+                    plan: Plan = AUTO, block: int = BLOCK_ROWS) -> DataFrame:
+    """(keys, rows, sums) of the exponentially weighted mean and covariance of each key's
+    vectors in order: C <- decay C + (1 - decay) c c', c measured from the mean before the row
+    (``centre='after'``: from the one after it); the first row sets the mean. All rows count.
 
-def recent(df: DataFrame, keys: Sequence[str], order: str, decay: float, plan: Plan = AUTO) -> DataFrame:
-    """Rows that still weigh on an exponentially weighted state: two horizons (one to
-    settle the mean, one for the covariance). Older rows are below double precision, so
-    a key sends a bounded number of rows to its task whatever its length."""
-    d = row_positions(df, keys, order, "__pos", plan, total="__len")
-    return d.where(F.col("__pos") >= F.col("__len") - 2 * horizon(decay)).drop("__pos")
+    A key is cut into blocks of consecutive rows. Each gives its share of the mean; a pass over
+    these shares, one row per block, gives the mean a block starts from; then blocks sum their
+    outer products on their own, and the decayed sums are added up by element. ``sums`` holds
+    the covariance before the last row, the last c, the mean, and the last vector. Rows without
+    a vector do not count; a null key is a key."""
+    keys = list(keys)
+    given = df.select(*keys, order, vector).where(F.col(vector).isNotNull())
+    d = row_positions(given, keys, order, "__pos", plan, total="__len").withColumn("__block", F.floor(F.col("__pos") / block))
+    d = cut_lineage(d.select(*keys, "__block", "__pos", "__len", F.col(vector).cast("array<double>").alias("__x")), "decayed-rows")
+    kinds = dict(df.dtypes)
+    named = ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+    def share(pdf):
+        pdf = pdf.sort_values("__pos")
+        first = pdf["__pos"].iloc[0] == 0
+        out = pdf.iloc[:1][[*keys, "__block"]].copy()
+        out["__share"], out["__fade"] = [mean_share(_stack(pdf["__x"]), decay, first)], decay ** len(pdf)
+        return out
+
+    shares = d.groupBy(*keys, "__block").applyInPandas(share, f"{named}, __block bigint, __share array<double>, __fade double")
+
+    def starts(batches):
+        mean = None
+        for pdf in batches:
+            held = []
+            for at, s, fade in zip(pdf["__block"], pdf["__share"], pdf["__fade"]):
+                held.append(None if at == 0 else mean)
+                mean = np.asarray(s) if at == 0 else fade * mean + np.asarray(s)
+            pdf = pdf[[*keys, "__block"]].copy()
+            pdf["__mean"] = pd.Series(held, index=pdf.index, dtype=object)
+            yield pdf
+
+    sorted_shares = shares.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "__block")
+    before = cut_lineage(sorted_shares.mapInPandas(starts, f"{named}, __block bigint, __mean array<double>"), "decayed-means")
+
+    def sums(rows, start):
+        rows = rows.sort_values("__pos")
+        n, pos = int(rows["__len"].iloc[0]), rows["__pos"].to_numpy()
+        x, mean = _stack(rows["__x"]), start["__mean"].iloc[0]
+        c, mean = distances(x, decay, None if mean is None else np.asarray(mean, dtype=np.float64))
+        if centre == "after":
+            c = c * decay
+        ends = pos[-1] == n - 1
+        prior = outer_sum(c[:-1] if ends else c, decay) * decay ** float(n - 2 - pos[-1] + ends)
+        tail = np.concatenate([c[-1], mean, x[-1]]) if ends else np.zeros(3 * x.shape[1])
+        out = rows.iloc[:1][keys].copy()
+        out["rows"], out["s"] = n, [np.concatenate([prior.ravel(), tail])]
+        return out
+
+    parts = d.groupBy(*keys, "__block").cogroup(before.groupBy(*keys, "__block")).applyInPandas(sums, f"{named}, rows bigint, s array<double>")
+    each = parts.select(*keys, "rows", F.posexplode("s").alias("pos", "v")).groupBy(*keys, "rows", "pos").agg(F.sum("v").alias("v"))
+    whole = each.groupBy(*keys, "rows").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("p"))
+    return whole.select(*keys, "rows", F.transform("p", lambda e: e["v"]).alias("sums"))
+
+
+def moments_of(sums: np.ndarray, decay: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Covariance before and after the last row, mean, last vector."""
+    s = np.asarray(sums, dtype=np.float64)
+    p = int(round(np.sqrt(len(s) + 2.25) - 1.5))          # p * p + 3 p numbers
+    c, mean, last = s[p * p:].reshape(3, p)
+    prior = s[:p * p].reshape(p, p)
+    return prior, decay * prior + (1.0 - decay) * np.outer(c, c), mean, last
 
 
 def streaming_lowrank_cov(df: DataFrame, group: str, order: str, vector: str, rank: int = 8, decay: float = 0.99,
-                          tol: float = 1e-12, centre: str = "before", plan: Plan = AUTO) -> DataFrame:
-    """Ordered fold per key: mean, top eigenvalues, basis, diagnostics."""
-    kind = dict(df.dtypes)[group]
+                          tol: float = 1e-12, centre: str = "before", plan: Plan = AUTO, block: int = BLOCK_ROWS) -> DataFrame:
+    """Per key the decayed mean, the leading part of the decayed covariance, and diagnostics.
+    The rank is cut once, from the whole sum."""
+
+    def one(g, n, sums):
+        prior, cov, mean, _ = moments_of(sums, decay)
+        basis, values = leading(cov, rank, tol)
+        return (g, n, basis.shape[1], values.tolist(), mean.tolist(), basis.T.ravel().tolist(), effective_rank(values),
+                turnover(leading(prior, rank, tol)[0], basis), orthogonality_error(basis))
+
+    names = [group, "rows", "basis_rank", "eigenvalues", "mean", "basis", "effective_rank", "turnover", "orthogonality_error"]
 
-    def run(pdf):
-        s = _fold_rows(pdf, order, vector, decay, rank, tol, centre)
-        b = s["basis"]
-        return pd.DataFrame([(
-            pdf[group].iloc[0], int(pdf["__len"].iloc[0]), 0 if b is None else b.shape[1], s["values"].tolist(), s["mean"].tolist(),
-            [] if b is None else b.T.ravel().tolist(), effective_rank(s["values"]), s["turnover"], orthogonality_error(b))],
-            columns=[group, "rows", "basis_rank", "eigenvalues", "mean", "basis", "effective_rank", "turnover", "orthogonality_error"])
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([one(*row) for row in zip(pdf[group], pdf["rows"], pdf["sums"])], columns=names)
 
-    schema = (f"{group} {kind}, rows bigint, basis_rank int, eigenvalues array<double>, mean array<double>, basis array<double>, "
+    schema = (f"{group} {dict(df.dtypes)[group]}, rows bigint, basis_rank int, eigenvalues array<double>, mean array<double>, basis array<double>, "
               "effective_rank double, turnover double, orthogonality_error double")
-    return recent(df.select(group, order, vector), [group], order, decay, plan).groupBy(group).applyInPandas(run, schema)
+    return decayed_moments(df, [group], order, vector, decay, centre, plan, block).mapInPandas(run, schema)
 
 
 def _vector_udf(fn):
@@ -286,27 +353,28 @@ def soft_weight_project(df: DataFrame, vector: str, basis: np.ndarray, values: n
 def block_spectral(df: DataFrame, group: str, order: str, vector: str, dim: int, block: int, total_rank: int,
                    decay: float = 0.99, mode: str = "top", plan: Plan = AUTO) -> DataFrame:
     """Coordinates in fixed blocks, the rank spread evenly (the first blocks get the
-    remainder); each (key, block) is folded on its own and filters its last vector."""
+    remainder); each (key, block) has its own decayed covariance and filters its last vector."""
     sizes = [min(block, dim - i) for i in range(0, dim, block)]
     if total_rank < len(sizes):
         raise ValueError("total rank must be at least the number of blocks")
     q, rem = divmod(total_rank, len(sizes))
     caps = [q + (i < rem) for i in range(len(sizes))]
     parts = F.posexplode(F.array(*[F.slice(F.col(vector), 1 + i * block, s) for i, s in enumerate(sizes)])).alias("block", "part")
-    d = recent(df.select(group, order, vector), [group], order, decay, plan).select(group, order, parts)
-    kind = dict(df.dtypes)[group]
+    sums = decayed_moments(df.select(group, order, parts), [group, "block"], order, "part", decay, plan=plan)
+
+    def one(g, b, s):
+        _, cov, _, last = moments_of(s, decay)
+        basis, values = leading(cov, caps[b])
+        done = project(last[None, :], basis, mode)[0] if basis.shape[1] else last
+        return g, b, caps[b], basis.shape[1], effective_rank(values), done.tolist()
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([one(*row) for row in zip(pdf[group], pdf["block"], pdf["sums"])],
+                               columns=[group, "block", "rank_cap", "basis_rank", "effective_rank", "filtered"])
 
-    def run(pdf):
-        b = int(pdf["block"].iloc[0])
-        s = _fold_rows(pdf, order, "part", decay, caps[b], 1e-12, "before")
-        last = np.asarray(pdf.sort_values(order)["part"].iloc[-1], dtype=np.float64)[None, :]
-        done = last if s["basis"] is None else project(last, s["basis"], mode)
-        return pd.DataFrame([(pdf[group].iloc[0], b, caps[b], 0 if s["basis"] is None else s["basis"].shape[1],
-                              effective_rank(s["values"]), done[0].tolist())],
-                            columns=[group, "block", "rank_cap", "basis_rank", "effective_rank", "filtered"])
-
-    return d.groupBy(group, "block").applyInPandas(
-        run, f"{group} {kind}, block int, rank_cap int, basis_rank int, effective_rank double, filtered array<double>")
+    return sums.mapInPandas(
+        run, f"{group} {dict(df.dtypes)[group]}, block int, rank_cap int, basis_rank int, effective_rank double, filtered array<double>")
 
 
 def shuffled_history_control(df: DataFrame, group: str, order: str, depth: int = 32, seed: int = 0, plan: Plan = AUTO) -> DataFrame:

@@ -1,6 +1,6 @@
 """Keyed folds with saved state. Rows of a micro-batch are put in order per key; rows
-at or before the last one seen are rejected. A fold that forgets exponentially keeps
-only the rows that still weigh, so a hot key needs bounded memory."""
+at or before the last one seen are rejected. A task holds one key's rows of a micro-batch,
+so the trigger's row limit bounds its memory."""
 
 from __future__ import annotations
 
@@ -10,22 +10,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from eralens.functions.lowrank import effective_rank, fold, horizon, orthogonality_error, start_state
+from eralens.functions.lowrank import distances, effective_rank, leading, mean_share, orthogonality_error, outer_sum, turnover
 
 
-def _ordered(frames: Iterable[pd.DataFrame], order: str, after, keep: int | None) -> tuple[pd.DataFrame, int, bool]:
-    """New rows in order, their number, and whether older ones were let go."""
-    held, total, cut = None, 0, False
-    for f in frames:
-        f = f[f[order] > after] if after is not None else f
-        total += len(f)
-        held = f if held is None else pd.concat([held, f], ignore_index=True)
-        if keep is not None and len(held) > 4 * keep:
-            held, cut = held.nlargest(keep, order), True
-    held = held.sort_values(order)
-    if keep is not None and len(held) > keep:
-        held, cut = held.tail(keep), True
-    return held, total, cut
+def _ordered(frames: Iterable[pd.DataFrame], order: str, after) -> pd.DataFrame:
+    """New rows of a micro-batch in order."""
+    rows = pd.concat(list(frames), ignore_index=True)
+    return (rows if after is None else rows[rows[order] > after]).sort_values(order)
 
 
 def _types(df: DataFrame, cols: list[str]) -> str:
@@ -34,50 +25,43 @@ def _types(df: DataFrame, cols: list[str]) -> str:
 
 
 def stream_lowrank_cov(stream: DataFrame, key: str, order: str, vector: str, rank: int = 8, decay: float = 0.99) -> DataFrame:
-    """Incremental fold per key; emits the state's summary after every micro-batch."""
-    keep = 2 * horizon(decay)
+    """Decayed mean and covariance per key; emits the summary after every micro-batch. The
+    state is the whole covariance (dim x dim), so batch sizes do not change the result."""
 
     def run(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        s, seen, last = start_state(), 0, None
-        if state.exists:
-            mean, basis, values, updates, seen, last = state.get
-            s["mean"] = np.asarray(mean)
-            s["updates"] = updates
-            if len(values):
-                s["values"] = np.asarray(values)
-                s["basis"] = np.asarray(basis).reshape(len(values), -1).T
-        rows, n, cut = _ordered(frames, order, last, keep)
-        if n == 0:
+        mean, cov, seen, last = state.get if state.exists else (None, None, 0, None)
+        rows = _ordered(frames, order, last)
+        if rows.empty:
             return
-        if cut:
-            s = start_state()
-        for x in rows[vector]:
-            s = fold(s, np.asarray(x, dtype=np.float64), decay, rank)
-        b = s["basis"]
-        flat = [] if b is None else b.T.ravel().tolist()
-        seen, last = seen + n, int(rows[order].iloc[-1])
-        state.update((s["mean"].tolist(), flat, s["values"].tolist(), int(s["updates"]), seen, last))
-        yield pd.DataFrame({key: [name[0]], "rows": [seen], "eigenvalues": [s["values"].tolist()], "effective_rank": [effective_rank(s["values"])],
-                            "turnover": [s["turnover"]], "orthogonality_error": [orthogonality_error(b)]})
+        x = np.array([np.asarray(v, dtype=np.float64) for v in rows[vector]])
+        c, mean = distances(x, decay, None if mean is None else np.asarray(mean, dtype=np.float64))
+        prior = outer_sum(c[:-1], decay)
+        if cov is not None:
+            prior = prior + decay ** (len(x) - 1) * np.asarray(cov).reshape(prior.shape)
+        cov = decay * prior + (1.0 - decay) * np.outer(c[-1], c[-1])
+        seen, last = seen + len(x), int(rows[order].iloc[-1])
+        state.update((mean.tolist(), cov.ravel().tolist(), seen, last))
+        basis, values = leading(cov, rank)
+        yield pd.DataFrame({key: [name[0]], "rows": [seen], "eigenvalues": [values.tolist()], "effective_rank": [effective_rank(values)],
+                            "turnover": [turnover(leading(prior, rank)[0], basis)], "orthogonality_error": [orthogonality_error(basis)]})
 
     out = f"{_types(stream, [key])}, rows bigint, eigenvalues array<double>, effective_rank double, turnover double, orthogonality_error double"
-    saved = "mean array<double>, basis array<double>, eigenvals array<double>, updates bigint, seen bigint, last bigint"
+    saved = "mean array<double>, cov array<double>, seen bigint, last bigint"
     return stream.select(key, order, vector).groupBy(key).applyInPandasWithState(run, out, saved, "update", "NoTimeout")
 
 
 def stream_ema(stream: DataFrame, key: str, order: str, value: str, decay: float = 0.98) -> DataFrame:
-    keep = horizon(decay)
+    """Exponential average per key, started with the first value. A micro-batch adds the
+    decayed sum of its rows to the faded average."""
 
     def run(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         level, seen, last = state.get if state.exists else (None, 0, None)
-        rows, n, cut = _ordered(frames, order, last, keep)
-        if n == 0:
+        rows = _ordered(frames, order, last)
+        if rows.empty:
             return
-        if cut:
-            level = None
-        for x in rows[value]:
-            level = float(x) if level is None else decay * level + (1.0 - decay) * float(x)
-        seen, last = seen + n, int(rows[order].iloc[-1])
+        added = float(mean_share(rows[value].to_numpy(np.float64)[:, None], decay, level is None)[0])
+        level = added if level is None else decay ** len(rows) * level + added
+        seen, last = seen + len(rows), int(rows[order].iloc[-1])
         state.update((level, seen, last))
         yield pd.DataFrame({key: [name[0]], "ema": [level], "rows": [seen]})
 

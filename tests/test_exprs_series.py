@@ -8,7 +8,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from eralens.functions import exprs, ranking, series
-from eralens.functions.lowrank import horizon
 
 SPLIT = ranking.Split(rows=20, max_splits=16, sample=1)
 
@@ -55,10 +54,6 @@ def test_rolling(walk, plan):
     assert np.allclose(got["m"].to_numpy(float), want.to_numpy(), equal_nan=True)
 
 
-def test_horizon():
-    assert 0.99 ** horizon(0.99) <= 1e-18 < 0.99 ** (horizon(0.99) - 1)
-
-
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.integers(-1000, 1000), min_size=2, max_size=40))
 def test_moments_corr_property(spark, xs):

@@ -153,11 +153,3 @@ def test_mann_whitney_and_wilcoxon(rows):
     assert inference.mann_whitney(d, ["k"], "g", "a", "b", "v").first()["u"] == pytest.approx(u)
     s = rows([("k", v) for v in [0.3, -0.1, 0.2, 0.0, -0.4]], "k string, v double")
     assert inference.signed_tests(s, ["k"], "v").first()["w_plus"] == pytest.approx(3 + 2)
-
-
-def test_power_with_no_noise_effect(rows):
-    g = np.random.default_rng(0)
-    d = rows([("x", s, e, float(0.02 + 0.0001 * g.standard_normal())) for s in range(3) for e in range(60)], "arm string, seed int, era int, corr double")
-    p = inference.bootstrap_power(inference.noise_pool(d, "corr"), ["arm"], inference.threshold_of(d, ["arm"], "corr"), 60, outer=20, inner=50)
-    got = {r["scenario"]: r for r in p.collect()}
-    assert got["plus_2thr"]["helps_strict"] == 1.0 and got["minus_thr"]["hurts"] == 1.0 and got["null"]["doesnt_help"] == 1.0
