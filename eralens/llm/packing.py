@@ -40,9 +40,10 @@ class WordTokenizer(dict):
     PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9²³¹¼½¾]|[^\sa-z{LETTERS}0-9²³¹¼½¾]+")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -50,19 +51,28 @@ class WordTokenizer(dict):
 
     def piece(self, p: str) -> bytes:
         if not p.isascii():
-            return self.whole(p)
+            if max(p) > "ſ":
+                return self.whole(p)
+            p = self.as_bytes(p)[0][0]
         ids = [t.id for t in self.tokenizer.model.tokenize(p)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) > CACHED_WORDS:
             self.clear()
+        if len(self.pieces) > CACHED_WORDS:
             self.pieces.clear()
-        out = b""
-        for p in self.PIECE.findall(word.lower()):
-            if p not in self.pieces:
-                self.pieces[p] = self.piece(p)
-            out += self.pieces[p]
+        low, pieces = word.lower(), self.pieces
+        if low.isalpha():                                           # letters alone are one piece
+            out = pieces.get(low)
+            if out is None:
+                pieces[low] = out = self.piece(low)
+        else:
+            out = b""
+            for p in self.PIECE.findall(low):
+                if p not in pieces:
+                    pieces[p] = self.piece(p)
+                out += pieces[p]
         self[word] = out
         return out
 
