@@ -63,6 +63,16 @@ def _with_keys(df: DataFrame, keys: Sequence[str], order: str) -> tuple[DataFram
     return df.withColumn(SINGLE, F.pmod(F.xxhash64(F.col(order)), F.lit(1)).cast("int")), [SINGLE]
 
 
+def on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", plain: Sequence[str] = ()) -> DataFrame:
+    """Equi-join in which a null key equals itself, as it does in windows and groups; the
+    ``plain`` columns are compared as usual. The key columns of ``left`` stay."""
+    cols = [*keys, *plain]
+    named = {k: f"__key{i}" for i, k in enumerate(cols)}
+    r = right.select(*[F.col(k).alias(n) for k, n in named.items()], *[c for c in right.columns if c not in cols])
+    same = [F.col(k).eqNullSafe(F.col(named[k])) for k in keys] + [F.col(k) == F.col(named[k]) for k in plain]
+    return left.join(r, same, how).drop(*named.values())
+
+
 def _cut_points(d: DataFrame, keys: list[str], split: Split) -> DataFrame:
     """Sorted cut values for those groups that exceed ``split.rows`` keys."""
     h = F.xxhash64("__o")
@@ -125,13 +135,13 @@ def running_weight(
     order_key = F.col(cols[0]) if len(cols) == 1 else F.struct(*cols)
     d = cut_lineage(given.withColumn("__o", order_key).withColumn("__wt", weight))
     cuts = _cut_points(d, keys_, split)
-    in_range = d.join(cuts, keys_, "left").withColumn("__b", _range_of(split)).drop("__cuts")
+    in_range = on_keys(d, cuts, keys_).withColumn("__b", _range_of(split)).drop("__cuts")
     w = W.partitionBy(*keys_, "__b")
     local = in_range.withColumn(
         "__cum", F.sum("__wt").over(w.orderBy("__o").rowsBetween(W.unboundedPreceding, 0))
     ).withColumn("__all", F.sum("__wt").over(w))
     per_range = (
-        d.select(*keys_, "__o", "__wt").join(cuts, keys_)
+        on_keys(d.select(*keys_, "__o", "__wt"), cuts, keys_, "inner")
         .groupBy(*keys_, _range_of(split).alias("__b"))
         .agg(F.sum("__wt").alias("__r"))
     )
@@ -141,7 +151,7 @@ def running_weight(
         (F.sum("__r").over(g.orderBy("__b").rowsBetween(W.unboundedPreceding, 0)) - F.col("__r")).alias("__off"),
         F.sum("__r").over(g).alias("__grp"),
     )
-    return local.join(offsets, [*keys_, "__b"], "left").select(
+    return on_keys(local, offsets, keys_, plain=["__b"]).select(
         *kept,
         (F.col("__cum") - F.col("__wt") + F.coalesce(F.col("__off"), F.lit(0))).alias("before"),
         F.coalesce(F.col("__grp"), F.col("__all")).alias("whole"),
@@ -189,7 +199,7 @@ def with_rank(
     ranks = distinct_ranks(df, keys, value, plan=split).select(
         *keys, value, formula(F.col("below"), F.col("ties"), F.col("total")).alias(out)
     )
-    return df.join(ranks, [*keys, value], "left")
+    return on_keys(df, ranks, keys, plain=[value])
 
 
 def row_positions(

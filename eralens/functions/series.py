@@ -10,11 +10,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eralens.functions.ranking import AUTO, Plan, resolve, row_positions
+from eralens.functions.ranking import AUTO, Plan, on_keys, resolve, row_positions
 
 BLOCK = 262_144
 
@@ -47,8 +48,8 @@ def ema(df: DataFrame, keys: Sequence[str], order: str, value: str, decay: float
     """e_t = decay e_(t-1) + (1 - decay) x_t, started with the first value.
 
     Inside a block the recursion is a scaled cumulative sum; the block length keeps
-    decay**-length near 1e12, so nothing overflows, and what is carried over more
-    than three blocks is below double precision."""
+    decay**-length near 1e12, so nothing overflows. All blocks before one reach
+    it as one carried value. A null key is a key; a null value adds nothing."""
     d = row_positions(df, keys, order, "__pos", plan)
     size = max(2, int(12 * math.log(10) / -math.log(decay)))
     d = d.withColumn("__block", F.floor(F.col("__pos") / size)).withColumn("__j", F.pmod(F.col("__pos"), F.lit(size)).cast("double"))
@@ -58,14 +59,27 @@ def ema(df: DataFrame, keys: Sequence[str], order: str, value: str, decay: float
     upto = block.orderBy("__pos").rowsBetween(W.unboundedPreceding, 0)
     local = F.sum(share * F.col(value) / scale).over(upto) * scale
     d = d.withColumn("__local", local).withColumn("__scale", F.pow(F.lit(decay), F.col("__j") + 1))
-    ends = d.where(F.col("__j") == size - 1).select(*keys, "__block", F.col("__local").alias("__end"))
-    whole = decay ** size
-    carried = ends.select(
-        *keys, "__end",
-        F.explode(F.array(*[F.struct((F.col("__block") + i).alias("b"), F.lit(whole ** (i - 1)).alias("w")) for i in (1, 2, 3)])).alias("t"),
-    ).groupBy(*keys, F.col("t.b").alias("__block")).agg(F.sum(F.col("__end") * F.col("t.w")).alias("__carry"))
+    # What a block starts from: the ends of the blocks before it, each faded by the blocks
+    # between; folded in order over one row per block.
+    kinds, n, whole = dict(d.dtypes), len(keys), decay ** size
+    ends = d.where(F.col("__j") == size - 1).select(*keys, "__block", F.coalesce("__local", F.lit(0.0)).alias("__end"))
+
+    def carry(batches):
+        level = 0.0
+        for b in batches:
+            held = []
+            for at, end in zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist()):
+                level = end if at == 0 else whole * level + end
+                held.append((at + 1, level))
+            after, levels = zip(*held) if held else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(i) for i in range(n)], pa.array(after, pa.int64()), pa.array(levels, pa.float64())], names=[*keys, "__block", "__carry"])
+
+    named = "".join(f"{k} {kinds[k]}, " for k in keys)
+    in_order = ends.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "__block")
+    carried = in_order.mapInArrow(carry, f"{named}__block bigint, __carry double")
     return (
-        d.join(carried, [*keys, "__block"], "left")
+        on_keys(d, carried, keys, plain=["__block"])
         .withColumn(out, F.col("__local") + F.col("__scale") * F.coalesce("__carry", F.lit(0.0)))
         .drop("__pos", "__block", "__j", "__local", "__scale", "__carry")
     )

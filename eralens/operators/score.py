@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eralens.functions.exprs import on_grid, moments_corr, signed_pow, with_probit
-from eralens.functions.ranking import AUTO, Plan, distinct_ranks, resolve, row_positions, with_rank
+from eralens.functions.ranking import AUTO, Plan, distinct_ranks, on_keys, resolve, row_positions, with_rank
 
 
 def rank_within_era(df: DataFrame, value: str = "prediction", keys: Sequence[str] = ("era",),
@@ -75,7 +75,7 @@ def _centred_target(df: DataFrame, keys: Sequence[str], target: str, split) -> D
     if split is None:
         return df.withColumn("__tc", F.col(target) - F.avg(target).over(W.partitionBy(*keys)))
     means = df.groupBy(*keys).agg(F.avg(target).alias("__tm"))
-    return df.join(means, list(keys)).withColumn("__tc", F.col(target) - F.col("__tm")).drop("__tm")
+    return on_keys(df, means, list(keys), "inner").withColumn("__tc", F.col(target) - F.col("__tm")).drop("__tm")
 
 
 def corr_official(df: DataFrame, keys: Sequence[str], pred: str = "prediction", target: str = "target",

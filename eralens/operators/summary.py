@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eralens.functions.exprs import on_grid, finite
-from eralens.functions.ranking import AUTO, Plan, exact_quantiles, row_positions, running_weight, top_n
+from eralens.functions.ranking import AUTO, Plan, exact_quantiles, on_keys, row_positions, running_weight, top_n
 from eralens.functions.series import era_positions, era_window, ema, rolling  # noqa: F401
 from eralens.operators.score import pearson
 
@@ -73,7 +73,7 @@ def loss_over_initial(df: DataFrame, keys: Sequence[str], order: str, loss: str
     """loss / first loss of the run. The first loss is an aggregate joined back, so a
     long run is never collected."""
     first = df.groupBy(*keys).agg(F.min_by(loss, order).alias("initial"))
-    return df.join(first, list(keys)).withColumn("loss_over_initial", F.col(loss) / F.col("initial"))
+    return on_keys(df, first, list(keys)).withColumn("loss_over_initial", F.col(loss) / F.col("initial"))
 
 
 def loss_violations(df: DataFrame, keys: Sequence[str], order: str, loss: str = "loss") -> DataFrame:

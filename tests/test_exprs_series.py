@@ -45,6 +45,16 @@ def test_ema(walk, plan, decay):
     assert np.allclose(got["e"].to_numpy(), want.to_numpy(), rtol=1e-10)
 
 
+@pytest.mark.parametrize("plan", [None, SPLIT])
+def test_ema_of_a_null_key_and_of_old_values(rows, plan):
+    """What is carried over many blocks counts, however small later values are."""
+    x = np.r_[1e30, np.zeros(300)]
+    d = rows([(k, i, float(v)) for k in (None, 7) for i, v in enumerate(x)], "run int, step int, x double")
+    got = series.ema(d, ["run"], "step", "x", 0.5, "e", plan).collect()
+    assert len(got) == 602 and {r["run"] for r in got} == {None, 7}
+    assert all(r["e"] == pytest.approx(1e30 * 0.5 ** r["step"], rel=1e-9) for r in got)
+
+
 @pytest.mark.parametrize("plan", [None, SPLIT])
 def test_rolling(walk, plan):
     pdf, df = walk

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eralens.functions import ranking as R
+from eralens.operators import score
 
 PLANS = [None, R.Split(rows=20, max_splits=16, sample=1)]
 
@@ -68,6 +69,19 @@ def test_nulls_are_not_ranked(rows):
         assert got == {1: None, 2: 0.25, 3: 0.75}
 
 
+def test_a_null_key_is_a_group_in_both_plans(rows):
+    data = [(None if i % 3 else 5, i, float((i * 37) % 101) if i % 10 else None) for i in range(200)]
+    d = rows(data, "era int, id int, value double")
+    found = []
+    for plan in PLANS:
+        r = R.row_positions(R.with_rank(d, ["era"], "value", "rank", plan=plan), ["era"], "id", plan=plan, total="n")
+        found.append({x["id"]: (x["era"], x["rank"], x["pos"], x["n"]) for x in r.collect()})
+        c = score.corr_official(d.withColumn("target", F.col("id") / 200), ["era"], "value", "target", plan=plan).collect()
+        assert {x["era"] for x in c} == {None, 5} and all(x["corr"] is not None for x in c)
+    assert found[0] == found[1] and len(found[0]) == 200
+    assert all(v[1] is not None for k, v in found[0].items() if k % 10)
+
+
 def test_plan_follows_the_largest_group(skewed):
     _, df = skewed
     assert R.plan_groups(df, ["era"], bound=10_000) is None
