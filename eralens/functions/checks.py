@@ -21,6 +21,18 @@ def violation(df: DataFrame, kind: str, key: Column, detail: Column | None = Non
     )
 
 
+def findings(df: DataFrame, key: Column, *cases: tuple) -> DataFrame:
+    """Violations of several kinds from one pass over ``df``. A case is ``(kind, condition)``
+    or ``(kind, condition, detail)``; a row gives a violation for each condition it meets."""
+    found = [
+        F.when(condition, F.struct(
+            F.lit(kind).alias("kind"), key.cast("string").alias("key"),
+            (detail[0] if detail else F.lit("")).cast("string").alias("detail")))
+        for kind, condition, *detail in cases
+    ]
+    return df.select(F.inline(F.filter(F.array(*found), lambda v: v.isNotNull())))
+
+
 def together(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

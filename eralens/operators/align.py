@@ -5,16 +5,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eralens.functions.checks import together, violation
+from eralens.functions.checks import findings, require, violation
 from eralens.functions.exprs import finite
 from eralens.functions.ranking import AUTO, Plan, row_positions
 
 
 def benchmark_left_join(panel: DataFrame, bench: DataFrame, key: str = "id") -> DataFrame:
-    """No broadcast hint: the benchmark grows with the panel, AQE decides by size."""
-    return panel.join(bench, key, "left")
+    """No broadcast hint: the benchmark grows with the panel, AQE decides by size. A
+    benchmark id that is repeated fails the job; its count shares the join's shuffle."""
+    n = F.count(F.lit(1)).over(W.partitionBy(key))
+    repeated = F.raise_error(F.concat(F.lit(f"benchmark {key} repeated: "), F.col(key).cast("string")))
+    once = bench.where(F.col(key).isNotNull()).withColumn("__n", n).where(F.when(F.col("__n") == 1, True).otherwise(repeated))
+    return panel.join(once.drop("__n"), key, "left")
 
 
 def duplicate_violations(df: DataFrame, keys: Sequence[str], kind: str = "duplicate") -> DataFrame:
@@ -60,12 +65,12 @@ def exact_alignment(left: DataFrame, right: DataFrame, key: str, value: str) ->
         return df.groupBy(key).agg(F.count(F.lit(1)).alias(f"n_{tag}"), F.count(F.when(~finite(F.col(value)), 1)).alias(f"null_{tag}"))
 
     j = side(left, "l").join(side(right, "r"), key, "full")
-    k = F.col(key)
-    return together(
-        violation(j.where(F.col("n_l").isNull()), "missing_left", k),
-        violation(j.where(F.col("n_r").isNull()), "missing_right", k),
-        violation(j.where((F.col("n_l") > 1) | (F.col("n_r") > 1)), "duplicate", k),
-        violation(j.where((F.col("null_l") > 0) | (F.col("null_r") > 0)), "null", k),
+    return findings(
+        j, F.col(key),
+        ("missing_left", F.col("n_l").isNull()),
+        ("missing_right", F.col("n_r").isNull()),
+        ("duplicate", (F.col("n_l") > 1) | (F.col("n_r") > 1)),
+        ("null", (F.col("null_l") > 0) | (F.col("null_r") > 0)),
     )
 
 
@@ -75,10 +80,10 @@ def seed_alignment(df: DataFrame, keys: Sequence[str], fields: Sequence[str], ex
     h = F.xxhash64(F.struct(*[F.coalesce(F.col(f).cast("string"), F.lit("\0null")) for f in fields]))
     g = df.groupBy(*keys).agg(F.min(h).alias("lo"), F.max(h).alias("hi"), F.count(F.lit(1)).alias("n"))
     key = F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
-    parts = [violation(g.where(F.col("lo") != F.col("hi")), "disagree", key, F.col("n"))]
+    cases = [("disagree", F.col("lo") != F.col("hi"), F.col("n"))]
     if expected is not None:
-        parts.append(violation(g.where(F.col("n") != expected), "copies", key, F.col("n")))
-    return together(*parts)
+        cases.append(("copies", F.col("n") != expected, F.col("n")))
+    return findings(g, key, *cases)
 
 
 def target_alias_check(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -125,8 +130,9 @@ def arm_seed_pivot(df: DataFrame, keys: Sequence[str], arms: tuple[str, str], va
     return wide.withColumn("difference", F.col(arms[0]) - F.col(arms[1]))
 
 
-def append_resolved(train: DataFrame, validation: DataFrame, columns: Sequence[str], target: str = "target") -> DataFrame:
-    """Train rows plus the validation rows whose target is known."""
+def append_resolved(train: DataFrame, validation: DataFrame, columns: Sequence[str], target: str = "target", era: str = "era") -> DataFrame:
+    """Train rows plus the validation rows whose target is known; raises if they share an era."""
+    require(append_violations(train, validation, era), "append")
     return train.select(*columns).unionByName(validation.where(finite(F.col(target))).select(*columns))
 
 

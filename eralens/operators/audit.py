@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eralens.functions.checks import together, violation
+from eralens.functions.checks import findings, together, violation
 from eralens.functions.exprs import finite
 from eralens.functions.ranking import AUTO, Plan, row_positions
 
@@ -45,11 +45,11 @@ def cell_manifest_audit(manifest: DataFrame, selected: DataFrame, seeds: Sequenc
     ids = [*keys, "seed"]
     want = selected.select(*keys).distinct().withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
     got = manifest.select(*ids).distinct()
+    cells = want.withColumn("__want", F.lit(True)).join(got.withColumn("__got", F.lit(True)), ids, "full")
     key = F.concat_ws(":", *[F.col(c).cast("string") for c in ids])
     jobs = manifest.groupBy("job").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     return together(
-        violation(want.join(got, ids, "left_anti"), "missing_cell", key),
-        violation(got.join(want, ids, "left_anti"), "extra_cell", key),
+        findings(cells, key, ("missing_cell", F.col("__got").isNull()), ("extra_cell", F.col("__want").isNull())),
         violation(jobs, "job_repeated", F.col("job"), F.col("n")),
     )
 
@@ -120,15 +120,14 @@ def curve_protocol_audit(curves: DataFrame, keys: Sequence[str], step: str, valu
     broken = F.lit(False)
     for v in values:
         broken = broken | ~finite(F.col(v))
-    parts = [
-        violation(grid.join(have, [*keys, step], "left_anti"), "missing_step", key, F.col(step)),
-        violation(have.join(grid, [*keys, step], "left_anti"), "off_grid", key, F.col(step)),
-        violation(curves.where(broken), "not_finite", key, F.col(step)),
-    ]
+    steps = grid.withColumn("__want", F.lit(True)).join(have.withColumn("__got", F.lit(True)), [*keys, step], "full")
+    cases = [("not_finite", broken, F.col(step))]
     if realized:
-        wrong = curves.where(F.col(realized) != rank_formula(total_rank, blocks, F.col(step)))
-        parts.append(violation(wrong, "rank", key, F.col(step)))
-    return together(*parts)
+        cases.append(("rank", F.col(realized) != rank_formula(total_rank, blocks, F.col(step)), F.col(step)))
+    return together(
+        findings(steps, key, ("missing_step", F.col("__got").isNull(), F.col(step)), ("off_grid", F.col("__want").isNull(), F.col(step))),
+        findings(curves, key, *cases),
+    )
 
 
 def one_touch_audit(ledger: DataFrame, signature: str) -> DataFrame:
@@ -140,27 +139,31 @@ def one_touch_audit(ledger: DataFrame, signature: str) -> DataFrame:
 def live_round_checks(live: DataFrame, bench: DataFrame, target: str = "target", bench_value: str = "benchmark", key: str = "id") -> DataFrame:
     """Empty round, repeated ids, ids on one side only, revealed targets, missing benchmark."""
     empty = live.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 0)
-    twice = live.groupBy(key).count().where(F.col("count") > 1)
+    ids = live.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    known = bench.select(key).distinct().withColumn("__known", F.lit(True))
     k = F.col(key)
     return together(
         violation(empty, "empty", F.lit("round")),
-        violation(twice, "duplicate", k, F.col("count")),
-        violation(live.join(bench, key, "left_anti"), "no_benchmark", k),
-        violation(bench.join(live, key, "left_anti"), "not_live", k),
-        violation(live.where(F.col(target).isNotNull()), "revealed_target", k),
-        violation(bench.where(~finite(F.col(bench_value))), "benchmark_missing", k),
+        violation(ids.where(F.col("__n") > 1), "duplicate", k, F.col("__n")),
+        findings(live.join(known, key, "left"), k, ("no_benchmark", F.col("__known").isNull()), ("revealed_target", F.col(target).isNotNull())),
+        findings(bench.join(ids, key, "left"), k, ("not_live", F.col("__n").isNull()), ("benchmark_missing", ~finite(F.col(bench_value)))),
     )
 
 
 def prediction_range_check(predictions: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
-    """Values not strictly inside (0, 1), ids without or with several predictions."""
+    """Values not strictly inside (0, 1), ids without or with several predictions
+    (once an id, however often ``ids`` repeats it)."""
     p = F.col("prediction")
-    n = predictions.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    n = predictions.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    known = ids.groupBy(key).agg(F.count(F.lit(1)).alias("__ids"))
     return together(
         violation(predictions.where(~(finite(p) & (p > 0.0) & (p < 1.0))), "range", F.col(key)),
-        violation(n.where(F.col("n") > 1), "duplicate", F.col(key), F.col("n")),
-        violation(ids.join(n, key, "left_anti"), "missing", F.col(key)),
-        violation(n.join(ids, key, "left_anti"), "unknown", F.col(key)),
+        findings(
+            n.join(known, key, "full"), F.col(key),
+            ("duplicate", F.col("__n") > 1, F.col("__n")),
+            ("missing", F.col("__n").isNull()),
+            ("unknown", F.col("__ids").isNull()),
+        ),
     )
 
 

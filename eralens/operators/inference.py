@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eralens.functions.checks import together, violation
+from eralens.functions.checks import findings
 from eralens.functions.exprs import finite, hash_u32, keyed
 from eralens.functions.ranking import AUTO, Plan, distinct_ranks, exact_quantiles, resolve, with_rank
 from eralens.functions.series import era_positions
@@ -44,11 +44,8 @@ def pairing_violations(scores: DataFrame, a: str, b: str, keys: Sequence[str], v
         F.count(F.when(~finite(F.col(value)), 1)).alias("broken"),
     )
     n0, n1 = F.col("n_0"), F.col("n_1")
-    return together(
-        violation(per.where((n0 > 1) | (n1 > 1)), "duplicate", key),
-        violation(per.where((n0 == 0) | (n1 == 0)), "missing", key),
-        violation(per.where(F.col("broken") > 0), "not_finite", key),
-    )
+    return findings(
+        per, key, ("duplicate", (n0 > 1) | (n1 > 1)), ("missing", (n0 == 0) | (n1 == 0)), ("not_finite", F.col("broken") > 0))
 
 
 def series_shape(series: DataFrame, keys: Sequence[str], value: str, era: str = "era") -> DataFrame:

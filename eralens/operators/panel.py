@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eralens.functions.exprs import finite, hash_unit, keyed, signed_pow, with_probit
-from eralens.functions.ranking import AUTO, Plan, exact_quantiles, resolve, row_positions, top_n
+from eralens.functions.ranking import AUTO, Plan, exact_quantiles, on_keys, resolve, row_positions, top_n
 
 TOLERANCE = 1e-6
 
@@ -27,13 +27,15 @@ def encode_bins(x: Column, scale: str) -> Column:
     return F.when(ok, c.cast("tinyint"))
 
 
-def normalise_live_features(df: DataFrame, features: str = "features") -> DataFrame:
+def normalise_live_features(df: DataFrame, features: str = "features", by: Sequence[str] = ()) -> DataFrame:
     """Missing -> 1/2; a frame with any value above 1 must hold integers 0..4 and is
-    divided by 4. Adds ``normalised`` and ``valid``."""
+    divided by 4. ``by`` names what tells frames apart, such as the round; without it the
+    table is one frame. Adds ``normalised`` and ``valid``."""
     filled = F.transform(features, lambda v: F.when(finite(v.cast("double")), v.cast("double")).otherwise(F.lit(0.5)))
     d = df.withColumn("__f", filled)
-    frame_max = d.agg(F.max(F.array_max("__f"))).scalar()
-    d = d.withColumn("__scale", F.when(frame_max > 1.0, 4.0).otherwise(1.0))
+    top = F.max(F.array_max("__f")).alias("__top")
+    d = on_keys(d, d.groupBy(*by).agg(top), list(by)) if by else d.withColumn("__top", d.agg(top).scalar())
+    d = d.withColumn("__scale", F.when(F.col("__top") > 1.0, 4.0).otherwise(1.0)).drop("__top")
     integral = F.forall("__f", lambda v: (F.abs(v - F.rint(v)) <= TOLERANCE) & v.between(0.0, 4.0))
     unit = F.forall("__f", lambda v: v.between(0.0, 1.0))
     return (

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eralens.functions.checks import together, violation
+from eralens.functions.checks import findings, together, violation
 from eralens.functions.exprs import on_grid, finite
 from eralens.functions.ranking import AUTO, Plan, exact_quantiles, top_n
 
@@ -91,10 +91,9 @@ def select_budgeted(scores: DataFrame, k: int) -> DataFrame:
 
 def arm_pair_difference(scores: DataFrame, arms: Sequence[str] = ARMS, ids: Sequence[str] = ("config_id", "updates")) -> DataFrame:
     """Pairs that only one arm evaluated."""
-    a, b = (scores.where(F.col("arm") == x).select(*ids).distinct() for x in arms)
+    seen = scores.where(F.col("arm").isin(*arms)).groupBy(*ids).agg(*[F.max(F.col("arm") == x).alias(f"__{i}") for i, x in enumerate(arms[:2])])
     key = F.concat_ws(":", *[F.col(c).cast("string") for c in ids])
-    return together(
-        violation(a.exceptAll(b), f"only_{arms[0]}", key), violation(b.exceptAll(a), f"only_{arms[1]}", key))
+    return findings(seen, key, (f"only_{arms[0]}", ~F.col("__1")), (f"only_{arms[1]}", ~F.col("__0")))
 
 
 def restrict_candidates(scores: DataFrame, ids: DataFrame, key: str = "config_id") -> DataFrame:
@@ -161,11 +160,9 @@ def collect_stage_audit(scores: DataFrame, expected_ids: DataFrame, arms: Sequen
     want = expected_ids.select("config_id").distinct().withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms])))
     got = scores.groupBy("arm", "config_id").agg(F.count(F.lit(1)).alias("n"))
     key = F.concat_ws(":", "arm", F.col("config_id").cast("string"))
-    return together(
-        violation(want.join(got, ["arm", "config_id"], "left_anti"), "missing", key),
-        violation(got.join(want, ["arm", "config_id"], "left_anti"), "unexpected", key),
-        violation(got.where(F.col("n") > 1), "duplicate", key, F.col("n")),
-    )
+    both = want.withColumn("__want", F.lit(True)).join(got, ["arm", "config_id"], "full")
+    return findings(
+        both, key, ("missing", F.col("n").isNull()), ("unexpected", F.col("__want").isNull()), ("duplicate", F.col("n") > 1, F.col("n")))
 
 
 def budget_sensitivity(scores: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eralens.functions.checks import together, violation
+from eralens.functions.checks import findings, together, violation
 
 # The published protocol's validation blocks, purge and smallest inner block.
 OUTER_BLOCKS = ((313, 390), (391, 468), (469, 574))
@@ -110,9 +110,8 @@ def split_violations(splits: DataFrame, purge: int) -> DataFrame:
     gap = F.col("valid_min") - F.col("train_max") - 1
     twice = splits.groupBy("split", "era").agg(F.countDistinct("role").alias("roles")).where(F.col("roles") > 1)
     return together(
-        violation(s.where(F.col("valid") == 0), "empty_valid", F.col("split")),
-        violation(s.where(F.col("purged") != purge), "purge_count", F.col("split"), F.col("purged")),
-        violation(s.where(gap != purge), "gap", F.col("split"), gap),
+        findings(s, F.col("split"), ("empty_valid", F.col("valid") == 0), ("purge_count", F.col("purged") != purge, F.col("purged")),
+                 ("gap", gap != purge, gap)),
         violation(twice, "role_overlap", F.concat_ws(":", "split", F.col("era").cast("string"))),
     )
 

@@ -98,9 +98,10 @@ def _(t):
     return d.groupBy("unit_code", "int_code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("normalise_live_features", with_(PANEL, """SELECT id, round(list_sum([x/4e0 for x in features]), 8) AS total, features[1]/4e0 AS first, true AS valid FROM panel"""))
+@query("normalise_live_features", with_(PANEL, """, f AS (SELECT id, features, CASE WHEN max(list_max(features)) OVER (PARTITION BY era) > 1 THEN 4e0 ELSE 1e0 END AS scale FROM panel)
+SELECT id, round(list_sum([x/scale for x in features]), 8) AS total, features[1]/scale AS first, true AS valid FROM f"""))
 def _(t):
-    d = panel.normalise_live_features(t.panel().select("id", "features"))
+    d = panel.normalise_live_features(t.panel().select("id", "era", "features"), by=["era"])
     total = F.aggregate("normalised", F.lit(0.0), lambda a, x: a + x)
     return d.select("id", rounded(total).alias("total"), F.col("normalised")[0].alias("first"), "valid")
 

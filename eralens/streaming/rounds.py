@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eralens.functions.checks import together, violation
+from eralens.functions.checks import findings, together, violation
 from eralens.functions.exprs import on_grid, finite
 from eralens.functions.ranking import AUTO, resolve, with_rank
 
@@ -22,8 +22,8 @@ def round_violations(rounds: DataFrame, models: list[str], benchmark: str, key:
     for m in models:
         broken = broken | ~finite(F.col(m))
     return together(
-        violation(twice, "duplicate", name, F.col("n")), violation(rounds.where(broken), "prediction_missing", name),
-        violation(rounds.where(~finite(F.col(benchmark))), "benchmark_missing", name))
+        violation(twice, "duplicate", name, F.col("n")),
+        findings(rounds, name, ("prediction_missing", broken), ("benchmark_missing", ~finite(F.col(benchmark)))))
 
 
 def score_whole_rounds(rounds: DataFrame, models: list[str], benchmark: str, weight: float, key: str = "id",

@@ -32,6 +32,12 @@ def test_normalise_live(rows):
     assert unit["normalised"] == [0.25, 0.5] and unit["valid"]
 
 
+def test_normalise_live_scales_each_round(rows):
+    d = rows([(7, 1, [0.0, 4.0]), (8, 2, [1.0, 0.5]), (None, 3, [2.0, 0.0])], "round int, id int, features array<double>")
+    got = {r["id"]: (r["normalised"], r["valid"]) for r in panel.normalise_live_features(d, by=["round"]).collect()}
+    assert got == {1: ([0.0, 1.0], True), 2: ([1.0, 0.5], True), 3: ([0.5, 0.0], True)}
+
+
 def test_feature_subset(rows):
     d = rows([(1, [10, 20, 30])], "id int, features array<int>")
     assert panel.select_feature_subset(d, ["a", "b", "c"], ["c", "a"]).first()["features"] == [30, 10]
@@ -116,6 +122,22 @@ def test_alignment_kinds(rows):
     assert kinds(align.exact_alignment(d(base), d([*base[:4], (4, None)]), "id", "v")) == [("null", "4")]
 
 
+def test_exact_alignment_reads_each_side_once(spark, tmp_path):
+    for side in ("l", "r"):
+        spark.range(50).selectExpr("id", "id / 2 AS v").write.parquet(str(tmp_path / side))
+    left, right = (spark.read.parquet(str(tmp_path / side)) for side in ("l", "r"))
+    plan = align.exact_alignment(left, right, "id", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and plan.count("Join ") == 1
+
+
+def test_repeated_benchmark_ids_fail(rows):
+    p = rows([(1,), (2,), (3,)], "id int")
+    once = align.benchmark_left_join(p, rows([(1, 0.5), (2, 0.6), (None, 0.7), (None, 0.8)], "id int, benchmark double"))
+    assert {r["id"]: r["benchmark"] for r in once.collect()} == {1: 0.5, 2: 0.6, 3: None}
+    with pytest.raises(PySparkException, match="benchmark id repeated: 2"):
+        align.benchmark_left_join(p, rows([(2, 0.5), (2, 0.6)], "id int, benchmark double")).collect()
+
+
 def test_seed_alignment_treats_null_as_equal(rows):
     d = rows([(1, 0, None), (1, 1, None), (2, 0, 0.5), (2, 1, 0.25)], "id int, seed int, target double")
     assert kinds(align.seed_alignment(d, ["id"], ["target"], 2)) == [("disagree", "2")]
@@ -140,6 +162,8 @@ def test_append_resolved(rows):
     va = rows([(3, 2, 0.3), (4, 2, None), (5, 3, 0.4), (6, 3, NAN)], "id int, era int, target double")
     got = align.append_resolved(tr, va, ["id", "era", "target"]).orderBy("id").toPandas()
     assert got["target"].tolist() == [0.1, 0.2, 0.3, 0.4]
+    with pytest.raises(CheckFailed, match="era_overlap"):
+        align.append_resolved(tr, tr, ["id", "era", "target"])
     assert align.append_violations(tr, va).count() == 0 and kinds(align.append_violations(tr, tr)) == [("era_overlap", "1")]
 
 
@@ -164,7 +188,7 @@ def test_manifest_columns_are_checked(spark, tmp_path):
     (tmp_path / "good.tsv").write_text("10;a\tfold\t5000\t0\tplain\t3\n")
     (tmp_path / "bad.tsv").write_text("10;a\tfold\t5000\n")
     assert tables.read_manifest_tsv(spark, str(tmp_path / "good.tsv")).first()["job"] == "10"
-    with pytest.raises((PySparkException, Exception)):
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
         tables.read_manifest_tsv(spark, str(tmp_path / "bad.tsv")).collect()
     (tmp_path / "empty.tsv").write_text("")
     assert kinds(tables.manifest_violations(tables.read_manifest_tsv(spark, str(tmp_path / "empty.tsv")))) == [("empty", "manifest")]

@@ -141,3 +141,18 @@ def test_prediction_diff(rows):
 def test_one_touch(rows):
     d = rows([("a",), ("b",), ("b",)], "sig string")
     assert kinds(audit.one_touch_audit(d, "sig")) == [("touched", "b")]
+
+
+def test_round_checks_with_null_and_repeated_ids(rows):
+    live = rows([(1, None), (1, None), (2, 0.5), (None, None)], "id int, target double")
+    bench = rows([(2, None), (2, None), (3, 0.1)], "id int, benchmark double")
+    got = sorted(((r["kind"], r["key"]) for r in audit.live_round_checks(live, bench).collect()), key=str)
+    assert got == sorted([
+        ("duplicate", "1"), ("no_benchmark", "1"), ("no_benchmark", "1"), ("no_benchmark", None), ("revealed_target", "2"),
+        ("benchmark_missing", "2"), ("benchmark_missing", "2"), ("not_live", "3")], key=str)
+
+
+def test_one_armed_candidates(rows):
+    d = rows([("plain", 1, 5), ("filtered", 1, 5), ("plain", 2, 5), ("filtered", None, 5), ("other", 3, 5)], "arm string, config_id int, updates int")
+    got = {(r["kind"], r["key"]) for r in selection.arm_pair_difference(d, ("plain", "filtered")).collect()}
+    assert got == {("only_plain", "2:5"), ("only_filtered", "5")}
