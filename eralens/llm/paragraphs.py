@@ -1,7 +1,8 @@
 """Near-duplicate paragraphs by MinHash banding.
 
-Paragraphs are lines of at least ``MIN_WORDS`` words. Equal ones (words in lower case) are a
-class; classes are compared as sets of shingles of five words. Bands and rows are tuned: the
+Paragraphs are lines that are not blank. Equal ones (words in lower case, or marks where a
+line has no words) are a class; classes of ``WORDS`` words or more are compared as sets of
+shingles of so many words, shorter ones are repeated only if equal. Bands and rows are tuned: the
 most rows whose bands still find a pair at the threshold with the recall asked for, within
 a budget of hashes. Colliding classes are verified by exact Jaccard, links are closed to
 components, and in each component all paragraphs but the first go. A component counts only
@@ -22,7 +23,6 @@ from eralens.llm.common import stage, texts
 from eralens.llm.minhash import Hashes, banded, linked, mix, shingle_set
 
 WORDS, THRESHOLD = 5, 80
-MIN_WORDS = 20               # not below WORDS
 RECALL, BUDGET = 0.9999, 64
 WORD = re.compile(r"\w+")
 NODE = "struct<doc:{kind},para:int>"
@@ -42,10 +42,10 @@ BANDS, ROWS = tuned()
 
 
 def split(text: str) -> list[tuple[int, int, int, list[str]]]:
-    """(number, start, stop, words) of lines with enough words, in code points."""
+    """(number, start, stop, words) of lines that are not blank, in code points."""
     out, at = [], 0
     for k, line in enumerate(text.split("\n")):
-        if len(line) >= 2 * MIN_WORDS - 1 and len(words := WORD.findall(line.lower())) >= MIN_WORDS:
+        if words := WORD.findall(line.lower()) or line.split():
             out.append((k, at, at + len(line), words))
         at += len(line) + 1
     return out
@@ -72,7 +72,8 @@ def paragraph_set(memo: Hashes, words: list[str]) -> np.ndarray:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc, text`` -> ``node, start, stop, n_words, same, n_shingles, bands``."""
+    """``doc, text`` -> ``node, start, stop, n_words, same, n_shingles, bands``; fewer than
+    ``WORDS`` words have no bands."""
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches):
@@ -90,10 +91,14 @@ def scan(docs: DataFrame) -> DataFrame:
                     continue
                 k, para, start, stop, n, same = zip(*rows)
                 node = pa.StructArray.from_arrays([part.column(0).take(pa.array(k)), pa.array(para, pa.int32())], names=["doc", "para"])
-                flat, sizes = many_sets(hashes)
-                bands = banded(flat, sizes, BANDS, ROWS)
+                long = np.array(n) >= WORDS
+                sizes, bands = np.ones(len(n), np.int64), [None] * len(n)
+                if long.any():
+                    flat, sizes[long] = many_sets([h for h in hashes if len(h) >= WORDS])
+                    keys = iter(banded(flat, sizes[long], BANDS, ROWS).view(np.int64))
+                    bands = [next(keys) if x else None for x in long]
                 yield pa.RecordBatch.from_arrays(
-                    [node, pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(n, pa.int32()), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))],
+                    [node, pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(n, pa.int32()), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
                     names=["node", "start", "stop", "n_words", "same", "n_shingles", "bands"])
 
     return docs.select("doc", "text").mapInArrow(run, f"node {NODE.format(kind=kind)}, start int, stop int, n_words int, same binary, n_shingles bigint, bands array<bigint>")

@@ -223,6 +223,13 @@ def test_paragraphs(docs, empty):
     assert paragraphs.repeats(empty).count() == 0
 
 
+def test_short_paragraphs(rows):
+    line = "all rights of this text are reserved"
+    table = [(1, f"{line}\nRead more\n* * *\n\nonly here"), (2, f"something else\n  {line.upper()}.\nread, more!\n* * *\n \n"), (3, f"{line} today\nread more of it\n* *"), (4, "twice\ntwice")]
+    got = {(r["doc_id"], r["para"]): (r["first_doc_id"], r["first_para"], r["removed"]) for r in paragraphs.repeats(rows(table, "doc_id bigint, text string")).collect()}
+    assert got == {(1, 0): (1, 0, False), (2, 1): (1, 0, True), (1, 1): (1, 1, False), (2, 2): (1, 1, True), (1, 2): (1, 2, False), (2, 3): (1, 2, True)}
+
+
 PII = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
