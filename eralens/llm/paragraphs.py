@@ -1,4 +1,4 @@
-"""Near-duplicate paragraphs by MinHash banding.
+"""Near-duplicate paragraphs by MinHash banding, and repeated passages across their borders.
 
 Paragraphs are lines that are not blank. Equal ones (words in lower case, or marks where a
 line has no words) are a class; classes of ``WORDS`` words or more are compared as sets of
@@ -6,7 +6,13 @@ shingles of so many words, shorter ones are repeated only if equal. Bands and ro
 most rows whose bands still find a pair at the threshold with the recall asked for, within
 a budget of hashes. Colliding classes are verified by exact Jaccard, links are closed to
 components, and in each component all paragraphs but the first go. A component counts only
-if two documents hold it."""
+if two documents hold it.
+
+Passages are runs of ``PASSAGE`` words that stand in two documents, wherever lines begin or
+end. Of every ``PASSAGE - ANCHOR + 1`` runs of ``ANCHOR`` words in a row the one with the least
+hash is an anchor, so that a passage holds the same anchor in all its documents. Around the
+anchors that two documents share, every run of ``PASSAGE`` words is compared by its hash: no
+passage is missed."""
 
 from __future__ import annotations
 
@@ -16,14 +22,15 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eralens.llm.common import stage, texts
 from eralens.llm.minhash import Hashes, banded, linked, mix, shingle_set
 
 WORDS, THRESHOLD = 5, 80
-RECALL, BUDGET = 0.9999, 64
+RECALL, BUDGET = 0.9999993, 64     # 20 bands of 3, as in minhash
+PASSAGE, ANCHOR = 50, 25
 WORD = re.compile(r"\w+")
 NODE = "struct<doc:{kind},para:int>"
 
@@ -51,6 +58,41 @@ def split(text: str) -> list[tuple[int, int, int, list[str]]]:
     return out
 
 
+def words_at(text: str) -> tuple[list[str], list[int], list[int]]:
+    """Words of all lines, and where they start and stop, in code points."""
+    words, starts, stops, at = [], [], [], 0
+    for line in text.split("\n"):
+        low = line.lower()
+        back = None if len(low) == len(line) else [k for k, c in enumerate(line) for _ in c.lower()]
+        for m in WORD.finditer(low):
+            a, b = m.span() if back is None else (back[m.start()], back[m.end() - 1] + 1)
+            words.append(m[0]), starts.append(at + a), stops.append(at + b)
+        at += len(line) + 1
+    return words, starts, stops
+
+
+def runs(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash for each run of ``n`` words, put together from runs of powers of two."""
+    join = lambda a, b, by: mix(a[: len(b) - by] * np.uint64(0x9E3779B97F4A7C15) + b[by:])
+    out, size, power, width = None, 0, h, 1
+    while True:
+        if n & width:
+            out, size = (power if out is None else join(out, power, size)), size + width
+        if 2 * width > n:
+            return out
+        power, width = join(power, power, width), 2 * width
+
+
+def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where anchors start, and their hashes."""
+    if len(h) < PASSAGE:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    each = runs(h, ANCHOR)
+    near = np.lib.stride_tricks.sliding_window_view(each, PASSAGE - ANCHOR + 1)
+    at = np.unique(np.arange(len(near)) + near.argmin(axis=1))
+    return at, each[at]
+
+
 def many_sets(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sets of many paragraphs of five words or more in one go: distinct shingles, paragraph
     by paragraph, and how many each has. The same values as of ``paragraph_set``."""
@@ -71,9 +113,14 @@ def paragraph_set(memo: Hashes, words: list[str]) -> np.ndarray:
     return shingle_set(np.fromiter((memo[w.encode()] for w in words), np.uint64, len(words)), WORDS)
 
 
+SCAN = ["node", "start", "stop", "n_words", "same", "n_shingles", "bands", "anchors"]
+SCAN_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc, text`` -> ``node, start, stop, n_words, same, n_shingles, bands``; fewer than
-    ``WORDS`` words have no bands."""
+    """``doc, text`` -> ``node, start, stop, n_words, same, n_shingles, bands, anchors``;
+    fewer than ``WORDS`` words have no bands. Anchors have a row for each document, with no
+    more than the id."""
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches):
@@ -81,14 +128,22 @@ def scan(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows, hashes = [], []
+                rows, hashes, held = [], [], []
                 for k, text in enumerate(texts(part.column(1))):
+                    own = []
                     for para, start, stop, words in split(text):
                         h = np.fromiter((memo[w.encode()] for w in words), np.uint64, len(words))
                         rows.append((k, para, start, stop, len(words), xxhash.xxh3_128_digest(h.tobytes())))
                         hashes.append(h)
+                        if WORD.match(words[0]):
+                            own.append(h)
+                    held.append(np.unique(anchors(np.concatenate(own))[1]).view(np.int64) if own else None)
                 if not rows:
                     continue
+                some = [k for k, x in enumerate(held) if x is not None and len(x)]
+                if some:
+                    node = pa.StructArray.from_arrays([part.column(0).take(pa.array(some)), pa.nulls(len(some), pa.int32())], names=["doc", "para"])
+                    yield pa.RecordBatch.from_arrays([node, *(pa.nulls(len(some), t) for t in SCAN_TYPES), pa.array([held[k] for k in some], pa.list_(pa.int64()))], names=SCAN)
                 k, para, start, stop, n, same = zip(*rows)
                 node = pa.StructArray.from_arrays([part.column(0).take(pa.array(k)), pa.array(para, pa.int32())], names=["doc", "para"])
                 long = np.array(n) >= WORDS
@@ -98,10 +153,10 @@ def scan(docs: DataFrame) -> DataFrame:
                     keys = iter(banded(flat, sizes[long], BANDS, ROWS).view(np.int64))
                     bands = [next(keys) if x else None for x in long]
                 yield pa.RecordBatch.from_arrays(
-                    [node, pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(n, pa.int32()), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                    names=["node", "start", "stop", "n_words", "same", "n_shingles", "bands"])
+                    [node, pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(n, pa.int32()), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.nulls(len(rows), pa.list_(pa.int64()))],
+                    names=SCAN)
 
-    return docs.select("doc", "text").mapInArrow(run, f"node {NODE.format(kind=kind)}, start int, stop int, n_words int, same binary, n_shingles bigint, bands array<bigint>")
+    return docs.select("doc", "text").mapInArrow(run, f"node {NODE.format(kind=kind)}, start int, stop int, n_words int, same binary, n_shingles bigint, bands array<bigint>, anchors array<bigint>")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -124,20 +179,74 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc").select("doc", "text", "paras").mapInArrow(run, f"doc {NODE.format(kind=kind)}, shingles binary").dropDuplicates(["doc"])
 
 
+def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Runs of ``PASSAGE`` words around the anchors in ``wanted(doc, keys)``: ``doc, body, pos,
+    start, stop, again, key``. ``body`` tells texts of an id apart; ``again``: the text had it."""
+    kind = docs.schema["doc"].dataType.simpleString()
+    names = ["doc", "body", "pos", "start", "stop", "again", "key"]
+
+    def run(batches):
+        memo = Hashes()
+        for batch in batches:
+            for k, text in enumerate(texts(batch.column(1))):
+                words, starts, stops = words_at(text)
+                h = np.fromiter((memo[w.encode()] for w in words), np.uint64, len(words))
+                at, keys = anchors(h)
+                at = at[np.isin(keys.view(np.int64), batch.column(2)[k].values.to_numpy())]
+                pos = np.unique((at[:, None] - np.arange(PASSAGE - ANCHOR + 1)).ravel())
+                pos = pos[(pos >= 0) & (pos <= len(h) - PASSAGE)]
+                if not len(pos):
+                    continue
+                found = runs(h, PASSAGE)[pos]
+                again = np.ones(len(pos), bool)
+                again[np.unique(found, return_index=True)[1]] = False
+                body = np.full(len(pos), xxhash.xxh3_64_intdigest(h.tobytes()), np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(np.full(len(pos), k))), pa.array(body), pa.array(pos.astype(np.int32)), pa.array(np.array(starts, np.int32)[pos]),
+                     pa.array(np.array(stops, np.int32)[pos + PASSAGE - 1]), pa.array(again), pa.array(found.view(np.int64))], names=names)
+
+    return docs.join(wanted, "doc").select("doc", "text", "keys").mapInArrow(run, f"doc {kind}, body bigint, pos int, start int, stop int, again boolean, key bigint")
+
+
+def shared(keys: DataFrame) -> DataFrame:
+    """``key, low``: keys that two documents hold, and the smallest one. Stored, as only then
+    a join with it can split a key that very many documents hold."""
+    return stage(keys.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("key", "low"), "passage-keys")
+
+
+def passages(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """``doc, start, stop, n_words, low, again``: stretches of passages in a row whose smallest
+    document is ``low``. ``held``: ``doc, anchors``."""
+    keys = held.select("doc", F.explode("anchors").alias("key"))
+    wanted = keys.join(shared(keys), "key").groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    found = stage(windows(docs, wanted), "passages")
+    marked = found.join(shared(found), "key")
+    row = F.dense_rank().over(Window.partitionBy("doc", "body", "low", "again").orderBy("pos"))
+    return marked.withColumn("stretch", F.col("pos") - row).groupBy("doc", "body", "low", "again", "stretch").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("pos") - F.min("pos") + PASSAGE).alias("n_words")).select("doc", "start", "stop", "n_words", "low", "again")
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per repeated paragraph, the kept ones too: ``doc_id, para, start, stop,
-    n_words, first_doc_id, first_para, removed``.
+    """One row per repeated paragraph or passage, the kept ones too: ``doc_id, para, start,
+    stop, n_words, first_doc_id, first_para, removed``.
+
+    Passages have no ``para`` and may overlap paragraphs and each other; of each, the first
+    in the smallest document stays.
 
     Null and empty texts have no paragraphs; rows without an id take no part. Rows that
     repeat an id are one document; with other texts, one paragraph of a number stands for
     all of that number."""
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-    seen = stage(scan(rows), "paragraphs")
+    scanned = stage(scan(rows), "paragraphs")
+    across = stage(passages(rows, scanned.where("anchors is not null").select("node.doc", "anchors")), "passage-spans")
+    seen = scanned.where("same is not null").drop("anchors")
     same = seen.groupBy("same").agg(F.min("node").alias("rep"), F.min("node.doc").alias("low"), F.max("node.doc").alias("high"))
     classes = stage(seen.join(same, "same").where("node = rep").select(F.col("node").alias("doc"), "n_shingles", "bands", "same", "low", "high").dropDuplicates(["doc"]), "paragraph-classes")
     comp = linked(classes.select("doc", "n_shingles", "bands"), lambda ids: sets_of(rows, ids), "paragraph-links")
     placed = classes.select("doc", "same", "low", "high").join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("same", "low", "high", F.coalesce("component", "doc").alias("first"))
     many = placed.groupBy("first").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("first")
     label = stage(placed.join(many, "first").select("same", "first"), "paragraph-labels")
-    return seen.join(label, "same").select(
+    lines = seen.join(label, "same").select(
         F.col("node.doc").alias("doc_id"), F.col("node.para").alias("para"), "start", "stop", "n_words", F.col("first.doc").alias("first_doc_id"), F.col("first.para").alias("first_para"), (F.col("node") != F.col("first")).alias("removed"))
+    none = F.lit(None).cast("int")
+    return lines.unionByName(across.select(F.col("doc").alias("doc_id"), none.alias("para"), "start", "stop", "n_words", F.col("low").alias("first_doc_id"), none.alias("first_para"), ((F.col("doc") != F.col("low")) | F.col("again")).alias("removed")))

@@ -230,6 +230,29 @@ def test_short_paragraphs(rows):
     assert got == {(1, 0): (1, 0, False), (2, 1): (1, 0, True), (1, 1): (1, 1, False), (2, 2): (1, 1, True), (1, 2): (1, 2, False), (2, 3): (1, 2, True)}
 
 
+def test_passages(rows):
+    rng = np.random.default_rng(2)
+    fresh = lambda n: [f"w{k}" for k in rng.integers(0, 1 << 40, n)]
+    run, long = fresh(50), fresh(130)
+    table = [(1, " ".join(fresh(70) + run + fresh(30))), (2, "İ " + " ".join(run[:9]).upper() + ".\n---\n" + "\n".join(run[9:31]) + "\n" + " ".join(run[31:] + fresh(9))), (3, " ".join(fresh(60) + run[:49] + fresh(60))),
+             (4, " ".join(fresh(40) + long + fresh(200))), (5, " ".join(fresh(300) + long[:90] + fresh(3) + long[20:] + long[:60])), (6, " ".join(2 * fresh(60)))]
+    got = [r for r in paragraphs.repeats(rows(table, "doc_id bigint, text string")).collect() if r["para"] is None]
+    text, plain, have = dict(table), {}, {}
+    place = {i: paragraphs.words_at(t) for i, t in table}
+    holds = collections.defaultdict(set)
+    for i, (w, *_) in place.items():
+        for k in range(len(w) - 49):
+            holds[tuple(w[k:k + 50])].add(i)
+    for i, (w, a, b) in place.items():
+        plain[i] = {x for k in range(len(w) - 49) if len(holds[tuple(w[k:k + 50])]) > 1 for x in range(k, k + 50)}
+        have[i] = {x for r in got if r["doc_id"] == i for x in range(len(w)) if r["start"] <= a[x] and b[x] <= r["stop"]}
+    assert have == plain and len(plain[1]) == len(plain[2]) == 50 and not plain[3] and not plain[6]
+    assert {(r["doc_id"], r["first_doc_id"], r["removed"]) for r in got} == {(1, 1, False), (2, 1, True), (4, 4, False), (5, 4, True)}
+    two = next(r for r in got if r["doc_id"] == 2)
+    assert paragraphs.WORD.findall(text[2][two["start"]:two["stop"]].lower()) == run and two["n_words"] == 50
+    assert (1 - 0.8**paragraphs.ROWS) ** paragraphs.BANDS < 1e-6
+
+
 PII = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
 
 
