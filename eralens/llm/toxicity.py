@@ -12,7 +12,8 @@ Words that were never seen toxic can begin like ones that were: features are a w
 beginnings of 4 to 6 letters, the longest significant one speaks.
 
 The model is fitted on a bounded sample of labelled rows (``sample_rows``); its lexicon
-holds at most ``lexicon_size`` features, those most significant. Both are broadcast."""
+holds at most ``lexicon_size`` telling features, those most significant, and every clean word
+of the sample that begins like one. Both are broadcast."""
 
 from __future__ import annotations
 
@@ -171,13 +172,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = telling.orderBy(F.desc("z"), "feature").limit(lexicon_size).collect()
     model.lexicon = {r["feature"]: float(r["delta"]) for r in rows}
     # words that only begin like telling ones, but are known to be clean
-    spoken = [F.col("feature").substr(2, n_).isin(*few) for n_ in STEMS if (few := [f for f in model.lexicon if len(f) == n_ and f[0] != "="][:2000])]
-    if spoken:
-        at = spoken[0]
-        for more in spoken[1:]:
-            at = at | more
-        clean = scored.where(F.col("feature").startswith("=") & (F.col("clean") >= 3) & (F.col("delta") < 1.0) & at)
-        for r in clean.orderBy(F.desc("clean"), "feature").limit(lexicon_size).collect():
+    begun = [(f,) for f in model.lexicon if f[0] != "="]
+    if begun:
+        stems = docs.sparkSession.createDataFrame(begun, "stem string")
+        words = scored.where(F.col("feature").startswith("=") & (F.col("clean") >= 3) & (F.col("delta") < 1.0))
+        own = words.select("feature", "delta", F.explode(F.array_distinct(F.array(*[F.col("feature").substr(2, n_) for n_ in STEMS]))).alias("stem"))
+        for r in own.join(stems, "stem").select("feature", "delta").distinct().orderBy("feature").collect():
             model.lexicon.setdefault(r["feature"], min(float(r["delta"]), model.drift))
     calibrate(model, both.where("fold = 0"))
     return model

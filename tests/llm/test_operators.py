@@ -111,6 +111,16 @@ def test_toxicity(rows, docs, empty):
     assert toxicity.apply(empty, model).count() == 0
 
 
+def test_all_clean_words_are_exceptions(rows):
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    bad = [abc[k // 676 % 26] + abc[k // 26 % 26] + abc[k % 26] + "zqx" + "end" for k in range(2300)]
+    toxic = [(1000 + k, " ".join(bad[k % 2:])) for k in range(40)]
+    clean = [(k, "calm river" + (f" {bad[0][:6]}tone" if k < 8 else "")) for k in range(80)]
+    table = rows(clean + toxic, "doc_id bigint, text string")
+    model = toxicity.fit(table, rows([(i, int(i >= 1000)) for i, _ in clean + toxic], "doc_id bigint, toxic int"))
+    assert sum(f[0] != "=" and len(f) == 6 for f in model.lexicon) > 2000 and model.lexicon["=" + bad[0][:6] + "tone"] < 0
+
+
 def test_segments():
     rng = np.random.default_rng(3)
     for _ in range(30):
