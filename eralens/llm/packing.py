@@ -40,9 +40,20 @@ class WordTokenizer(dict):
     PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9²³¹¼½¾]|[^\sa-z{LETTERS}0-9²³¹¼½¾]+")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.use(Tokenizer.from_file(path))
+
+    @classmethod
+    def of(cls, tokenizer) -> WordTokenizer:
+        out = cls.__new__(cls)
+        out.use(tokenizer)
+        return out
+
+    def use(self, tokenizer) -> None:
+        from tokenizers import pre_tokenizers
+
+        self.tokenizer = tokenizer
         self.as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.pieces: dict[str, bytes] = {}
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eralens.llm import decontam, embed_join, minhash, ngram_lm, packing, paragraphs, pii, secret_scan, suffix_dedup, toxicity
+from eralens.llm import decontam, embed_join, minhash, ngram_lm, packing, paragraphs, pii, prefix_trie, secret_scan, spelling, suffix_dedup, token_records, toxicity
 from eralens.llm.common import table
 
 
@@ -59,6 +59,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"), repo_col="doc_id", owner_col="source")
 
 
+def op11_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_records.export(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_tree(table(spark, sf_dir, "conversations"), shared=(20, 4))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +78,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op2_toxicity, op3_decontamination, op4_lm_score, op5_embedding_dedup, op6_suffix_dedup, op7_minhash, op8_paragraph_dedup, op9_pii, op10_secrets, pipeline)}
+    op1_packing, op2_toxicity, op3_decontamination, op4_lm_score, op5_embedding_dedup, op6_suffix_dedup, op7_minhash, op8_paragraph_dedup, op9_pii, op10_secrets,
+    op11_token_records, op12_spelling, op13_prefix_trie, pipeline)}
 
 ORACLES = {
     "op5_embedding_dedup": """
@@ -81,4 +94,30 @@ n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(low.b, e.vec_id)) AS component_id,
   e.vec_id = least(e.vec_id, coalesce(low.b, e.vec_id)) AS kept
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN low ON low.a = e.vec_id""",
+    "op13_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT c, c - c % 20 AS base, xor(4294967295, list_reduce(list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda a, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(a, b)), 4294967295::BIGINT)) % 4 AS h
+  FROM (SELECT DISTINCT c FROM t)),
+held AS (SELECT c AS base, count(*) AS n FROM t GROUP BY c),
+r AS (
+  SELECT i.c, t.pos, role, text FROM ids i JOIN t ON t.c = i.base AND t.pos < i.h
+  UNION ALL
+  SELECT i.c, t.pos - i.h + least(i.h, coalesce(held.n, 0)), role, text FROM ids i JOIN t ON t.c = i.c AND t.pos >= i.h LEFT JOIN held ON held.base = i.base),
+s AS (SELECT ids.c, coalesce(list({'role': role, 'text': text} ORDER BY pos) FILTER (pos IS NOT NULL), []) AS turns FROM ids LEFT JOIN r ON r.c = ids.c GROUP BY ids.c),
+p AS (SELECT c, turns, unnest(range(len(turns) + 1)) AS d FROM s),
+nodes AS (
+  SELECT turns[1:d] AS k, d, min(c) AS conv_id, count(*) AS n, CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(any_value(turns[d].text), '[^\x20\x09-\x0D]+')) END AS words,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(turns) = d), '')) AS ends_sha256
+  FROM p GROUP BY turns[1:d], d),
+kids AS (SELECT k[1:d - 1] AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+whole AS (SELECT n.*, coalesce(kids.n, 0) AS n_children FROM nodes n LEFT JOIN kids ON kids.k = n.k),
+sub AS (
+  SELECT a.k, sum((b.n - 1) * b.words)::BIGINT AS saved, count(*) FILTER (b.n_children = 0) AS leaves
+  FROM whole a JOIN whole b ON b.d >= a.d AND b.k[1:a.d] = a.k GROUP BY a.k)
+SELECT a.conv_id, a.d AS depth, up.conv_id AS parent_conv_id, a.n AS n_convs, a.n_children, sub.leaves AS n_leaves, sub.saved AS saved_tokens, a.ends_sha256
+FROM whole a JOIN sub ON sub.k = a.k LEFT JOIN nodes up ON a.d > 0 AND up.d = a.d - 1 AND up.k = a.k[1:a.d - 1]""",
 }
