@@ -9,6 +9,7 @@ from eralens.plans.registry import query, with_
 from eralens.session import scratch
 from eralens.sources.fixtures import ERA_SCORES, H, avg_rank_sql
 from eralens.streaming import keyed, rounds
+from eralens.streaming.arrivals import require_none_dropped
 from eralens.streaming.sink import latest, replay, run_available, stored, write_batches
 
 CHUNKS = 3
@@ -29,22 +30,56 @@ def arrive(sources, build, out, mode="append", transform=None):
     replay(sources, "chunk", CHUNKS, lambda s, _last: run_available(build(**s), write_batches(f"{out}/rows", transform), f"{out}/checkpoint", mode))
 
 
-SCORED = f"""e AS (SELECT event_id AS id, CAST(day(ts) AS INT) AS round, value AS m1, {H("'m2:' || event_id")} AS m2, user_id * 1e0 AS bench FROM events),
-r AS (SELECT id, round, {avg_rank_sql('m1', 'round')} AS a, {avg_rank_sql('m2', 'round')} AS b, {avg_rank_sql('bench', 'round')} AS c FROM e),
-x AS (SELECT id, round, round(0.5e0*(a + b)/2e0 + 0.5e0*c, 12) AS mix FROM r)"""
+def by_arrival(df, days: int):
+    """Rows with the ``chunk`` in which they arrive: so many days each, in order."""
+    start = F.unix_seconds(F.lit("1970-01-01").cast("timestamp"))
+    return df.withColumn("chunk", F.floor((F.unix_seconds("arrived") - start) / (86400 * days)).cast("int"))
 
 
-@query("stream_score_rounds", with_(SCORED, f"SELECT round, id, round({avg_rank_sql('mix', 'round')}, 8) AS prediction FROM x"))
-def _(t):
+def chunks_of(df):
+    """Chunk numbers from 0, and how many there are."""
+    low, high = df.agg(F.min("chunk"), F.max("chunk")).first()
+    return df.withColumn("chunk", F.col("chunk") - low), high - low + 1
+
+
+# a round is a day and closes two days after it; some rows take four days, some come twice
+ARRIVALS = f"""e AS (SELECT event_id AS id, CAST(day(ts) AS INT) AS round, value AS m1, {H("'m2:' || event_id")} AS m2, user_id * 1e0 AS bench,
+ ts + CASE WHEN event_id % 50 = 0 THEN INTERVAL 4 DAYS ELSE INTERVAL 1 MINUTE END AS arrived, date_trunc('day', ts) + INTERVAL 3 DAYS AS closes FROM events),
+a AS (SELECT * FROM e UNION ALL SELECT * REPLACE (arrived + INTERVAL 2 HOURS AS arrived) FROM e WHERE event_id_twice),
+k AS (SELECT round, id, count(*) FILTER (arrived < closes) AS good, count(*) FILTER (arrived >= closes) AS late, any_value(m1) AS m1, any_value(m2) AS m2, any_value(bench) AS bench,
+ any_value(closes) <= (SELECT max(arrived) FROM a) AS closed FROM a GROUP BY round, id),
+r AS (SELECT id, round, {avg_rank_sql('m1', 'round')} AS a, {avg_rank_sql('m2', 'round')} AS b, {avg_rank_sql('bench', 'round')} AS c FROM k WHERE closed AND good > 0),
+x AS (SELECT id, round, round(0.5e0*(a + b)/2e0 + 0.5e0*c, 12) AS mix FROM r)""".replace("event_id_twice", "id % 40 = 1")
+
+
+def arriving(t):
     from eralens.functions.exprs import hash_unit
     from eralens.functions.exprs import keyed as text
 
-    d = events(t).select(F.col("event_id").alias("id"), "round", F.col("value").alias("m1"), hash_unit(text("m2", F.col("event_id"))).alias("m2"),
-                         F.col("user_id").cast("double").alias("bench"), "chunk")
+    e = t.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    delay = F.when(F.col("event_id") % 50 == 0, F.expr("INTERVAL 4 DAYS")).otherwise(F.expr("INTERVAL 1 MINUTE"))
+    d = e.select(
+        F.col("event_id").alias("id"), F.dayofmonth("ts").alias("round"), F.col("value").alias("m1"), hash_unit(text("m2", F.col("event_id"))).alias("m2"),
+        F.col("user_id").cast("double").alias("bench"), (F.col("ts") + delay).alias("arrived"), (F.date_trunc("day", "ts") + F.expr("INTERVAL 3 DAYS")).alias("closes"))
+    return d.unionByName(d.where("id % 40 = 1").withColumn("arrived", F.col("arrived") + F.expr("INTERVAL 2 HOURS")))
+
+
+def scored_rounds(t, days):
+    d, n = chunks_of(by_arrival(arriving(t), days))
     out = scratch(t.spark, "scored")
-    replay({"live": d}, "chunk", CHUNKS, lambda s, last: rounds.score_rounds(s["live"], out, f"{out}/checkpoint", ["m1", "m2"], "bench", finish=last))
+    replay({"live": d}, "chunk", n, lambda s, _: rounds.score_rounds(s["live"], out, f"{out}/checkpoint", ["m1", "m2"], "bench", "arrived", "closes"))
     got = stored(t.spark, f"{out}/scores", "round int, id bigint, prediction double")
-    return got.select("round", "id", *rr("prediction"))
+    aside = stored(t.spark, f"{out}/sorted", "id bigint, round int, kind string").where("kind <> 'closed'")
+    return got.select("round", "id", F.lit("scored").alias("kind"), *rr("prediction")).unionByName(
+        aside.select("round", "id", "kind", F.lit(None).cast("double").alias("prediction")))
+
+
+@query("stream_score_rounds", with_(ARRIVALS, f"""SELECT round, id, 'scored' AS kind, round({avg_rank_sql('mix', 'round')}, 8) AS prediction FROM x
+UNION ALL SELECT round, id, 'late', NULL FROM a WHERE arrived >= closes
+UNION ALL SELECT round, id, 'repeated', NULL FROM (SELECT round, id, unnest(range(good - 1)) FROM k WHERE good > 1)"""))
+def _(t):
+    """Rows of all rounds closed by the end of the input, with late and repeated ones."""
+    return scored_rounds(t, 12)
 
 
 @query("stream_label_join", """WITH p AS (SELECT event_id, CAST(day(ts) AS INT) AS round, value, ts FROM events)
@@ -113,15 +148,20 @@ def _(t):
 SHIP = "CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS INT)"
 
 
-@query("stream_dedup_ids", f"SELECT {SHIP} AS round, count(DISTINCT (l_orderkey, l_linenumber)) AS kept, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS duplicates FROM lineitem GROUP BY 1")
+@query("stream_dedup_ids", f"""WITH a AS (SELECT {SHIP} AS round, l_orderkey, l_linenumber, l_shipdate + to_days(CAST(l_partkey % 60 AS INT)) AS arrived, date_trunc('month', l_shipdate) + INTERVAL 60 DAYS AS closes FROM lineitem),
+k AS (SELECT round, l_orderkey, l_linenumber, count(*) FILTER (arrived < closes) AS good, count(*) FILTER (arrived >= closes) AS late FROM a GROUP BY ALL)
+SELECT round, count(*) FILTER (good > 0) AS first, CAST(sum(greatest(good - 1, 0)) AS BIGINT) AS repeated, CAST(sum(late) AS BIGINT) AS late, CAST(sum(good + late) AS BIGINT) AS arrived FROM k GROUP BY round""")
 def _(t):
-    li = t.table("lineitem").select(F.expr(SHIP).alias("round"), "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("timestamp").alias("ts"))
-    d = li.withColumn("chunk", F.least(F.lit(CHUNKS - 1), F.greatest(F.lit(0), F.floor(F.col("round") / 27))).cast("int"))
+    """A round is a month and closes 60 days after it began; rows arrive up to 59 days late."""
+    li = t.table("lineitem").select(
+        F.expr(SHIP).alias("round"), "l_orderkey", "l_linenumber", (F.col("l_shipdate").cast("timestamp") + F.make_dt_interval(F.col("l_partkey") % 60)).alias("arrived"),
+        (F.date_trunc("month", F.col("l_shipdate").cast("timestamp")) + F.expr("INTERVAL 60 DAYS")).alias("closes"))
+    d, n = chunks_of(by_arrival(li, 900))
     out = scratch(t.spark, "dedup")
-    arrive({"lines": d}, lambda lines: rounds.dedup_ids(lines, ["round", "l_orderkey", "l_linenumber"], "ts", "60 days").select("round"), out)
-    kept = stored(t.spark, f"{out}/rows", "round int").groupBy("round").agg(F.count(F.lit(1)).alias("kept"))
-    every = li.groupBy("round").agg(F.count(F.lit(1)).alias("n"))
-    return every.join(kept, "round", "left").select("round", "kept", (F.col("n") - F.coalesce("kept", F.lit(0))).alias("duplicates"))
+    build = lambda lines: rounds.dedup_ids(lines, "round", ["l_orderkey", "l_linenumber"], "arrived", "closes").select("round", "kind")
+    replay({"lines": d}, "chunk", n, lambda s, _: require_none_dropped(run_available(build(**s), write_batches(f"{out}/rows"), f"{out}/checkpoint")))
+    rows = stored(t.spark, f"{out}/rows", "round int, kind string")
+    return rows.groupBy("round").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("first", "repeated", "late")], F.count(F.lit(1)).alias("arrived"))
 
 
 @query("stream_round_constancy", """SELECT least(2, (CAST(day(ts) AS INT) - 1) // 10) AS batch_id, min(CAST(day(ts) AS INT)) AS first_round, max(CAST(day(ts) AS INT)) AS last_round, count(*) AS rows,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eralens.functions.checks import findings, together, violation
@@ -40,53 +40,33 @@ def score_whole_rounds(rounds: DataFrame, models: list[str], benchmark: str, wei
     return with_rank(d, [round_key], "__mix", "prediction", plan=split).select(round_key, key, "prediction")
 
 
-def score_rounds(stream: DataFrame, out: str, checkpoint: str, models: list[str], benchmark: str, weight: float = 0.5,
-                 key: str = "id", round_key: str = "round", finish: bool = True) -> tuple[str, str]:
-    """Score arriving rounds. Ranks need the whole round, so a batch is only staged at
-    first; a round is scored once a later one has begun (or at the end with ``finish``).
-    Every batch writes its own folders, so replays and lost executors change nothing.
-    Returns the paths of scores and violations."""
+def score_rounds(stream: DataFrame, out: str, checkpoint: str, models: list[str], benchmark: str, arrived: str, closes: str,
+                 weight: float = 0.5, key: str = "id", round_key: str = "round", slack: str = "1 millisecond") -> dict[str, str]:
+    """Score rounds as they close. A round is held as state until the watermark of ``arrived``
+    passes its ``closes``; the batch that hands it over has all its rows and ranks them as a
+    whole, whatever the round's size. Every batch writes folders of its own, so replays and
+    lost executors change nothing, and no batch reads an earlier one's rows.
+
+    Returns the paths of ``scores``, of ``sorted`` rows (all that left, with their ``kind``: closed,
+    repeated, late) and of ``violations`` (late and repeated rows, missing predictions)."""
+    from eralens.streaming.arrivals import by_round, require_none_dropped
     from eralens.streaming.sink import run_available
 
-    spark = stream.sparkSession
-    staging, scores, bad = f"{out}/staging", f"{out}/scores", f"{out}/violations"
-    kind = dict(stream.dtypes)
-    row_schema = ", ".join(f"{c} {kind[c]}" for c in stream.columns)
-    score_schema = f"{round_key} {kind[round_key]}, {key} {kind[key]}, prediction double"
-
-    def settle(own: int, upto: int, until) -> None:
-        """Score the staged rounds before ``until`` that no other folder holds."""
-        staged = _read(spark, staging, row_schema).where(F.col("batch_id") <= upto)
-        earlier = (F.col("batch_id") < upto) & (F.col("batch_id") != own)
-        done = _read(spark, scores, score_schema).where(earlier).select(round_key).distinct()
-        ready = staged.join(done, round_key, "left_anti").drop("batch_id")
-        if until is not None:
-            ready = ready.where(F.col(round_key) < F.lit(until))
-        checks = round_violations(ready, models, benchmark, key, round_key)
-        checks.write.mode("overwrite").parquet(f"{bad}/batch_id={own}")
-        score_whole_rounds(ready, models, benchmark, weight, key, round_key).write.mode("overwrite").parquet(f"{scores}/batch_id={own}")
+    spark, paths = stream.sparkSession, {n: f"{out}/{n}" for n in ("scores", "sorted", "violations")}
+    rows = by_round(stream, round_key, [key], arrived, closes, slack)
 
     def body(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{staging}/batch_id={batch_id}")
-        newest = _read(spark, staging, row_schema).where(F.col("batch_id") <= batch_id).agg(F.max(round_key)).first()[0]
-        settle(batch_id, batch_id, newest)
-
-    run_available(stream, body, checkpoint)
-    if finish:
-        # the open round, in a folder of its own (negative) that later batches respect
-        last = _read(spark, staging, row_schema).agg(F.max("batch_id")).first()[0]
-        if last is not None:
-            settle(-1 - last, last + 1, None)
-    return scores, bad
+        place = f"{paths['sorted']}/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(place)
+        seen = spark.read.schema(batch.schema).parquet(place)
+        closed = seen.where("kind = 'closed'").drop("kind")
+        name = F.concat_ws(":", F.col(round_key).cast("string"), F.col(key).cast("string"))
+        aside = seen.where("kind <> 'closed'").groupBy("kind", name.alias("key")).agg(F.count(F.lit(1)).cast("string").alias("detail"))
+        together(aside, round_violations(closed, models, benchmark, key, round_key)).write.mode("overwrite").parquet(f"{paths['violations']}/batch_id={batch_id}")
+        score_whole_rounds(closed, models, benchmark, weight, key, round_key).write.mode("overwrite").parquet(f"{paths['scores']}/batch_id={batch_id}")
 
-
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A folder of batches; empty before the first one is written."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.createDataFrame([], f"{schema}, batch_id int")
-    return spark.read.schema(f"{schema}, batch_id int").option("basePath", path).parquet(path)
+    require_none_dropped(run_available(rows, body, checkpoint))
+    return paths
 
 
 def label_join(predictions: DataFrame, labels: DataFrame, horizon: str, slack: str, key: str = "id") -> DataFrame:
@@ -107,9 +87,12 @@ def matched_scores(joined: DataFrame, expected: DataFrame, round_key: str = "rou
                     (F.coalesce("matched", F.lit(0)) < F.col("rows")).alias("provisional"))
 
 
-def dedup_ids(stream: DataFrame, keys: list[str], ts: str, delay: str) -> DataFrame:
-    """First arrival of every key within the watermark."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
+def dedup_ids(stream: DataFrame, round_key: str, ids: list[str], arrived: str, closes: str, slack: str = "1 millisecond") -> DataFrame:
+    """Rows sorted by ``kind``: the ``first`` of every id of a round, ``repeated`` ones, and ``late``
+    ones that came when the round was closed. None is lost, and a closed round holds no state."""
+    from eralens.streaming.arrivals import by_round
+
+    return by_round(stream, round_key, ids, arrived, closes, slack, hold=False)
 
 
 def era_moments(stream: DataFrame, ts: str, x: str, y: str, width: str = "1 day", delay: str = "1 day") -> DataFrame:

@@ -26,13 +26,15 @@ def write_batches(out: str, transform: Callable[[DataFrame, int], DataFrame] | N
     return body
 
 
-def run_available(df: DataFrame, body, checkpoint: str, mode: str = "append") -> None:
-    """Process everything that has arrived, then stop; a later call continues."""
+def run_available(df: DataFrame, body, checkpoint: str, mode: str = "append") -> list:
+    """Process everything that has arrived, then stop; a later call continues. Returns the
+    progress of its micro-batches."""
     q = (
         df.writeStream.outputMode(mode).foreachBatch(body)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     q.awaitTermination()
+    return list(q.recentProgress)
 
 
 def stored(spark: SparkSession, out: str, schema) -> DataFrame:

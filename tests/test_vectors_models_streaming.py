@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from eralens.functions import lowrank
 from eralens.operators import models, vectors
 from eralens.session import scratch
+from eralens.functions.checks import CheckFailed
 from eralens.streaming import keyed, rounds
+from eralens.streaming.arrivals import require_none_dropped
 from eralens.streaming.sink import latest, replay, run_available, stored, write_batches
 
 DIM = 12
@@ -204,15 +206,48 @@ def test_ema_with_a_hot_key(spark):
     assert got["rows"] == 6000 and got["ema"] == pytest.approx(pd.Series(x).ewm(alpha=0.1, adjust=False).mean().iloc[-1], rel=1e-12)
 
 
-def test_a_round_split_over_batches_is_scored_once_and_whole(spark):
-    data = [(r, 10 * r + i, float(i), float(-i), 0 if r == 0 else min(2, r - 1 + (i > 4))) for r in range(3) for i in range(10)]
-    df = spark.createDataFrame(data, "round int, id long, m1 double, bench double, chunk int")
+def live_rounds():
+    """Rounds of ten rows that close at hour 2 after they begin; some rows late, some twice."""
+    import datetime as dt
+
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [(r, 10 * r + i, float(i), float(-i), at(r + i / 10), at(r + 2)) for r in range(9) for i in range(10)]
+    rows += [(r, 10 * r, 0.0, 0.0, at(r + 1.95), at(r + 2)) for r in (1, 3)] + [(1, 5, 9.0, 9.0, at(3), at(3))]
+    return rows + [(2, 999, 1.0, 1.0, at(8.91), at(4)), (2, 21, 1.0, 1.0, at(8.92), at(4)), (None, 7, 1.0, 1.0, at(8.93), None)]
+
+
+@pytest.mark.parametrize("chunks", [1, 3, 10])
+def test_rounds_close_and_nothing_is_lost(spark, chunks):
+    data = sorted(live_rounds(), key=lambda r: r[4])
+    df = spark.createDataFrame([(*r, k * chunks // len(data)) for k, r in enumerate(data)], "round int, id long, m1 double, bench double, arrived timestamp, closes timestamp, chunk int")
     out = scratch(spark, "rounds")
-    replay({"live": df}, "chunk", 3, lambda s, last: rounds.score_rounds(s["live"], out, f"{out}/cp", ["m1"], "bench", 1.0, finish=last))
-    scores, bad = f"{out}/scores", f"{out}/violations"
-    got = stored(spark, scores, "round int, id bigint, prediction double").toPandas().sort_values("id")
-    assert len(got) == 30 and np.allclose(got["prediction"], np.tile((np.arange(10) + 0.5) / 10, 3))
-    assert stored(spark, bad, rounds.ROUND_CHECKS).count() == 0
+    replay({"live": df}, "chunk", chunks, lambda s, _: rounds.score_rounds(s["live"], out, f"{out}/cp", ["m1"], "bench", "arrived", "closes", 1.0))
+    got = stored(spark, f"{out}/scores", "round int, id bigint, prediction double").toPandas().sort_values("id")
+    assert got["round"].tolist() == [r for r in range(7) for _ in range(10)] and np.allclose(got["prediction"], np.tile((np.arange(10) + 0.5) / 10, 7))
+    aside = stored(spark, f"{out}/sorted", "round int, id bigint, kind string").where("kind <> 'closed'").collect()
+    assert sorted((r["kind"], r["id"]) for r in aside) == [("late", 5), ("late", 7), ("late", 21), ("late", 999), ("repeated", 10), ("repeated", 30)]
+    bad = sorted((r["kind"], r["key"], r["detail"]) for r in stored(spark, f"{out}/violations", rounds.ROUND_CHECKS).collect())
+    assert bad == [("late", "1:5", "1"), ("late", "2:21", "1"), ("late", "2:999", "1"), ("late", "7", "1"), ("repeated", "1:10", "1"), ("repeated", "3:30", "1")]
+
+
+def test_ids_leave_as_three_kinds(spark):
+    data = sorted(live_rounds(), key=lambda r: r[4])
+    df = spark.createDataFrame([(*r, k * 4 // len(data)) for k, r in enumerate(data)], "round int, id long, m1 double, bench double, arrived timestamp, closes timestamp, chunk int")
+    out = scratch(spark, "ids")
+    arrive(df, 4, lambda s: rounds.dedup_ids(s, "round", ["id"], "arrived", "closes"), out)
+    got = stored(spark, f"{out}/rows", "round int, id bigint, kind string").groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in got} == {"first": 90, "repeated": 2, "late": 4}
+
+
+def test_rows_that_spark_drops_raise(spark):
+    import datetime as dt
+
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    df = spark.createDataFrame([(1, 1, at(5), at(9), 0), (1, 2, at(3), at(9), 1)], "round int, id long, arrived timestamp, closes timestamp, chunk int")
+    out = scratch(spark, "dropped")
+    run = lambda s, _: require_none_dropped(run_available(rounds.dedup_ids(s["live"], "round", ["id"], "arrived", "closes"), write_batches(f"{out}/rows"), f"{out}/cp"))
+    with pytest.raises(CheckFailed):
+        replay({"live": df}, "chunk", 2, run)
 
 
 def test_round_violations(rows):
@@ -237,13 +272,3 @@ def test_feature_exposure(panel, spark):
     era = np.arange(240) % 6
     c = np.array([[np.corrcoef(x[era == e, f], y[era == e])[0, 1] for f in range(6)] for e in range(6)])
     assert got["max_exposure"] == pytest.approx(np.abs(c.mean(axis=0)).max()) and got["features"] == 6
-
-
-def test_a_later_round_after_finishing(spark):
-    """Finishing scores the open round; a new one afterwards does not touch it."""
-    data = [(r, 10 * r + i, float(i), float(-i), r) for r in range(3) for i in range(4)]
-    df = spark.createDataFrame(data, "round int, id long, m1 double, bench double, chunk int")
-    out = scratch(spark, "rounds")
-    replay({"live": df}, "chunk", 3, lambda s, _: rounds.score_rounds(s["live"], out, f"{out}/cp", ["m1"], "bench", 1.0))
-    got = stored(spark, f"{out}/scores", "round int, id bigint, prediction double").toPandas()
-    assert sorted(got["id"]) == [10 * r + i for r in range(3) for i in range(4)]
