@@ -10,8 +10,9 @@ if two documents hold it.
 
 Passages are runs of ``PASSAGE`` words that stand in two documents, wherever lines begin or
 end. Of every ``PASSAGE - ANCHOR + 1`` runs of ``ANCHOR`` words in a row the one with the least
-hash is an anchor, so that a passage holds the same anchor in all its documents. Around the
-anchors that two documents share, every run of ``PASSAGE`` words is compared by its hash: no
+hash is an anchor, so that a passage holds the same anchor in all its documents. Passages of one
+anchor stand in a row; where all documents hold the same words there, they are settled
+together, and where they differ, every run of ``PASSAGE`` words is compared by its hash: no
 passage is missed."""
 
 from __future__ import annotations
@@ -83,14 +84,16 @@ def runs(h: np.ndarray, n: int) -> np.ndarray:
         power, width = join(power, power, width), 2 * width
 
 
-def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where anchors start, and their hashes."""
+def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the anchors in a row, and the first and last start of the passages that have
+    each as theirs. A passage has one anchor, the first run of least hash in it."""
     if len(h) < PASSAGE:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     each = runs(h, ANCHOR)
     near = np.lib.stride_tricks.sliding_window_view(each, PASSAGE - ANCHOR + 1)
-    at = np.unique(np.arange(len(near)) + near.argmin(axis=1))
-    return at, each[at]
+    at = np.arange(len(near)) + near.argmin(axis=1)
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return each[at[first]], first, np.r_[first[1:], len(at)] - 1
 
 
 def many_sets(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +140,7 @@ def scan(docs: DataFrame) -> DataFrame:
                         hashes.append(h)
                         if WORD.match(words[0]):
                             own.append(h)
-                    held.append(np.unique(anchors(np.concatenate(own))[1]).view(np.int64) if own else None)
+                    held.append(np.unique(anchors(np.concatenate(own))[0]).view(np.int64) if own else None)
                 if not rows:
                     continue
                 some = [k for k, x in enumerate(held) if x is not None and len(x)]
@@ -179,11 +182,13 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc").select("doc", "text", "paras").mapInArrow(run, f"doc {NODE.format(kind=kind)}, shingles binary").dropDuplicates(["doc"])
 
 
-def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Runs of ``PASSAGE`` words around the anchors in ``wanted(doc, keys)``: ``doc, body, pos,
-    start, stop, again, key``. ``body`` tells texts of an id apart; ``again``: the text had it."""
+def anchored(docs: DataFrame, wanted: DataFrame, single: bool) -> DataFrame:
+    """Passages of the anchors in ``wanted(doc, keys)``: ``doc, body, key, run, first, last, start,
+    stop, again``. One row has all passages of an anchor, from word ``first`` to word ``last``, and
+    ``run`` is the hash of their words; with ``single``, one row has one passage. ``body`` tells
+    texts of an id apart; ``again``: the text had the same before."""
     kind = docs.schema["doc"].dataType.simpleString()
-    names = ["doc", "body", "pos", "start", "stop", "again", "key"]
+    names = ["doc", "body", "key", "run", "first", "last", "start", "stop", "again"]
 
     def run(batches):
         memo = Hashes()
@@ -191,39 +196,60 @@ def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for k, text in enumerate(texts(batch.column(1))):
                 words, starts, stops = words_at(text)
                 h = np.fromiter((memo[w.encode()] for w in words), np.uint64, len(words))
-                at, keys = anchors(h)
-                at = at[np.isin(keys.view(np.int64), batch.column(2)[k].values.to_numpy())]
-                pos = np.unique((at[:, None] - np.arange(PASSAGE - ANCHOR + 1)).ravel())
-                pos = pos[(pos >= 0) & (pos <= len(h) - PASSAGE)]
-                if not len(pos):
+                keys, first, last = anchors(h)
+                keys = keys.view(np.int64)
+                some = np.isin(keys, batch.column(2)[k].values.to_numpy())
+                keys, first, last = keys[some], first[some], last[some]
+                if not len(keys):
                     continue
-                found = runs(h, PASSAGE)[pos]
-                again = np.ones(len(pos), bool)
-                again[np.unique(found, return_index=True)[1]] = False
-                body = np.full(len(pos), xxhash.xxh3_64_intdigest(h.tobytes()), np.uint64).view(np.int64)
+                if single:
+                    size = last - first + 1
+                    keys = np.repeat(keys, size)
+                    first = last = np.repeat(first - np.cumsum(size) + size, size) + np.arange(len(keys))
+                    found = runs(h, PASSAGE)[first]
+                else:
+                    found = np.fromiter((xxhash.xxh3_64_intdigest(h[a:b + PASSAGE].tobytes()) for a, b in zip(first, last)), np.uint64, len(keys))
+                again = np.ones(len(keys), bool)
+                again[np.unique(np.stack((keys, found.view(np.int64))), axis=1, return_index=True)[1]] = False
+                body = np.full(len(keys), xxhash.xxh3_64_intdigest(h.tobytes()), np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.full(len(pos), k))), pa.array(body), pa.array(pos.astype(np.int32)), pa.array(np.array(starts, np.int32)[pos]),
-                     pa.array(np.array(stops, np.int32)[pos + PASSAGE - 1]), pa.array(again), pa.array(found.view(np.int64))], names=names)
+                    [batch.column(0).take(pa.array(np.full(len(keys), k))), pa.array(body), pa.array(keys), pa.array(found.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
+                     pa.array(np.array(starts, np.int32)[first]), pa.array(np.array(stops, np.int32)[last + PASSAGE - 1]), pa.array(again)], names=names)
 
-    return docs.join(wanted, "doc").select("doc", "text", "keys").mapInArrow(run, f"doc {kind}, body bigint, pos int, start int, stop int, again boolean, key bigint")
+    return docs.join(wanted, "doc").select("doc", "text", "keys").mapInArrow(run, f"doc {kind}, body bigint, key bigint, run bigint, first int, last int, start int, stop int, again boolean")
 
 
-def shared(keys: DataFrame) -> DataFrame:
-    """``key, low``: keys that two documents hold, and the smallest one. Stored, as only then
-    a join with it can split a key that very many documents hold."""
-    return stage(keys.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high").select("key", "low"), "passage-keys")
+def shared(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, low, differ``: keys that two documents hold, the smallest one, and whether the rows
+    of a key differ in their run. Stored, as only then a join with it can split a key that
+    very many documents hold."""
+    some = rows.groupBy(*keys).agg(F.min("doc").alias("low"), F.max("doc").alias("high"), (F.min("run") < F.max("run")).alias("differ"))
+    return stage(some.where("low <> high").select(*keys, "low", "differ"), "passage-keys")
 
 
 def passages(docs: DataFrame, held: DataFrame) -> DataFrame:
     """``doc, start, stop, n_words, low, again``: stretches of passages in a row whose smallest
-    document is ``low``. ``held``: ``doc, anchors``."""
+    document is ``low``. ``held``: ``doc, anchors``.
+
+    Where all documents hold the same words around an anchor, its passages are settled at
+    once, by one row a document; only where they differ are single passages compared."""
     keys = held.select("doc", F.explode("anchors").alias("key"))
-    wanted = keys.join(shared(keys), "key").groupBy("doc").agg(F.collect_set("key").alias("keys"))
-    found = stage(windows(docs, wanted), "passages")
-    marked = found.join(shared(found), "key")
-    row = F.dense_rank().over(Window.partitionBy("doc", "body", "low", "again").orderBy("pos"))
-    return marked.withColumn("stretch", F.col("pos") - row).groupBy("doc", "body", "low", "again", "stretch").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("pos") - F.min("pos") + PASSAGE).alias("n_words")).select("doc", "start", "stop", "n_words", "low", "again")
+    once = keys.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low <> high")
+    wanted = keys.join(stage(once.select("key"), "passage-anchors"), "key").groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    found = stage(anchored(docs, wanted, False), "passage-runs")
+    common = shared(found, ["key"])
+    whole = found.join(common.where("not differ").drop("differ"), "key")
+    unlike = found.select("doc", "key").distinct().join(common.where("differ").select("key"), "key").groupBy("doc").agg(F.collect_set("key").alias("keys"))
+    alone = stage(anchored(docs, unlike, True), "passage-single")
+    parts = alone.join(shared(alone, ["key", "run"]).drop("differ"), ["key", "run"])
+    names = ["doc", "body", "low", "again", "first", "last", "start", "stop"]
+    marked = whole.select(names).unionByName(parts.select(names)).distinct()
+    # stretches: what begins after the end of all before it begins a new one
+    order = Window.partitionBy("doc", "body", "low", "again").orderBy("first")
+    new = F.col("first") > F.coalesce(F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1
+    row = F.sum(F.when(F.col("new"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.withColumn("new", new).withColumn("stretch", row).groupBy("doc", "body", "low", "again", "stretch").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("last") - F.min("first") + PASSAGE).alias("n_words")).select("doc", "start", "stop", "n_words", "low", "again")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
