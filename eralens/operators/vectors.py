@@ -1,9 +1,9 @@
 """Statistics of vectors by group.
 
 Everything that depends on a whole group is built from sums that partial
-aggregation can add up (dim x dim at most), so a group may be any size; the
-eigenproblem then runs once per group on a dim x dim matrix. The non-zero spectrum
-equals that of the rows' Gram matrix.
+aggregation can add up (blocks of dim x dim at most, see ``products``), so a group
+may be any size; the eigenproblem then runs once per group on a dim x dim matrix.
+The non-zero spectrum equals that of the rows' Gram matrix.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from eralens.functions.exprs import hash_u32, keyed, moments_corr
 from eralens.functions.lowrank import (
     distances, effective_rank, hashed_normals, leading, mean_share, orthogonality_error, outer_sum, project, soft_project, turnover,
 )
-from eralens.functions.ranking import AUTO, Plan, exact_quantiles, row_positions
+from eralens.functions.ranking import AUTO, Plan, exact_quantiles, on_keys, row_positions
+from eralens.operators import products
 from eralens.session import cut_lineage
 
 FLUSH_GROUPS = 256   # partial sums a task holds before it hands them on
@@ -73,45 +74,18 @@ def group_sums(df: DataFrame, group: str, vector: str, parts: Callable, dim: int
     return whole.select(group, F.transform("p", lambda e: e["v"]).alias("sums"))
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+def group_gram_spectrum(df: DataFrame, group: str, vector: str, dim: int, width: int = products.WIDTH) -> DataFrame:
+    """(group, n, eigenvalues): spectrum of the Gram matrix of the unit rows, descending. From
+    blocked sums of U'U for groups with more rows than coordinates, else from UU'."""
+    tall, short = products.split_by_size(df, group, vector, dim)
+    schema = "n bigint, eigenvalues array<double>"
 
+    def few(x):
+        u = products.unit_rows(x)
+        return len(x), products.spectrum(u @ u.T, len(x))[0].tolist()
 
-def _moments(_ids, x):
-    """count, sum, sum of unit rows, unit-unit and raw-unit products."""
-    u = _unit(x)
-    return np.concatenate([[len(x)], x.sum(0), u.sum(0), (u.T @ u).ravel(), (x.T @ u).ravel()])
-
-
-def _unpack(s: np.ndarray, p: int):
-    n, at = int(round(s[0])), 1
-    mean = s[at:at + p] / n
-    unit = s[at + p:at + 2 * p]
-    uu = s[at + 2 * p:at + 2 * p + p * p].reshape(p, p)
-    xu = s[at + 2 * p + p * p:].reshape(p, p)
-    return n, mean, unit, uu, xu
-
-
-def _spectrum(uu: np.ndarray, n: int):
-    lam, vec = np.linalg.eigh((uu + uu.T) / 2.0)
-    lam, vec = np.clip(lam[::-1], 0.0, None), vec[:, ::-1]
-    k = min(n, len(lam))
-    return lam[:k], vec[:, :k]
-
-
-def group_gram_spectrum(df: DataFrame, group: str, vector: str, dim: int) -> DataFrame:
-    """(group, n, eigenvalues): spectrum of the Gram matrix of the unit rows, descending."""
-    sums = group_sums(df, group, vector, _moments, dim)
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for g, s in zip(pdf[group], pdf["sums"]):
-                n, _, _, uu, _ = _unpack(np.asarray(s), dim)
-                out.append((g, n, _spectrum(uu, n)[0].tolist()))
-            yield pd.DataFrame(out, columns=[group, "n", "eigenvalues"])
-
-    return sums.mapInPandas(run, f"{group} {dict(df.dtypes)[group]}, n bigint, eigenvalues array<double>")
+    many = products.solved(products.unit_products(tall, group, vector, dim, width), group, dim, lambda n, _x, _u, uu: (n, products.spectrum(uu, n)[0].tolist()), schema, width)
+    return many.unionByName(products.from_rows(short, group, vector, dim, few, schema))
 
 
 def direction_gains(lam: np.ndarray, n: int, mode: str, factor: float, soft_temp: float, variance: float) -> tuple[np.ndarray, int]:
@@ -127,31 +101,58 @@ def direction_gains(lam: np.ndarray, n: int, mode: str, factor: float, soft_temp
 
 
 def consensus_filter(df: DataFrame, group: str, vector: str, dim: int, mode: str = "hard", factor: float = 2.0,
-                     soft_temp: float = 0.5, variance: float = 0.9) -> DataFrame:
+                     soft_temp: float = 0.5, variance: float = 0.9, width: int = products.WIDTH) -> DataFrame:
     """Mean of a group restricted to the directions its rows agree on.
 
     With unit rows U and eigenpairs (l, v) of U'U, the row weights of direction v are
-    (U v)(v . sum of U) / (l n), so the filtered mean needs the sums only. A group of
-    zero vectors keeps nothing."""
-    sums = group_sums(df, group, vector, _moments, dim)
+    (U v)(v . sum of U) / (l n). Their sum over directions is U w with w of ``dim`` numbers, so
+    one pass finds w from blocked sums and a second one adds up x (u . w). Groups with no more
+    rows than coordinates are solved from UU' at once. A group of zero vectors keeps nothing."""
+    tall, short = products.split_by_size(df, group, vector, dim)
+    kind = dict(df.dtypes)[group]
 
-    def one(s):
-        n, mean, unit, uu, xu = _unpack(s, dim)
-        lam, vec = _spectrum(uu, n)
+    def weights(n, total, unit, uu):
+        lam, vec = products.spectrum(uu, n)
         live = lam > 1e-12 * max(float(lam[0]), 1.0)
         if not live.any():
-            return n, 0, 0.0, [0.0] * dim
+            return n, 0, np.zeros(dim).tolist(), (total / n).tolist()
         gain, kept = direction_gains(lam, n, mode, factor, soft_temp, variance)
         vec, scale = vec[:, live], gain[live] / (n * lam[live])
-        got, size = xu @ (vec @ (scale * (vec.T @ unit))), float(np.sqrt(mean @ mean))
+        return n, kept, (vec @ (scale * (vec.T @ unit))).tolist(), (total / n).tolist()
+
+    def few(x):
+        u, n = products.unit_rows(x), len(x)
+        lam, vec = products.spectrum(u @ u.T, n)
+        mean = x.mean(axis=0)
+        live = lam > 1e-12 * max(float(lam[0]), 1.0)
+        if not live.any():
+            return n, 0, 0.0, np.zeros(dim).tolist()
+        gain, kept = direction_gains(lam, n, mode, factor, soft_temp, variance)
+        got = (vec[:, live] @ (gain[live] * vec[:, live].sum(axis=0))) @ x / n
+        size = float(np.sqrt(mean @ mean))
         return n, kept, float(np.sqrt(got @ got)) / size if size > 1e-12 else 0.0, got.tolist()
 
-    def run(batches):
-        for pdf in batches:
-            found = [(g, *one(np.asarray(s))) for g, s in zip(pdf[group], pdf["sums"])]
-            yield pd.DataFrame(found, columns=[group, "n", "k", "ratio", "filtered_mean"])
+    found = cut_lineage(products.solved(products.unit_products(tall, group, vector, dim, width), group, dim, weights, "n bigint, k int, w array<double>, mean array<double>", width), "consensus-weights")
+
+    def weighed(_group, columns, rows):
+        x, w = products.matrix(columns[0].take(pa.array(rows)), dim), np.asarray(columns[1][int(rows[0])].values.to_numpy())
+        return {(0, 0): (products.unit_rows(x) @ w) @ x}
+
+    sums = products.summed_blocks(on_keys(tall, found.select(group, "w"), [group], "inner"), group, weighed, [vector, "w"])
 
-    return sums.mapInPandas(run, f"{group} {dict(df.dtypes)[group]}, n bigint, k int, ratio double, filtered_mean array<double>")
+    def finish(batches):
+        for batch in batches:
+            rows = []
+            for g, n, k, mean, s in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                got, size = np.frombuffer(s), float(np.linalg.norm(mean))
+                rows.append((g, n, k, float(np.sqrt(got @ got)) / size if size > 1e-12 else 0.0, got.tolist()))
+            g, n, k, ratio, got = zip(*rows) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(g, products.KEYS[kind]), pa.array(n, pa.int64()), pa.array(k, pa.int32()), pa.array(ratio, pa.float64()), pa.array(got, pa.list_(pa.float64()))],
+                                             names=[group, "n", "k", "ratio", "filtered_mean"])
+
+    schema = "n bigint, k int, ratio double, filtered_mean array<double>"
+    many = on_keys(found, sums.select(group, "s"), [group], "inner").select(group, "n", "k", "mean", "s").mapInArrow(finish, f"{group} {kind}, {schema}")
+    return many.unionByName(products.from_rows(short, group, vector, dim, few, schema))
 
 
 def kept_energy(spectrum: DataFrame, group: str, factor: float = 2.0) -> DataFrame:
@@ -388,24 +389,34 @@ def shuffled_history_control(df: DataFrame, group: str, order: str, depth: int =
     return want.join(source, [group, "src"]).select(group, order, "source")
 
 
-def distributed_covariance(df: DataFrame, vector: str, dim: int) -> DataFrame:
-    """(i, j, covariance, correlation) over the whole table, from one pass of sums."""
-    d = df.select(F.lit(0).alias("__g"), vector)
-
-    def parts(_ids, x):
-        return np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
-
-    s = element_sums(d, "__g", vector, parts, dim).select("pos", "v")
-    first = s.where(F.col("pos") == 0).select(F.col("v").alias("n"))
-    mean = s.where(F.col("pos").between(1, dim)).select((F.col("pos") - 1).alias("k"), (F.col("v") / first.scalar()).alias("m"))
-    cell = F.col("pos") - (dim + 1)
-    xx = s.where(F.col("pos") > dim).select(
-        F.floor(cell / dim).cast("int").alias("i"), F.pmod(cell, F.lit(dim)).cast("int").alias("j"), (F.col("v") / first.scalar()).alias("xx"))
-    diagonal = xx.where(F.col("i") == F.col("j")).join(mean, F.col("i") == F.col("k")).select("k", "m", (F.col("xx") - F.col("m") * F.col("m")).alias("var"))
-    a = diagonal.select(F.col("k").alias("i"), F.col("m").alias("mi"), F.col("var").alias("vi"))
-    b = diagonal.select(F.col("k").alias("j"), F.col("m").alias("mj"), F.col("var").alias("vj"))
-    c = xx.join(a, "i").join(b, "j").withColumn("covariance", F.col("xx") - F.col("mi") * F.col("mj"))
-    return c.select("i", "j", "covariance", (F.col("covariance") / F.sqrt(F.col("vi") * F.col("vj"))).alias("correlation"))
+def distributed_covariance(df: DataFrame, vector: str, dim: int, width: int = products.WIDTH) -> DataFrame:
+    """(i, j, covariance, correlation) over the whole table, from one pass of blocked sums; a
+    block's cells become rows only after all its sums have met."""
+    starts = range(0, dim, width)
+
+    def parts(_group, columns, rows):
+        x = products.matrix(columns[0], dim)
+        out = {(i // width, j // width): np.concatenate([[len(x)], x[:, i:i + width].sum(0), x[:, j:j + width].sum(0), np.square(x[:, i:i + width]).sum(0), np.square(x[:, j:j + width]).sum(0),
+                                                         (x[:, i:i + width].T @ x[:, j:j + width]).ravel()]) for i in starts for j in starts if i <= j}
+        return out
+
+    blocks = products.summed_blocks(df.select(F.lit(0).alias("__g"), vector).where(F.col(vector).isNotNull()), "__g", parts, [vector])
+
+    def cells(batches):
+        for batch in batches:
+            for bi, bj, s in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                s, p, q = np.frombuffer(s), min(width, dim - bi * width), min(width, dim - bj * width)
+                n, sums, xx = s[0], np.split(s[1:1 + 2 * (p + q)], [p, p + q, 2 * p + q]), s[1 + 2 * (p + q):].reshape(p, q)
+                mi, mj, vi, vj = (m / n for m in sums)
+                cov = xx / n - np.outer(mi, mj)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    corr = cov / np.sqrt(np.outer(vi - mi * mi, vj - mj * mj))
+                i, j = (k.ravel() for k in np.meshgrid(np.arange(p) + bi * width, np.arange(q) + bj * width, indexing="ij"))
+                both = [(i, j)] if bi == bj else [(i, j), (j, i)]
+                for a, b in both:
+                    yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(cov.ravel()), pa.array(corr.ravel())], names=["i", "j", "covariance", "correlation"])
+
+    return blocks.select("bi", "bj", "s").mapInArrow(cells, "i int, j int, covariance double, correlation double")
 
 
 def feature_exposure(df: DataFrame, keys: Sequence[str], dim: int, features: str = "features", pred: str = "prediction", era: str = "era") -> DataFrame:

@@ -35,6 +35,17 @@ def _(t):
     return s.select("label", "n", F.posexplode("eigenvalues").alias("k", "eigenvalue"))
 
 
+@query("spectrum_invariants", f"""WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x*x))) AS len FROM embeddings WHERE embedding IS NOT NULL),
+u AS (SELECT label, vec_id, unnest(e)/len AS v, unnest(range({DIM})) AS i FROM e), n AS (SELECT label, count(*) AS n FROM e GROUP BY label),
+uu AS (SELECT a.label, a.i, b.i AS j, sum(a.v*b.v) AS p FROM u a JOIN u b USING (label, vec_id) GROUP BY 1, 2, 3)
+SELECT label, n, round(sum(CASE WHEN i = j THEN p ELSE 0e0 END), 6) AS trace, round(sum(p*p)/(n*n), 8) AS squared_share FROM uu JOIN n USING (label) GROUP BY label, n""")
+def _(t):
+    """Sum and sum of squares of each group's eigenvalues; the SQL has both without an eigenproblem."""
+    s = vectors.group_gram_spectrum(emb(t), *V)
+    fold = lambda e: F.aggregate("eigenvalues", F.lit(0.0), lambda a, x: a + e(x))
+    return s.select("label", "n", rounded(fold(lambda x: x), 6).alias("trace"), rounded(fold(lambda x: x * x) / (F.col("n") * F.col("n")), 8).alias("squared_share"))
+
+
 def _consensus(name, mode):
     @query(name)
     def _(t):

@@ -64,6 +64,31 @@ def test_consensus_equals_row_weights(groups, mode):
     assert all(r["k"] == 0 and not any(r["filtered_mean"]) for r in vectors.consensus_filter(zero, "grp", "vec", DIM).collect())
 
 
+@pytest.mark.parametrize("rows", [30, 150])
+def test_wide_vectors_in_blocks(spark, rows, monkeypatch):
+    """More and fewer rows than coordinates, uneven blocks, early hand-over, a null group."""
+    from eralens.operators import products
+
+    monkeypatch.setattr(products, "HELD_BYTES", 40_000)
+    g, dim = np.random.default_rng(3), 67
+    sets = {1: g.standard_normal((rows, dim)), None: g.standard_normal((rows, dim)) + 2 * np.eye(dim)[5]}
+    df = spark.createDataFrame([(k, v.tolist()) for k, x in sets.items() for v in x], "grp int, vec array<double>").repartition(3)
+    spectra = {r["grp"]: r for r in vectors.group_gram_spectrum(df, "grp", "vec", dim, 16).collect()}
+    means = {r["grp"]: r for r in vectors.consensus_filter(df, "grp", "vec", dim, width=16).collect()}
+    assert set(spectra) == set(means) == set(sets)
+    for k, x in sets.items():
+        u = unit(x)
+        lam, vec = np.linalg.eigh(u @ u.T)
+        lam, vec = lam[::-1], vec[:, ::-1]
+        assert spectra[k]["n"] == rows and np.allclose(spectra[k]["eigenvalues"], lam[: min(rows, dim)], atol=1e-9)
+        keep = max(1, int((lam > 2 * lam.sum() / rows).sum()))
+        want = (vec[:, :keep] @ vec[:, :keep].sum(axis=0)) @ x / rows
+        assert means[k]["k"] == keep and np.allclose(means[k]["filtered_mean"], want, atol=1e-9)
+        assert means[k]["ratio"] == pytest.approx(np.linalg.norm(want) / np.linalg.norm(x.mean(axis=0)))
+    c = vectors.distributed_covariance(df, "vec", dim, 16).toPandas().pivot(index="i", columns="j", values="covariance").to_numpy()
+    assert np.allclose(c, np.cov(np.vstack(list(sets.values())).T, bias=True), atol=1e-9)
+
+
 def test_random_subspace_has_the_asked_length(groups):
     sets, df = groups
     a = vectors.random_subspace_control(df, "grp", "vec", "seq", DIM, 3, 0.4, 1).orderBy("grp").toPandas()
