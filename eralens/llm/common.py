@@ -27,6 +27,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
 
 
+def release(*staged: DataFrame) -> None:
+    """Empty staged tables that nothing reads any more, so that a chain of many stages does not
+    keep all of their disk."""
+    for df in staged:
+        files = df.inputFiles()
+        if files:
+            df.limit(0).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -36,6 +45,14 @@ def blocks(total: int, each: int, least: int = 1) -> int:
     return max(least, -(-int(total) // each))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that no column has yet, whatever its case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def text_bytes(docs: DataFrame, text_col: str) -> int:
     """Bytes of all texts; sizes hash blocks, decides nothing else."""
     return int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)

@@ -17,6 +17,7 @@ passage is missed."""
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eralens.llm.common import stage, texts
+from eralens.llm.common import release, stage, texts
 from eralens.llm.minhash import Hashes, banded, linked, mix, shingle_set
 
 WORDS, THRESHOLD = 5, 80
@@ -49,27 +50,47 @@ def tuned(threshold: float = THRESHOLD / 100, recall: float = RECALL, budget: in
 BANDS, ROWS = tuned()
 
 
-def split(text: str) -> list[tuple[int, int, int, list[str]]]:
-    """(number, start, stop, words) of lines that are not blank, in code points."""
-    out, at = [], 0
-    for k, line in enumerate(text.split("\n")):
-        if words := WORD.findall(line.lower()) or line.split():
-            out.append((k, at, at + len(line), words))
-        at += len(line) + 1
-    return out
-
-
-def words_at(text: str) -> tuple[list[str], list[int], list[int]]:
-    """Words of all lines, and where they start and stop, in code points."""
-    words, starts, stops, at = [], [], [], 0
-    for line in text.split("\n"):
-        low = line.lower()
-        back = None if len(low) == len(line) else [k for k, c in enumerate(line) for _ in c.lower()]
-        for m in WORD.finditer(low):
-            a, b = m.span() if back is None else (back[m.start()], back[m.end() - 1] + 1)
-            words.append(m[0]), starts.append(at + a), stops.append(at + b)
-        at += len(line) + 1
-    return words, starts, stops
+@functools.cache
+def word_chars() -> np.ndarray:
+    """By code point: does it belong to a word?"""
+    return np.fromiter((c == 95 or chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+
+
+def words_at(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words of all lines in lower case, and where they start and stop, in code points."""
+    low = text.lower()
+    if len(low) == len(text):
+        inside = word_chars()[np.frombuffer(low.encode("utf-32-le"), np.uint32)]
+        edges = np.flatnonzero(np.diff(np.r_[False, inside, False]))
+        return WORD.findall(low), edges[::2], edges[1::2]
+    # letters that become two: places are those of the letters they come from
+    back = np.array([k for k, c in enumerate(text) for _ in c.lower()])
+    low = "".join(c.lower() for c in text)
+    found = [(m[0], *m.span()) for m in WORD.finditer(low)]
+    words, a, b = zip(*found) if found else ((), (), ())
+    return list(words), back[np.array(a, int)], back[np.array(b, int) - 1] + 1
+
+
+def lines(text: str) -> tuple[list[str], list[tuple[int, int, int, int]], list[tuple[int, int, int, list[str]]]]:
+    """All words; (number, start, stop, words) of the lines that have some; and the same, with
+    their marks as words, of lines that have none and are not blank."""
+    words, starts, _ = words_at(text)
+    ends, at = [], text.find("\n")
+    while at >= 0:
+        ends.append(at)
+        at = text.find("\n", at + 1)
+    first, last = np.array([0, *(e + 1 for e in ends)]), np.array([*ends, len(text)])
+    size = np.diff(np.r_[np.searchsorted(starts, first), len(starts)])
+    some = np.flatnonzero(size)
+    bare = [(k, a, b, marks) for k, a, b in zip(*(x[size == 0].tolist() for x in (np.arange(len(size)), first, last))) if b > a and (marks := text[a:b].split())]
+    return words, list(zip(some.tolist(), first[some].tolist(), last[some].tolist(), size[some].tolist())), bare
+
+
+def hashed(memo: Hashes, words: list[str]) -> np.ndarray:
+    """Hashes of many words, each distinct one worked out once."""
+    coded = pa.array(words, pa.large_string()).dictionary_encode()
+    each = coded.dictionary.to_pylist()
+    return np.fromiter((memo[w.encode()] for w in each), np.uint64, len(each))[coded.indices.to_numpy()]
 
 
 def runs(h: np.ndarray, n: int) -> np.ndarray:
@@ -84,22 +105,28 @@ def runs(h: np.ndarray, n: int) -> np.ndarray:
         power, width = join(power, power, width), 2 * width
 
 
-def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the anchors in a row, and the first and last start of the passages that have
-    each as theirs. A passage has one anchor, the first run of least hash in it."""
+def anchors(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the anchors of texts in a row (of these sizes, in words), and the first and last
+    start of the passages that have each as theirs. A passage has one anchor, the first run
+    of least hash in it."""
     if len(h) < PASSAGE:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    each = runs(h, ANCHOR)
-    near = np.lib.stride_tricks.sliding_window_view(each, PASSAGE - ANCHOR + 1)
-    at = np.arange(len(near)) + near.argmin(axis=1)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return each[at[first]], first, np.r_[first[1:], len(at)] - 1
-
-
-def many_sets(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    each, width = runs(h, ANCHOR), PASSAGE - ANCHOR + 1
+    at, held = np.arange(len(each)), 1                       # place of the least of ``held`` runs from here on
+    while held < width:
+        step = min(held, width - held)
+        a, b = at[:-step], at[step:]
+        at, held = np.where(each[b] < each[a], b, a), held + step
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    start = np.flatnonzero(owner[: len(at)] == owner[PASSAGE - 1:])
+    at = at[start]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]][: len(at)])
+    return each[at[first]], start[first], start[np.r_[first[1:], len(at)][: len(first)] - 1]
+
+
+def many_sets(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sets of many paragraphs of five words or more in one go: distinct shingles, paragraph
     by paragraph, and how many each has. The same values as of ``paragraph_set``."""
-    flat, size = np.concatenate(hashes), np.array([len(h) for h in hashes])
     out = np.full(len(flat) - WORDS + 1, np.uint64(WORDS))
     for k in range(WORDS):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + flat[k:k + len(out)])
@@ -130,34 +157,36 @@ def scan(docs: DataFrame) -> DataFrame:
         memo = Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows, hashes, held = [], [], []
-                for k, text in enumerate(texts(part.column(1))):
-                    own = []
-                    for para, start, stop, words in split(text):
-                        h = np.fromiter((memo[w.encode()] for w in words), np.uint64, len(words))
-                        rows.append((k, para, start, stop, len(words), xxhash.xxh3_128_digest(h.tobytes())))
-                        hashes.append(h)
-                        if WORD.match(words[0]):
-                            own.append(h)
-                    held.append(np.unique(anchors(np.concatenate(own))[0]).view(np.int64) if own else None)
-                if not rows:
-                    continue
-                some = [k for k, x in enumerate(held) if x is not None and len(x)]
-                if some:
-                    node = pa.StructArray.from_arrays([part.column(0).take(pa.array(some)), pa.nulls(len(some), pa.int32())], names=["doc", "para"])
-                    yield pa.RecordBatch.from_arrays([node, *(pa.nulls(len(some), t) for t in SCAN_TYPES), pa.array([held[k] for k in some], pa.list_(pa.int64()))], names=SCAN)
-                k, para, start, stop, n, same = zip(*rows)
-                node = pa.StructArray.from_arrays([part.column(0).take(pa.array(k)), pa.array(para, pa.int32())], names=["doc", "para"])
-                long = np.array(n) >= WORDS
-                sizes, bands = np.ones(len(n), np.int64), [None] * len(n)
-                if long.any():
-                    flat, sizes[long] = many_sets([h for h in hashes if len(h) >= WORDS])
-                    keys = iter(banded(flat, sizes[long], BANDS, ROWS).view(np.int64))
-                    bands = [next(keys) if x else None for x in long]
-                yield pa.RecordBatch.from_arrays(
-                    [node, pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(n, pa.int32()), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.nulls(len(rows), pa.list_(pa.int64()))],
-                    names=SCAN)
+                yield from scanned(batch.slice(at, 256).column(0), *zip(*map(lines, texts(batch.slice(at, 256).column(1)))), memo)
+
+    def scanned(ids, words, worded, bare, memo):
+        n_words = np.array([len(w) for w in words])
+        flat = hashed(memo, [w for ws in words for w in ws])
+        keys, first, _ = anchors(flat, n_words)
+        stops = np.cumsum(n_words)
+        bounds = np.r_[0, np.searchsorted(first, stops)]
+        held = [np.unique(keys[a:b]).view(np.int64) for a, b in zip(bounds, bounds[1:])]
+        some = [k for k, x in enumerate(held) if len(x)]
+        if some:
+            node = pa.StructArray.from_arrays([ids.take(pa.array(some)), pa.nulls(len(some), pa.int32())], names=["doc", "para"])
+            yield pa.RecordBatch.from_arrays([node, *(pa.nulls(len(some), t) for t in SCAN_TYPES), pa.array([held[k] for k in some], pa.list_(pa.int64()))], names=SCAN)
+        rows = [(k, *line) for k, own in enumerate(worded) for line in own] + [(k, para, a, b, len(marks)) for k, own in enumerate(bare) for para, a, b, marks in own]
+        if not rows:
+            return
+        flat = np.concatenate((flat, hashed(memo, [w for own in bare for *_, marks in own for w in marks])))
+        k, para, start, stop, n = (np.array(c) for c in zip(*rows))
+        ends = np.cumsum(n)
+        same = [xxhash.xxh3_128_digest(flat[a:b].tobytes()) for a, b in zip((ends - n).tolist(), ends.tolist())]
+        node = pa.StructArray.from_arrays([ids.take(pa.array(k)), pa.array(para, pa.int32())], names=["doc", "para"])
+        long = n >= WORDS
+        sizes, bands = np.ones(len(n), np.int64), [None] * len(n)
+        if long.any():
+            distinct, sizes[long] = many_sets(flat[np.repeat(long, n)], n[long])
+            found = iter(banded(distinct, sizes[long], BANDS, ROWS).view(np.int64))
+            bands = [next(found) if x else None for x in long]
+        yield pa.RecordBatch.from_arrays(
+            [node, pa.array(start, pa.int32()), pa.array(stop, pa.int32()), pa.array(n, pa.int32()), pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.nulls(len(rows), pa.list_(pa.int64()))],
+            names=SCAN)
 
     return docs.select("doc", "text").mapInArrow(run, f"node {NODE.format(kind=kind)}, start int, stop int, n_words int, same binary, n_shingles bigint, bands array<bigint>, anchors array<bigint>")
 
@@ -172,9 +201,10 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             at, para, sets = [], [], []
             for k, (text, paras) in enumerate(zip(texts(batch.column(1)), batch.column(2).to_pylist())):
-                paras = set(paras)
-                for number, _, _, words in split(text):
-                    if number in paras:
+                rows = text.split("\n")
+                for number in set(paras):
+                    line = rows[number].lower() if number < len(rows) else ""
+                    if words := WORD.findall(line) or line.split():
                         at.append(k), para.append(number), sets.append(paragraph_set(memo, words).tobytes())
             node = pa.StructArray.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(para, pa.int32())], names=["doc", "para"])
             yield pa.RecordBatch.from_arrays([node, pa.array(sets, pa.binary())], names=["doc", "shingles"])
@@ -182,6 +212,16 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc").select("doc", "text", "paras").mapInArrow(run, f"doc {NODE.format(kind=kind)}, shingles binary").dropDuplicates(["doc"])
 
 
+def isin_pairs(pairs: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which columns of ``pairs`` are columns of ``known``."""
+    both = np.concatenate((pairs, known), axis=1)
+    order = np.lexsort(both[::-1])
+    new = np.r_[True, (both[:, order][:, 1:] != both[:, order][:, :-1]).any(axis=0)]
+    number = np.empty(both.shape[1], np.int64)
+    number[order] = np.cumsum(new)
+    return np.isin(number[: pairs.shape[1]], number[pairs.shape[1]:])
+
+
 def anchored(docs: DataFrame, wanted: DataFrame, single: bool) -> DataFrame:
     """Passages of the anchors in ``wanted(doc, keys)``: ``doc, body, key, run, first, last, start,
     stop, again``. One row has all passages of an anchor, from word ``first`` to word ``last``, and
@@ -193,28 +233,40 @@ def anchored(docs: DataFrame, wanted: DataFrame, single: bool) -> DataFrame:
     def run(batches):
         memo = Hashes()
         for batch in batches:
-            for k, text in enumerate(texts(batch.column(1))):
-                words, starts, stops = words_at(text)
-                h = np.fromiter((memo[w.encode()] for w in words), np.uint64, len(words))
-                keys, first, last = anchors(h)
-                keys = keys.view(np.int64)
-                some = np.isin(keys, batch.column(2)[k].values.to_numpy())
-                keys, first, last = keys[some], first[some], last[some]
-                if not len(keys):
-                    continue
-                if single:
-                    size = last - first + 1
-                    keys = np.repeat(keys, size)
-                    first = last = np.repeat(first - np.cumsum(size) + size, size) + np.arange(len(keys))
-                    found = runs(h, PASSAGE)[first]
-                else:
-                    found = np.fromiter((xxhash.xxh3_64_intdigest(h[a:b + PASSAGE].tobytes()) for a, b in zip(first, last)), np.uint64, len(keys))
-                again = np.ones(len(keys), bool)
-                again[np.unique(np.stack((keys, found.view(np.int64))), axis=1, return_index=True)[1]] = False
-                body = np.full(len(keys), xxhash.xxh3_64_intdigest(h.tobytes()), np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.full(len(keys), k))), pa.array(body), pa.array(keys), pa.array(found.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
-                     pa.array(np.array(starts, np.int32)[first]), pa.array(np.array(stops, np.int32)[last + PASSAGE - 1]), pa.array(again)], names=names)
+            for at in range(0, batch.num_rows, 256):
+                yield from placed(batch.slice(at, 256), memo)
+
+    def placed(part, memo):
+        words, starts, stops = zip(*map(words_at, texts(part.column(1))))
+        n = np.array([len(w) for w in words])
+        h, begins = hashed(memo, [w for ws in words for w in ws]), np.cumsum(n) - n
+        keys, first, last = anchors(h, n)
+        keys, owner = keys.view(np.int64), np.repeat(np.arange(len(n)), n)[first]
+        # of each text, the anchors asked for
+        lists = part.column(2)
+        asked = np.stack((np.repeat(np.arange(len(n)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()))
+        some = isin_pairs(np.stack((owner, keys)), asked)
+        keys, first, last, owner = keys[some], first[some], last[some], owner[some]
+        if not len(keys):
+            return
+        if single:
+            size = last - first + 1
+            keys, owner = np.repeat(keys, size), np.repeat(owner, size)
+            first = last = np.repeat(first - np.cumsum(size) + size, size) + np.arange(len(keys))
+            found = runs(h, PASSAGE)[first]
+        else:
+            found = np.fromiter((xxhash.xxh3_64_intdigest(h[a:b + PASSAGE].tobytes()) for a, b in zip(first.tolist(), last.tolist())), np.uint64, len(keys))
+        found = found.view(np.int64)
+        order = np.lexsort((first, found, keys, owner))
+        new = np.r_[True, (owner[order][1:] != owner[order][:-1]) | (keys[order][1:] != keys[order][:-1]) | (found[order][1:] != found[order][:-1])]
+        again = np.empty(len(keys), bool)
+        again[order] = ~new
+        bodies = np.array([xxhash.xxh3_64_intdigest(h[a:a + m].tobytes()) for a, m in zip(begins.tolist(), n.tolist())], np.uint64).view(np.int64)
+        start, stop = np.concatenate(starts)[first], np.concatenate(stops)[last + PASSAGE - 1]
+        first, last = first - begins[owner], last - begins[owner]
+        yield pa.RecordBatch.from_arrays(
+            [part.column(0).take(pa.array(owner)), pa.array(bodies[owner]), pa.array(keys), pa.array(found), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
+             pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(again)], names=names)
 
     return docs.join(wanted, "doc").select("doc", "text", "keys").mapInArrow(run, f"doc {kind}, body bigint, key bigint, run bigint, first int, last int, start int, stop int, again boolean")
 
@@ -241,15 +293,18 @@ def passages(docs: DataFrame, held: DataFrame) -> DataFrame:
     whole = found.join(common.where("not differ").drop("differ"), "key")
     unlike = found.select("doc", "key").distinct().join(common.where("differ").select("key"), "key").groupBy("doc").agg(F.collect_set("key").alias("keys"))
     alone = stage(anchored(docs, unlike, True), "passage-single")
-    parts = alone.join(shared(alone, ["key", "run"]).drop("differ"), ["key", "run"])
+    shares = shared(alone, ["key", "run"])
+    parts = alone.join(shares.drop("differ"), ["key", "run"])
     names = ["doc", "body", "low", "again", "first", "last", "start", "stop"]
     marked = whole.select(names).unionByName(parts.select(names)).distinct()
     # stretches: what begins after the end of all before it begins a new one
     order = Window.partitionBy("doc", "body", "low", "again").orderBy("first")
     new = F.col("first") > F.coalesce(F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-2)) + 1
     row = F.sum(F.when(F.col("new"), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("new", new).withColumn("stretch", row).groupBy("doc", "body", "low", "again", "stretch").agg(
-        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("last") - F.min("first") + PASSAGE).alias("n_words")).select("doc", "start", "stop", "n_words", "low", "again")
+    spans = stage(marked.withColumn("new", new).withColumn("stretch", row).groupBy("doc", "body", "low", "again", "stretch").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("last") - F.min("first") + PASSAGE).alias("n_words")).select("doc", "start", "stop", "n_words", "low", "again"), "passage-spans")
+    release(found, common, alone, shares)
+    return spans
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,7 +319,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     all of that number."""
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
     scanned = stage(scan(rows), "paragraphs")
-    across = stage(passages(rows, scanned.where("anchors is not null").select("node.doc", "anchors")), "passage-spans")
+    across = passages(rows, scanned.where("anchors is not null").select("node.doc", "anchors"))
     seen = scanned.where("same is not null").drop("anchors")
     same = seen.groupBy("same").agg(F.min("node").alias("rep"), F.min("node.doc").alias("low"), F.max("node.doc").alias("high"))
     classes = stage(seen.join(same, "same").where("node = rep").select(F.col("node").alias("doc"), "n_shingles", "bands", "same", "low", "high").dropDuplicates(["doc"]), "paragraph-classes")
