@@ -151,7 +151,8 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str):
 
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", drop: bool = False) -> DataFrame:
     """All columns and ``bench_matches``; with ``drop``, rows that match no item, and no new
-    column. Null and empty texts and items match nothing; an empty benchmark, neither."""
+    column. Null and empty texts and items match nothing; an empty benchmark, neither. A column
+    ``bench_matches`` of the input gives way to the new one, and stays with ``drop``."""
     spark = docs.sparkSession
     match = MATCH.format(kind=benchmark.schema[item_col].dataType.simpleString())
     out = docs if drop else docs.withColumn("bench_matches", F.from_json(F.lit("[]"), match))

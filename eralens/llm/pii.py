@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eralens.llm.common import stage
+from eralens.llm.common import fresh, stage
 
 KINDS = ("email", "ip", "card", "phone")
 # Fixed patterns of the base rules. Possessive where nothing can be given back, and started
@@ -157,14 +157,20 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         score = F.lit(0.0)
     p = 1 / (1 + F.exp(-score))
     order = F.coalesce(*[F.when(F.col("kind") == k, n) for n, k in enumerate(KINDS)])
-    kept = each.withColumn("p", p).where("base or p >= 0.5").groupBy("row").agg(F.collect_list(F.struct(order.alias("rank"), "start", "stop", "kind", "base", "p")).alias("all"))
-    over = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
-    base = F.filter("all", lambda s: s["base"])
-    added = let(base, lambda b: F.filter("all", lambda s: ~s["base"] & ~F.exists(b, lambda x: over(x, s))))
+    likely = each.withColumn("p", p).where("base or p >= 0.5").withColumn("rank", order)
+    # sorted by start, a span overlaps a base one if one before it ends later than it starts, or
+    # one after it starts before it ends
+    by_start = Window.partitionBy("row").orderBy("start")
+    end_before = F.max(F.when(F.col("base"), F.col("stop"))).over(by_start.rangeBetween(Window.unboundedPreceding, 0))
+    start_after = F.min(F.when(F.col("base"), F.col("start"))).over(by_start.rangeBetween(0, Window.unboundedFollowing))
+    free = ~F.coalesce(end_before > F.col("start"), F.lit(False)) & ~F.coalesce(start_after < F.col("stop"), F.lit(False))
+    apart = likely.withColumn("free", F.col("base") | free).where("free")
     # of weak spans that overlap, the one that starts first (then the longer) stays
-    chosen = let(added, lambda w: F.filter(w, lambda s: ~F.exists(w, lambda x: over(x, s) & ((x["start"] < s["start"]) | ((x["start"] == s["start"]) & ((x["stop"] > s["stop"]) | ((x["stop"] == s["stop"]) & (x["rank"] < s["rank"]))))))))
-    spans = F.array_sort(F.concat(base, chosen))
-    return seen.select("row", "doc_id", "text_key").join(kept.select("row", spans.alias("spans")), "row", "left").withColumn(
+    weak = F.when(~F.col("base"), F.col("stop"))
+    in_turn = Window.partitionBy("row").orderBy("start", F.desc("stop"), "rank").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = apart.withColumn("first", F.col("base") | (F.coalesce(F.max(weak).over(in_turn), F.lit(0)) <= F.col("start"))).where("first")
+    kept = chosen.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("rank", "start", "stop", "kind", "base", "p"))).alias("spans"))
+    return seen.select("row", "doc_id", "text_key").join(kept, "row", "left").withColumn(
         "spans", F.coalesce("spans", F.array().cast("array<struct<rank:int,start:bigint,stop:bigint,kind:string,base:boolean,p:double>>")))
 
 
@@ -182,8 +188,9 @@ def report(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The same rows and columns, each span replaced by its kind in brackets; spans that
     overlap are replaced as one, under the first one's kind."""
-    some = find(docs, id_col, text_col).where(F.size("spans") > 0).groupBy("doc_id", "text_key").agg(F.first("spans").alias("pii_spans"))
-    some = some.select(F.col("doc_id").alias("pii_doc"), F.col("text_key").alias("pii_key"), F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))).alias("pii_spans"))
+    doc, key, spans = (fresh(n, docs.columns) for n in ("pii_doc", "pii_key", "pii_spans"))
+    some = find(docs, id_col, text_col).where(F.size("spans") > 0).groupBy("doc_id", "text_key").agg(F.first("spans").alias("own"))
+    some = some.select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.array_sort(F.transform("own", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))).alias(spans))
     text = F.col(text_col)
 
     def step(acc, s):
@@ -192,6 +199,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return F.struct(out.alias("out"), F.greatest(acc["at"], s["stop"]).alias("at"))
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-    clean = F.aggregate("pii_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    joined = docs.join(some, F.col(id_col).eqNullSafe(F.col("pii_doc")) & (F.xxhash64(text_col) == F.col("pii_key")), "left")
-    return joined.select(*[(F.when(F.col("pii_spans").isNull(), text).otherwise(clean).alias(text_col) if n == text_col else F.col(f"`{n}`")) for n in docs.columns])
+    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    joined = docs.join(some, F.col(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(text_col) == F.col(key)), "left")
+    return joined.select(*[(F.when(F.col(spans).isNull(), text).otherwise(clean).alias(text_col) if n == text_col else F.col(f"`{n}`")) for n in docs.columns])

@@ -85,25 +85,25 @@ class Scores(dict):
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), in linear time: every positive
-    run joins the segments before it as long as that raises the sum."""
+    run joins the segments before it as long as that raises the sum. Each segment points to
+    the last one before it with a smaller sum at its start, so a search steps over a segment
+    once: what it has passed is hidden behind the pointer of the segment it was for."""
     hits = np.flatnonzero(scores > 0)
     if not len(hits):
         return []
     total = np.concatenate(([0.0], np.cumsum(scores)))
-    out: list[tuple[int, int, float, float]] = []      # start, end, sum before, sum at the end
-    for at in hits.tolist():
-        new = (at, at + 1, float(total[at]), float(total[at + 1]))
-        held = len(out) - 1
-        while True:
-            while held >= 0 and out[held][2] >= new[2]:
-                held -= 1
-            if held < 0 or out[held][3] >= new[3]:
-                break
-            new = (out[held][0], new[1], out[held][2], new[3])
+    out: list[tuple[int, int, float, float, int]] = []      # start, end, sum before, sum at the end, pointer
+    for at, low, high in zip(hits.tolist(), total[hits].tolist(), total[hits + 1].tolist()):
+        start, held = at, len(out) - 1
+        while held >= 0 and out[held][2] >= low:
+            held = out[held][4]
+        while held >= 0 and out[held][3] < high:
+            # joined from there on; what starts lower than the whole is behind its pointer
+            start, _, low, _, before = out[held]
             del out[held:]
-            held = len(out) - 1
-        out.append(new)
-    return [(a, b, r - l) for a, b, l, r in out]
+            held = before
+        out.append((start, at + 1, low, high, held))
+    return [(a, b, r - l) for a, b, l, r, _ in out]
 
 
 def scan(model: Model, memo: Scores, text: str) -> tuple[int, list[tuple[int, int, float]]]:
@@ -147,10 +147,12 @@ def feature_counts(texts_: DataFrame) -> DataFrame:
 
 
 def log_odds(toxic, clean, n_toxic: int, n_clean: int):
-    """Log-odds ratio and its significance under the informative prior."""
+    """Log-odds ratio and its significance under the informative prior. A feature that all
+    texts have is missing from half a text."""
     prior = F.lit(PRIOR) * (toxic + clean)
     size = PRIOR * (n_toxic + n_clean)
-    delta = F.log((toxic + prior) / (n_toxic + size - toxic - prior)) - F.log((clean + prior) / (n_clean + size - clean - prior))
+    odds = lambda has, n: F.log((has + prior) / F.greatest(n + size - has - prior, F.lit(0.5)))
+    delta = odds(toxic, n_toxic) - odds(clean, n_clean)
     return delta, delta / F.sqrt(1 / (toxic + prior) + 1 / (clean + prior))
 
 
@@ -229,7 +231,10 @@ def calibrate(model: Model, fold: DataFrame) -> None:
 def apply(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False, drop: float | None = None) -> DataFrame:
     """All columns and ``tox_score, tox_segments`` (``start_token, end_token, e_value`` of
     significant segments, with ``spans``). ``drop``: leave out rows scored that high, and
-    the new columns. Empty and null texts get the score of a text without hits."""
+    the new columns. Empty and null texts get the score of a text without hits. Columns of
+    the input that have the names of new ones give way to them."""
+    if drop is None:
+        docs = docs.drop("tox_score", "tox_segments")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     new = "" if drop is not None else "tox_score double" + (", tox_segments array<struct<start_token:int,end_token:int,e_value:double>>" if spans else "")
     schema = ", ".join([*(f"`{n}` {t}" for n, t in docs.dtypes), *([new] if new else [])])
