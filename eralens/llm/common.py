@@ -33,7 +33,7 @@ def release(*staged: DataFrame) -> None:
     for df in staged:
         files = df.inputFiles()
         if files:
-            df.limit(0).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

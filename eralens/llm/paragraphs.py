@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eralens.llm.common import release, stage, texts
-from eralens.llm.minhash import Hashes, banded, linked, mix, shingle_set
+from eralens.llm.minhash import banded, linked, mix, shingle_set
 
 WORDS, THRESHOLD = 5, 80
 RECALL, BUDGET = 0.9999993, 64     # 20 bands of 3, as in minhash
@@ -56,25 +56,47 @@ def word_chars() -> np.ndarray:
     return np.fromiter((c == 95 or chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
 
 
-def words_at(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words of all lines in lower case, and where they start and stop, in code points."""
+def letters_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def words_at(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of all words in a row, in lower case, the words' lengths, and where they start and
+    stop in the text, in code points."""
     low = text.lower()
-    if len(low) == len(text):
-        inside = word_chars()[np.frombuffer(low.encode("utf-32-le"), np.uint32)]
-        edges = np.flatnonzero(np.diff(np.r_[False, inside, False]))
-        return WORD.findall(low), edges[::2], edges[1::2]
-    # letters that become two: places are those of the letters they come from
-    back = np.array([k for k, c in enumerate(text) for _ in c.lower()])
-    low = "".join(c.lower() for c in text)
-    found = [(m[0], *m.span()) for m in WORD.finditer(low)]
-    words, a, b = zip(*found) if found else ((), (), ())
-    return list(words), back[np.array(a, int)], back[np.array(b, int) - 1] + 1
-
-
-def lines(text: str) -> tuple[list[str], list[tuple[int, int, int, int]], list[tuple[int, int, int, list[str]]]]:
-    """All words; (number, start, stop, words) of the lines that have some; and the same, with
-    their marks as words, of lines that have none and are not blank."""
-    words, starts, _ = words_at(text)
+    letters = letters_of(low)
+    inside = word_chars()[letters]
+    edges = np.flatnonzero(np.diff(np.r_[False, inside, False]))
+    start, stop = edges[::2], edges[1::2]
+    letters, size = letters[inside], stop - start
+    if len(low) != len(text):                # letters that become two: places are those of the letters they come from
+        back = np.array([k for k, c in enumerate(text) for _ in c.lower()])
+        start, stop = back[start], back[stop - 1] + 1
+    return letters, size, start, stop
+
+
+def hashed(letters: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: sums of their letters, each hashed with its place in the word."""
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(size) - size
+    place = np.arange(len(letters)) - np.repeat(first, size)
+    each = mix(letters.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return mix(np.add.reduceat(each, first) + size.astype(np.uint64))
+
+
+def hashed_list(words: list[str]) -> np.ndarray:
+    return hashed(letters_of("".join(words)), np.fromiter(map(len, words), np.int64, len(words)))
+
+
+def hashed_texts(found: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of several texts (as of ``words_at``), and how many each has."""
+    return hashed(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])), np.array([len(f[1]) for f in found])
+
+
+def lines(text: str, starts: np.ndarray) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, list[str]]]]:
+    """(number, start, stop, words) of the lines that have some, and the same, with their marks
+    as words, of lines that have none and are not blank."""
     ends, at = [], text.find("\n")
     while at >= 0:
         ends.append(at)
@@ -83,14 +105,7 @@ def lines(text: str) -> tuple[list[str], list[tuple[int, int, int, int]], list[t
     size = np.diff(np.r_[np.searchsorted(starts, first), len(starts)])
     some = np.flatnonzero(size)
     bare = [(k, a, b, marks) for k, a, b in zip(*(x[size == 0].tolist() for x in (np.arange(len(size)), first, last))) if b > a and (marks := text[a:b].split())]
-    return words, list(zip(some.tolist(), first[some].tolist(), last[some].tolist(), size[some].tolist())), bare
-
-
-def hashed(memo: Hashes, words: list[str]) -> np.ndarray:
-    """Hashes of many words, each distinct one worked out once."""
-    coded = pa.array(words, pa.large_string()).dictionary_encode()
-    each = coded.dictionary.to_pylist()
-    return np.fromiter((memo[w.encode()] for w in each), np.uint64, len(each))[coded.indices.to_numpy()]
+    return list(zip(some.tolist(), first[some].tolist(), last[some].tolist(), size[some].tolist())), bare
 
 
 def runs(h: np.ndarray, n: int) -> np.ndarray:
@@ -126,7 +141,7 @@ def anchors(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def many_sets(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sets of many paragraphs of five words or more in one go: distinct shingles, paragraph
-    by paragraph, and how many each has. The same values as of ``paragraph_set``."""
+    by paragraph, and how many each has. The same values as of ``shingle_set``."""
     out = np.full(len(flat) - WORDS + 1, np.uint64(WORDS))
     for k in range(WORDS):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + flat[k:k + len(out)])
@@ -139,10 +154,6 @@ def many_sets(flat: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[new], np.bincount(owner[new], minlength=len(size))
 
 
-def paragraph_set(memo: Hashes, words: list[str]) -> np.ndarray:
-    return shingle_set(np.fromiter((memo[w.encode()] for w in words), np.uint64, len(words)), WORDS)
-
-
 SCAN = ["node", "start", "stop", "n_words", "same", "n_shingles", "bands", "anchors"]
 SCAN_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64())]
 
@@ -154,14 +165,14 @@ def scan(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc"].dataType.simpleString()
 
     def run(batches):
-        memo = Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                yield from scanned(batch.slice(at, 256).column(0), *zip(*map(lines, texts(batch.slice(at, 256).column(1)))), memo)
+                yield from scanned(batch.slice(at, 256).column(0), texts(batch.slice(at, 256).column(1)))
 
-    def scanned(ids, words, worded, bare, memo):
-        n_words = np.array([len(w) for w in words])
-        flat = hashed(memo, [w for ws in words for w in ws])
+    def scanned(ids, given):
+        found = [words_at(t) for t in given]
+        flat, n_words = hashed_texts(found)
+        worded, bare = zip(*(lines(t, f[2]) for t, f in zip(given, found)))
         keys, first, _ = anchors(flat, n_words)
         stops = np.cumsum(n_words)
         bounds = np.r_[0, np.searchsorted(first, stops)]
@@ -173,7 +184,7 @@ def scan(docs: DataFrame) -> DataFrame:
         rows = [(k, *line) for k, own in enumerate(worded) for line in own] + [(k, para, a, b, len(marks)) for k, own in enumerate(bare) for para, a, b, marks in own]
         if not rows:
             return
-        flat = np.concatenate((flat, hashed(memo, [w for own in bare for *_, marks in own for w in marks])))
+        flat = np.concatenate((flat, hashed_list([w for own in bare for *_, marks in own for w in marks])))
         k, para, start, stop, n = (np.array(c) for c in zip(*rows))
         ends = np.cumsum(n)
         same = [xxhash.xxh3_128_digest(flat[a:b].tobytes()) for a, b in zip((ends - n).tolist(), ends.tolist())]
@@ -197,15 +208,16 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     wanted = ids.groupBy(F.col("doc.doc").alias("doc")).agg(F.collect_set("doc.para").alias("paras"))
 
     def run(batches):
-        memo = Hashes()
         for batch in batches:
-            at, para, sets = [], [], []
+            at, para, words = [], [], []
             for k, (text, paras) in enumerate(zip(texts(batch.column(1)), batch.column(2).to_pylist())):
                 rows = text.split("\n")
                 for number in set(paras):
                     line = rows[number].lower() if number < len(rows) else ""
-                    if words := WORD.findall(line) or line.split():
-                        at.append(k), para.append(number), sets.append(paragraph_set(memo, words).tobytes())
+                    if own := WORD.findall(line) or line.split():
+                        at.append(k), para.append(number), words.append(own)
+            h, ends = hashed_list([w for own in words for w in own]), np.cumsum([len(own) for own in words], dtype=np.int64)
+            sets = [shingle_set(h[b - len(own):b], WORDS).tobytes() for own, b in zip(words, ends.tolist())]
             node = pa.StructArray.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(para, pa.int32())], names=["doc", "para"])
             yield pa.RecordBatch.from_arrays([node, pa.array(sets, pa.binary())], names=["doc", "shingles"])
 
@@ -231,15 +243,14 @@ def anchored(docs: DataFrame, wanted: DataFrame, single: bool) -> DataFrame:
     names = ["doc", "body", "key", "run", "first", "last", "start", "stop", "again"]
 
     def run(batches):
-        memo = Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                yield from placed(batch.slice(at, 256), memo)
+                yield from placed(batch.slice(at, 256))
 
-    def placed(part, memo):
-        words, starts, stops = zip(*map(words_at, texts(part.column(1))))
-        n = np.array([len(w) for w in words])
-        h, begins = hashed(memo, [w for ws in words for w in ws]), np.cumsum(n) - n
+    def placed(part):
+        found = [words_at(t) for t in texts(part.column(1))]
+        h, n = hashed_texts(found)
+        starts, stops, begins = [f[2] for f in found], [f[3] for f in found], np.cumsum(n) - n
         keys, first, last = anchors(h, n)
         keys, owner = keys.view(np.int64), np.repeat(np.arange(len(n)), n)[first]
         # of each text, the anchors asked for
@@ -253,19 +264,19 @@ def anchored(docs: DataFrame, wanted: DataFrame, single: bool) -> DataFrame:
             size = last - first + 1
             keys, owner = np.repeat(keys, size), np.repeat(owner, size)
             first = last = np.repeat(first - np.cumsum(size) + size, size) + np.arange(len(keys))
-            found = runs(h, PASSAGE)[first]
+            run_ = runs(h, PASSAGE)[first]
         else:
-            found = np.fromiter((xxhash.xxh3_64_intdigest(h[a:b + PASSAGE].tobytes()) for a, b in zip(first.tolist(), last.tolist())), np.uint64, len(keys))
-        found = found.view(np.int64)
-        order = np.lexsort((first, found, keys, owner))
-        new = np.r_[True, (owner[order][1:] != owner[order][:-1]) | (keys[order][1:] != keys[order][:-1]) | (found[order][1:] != found[order][:-1])]
+            run_ = np.fromiter((xxhash.xxh3_64_intdigest(h[a:b + PASSAGE].tobytes()) for a, b in zip(first.tolist(), last.tolist())), np.uint64, len(keys))
+        run_ = run_.view(np.int64)
+        order = np.lexsort((first, run_, keys, owner))
+        new = np.r_[True, (owner[order][1:] != owner[order][:-1]) | (keys[order][1:] != keys[order][:-1]) | (run_[order][1:] != run_[order][:-1])]
         again = np.empty(len(keys), bool)
         again[order] = ~new
         bodies = np.array([xxhash.xxh3_64_intdigest(h[a:a + m].tobytes()) for a, m in zip(begins.tolist(), n.tolist())], np.uint64).view(np.int64)
         start, stop = np.concatenate(starts)[first], np.concatenate(stops)[last + PASSAGE - 1]
         first, last = first - begins[owner], last - begins[owner]
         yield pa.RecordBatch.from_arrays(
-            [part.column(0).take(pa.array(owner)), pa.array(bodies[owner]), pa.array(keys), pa.array(found), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
+            [part.column(0).take(pa.array(owner)), pa.array(bodies[owner]), pa.array(keys), pa.array(run_), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
              pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(again)], names=names)
 
     return docs.join(wanted, "doc").select("doc", "text", "keys").mapInArrow(run, f"doc {kind}, body bigint, key bigint, run bigint, first int, last int, start int, stop int, again boolean")
@@ -320,9 +331,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
     scanned = stage(scan(rows), "paragraphs")
     across = passages(rows, scanned.where("anchors is not null").select("node.doc", "anchors"))
-    seen = scanned.where("same is not null").drop("anchors")
-    same = seen.groupBy("same").agg(F.min("node").alias("rep"), F.min("node.doc").alias("low"), F.max("node.doc").alias("high"))
-    classes = stage(seen.join(same, "same").where("node = rep").select(F.col("node").alias("doc"), "n_shingles", "bands", "same", "low", "high").dropDuplicates(["doc"]), "paragraph-classes")
+    same = scanned.where("same is not null").groupBy("same").agg(F.min("node").alias("rep"), F.min("node.doc").alias("low"), F.max("node.doc").alias("high"))
+    classes = stage(scanned.join(same, "same").where("node = rep").select(F.col("node").alias("doc"), "n_shingles", "bands", "same", "low", "high").dropDuplicates(["doc"]), "paragraph-classes")
+    seen = stage(scanned.where("same is not null").select("node", "start", "stop", "n_words", "same"), "paragraph-places")
+    release(scanned)
     comp = linked(classes.select("doc", "n_shingles", "bands"), lambda ids: sets_of(rows, ids), "paragraph-links")
     placed = classes.select("doc", "same", "low", "high").join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("same", "low", "high", F.coalesce("component", "doc").alias("first"))
     many = placed.groupBy("first").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("first")

@@ -248,7 +248,11 @@ def test_passages(rows):
              (4, " ".join(fresh(40) + long + fresh(200))), (5, " ".join(fresh(300) + long[:90] + fresh(3) + long[20:] + long[:60])), (6, " ".join(2 * fresh(60)))]
     got = [r for r in paragraphs.repeats(rows(table, "doc_id bigint, text string")).collect() if r["para"] is None]
     text, plain, have = dict(table), {}, {}
-    place = {i: paragraphs.words_at(t) for i, t in table}
+    place = {}
+    for i, t in table:
+        letters, size, start, stop = paragraphs.words_at(t)
+        place[i] = (["".join(map(chr, w)) for w in np.split(letters, np.cumsum(size)[:-1])], start.tolist(), stop.tolist())
+        assert place[i][0] == paragraphs.WORD.findall(t.lower())
     holds = collections.defaultdict(set)
     for i, (w, *_) in place.items():
         for k in range(len(w) - 49):
