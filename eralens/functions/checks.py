@@ -37,6 +37,13 @@ def together(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def ensure(df: DataFrame, condition: Column, message: Column | str) -> DataFrame:
+    """The rows of ``df``; a row that does not meet the condition fails the query that reads it,
+    with the message. It is checked where rows are made, in no pass of its own."""
+    text = F.lit(message) if isinstance(message, str) else message
+    return df.where(F.assert_true(F.coalesce(condition, F.lit(False)), text).isNull())
+
+
 def require(violations: DataFrame, what: str = "check") -> None:
     """Raise if there is at least one violation; reads five of them for the message."""
     first = violations.limit(5).collect()

@@ -1,6 +1,7 @@
 """Exact ranks, positions, running sums and quantiles for groups of any size.
 
-Two plans, chosen by a count of the largest group (``plan_groups``):
+A whole table without groups is always cut into ranges of its order (``_whole_table``). For
+groups there are two plans, chosen by a count of the largest one (``plan_groups``):
 
 * up to ``MAX_GROUP_ROWS`` rows per group: a window per group. Every rank and
   every aggregate on the same keys then shares one shuffle.
@@ -39,7 +40,6 @@ class Split:
 DEFAULT_SPLIT = Split()
 AUTO = "auto"
 Plan = Split | None | str     # None: window per group; AUTO: count, then choose
-SINGLE = "__single"
 
 
 def plan_groups(df: DataFrame, keys: Sequence[str], bound: int | None = None) -> Split | None:
@@ -53,14 +53,8 @@ def plan_groups(df: DataFrame, keys: Sequence[str], bound: int | None = None) ->
 
 
 def resolve(df: DataFrame, keys: Sequence[str], plan: Plan) -> Split | None:
-    return plan_groups(df, keys) if plan == AUTO else plan
-
-
-def _with_keys(df: DataFrame, keys: Sequence[str], order: str) -> tuple[DataFrame, list[str]]:
-    if keys:
-        return df, list(keys)
-    # one group over the whole table: a key the optimizer does not fold away
-    return df.withColumn(SINGLE, F.pmod(F.xxhash64(F.col(order)), F.lit(1)).cast("int")), [SINGLE]
+    """Without keys there is one plan only (``_whole_table``), so nothing is counted."""
+    return plan_groups(df, keys) if plan == AUTO and keys else None if plan == AUTO else plan
 
 
 def on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", plain: Sequence[str] = ()) -> DataFrame:
@@ -121,10 +115,11 @@ def running_weight(
 ) -> DataFrame:
     """Adds ``before`` (weight of the rows strictly earlier) and ``whole``
     (weight of the group). The order columns must be unique within a group."""
-    split = resolve(df, keys, plan)
     cols = [order] if isinstance(order, str) else list(order)
-    given, keys_ = _with_keys(df, keys, cols[0])
-    kept = [c for c in given.columns if c != SINGLE]
+    if not keys:
+        return _whole_table(df, cols, weight)
+    split = resolve(df, keys, plan)
+    given, keys_, kept = df, list(keys), df.columns
     if split is None:
         g = W.partitionBy(*keys_)
         upto = g.orderBy(*cols).rowsBetween(W.unboundedPreceding, 0)
@@ -158,6 +153,20 @@ def running_weight(
     )
 
 
+def _whole_table(df: DataFrame, cols: list[str], weight: Column) -> DataFrame:
+    """Running weights over a whole table of any size. Rows are dealt to ranges of the order and
+    stored, so that all branches see the same ranges; a range is added up by its own task
+    and shifted by the totals of the ranges before it, one row each."""
+    ranged = df.withColumn("__wt", weight).repartitionByRange(*cols).withColumn("__range", F.spark_partition_id())
+    d = cut_lineage(ranged, "ranges")
+    w = W.partitionBy("__range").orderBy(*cols).rowsBetween(W.unboundedPreceding, 0)
+    totals = d.groupBy("__range").agg(F.sum("__wt").alias("__sum"))
+    upto = W.orderBy("__range").rowsBetween(W.unboundedPreceding, 0)
+    shifts = totals.select("__range", (F.sum("__sum").over(upto) - F.col("__sum")).alias("__shift"), F.sum("__sum").over(W.partitionBy()).alias("whole"))
+    local = d.withColumn("__own", F.sum("__wt").over(w) - F.col("__wt"))
+    return local.join(shifts, "__range").select(*df.columns, (F.col("__own") + F.col("__shift")).alias("before"), "whole")
+
+
 def distinct_ranks(
     df: DataFrame, keys: Sequence[str], value: str, extra: Sequence[Column] = (), plan: Plan = AUTO,
 ) -> DataFrame:
@@ -182,8 +191,8 @@ def with_rank(
     """Row-level rank, ties averaged; ``formula(below, ties, total)`` gives the
     value, by default (average rank - 1/2) / n. NULLs get NULL and do not count."""
     split = resolve(df, keys, plan)
-    if split is None:
-        given, keys_ = _with_keys(df, keys, value)
+    if split is None and keys:
+        given, keys_ = df, list(keys)
         present = F.col(value).isNotNull()
         g = W.partitionBy(*keys_)
         ordered = g.orderBy(F.col(value).asc_nulls_last())
@@ -194,7 +203,7 @@ def with_rank(
             "*", below.alias("__below"), ties.alias("__ties"), total.alias("__total")
         )
         rank = formula(F.col("__below"), F.col("__ties"), F.col("__total"))
-        return ranked.withColumn(out, F.when(present, rank)).drop("__below", "__ties", "__total", SINGLE)
+        return ranked.withColumn(out, F.when(present, rank)).drop("__below", "__ties", "__total")
     df = cut_lineage(df)
     ranks = distinct_ranks(df, keys, value, plan=split).select(
         *keys, value, formula(F.col("below"), F.col("ties"), F.col("total")).alias(out)

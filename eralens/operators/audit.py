@@ -167,11 +167,11 @@ def prediction_range_check(predictions: DataFrame, ids: DataFrame, key: str = "i
     )
 
 
-def prediction_diff(a: DataFrame, b: DataFrame, key: str = "id", value: str = "prediction", tolerance: float = 1e-4) -> DataFrame:
-    """Two prediction tables: id agreement, largest and mean difference, correlation."""
-    j = a.select(key, F.col(value).alias("x")).join(b.select(key, F.col(value).alias("y")), key, "full")
+def prediction_diff(a: DataFrame, b: DataFrame, key: str = "id", value: str = "prediction", tolerance: float = 1e-4, keys: Sequence[str] = ()) -> DataFrame:
+    """Two prediction tables, per ``keys``: id agreement, largest and mean difference, correlation."""
+    j = a.select(*keys, key, F.col(value).alias("x")).join(b.select(*keys, key, F.col(value).alias("y")), [*keys, key], "full")
     d = F.abs(F.col("x") - F.col("y"))
     one_side = F.count(F.when(F.col("x").isNull() | F.col("y").isNull(), 1))
-    r = j.agg(F.count(F.lit(1)).alias("rows"), one_side.alias("unmatched"), F.max(d).alias("max_abs"),
+    r = j.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), one_side.alias("unmatched"), F.max(d).alias("max_abs"),
               F.avg(d).alias("mean_abs"), F.corr("x", "y").alias("pearson"))
     return r.withColumn("passed", (F.col("unmatched") == 0) & (F.col("max_abs") <= tolerance))

@@ -2,19 +2,24 @@
 
 Resamples are rows: (key, sample, block) with a hashed start, so the draws do not
 depend on partitioning. A block's sum is looked up from the circular window sums of
-the series, which has one row per era.
+the series, which has one row per era. Resamples that all series share are a matrix of
+weights instead, which series are multiplied with.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eralens.functions.checks import findings
+from eralens.functions.checks import ensure, findings
 from eralens.functions.exprs import finite, hash_u32, keyed
 from eralens.functions.ranking import AUTO, Plan, distinct_ranks, exact_quantiles, resolve, with_rank
 from eralens.functions.series import era_positions
@@ -24,12 +29,17 @@ INTERVAL = (0.025, 0.975)
 
 def paired_difference(scores: DataFrame, a: str, b: str, keys: Sequence[str], value: str,
                       arm: str = "arm", era: str = "era") -> DataFrame:
-    """Era-aligned value of arm a minus arm b, with b's value as ``base``."""
+    """Era-aligned value of arm a minus arm b, with b's value as ``base``. Eras that neither arm
+    could score are left out; one that only one arm has, or has twice, fails the query
+    (``pairing_violations`` lists them)."""
     wide = scores.where(F.col(arm).isin(a, b)).groupBy(*keys, era).agg(
         F.max(F.when(F.col(arm) == a, F.col(value))).alias("va"),
         F.max(F.when(F.col(arm) == b, F.col(value))).alias("base"),
+        *[F.count(F.when((F.col(arm) == x) & finite(F.col(value)), 1)).alias(f"n_{i}") for i, x in enumerate((a, b))],
     )
-    return wide.where(finite(F.col("va")) & finite(F.col("base"))).select(
+    scored = ensure(wide.where((F.col("n_0") > 0) | (F.col("n_1") > 0)), (F.col("n_0") == 1) & (F.col("n_1") == 1),
+                    F.concat(F.lit(f"{a} and {b} are not paired in era "), F.col(era).cast("string")))
+    return scored.select(
         *keys, era, (F.col("va") - F.col("base")).alias("difference"), "base"
     )
 
@@ -52,6 +62,11 @@ def series_shape(series: DataFrame, keys: Sequence[str], value: str, era: str =
     return era_positions(series.select(*keys, era, F.col(value).alias("x")), keys, era)
 
 
+def long_enough(shape: DataFrame, length: int) -> DataFrame:
+    """A series shorter than a block fails the query."""
+    return ensure(shape, F.col("n") >= length, F.concat(F.lit(f"a block of {length} eras from a series of "), F.col("n").cast("string")))
+
+
 def draw_blocks(shape: DataFrame, keys: Sequence[str], length: int, samples: int, seed: int,
                 shared: bool = False) -> DataFrame:
     """Rows (keys, sample, start, take): circular blocks, the last one shortened.
@@ -95,7 +110,7 @@ def _interval(boot: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def bootstrap_samples(series: DataFrame, keys: Sequence[str], value: str, length: int = 8, samples: int = 10_000,
                       seed: int = 20260810, shared: bool = False, era: str = "era") -> DataFrame:
-    shape = series_shape(series, keys, value, era)
+    shape = long_enough(series_shape(series, keys, value, era), length)
     sums = window_sums(shape, keys, length, {"s": F.col("x")})
     draws = draw_blocks(shape, keys, length, samples, seed, shared)
     return draws.join(sums, [*keys, "take", "start"]).groupBy(*keys, "sample").agg(
@@ -105,17 +120,64 @@ def bootstrap_samples(series: DataFrame, keys: Sequence[str], value: str, length
 
 def block_bootstrap_mean(series: DataFrame, keys: Sequence[str], value: str, length: int = 8, samples: int = 10_000,
                          seed: int = 20260810, shared: bool = False, era: str = "era") -> DataFrame:
-    """Estimate, 95% interval and P(> 0) of the mean by circular moving blocks."""
+    """Estimate, 95% interval and P(> 0) of the mean by circular moving blocks. With ``shared``
+    all series see the same resamples, which are drawn once a task (``shared_intervals``)."""
+    if shared:
+        return shared_intervals(series, keys, value, length, samples, seed, era)
     ci = _interval(bootstrap_samples(series, keys, value, length, samples, seed, shared, era), keys, "boot_mean")
     est = series.groupBy(*keys).agg(F.avg(value).alias("estimate"), F.count(value).alias("eras"))
     return est.join(ci, list(keys)).withColumn("block_length", F.lit(length))
 
 
+@functools.lru_cache(maxsize=8)
+def resample_weights(n: int, length: int, samples: int, seed: int) -> np.ndarray:
+    """How often each of n eras stands in each resample (eras x samples). The starts are the
+    hashes of ``draw_blocks`` with shared draws, so any task finds the same matrix."""
+    blocks = -(-n // length)
+    labels = (f"{seed}:sample:{s}:{b}" for s in range(samples) for b in range(blocks))
+    start = np.fromiter((int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in labels), np.int64, samples * blocks).reshape(samples, blocks) % n
+    take = np.minimum(length, n - np.arange(blocks) * length)
+    out = np.zeros((n, samples), np.float64)
+    for off in range(length):
+        some = np.flatnonzero(off < take)
+        np.add.at(out, ((start[:, some] + off) % n, np.arange(samples)[:, None]), 1.0)
+    return out
+
+
+def shared_intervals(series: DataFrame, keys: Sequence[str], value: str, length: int, samples: int, seed: int, era: str = "era") -> DataFrame:
+    """Interval of the mean for many series under the same resamples: series (one array of
+    eras each) times the resample weights, some series at a time. The draws are made once a
+    task and length, whatever the number of series."""
+    shape = long_enough(series_shape(series, keys, value, era), length)
+    rows = shape.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"].cast("double")).alias("xs"))
+    kinds = dict(rows.dtypes)
+    made = [("estimate", "double"), ("eras", "bigint"), ("ci_low", "double"), ("ci_high", "double"), ("probability_positive", "double"), ("samples", "bigint")]
+
+    def run(batches):
+        for batch in batches:
+            held = batch.column(batch.num_columns - 1)
+            size = held.value_lengths().to_numpy()
+            out = np.zeros((len(size), 6))
+            for n in np.unique(size).tolist():
+                at = np.flatnonzero(size == n)
+                weights = resample_weights(n, length, samples, seed)
+                for part in np.array_split(at, -(-len(at) // 64)):
+                    x = held.take(pa.array(part)).flatten().to_numpy().reshape(len(part), n)
+                    means = x @ weights / n
+                    low, high = np.quantile(means, INTERVAL, axis=1)
+                    out[part] = np.column_stack([x.mean(axis=1), np.full(len(part), n), low, high, (means > 0).mean(axis=1), np.full(len(part), samples)])
+            columns = [pa.array(c if t == "double" else c.astype(np.int64)) for c, (_, t) in zip(out.T, made)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keys))], *columns], names=[*keys, *[n for n, _ in made]])
+
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"{n} {t}" for n, t in made])
+    return rows.mapInArrow(run, schema).withColumn("block_length", F.lit(length))
+
+
 def block_bootstrap_sharpe(pairs: DataFrame, keys: Sequence[str], a: str, b: str, length: int = 8,
                            samples: int = 10_000, seed: int = 20260810, era: str = "era") -> DataFrame:
     """Interval of the difference of two mean/std ratios, resampled jointly."""
     d = pairs.select(*keys, era, F.col(a).alias("x"), F.col(b).alias("y"))
-    shape = era_positions(d, keys, era)
+    shape = long_enough(era_positions(d, keys, era), length)
     x, y = F.col("x"), F.col("y")
     sums = window_sums(shape, keys, length, {"x1": x, "x2": x * x, "y1": y, "y2": y * y})
     draws = draw_blocks(shape, keys, length, samples, seed)
@@ -168,12 +230,14 @@ def threshold_of(baseline: DataFrame, keys: Sequence[str], value: str, cap: floa
 
 
 def model_pairs(scores: DataFrame, models: Sequence[str], values: Sequence[str], pairs: DataFrame, era: str = "era") -> DataFrame:
-    """Long table (pair, metric, era, difference) of the named pairs (model_a, model_b)."""
+    """Long table (pair, metric, era, difference) of the named pairs (model_a, model_b). What
+    neither model could score is left out; what only one has fails the query."""
     name = F.concat_ws("_s", *[F.col(m).cast("string") for m in models])
     long = scores.select(name.alias("model"), era, *values).unpivot(["model", era], list(values), "metric", "v").where(finite(F.col("v")))
-    a = long.select(F.col("model").alias("model_a"), era, "metric", F.col("v").alias("va"))
-    b = long.select(F.col("model").alias("model_b"), era, "metric", F.col("v").alias("vb"))
-    return pairs.join(a, "model_a").join(b, ["model_b", era, "metric"]).select(
+    one = lambda side, v: pairs.join(long.select(F.col("model").alias(side), era, "metric", F.col("v").alias(v)), side)
+    both = one("model_a", "va").join(one("model_b", "vb"), ["model_a", "model_b", era, "metric"], "full")
+    where = F.concat_ws(" ", F.lit("not paired:"), "model_a", "model_b", "metric", F.col(era).cast("string"))
+    return ensure(both, F.col("va").isNotNull() & F.col("vb").isNotNull(), where).select(
         F.concat_ws("-", "model_a", "model_b").alias("pair"), "metric", era, (F.col("va") - F.col("vb")).alias("difference"))
 
 
@@ -185,14 +249,16 @@ def pair_matrix(scores: DataFrame, models: Sequence[str], values: Sequence[str],
 
 
 def seed_pool(scores: DataFrame, original: Sequence[int], rerun: Sequence[int], value: str) -> DataFrame:
-    """Mean per (arm, era) over original and rerun seeds, only for eras both have."""
-    s = scores.where(F.col(value).isNotNull())
-    return s.groupBy("arm", "era").agg(
+    """Mean per (arm, era) over original and rerun seeds. An era that only one pool could score
+    fails the query."""
+    s = scores.where(F.col(value).isNotNull() & F.col("seed").isin(*original, *rerun))
+    pooled = s.groupBy("arm", "era").agg(
         F.avg(F.when(F.col("seed").isin(*original), F.col(value))).alias("original"),
         F.avg(F.when(F.col("seed").isin(*rerun), F.col(value))).alias("rerun"),
         F.avg(F.when(F.col("seed").isin(*original, *rerun), F.col(value))).alias("pooled"),
         F.count(F.when(F.col("seed").isin(*original, *rerun), 1)).alias("seeds"),
-    ).where(F.col("original").isNotNull() & F.col("rerun").isNotNull())
+    )
+    return ensure(pooled, F.col("original").isNotNull() & F.col("rerun").isNotNull(), F.concat(F.lit("only one pool has era "), F.col("era").cast("string")))
 
 
 def consistency_compare(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,10 +8,11 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eralens.functions.exprs import hash_u32, keyed
-from eralens.functions.ranking import AUTO, Plan, resolve, row_positions, top_n
+from eralens.functions.ranking import AUTO, Plan, resolve, row_positions
 
 
 # ---- batch inference ------------------------------------------------------------------
@@ -48,7 +49,8 @@ def batch_assignment(rows: DataFrame, mode: str, batch: int, steps: int, seed: i
     """Table (step, slot, row, held_out); the same for every arm at a seed.
 
     'rows': with replacement from all rows; 'era': from one era per step; 'within': one
-    sufficiently large era per step without replacement, then ``held_out`` further rows."""
+    sufficiently large era per step without replacement, then ``held_out`` further rows. Rows are
+    drawn by their positions, so a step reads as many rows as it keeps."""
     spark = rows.sparkSession
     draw = spark.range(steps).select(F.col("id").cast("int").alias("step"))
     slots = F.explode(F.sequence(F.lit(0), F.lit(batch - 1)))
@@ -72,13 +74,33 @@ def batch_assignment(rows: DataFrame, mode: str, batch: int, steps: int, seed: i
         d = d.withColumn("__at", F.pmod(hash_u32(keyed(seed, "slot", F.col("step"), F.col("slot"))), F.col("n")))
         return d.join(at, [era, "__at"]).select("step", "slot", row, F.lit(False).alias("held_out"))
     if mode != "within":
-        raise ValueError(f"unknown mode {mode!r}")
-    d = chosen.select("step", era).join(rows.select(row, era), era)
-    d = d.withColumn("__h", F.md5(keyed(seed, F.col("step"), F.col(row))))
-    got = top_n(d, ["step"], [F.asc("__h"), F.asc(row)], batch + held_out, "__k")
+        raise ValueError(f"no way of drawing is called {mode!r}")
+    wanted = batch + held_out
+    at = row_positions(rows.select(row, era), [era], row, "__at", resolve(rows, [era], plan))
+    drawn = permuted_positions(chosen.select("step", era, "n"), F.lit(wanted), seed)
+    got = drawn.join(at, [era, "__at"])
     return got.select("step", (F.col("__k") - 1).alias("slot"), row, (F.col("__k") > batch).alias("held_out"))
 
 
+def permuted_positions(groups: DataFrame, wanted, seed: int) -> DataFrame:
+    """``groups(step, n, ...)`` with ``__k``, ``__at``: the first ``wanted`` places of a permutation of
+    0..n-1 that the step draws, without looking at any row.
+
+    A Feistel network mixes the cells of a grid of a x b >= n: a round adds to one coordinate a
+    hash of the other, so cells are permuted. Cells beyond n are passed over; the grid has fewer
+    than a of them, so ``wanted`` and that many cells are enough."""
+    n = F.col("n")
+    grid = groups.withColumn("__a", F.ceil(F.sqrt(n)).cast("bigint")).withColumn("__b", F.ceil(n / F.col("__a")).cast("bigint"))
+    d = grid.withColumn("__cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("__a") * F.col("__b"), wanted + F.col("__a") * F.col("__b") - n) - 1)))
+    d = d.withColumn("__x", F.pmod("__cell", "__a")).withColumn("__y", F.floor(F.col("__cell") / F.col("__a")))
+    for turn in range(4):
+        one, other, size = ("__x", "__y", "__a") if turn % 2 == 0 else ("__y", "__x", "__b")
+        d = d.withColumn(one, F.pmod(F.col(one) + hash_u32(keyed(seed, "mix", F.col("step"), F.lit(turn), F.col(other))), F.col(size)))
+    d = d.withColumn("__at", F.col("__x") + F.col("__a") * F.col("__y")).where(F.col("__at") < n)
+    placed = d.withColumn("__k", F.row_number().over(W.partitionBy("step").orderBy("__cell")))
+    return placed.where(F.col("__k") <= wanted).drop("__a", "__b", "__cell", "__x", "__y")
+
+
 # ---- gradients and training -----------------------------------------------------------
 
 def _gradient_rows(df: DataFrame, weights: np.ndarray, loss: str, delta: float, era: str, features: str, target: str) -> DataFrame:

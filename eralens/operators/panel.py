@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eralens.functions.checks import ensure
 from eralens.functions.exprs import finite, hash_unit, keyed, signed_pow, with_probit
 from eralens.functions.ranking import AUTO, Plan, exact_quantiles, on_keys, resolve, row_positions, top_n
 
@@ -27,6 +28,31 @@ def encode_bins(x: Column, scale: str) -> Column:
     return F.when(ok, c.cast("tinyint"))
 
 
+def file_scales(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``file, scale``: the scale of every file behind a frame that was read from files. Whole
+    numbers are codes; other values are quarters of [0, 1] if none exceeds 1, else codes.
+    One row a file, from the files' own minima and maxima; nulls and NaN say nothing."""
+    kinds = dict(frame.dtypes)
+    whole = all(kinds[c] in ("tinyint", "smallint", "int", "bigint") for c in columns)
+    known = [F.when(finite(F.col(c)), F.col(c).cast("double")) for c in columns]
+    top = F.max(F.greatest(*known) if len(known) > 1 else known[0])
+    scale = F.lit("codes") if whole else F.when(top > 1.0, "codes").otherwise("unit")
+    return frame.groupBy(F.col("_metadata.file_path").alias("file")).agg(scale.alias("scale"))
+
+
+def encode_files(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The frame with ``columns`` as codes 0..4, whichever scale each of its files uses. A value
+    that is none of the five bins of its file's scale fails the query."""
+    file = F.col("_metadata.file_path").alias("__file")
+    rows = frame.select("*", file).join(file_scales(frame, columns).withColumnRenamed("file", "__file"), "__file")
+    for c in columns:
+        code = F.when(F.col("scale") == "codes", encode_bins(F.col(c), "codes")).otherwise(encode_bins(F.col(c), "unit"))
+        rows = rows.withColumn(f"__code_{c}", code)
+        where = F.concat(F.lit(f"{c} is no bin of scale "), F.col("scale"), F.lit(": "), F.coalesce(F.col(c).cast("string"), F.lit("null")))
+        rows = ensure(rows, F.col(f"__code_{c}").isNotNull(), where)
+    return rows.select(*[F.col(f"__code_{c}").alias(c) if c in columns else F.col(c) for c in frame.columns])
+
+
 def normalise_live_features(df: DataFrame, features: str = "features", by: Sequence[str] = ()) -> DataFrame:
     """Missing -> 1/2; a frame with any value above 1 must hold integers 0..4 and is
     divided by 4. ``by`` names what tells frames apart, such as the round; without it the

@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eralens.functions.checks import findings, together, violation
+from eralens.functions.checks import ensure, findings, together, violation
 from eralens.functions.exprs import on_grid, finite
 from eralens.functions.ranking import AUTO, Plan, exact_quantiles, top_n
 
@@ -69,10 +70,16 @@ def _best_first(ties: Sequence[str]) -> list[Column]:
     return [F.desc(on_grid(F.col("mean"), 12)), F.desc(on_grid(F.col("worst"), 12)), *[F.asc(c) for c in ties]]
 
 
-def select_topk(scores: DataFrame, k: int, keys: Sequence[str] = ("arm",), ties: Sequence[str] = ("config_id",)) -> DataFrame:
-    """Best k candidates per arm: mean, then worst cell, then lower id."""
+def select_topk(scores: DataFrame, k: int, keys: Sequence[str] = ("arm",), ties: Sequence[str] = ("config_id",), complete: bool = True) -> DataFrame:
+    """Best k candidates per arm: mean, then worst cell, then lower id. An arm with fewer
+    candidates fails the query; with ``complete=False`` it has what there is, and ``too_few``
+    lists such arms."""
     c = candidate_scores(scores, [*keys, *ties])
-    return top_n(c, list(keys), _best_first(ties), k)
+    best = top_n(c, list(keys), _best_first(ties), k)
+    if not complete:
+        return best
+    best = best.withColumn("__found", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+    return ensure(best, F.col("__found") >= k, F.concat(F.lit(f"{k} candidates wanted, found "), F.col("__found").cast("string"))).drop("__found")
 
 
 def too_few(selected: DataFrame, k: int, keys: Sequence[str] = ("arm",)) -> DataFrame:
@@ -97,7 +104,10 @@ def arm_pair_difference(scores: DataFrame, arms: Sequence[str] = ARMS, ids: Sequ
 
 
 def restrict_candidates(scores: DataFrame, ids: DataFrame, key: str = "config_id") -> DataFrame:
-    return scores.join(ids.select(key).distinct(), key, "left_semi")
+    """Scores of the listed ids; a listed id without scores fails the query
+    (``restriction_violations`` lists them)."""
+    known = scores.withColumn("__known", F.lit(True)).join(ids.select(key).distinct(), key, "right")
+    return ensure(known, F.col("__known"), F.concat(F.lit("no scores for "), F.col(key).cast("string"))).select(*scores.columns)
 
 
 def restriction_violations(scores: DataFrame, ids: DataFrame, key: str = "config_id") -> DataFrame:
@@ -258,8 +268,6 @@ def leaderboard_violations(rows: DataFrame, user: str = "username") -> DataFrame
 def grid_axis_slices(trials: DataFrame, axes: Sequence[str], value: str) -> DataFrame:
     """For each axis the slice through the best trial: is the best on the boundary, is it
     still improving there, and the shape of the slice. A grid axis has few values."""
-    from pyspark.sql import Window as W
-
     best = trials.orderBy(F.desc(on_grid(F.col(value), 12)), *[F.asc(a) for a in axes]).limit(1).select(*[F.col(a).alias(f"b_{a}") for a in axes])
     parts = []
     for axis in axes:

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eralens.functions.exprs import rounded
-from eralens.functions.ranking import plan_groups
 from eralens.operators import align, panel, splits
 from eralens.plans.registry import query, with_
 from eralens.session import scratch
-from eralens.sources import tables
-from eralens.sources.fixtures import CELLS, FEATURES, PANEL, H, probit_sql
+from eralens.sources import arrays, tables
+from eralens.sources.fixtures import BUDGETS, CELLS, FEATURES, PANEL, PRED, H, probit_sql
 
 # The protocol's blocks scaled to the 80 months of the given tables.
 OUTER = ((44, 54), (55, 65), (66, 76))
@@ -58,15 +57,29 @@ def _(t):
     return tables.read_manifest_tsv(t.spark, path)
 
 
-@query("read_scores_union", with_(CELLS, "SELECT arm, config_id, split, updates, seed, round(corr_mean, 10) + 0e0 AS corr_mean, runs FROM cells WHERE updates IN (5000, 20000)"))
+@query("read_scores_union", with_(CELLS, "SELECT arm, config_id, split, updates, seed, round(corr_mean, 10) + 0e0 AS corr_mean, runs FROM cells"))
 def _(t):
-    paths = [scratch(t.spark, "scores") for _ in range(2)]
-    for path, budget in zip(paths, (5000, 20000)):
+    paths = [scratch(t.spark, "scores") for _ in BUDGETS]
+    for path, budget in zip(paths, BUDGETS):
         t.cells().where(F.col("updates") == budget).write.option("header", "true").csv(path)
     got = tables.read_scores_union(t.spark, paths)
     return got.select("arm", "config_id", "split", "updates", "seed", rounded(F.col("corr_mean"), 10).alias("corr_mean"), "runs")
 
 
+@query("read_arrays", with_(PRED, """SELECT panel.data_type, pred.arm, pred.seed, count(*) AS n, round(avg(pred.prediction), 8) AS mean, round(avg(pred.prediction * panel.target), 8) AS cross_mean
+FROM pred JOIN panel USING (id) GROUP BY 1, 2, 3"""))
+def _(t):
+    """Predictions stored as archives of arrays, read by ranges of rows and joined with the panel."""
+    path = scratch(t.spark, "arrays")
+    stored = t.pred().select("id", (F.col("arm") == "filtered").alias("filtered"), "seed", "prediction")
+    arrays.write_arrays(stored, path).write.format("noop").mode("overwrite").save()
+    got = arrays.read_arrays(t.spark, path, ["id", "filtered", "seed", "prediction"], rangeBytes=1 << 20)
+    d = got.join(t.panel().select("id", "data_type", "target"), "id")
+    arm = F.when(F.col("filtered"), "filtered").otherwise("plain").alias("arm")
+    return d.groupBy("data_type", arm, "seed").agg(F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("mean"), F.avg(F.col("prediction") * F.col("target")).alias("cross_mean")).select(
+        "data_type", "arm", "seed", "n", *rr("mean", "cross_mean"))
+
+
 @query("explode_curves", """WITH k AS (SELECT user_id AS run, CAST(day(ts) AS INT) AS step,
  CASE WHEN event_type IN ('click','view') THEN 'valid' WHEN event_type = 'purchase' THEN 'train' ELSE 'test' END AS split, value FROM events)
 SELECT run, step, split, round(avg(value), 8) AS mse, count(*) AS n_rows FROM k GROUP BY 1, 2, 3""")
@@ -98,6 +111,17 @@ def _(t):
     return d.groupBy("unit_code", "int_code").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("encode_files", """SELECT l_returnflag AS flag, least(4, CAST(floor(l_quantity / 10.5e0) AS INT)) AS code, count(*) AS n FROM lineitem GROUP BY 1, 2""")
+def _(t):
+    """One folder of files with two scales: quarters in some, codes in others, found by file."""
+    path = scratch(t.spark, "scales")
+    code = F.least(F.lit(4), F.floor(F.col("l_quantity") / 10.5).cast("int"))
+    value = F.when(F.col("l_returnflag") == "A", code / F.lit(4.0)).otherwise(code.cast("double"))
+    t.table("lineitem").select(F.col("l_returnflag").alias("flag"), value.alias("x")).write.partitionBy("flag").parquet(path)
+    got = panel.encode_files(t.spark.read.parquet(path), ["x"])
+    return got.groupBy("flag", F.col("x").cast("int").alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("normalise_live_features", with_(PANEL, """, f AS (SELECT id, features, CASE WHEN max(list_max(features)) OVER (PARTITION BY era) > 1 THEN 4e0 ELSE 1e0 END AS scale FROM panel)
 SELECT id, round(list_sum([x/scale for x in features]), 8) AS total, features[1]/scale AS first, true AS valid FROM f"""))
 def _(t):
@@ -165,7 +189,7 @@ def _(t):
 @query("permute_column", with_(PANEL, """SELECT a.id, b.target AS target_permuted FROM (SELECT id, row_number() OVER (ORDER BY id) AS k FROM panel) a
  JOIN (SELECT target, row_number() OVER (ORDER BY md5('7:' || id), id) AS k FROM panel) b USING (k)"""))
 def _(t):
-    d = panel.permute_column(t.panel().select("id", "target"), "target", 7, plan=plan_groups(t.table("orders"), []))
+    d = panel.permute_column(t.panel().select("id", "target"), "target", 7)
     return d.select("id", "target_permuted")
 
 
@@ -288,6 +312,13 @@ def _(t):
     return align.benchmark_left_join(t.eras(), bench_table(t)).select("id", "era", "bench")
 
 
+@query("bucketed_left_join", f"SELECT o_orderkey AS id, {ERA} AS era, CASE WHEN {ERA} >= 12 THEN c_acctbal END AS bench FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def _(t):
+    """The benchmark join on tables that are stored in buckets of the id: nothing is shuffled."""
+    one, two = (tables.write_bucketed(d, "id", 8) for d in (t.eras(), bench_table(t)))
+    return align.benchmark_left_join(one, two).select("id", "era", "bench")
+
+
 @query("coverage_boundary_check", with_(PANEL, "SELECT 'coverage' AS kind, CAST(id AS VARCHAR) AS key, CAST(era AS VARCHAR) AS detail FROM panel WHERE (era >= 13) <> (benchmark IS NOT NULL)"))
 def _(t):
     return align.coverage_boundary_check(t.panel(), 13)

@@ -89,14 +89,14 @@ def _(t):
 
 
 @query("multi_model_era_scores", with_(PANEL + f""",
-wide AS (SELECT id, era, target, benchmark, latent AS m_signal, 1e0 - latent AS m_inverse, benchmark_b AS m_price FROM panel WHERE target IS NOT NULL AND era >= 12),
+wide AS (SELECT id, era, target, benchmark, latent AS m_signal, 1e0 - latent AS m_inverse, benchmark_b AS m_price FROM panel WHERE target IS NOT NULL),
 big AS (SELECT era FROM wide GROUP BY era HAVING count(*) >= 5),
 long AS (SELECT * FROM (SELECT id, era, target, benchmark, 'm_signal' AS model, m_signal AS prediction FROM wide UNION ALL SELECT id, era, target, benchmark, 'm_inverse', m_inverse FROM wide
- UNION ALL SELECT id, era, target, benchmark, 'm_price', m_price FROM wide) WHERE era IN (SELECT era FROM big)),
+ UNION ALL SELECT id, era, target, benchmark, 'm_price', m_price FROM wide) WHERE era IN (SELECT era FROM big) AND prediction IS NOT NULL),
 {official_sql("long", "model, era")},{bmc_sql("long", "model, era")}""",
     "SELECT model, era, round(corr, 8) + 0e0 AS corr, round(bmc, 8) + 0e0 AS bmc FROM o_corr LEFT JOIN b_bmc USING (model, era)"))
 def _(t):
-    wide = t.panel().where(F.col("target").isNotNull() & (F.col("era") >= 12)).join(t.scored_eras(), "era", "left_semi").select(
+    wide = t.panel().where(F.col("target").isNotNull()).join(t.scored_eras(), "era", "left_semi").select(
         "id", "era", "target", "benchmark", F.col("latent").alias("m_signal"), (F.lit(1.0) - F.col("latent")).alias("m_inverse"),
         F.col("benchmark_b").alias("m_price"))
     got = score.multi_model_era_scores(wide, ["m_signal", "m_inverse", "m_price"], plan=t.plan())
@@ -143,12 +143,12 @@ def _(t):
     return got.select("target_name", *KEYS, rounded(F.col("corr")).alias("corr"), rounded(F.col("bmc")).alias("bmc"))
 
 
-@query("feature_exposure", with_(PANEL + """,
-x AS (SELECT era, latent AS prediction, unnest(features) AS x, unnest(range(len(features))) AS feature FROM panel WHERE target IS NOT NULL),
-c AS (SELECT era, feature, CASE WHEN stddev_pop(x) > 1e-9 AND stddev_pop(prediction) > 1e-9 THEN corr(x, prediction) END AS c FROM x GROUP BY era, feature),
-e AS (SELECT feature, avg(c) AS exposure FROM c GROUP BY feature)""",
-    "SELECT 'signal' AS model, round(max(abs(exposure)), 8) AS max_exposure, count(exposure) AS features FROM e"))
+@query("feature_exposure", with_(PRED + """,
+x AS (SELECT pred.arm, pred.seed, pred.era, pred.prediction, unnest(panel.features) AS x, unnest(range(len(panel.features))) AS feature FROM pred JOIN panel USING (id)),
+c AS (SELECT arm, seed, era, feature, CASE WHEN stddev_pop(x) > 1e-9 AND stddev_pop(prediction) > 1e-9 THEN corr(x, prediction) END AS c FROM x GROUP BY arm, seed, era, feature),
+e AS (SELECT arm, seed, feature, avg(c) AS exposure FROM c GROUP BY arm, seed, feature)""",
+    "SELECT arm, seed, round(max(abs(exposure)), 8) AS max_exposure, count(exposure) AS features FROM e GROUP BY arm, seed"))
 def _(t):
-    p = t.panel().where(F.col("target").isNotNull()).withColumn("model", F.lit("signal"))
-    got = vectors.feature_exposure(p, ["model"], 6, pred="latent")
-    return got.select("model", rounded(F.col("max_exposure")).alias("max_exposure"), "features")
+    p = t.pred().select("id", "arm", "seed", "era", "prediction").join(t.panel().select("id", "features"), "id")
+    got = vectors.feature_exposure(p, ["arm", "seed"], 6)
+    return got.select("arm", "seed", rounded(F.col("max_exposure")).alias("max_exposure"), "features")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eralens.functions.exprs import on_grid, rounded
-from eralens.functions.ranking import plan_groups
 from eralens.operators import audit, score, selection
 from eralens.plans.registry import query, with_
 from eralens.plans.score_queries import BLEND, ENSEMBLE_ROUNDED, K, KEYS
@@ -38,15 +37,15 @@ def _(t):
     return selection.equal_coverage(t.cells(), ["arm", "config_id", "updates"], single_budget=True, arms=selection.ARMS)
 
 
-@query("select_topk", with_(CELLS + ", " + ranked_sql("arm", "config_id", "updates = 5000"), "SELECT arm, config_id, round(mean, 8) + 0e0 AS mean, round(worst, 8) + 0e0 AS worst, cells, place FROM k WHERE place <= 5"))
+@query("select_topk", with_(CELLS + ", " + ranked_sql("updates, arm", "config_id"), "SELECT updates, arm, config_id, round(mean, 8) + 0e0 AS mean, round(worst, 8) + 0e0 AS worst, cells, place FROM k WHERE place <= 5"))
 def _(t):
-    got = selection.select_topk(t.cells().where("updates = 5000"), 5)
-    return got.select("arm", "config_id", *rr("mean", "worst"), "cells", "place")
+    got = selection.select_topk(t.cells(), 5, ("updates", "arm"))
+    return got.select("updates", "arm", "config_id", *rr("mean", "worst"), "cells", "place")
 
 
-@query("paired_union", with_(CELLS + ", " + ranked_sql("arm", "config_id", "updates = 20000"), "SELECT DISTINCT config_id FROM k WHERE place <= 5"))
+@query("paired_union", with_(CELLS + ", " + ranked_sql("updates, arm", "config_id"), "SELECT DISTINCT updates, config_id FROM k WHERE place <= 5"))
 def _(t):
-    return selection.paired_union(selection.select_topk(t.cells().where("updates = 20000"), 5))
+    return selection.paired_union(selection.select_topk(t.cells(), 5, ("updates", "arm")), ("updates", "config_id"))
 
 
 @query("select_budgeted", with_(CELLS + ", " + ranked_sql("arm", "config_id, updates"), "SELECT arm, config_id, updates, round(mean, 8) + 0e0 AS mean, place FROM k WHERE place <= 10"))
@@ -166,10 +165,11 @@ WINNERS = CELLS + ", " + ranked_sql("split, arm", "config_id, updates", tag="fw"
 FIXED = ranked_sql("arm", "config_id, updates", tag="fx")
 
 
-@query("winner_union_across_folds", with_(WINNERS, "SELECT config_id, updates, count(*) AS wins, string_agg(DISTINCT arm, ',' ORDER BY arm) AS arms FROM fw WHERE place = 1 GROUP BY 1, 2"))
+@query("winner_union_across_folds", with_(WINNERS, "SELECT config_id, updates, count(*) AS wins, string_agg(DISTINCT arm, ',' ORDER BY arm) AS arms FROM fw WHERE place = 1 AND worst > 0 GROUP BY 1, 2"))
 def _(t):
-    w = selection.fold_winners(t.cells())
-    return selection.winner_union_across_folds(w, w)
+    # the audit of a fold confirms candidates none of whose cells there is negative
+    audits = t.cells().groupBy("split", "arm", "config_id", "updates").agg(F.min("corr_mean").alias("worst")).where("worst > 0")
+    return selection.winner_union_across_folds(selection.fold_winners(t.cells()), audits)
 
 
 @query("fixed_config_confirmation", with_(WINNERS + ", " + FIXED, "SELECT 'reselected' AS kind, split || ':' || arm AS key, config_id || ':' || updates AS detail FROM fw WHERE place = 1 AND (arm, config_id, updates) NOT IN (SELECT (arm, config_id, updates) FROM fx WHERE place = 1)"))
@@ -224,13 +224,13 @@ def _(t):
 
 
 @query("cell_manifest_audit", with_(WINNERS + """,
-w AS (SELECT arm, config_id, split, updates FROM fw WHERE place = 1), mf AS (SELECT c.config_id || ':' || c.seed AS job, c.arm, c.config_id, c.split, c.updates, c.seed FROM cells c JOIN (SELECT DISTINCT arm, config_id, updates FROM w) w ON c.config_id = w.config_id AND c.arm = w.arm AND c.updates = w.updates WHERE c.runs >= 8),
+w AS (SELECT arm, config_id, split, updates FROM fw WHERE place = 1), mf AS (SELECT c.config_id || ':' || c.seed AS job, c.arm, c.config_id, c.split, c.updates, c.seed FROM cells c JOIN (SELECT DISTINCT arm, config_id, updates FROM w) w ON c.config_id = w.config_id AND c.arm = w.arm AND c.updates = w.updates),
 ex AS (SELECT arm, config_id, split, updates, seed FROM w CROSS JOIN (VALUES (0), (1), (2)) s(seed)), ms AS (SELECT DISTINCT arm, config_id, split, updates, seed FROM mf)""",
     """SELECT 'missing_cell' AS kind, arm || ':' || config_id || ':' || split || ':' || updates || ':' || seed AS key, '' AS detail FROM (FROM ex EXCEPT FROM ms)
 UNION ALL SELECT 'extra_cell', arm || ':' || config_id || ':' || split || ':' || updates || ':' || seed, '' FROM (FROM ms EXCEPT FROM ex) UNION ALL SELECT 'job_repeated', job, CAST(count(*) AS VARCHAR) FROM mf GROUP BY job HAVING count(*) > 1""".replace("AS job, c.arm", "AS job, c.arm")))
 def _(t):
     w = selection.fold_winners(t.cells()).select("arm", "config_id", "split", "updates")
-    manifest = t.cells().where("runs >= 8").join(w.select("arm", "config_id", "updates").distinct(), ["arm", "config_id", "updates"])
+    manifest = t.cells().join(w.select("arm", "config_id", "updates").distinct(), ["arm", "config_id", "updates"])
     manifest = manifest.withColumn("job", F.concat_ws(":", F.col("config_id").cast("string"), F.col("seed").cast("string")))
     return audit.cell_manifest_audit(manifest, w, [0, 1, 2])
 
@@ -240,7 +240,7 @@ b AS (SELECT pos // 1024 AS b, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ch
 SELECT (SELECT count(*) FROM p) AS rows, sha256(string_agg(h, chr(10) ORDER BY b)) AS digest FROM b""")
 def _(t):
     o = t.table("orders").select("o_orderdate", F.col("o_orderkey").alias("id"))
-    return audit.ordered_id_digest(o, ["o_orderdate", "id"], plan=plan_groups(o, []))
+    return audit.ordered_id_digest(o, ["o_orderdate", "id"])
 
 
 @query("table_fingerprint")
@@ -313,10 +313,9 @@ def _(t):
     return audit.prediction_range_check(p, t.table("orders").select(F.col("o_orderkey").alias("id")))
 
 
-@query("prediction_diff", with_(PRED + """, a AS (SELECT era, id, prediction AS x FROM pred WHERE arm = 'filtered' AND seed = 0), b AS (SELECT id, prediction AS y FROM pred WHERE arm = 'plain' AND seed = 0 AND era > 1)""",
-    "SELECT count(*) AS rows, count(*) - count(x + y) AS unmatched, round(max(abs(x - y)), 8) AS max_abs, round(avg(abs(x - y)), 8) AS mean_abs, round(corr(x, y), 8) AS pearson, false AS passed FROM a FULL JOIN b USING (id)"))
+@query("prediction_diff", with_(PRED + """, a AS (SELECT seed, id, prediction AS x FROM pred WHERE arm = 'filtered'), b AS (SELECT seed, id, prediction AS y FROM pred WHERE arm = 'plain')""",
+    "SELECT seed, count(*) AS rows, count(*) - count(x + y) AS unmatched, round(max(abs(x - y)), 8) AS max_abs, round(avg(abs(x - y)), 8) AS mean_abs, round(corr(x, y), 8) AS pearson, false AS passed FROM a FULL JOIN b USING (seed, id) GROUP BY seed"))
 def _(t):
     p = t.pred()
-    a = p.where("arm = 'filtered' AND seed = 0")
-    b = p.where("arm = 'plain' AND seed = 0 AND era > 1")
-    return audit.prediction_diff(a, b).select("rows", "unmatched", *rr("max_abs", "mean_abs", "pearson"), "passed")
+    got = audit.prediction_diff(p.where("arm = 'filtered'"), p.where("arm = 'plain'"), keys=["seed"])
+    return got.select("seed", "rows", "unmatched", *rr("max_abs", "mean_abs", "pearson"), "passed")

@@ -164,10 +164,11 @@ def _(t):
     return rows.groupBy("round").agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("first", "repeated", "late")], F.count(F.lit(1)).alias("arrived"))
 
 
-@query("stream_round_constancy", """SELECT least(2, (CAST(day(ts) AS INT) - 1) // 10) AS batch_id, min(CAST(day(ts) AS INT)) AS first_round, max(CAST(day(ts) AS INT)) AS last_round, count(*) AS rows,
- min(CAST(day(ts) AS INT)) = max(CAST(day(ts) AS INT)) AS constant FROM events GROUP BY 1""")
+@query("stream_round_constancy", """WITH b AS (SELECT least(2, (CAST(day(ts) AS INT) - 1) // 10) AS batch_id, min(CAST(day(ts) AS INT)) AS first_round, max(CAST(day(ts) AS INT)) AS last_round, count(*) AS rows FROM events GROUP BY 1)
+SELECT *, first_round = last_round AS constant, lag(last_round) OVER (ORDER BY batch_id) AS before, coalesce(first_round <> lag(last_round) OVER (ORDER BY batch_id), false) AS changed FROM b""")
 def _(t):
     d = events(t).select("round", "event_id", "chunk")
     out = scratch(t.spark, "constancy")
-    arrive({"live": d}, lambda live: live, out, transform=rounds.round_constancy())
-    return stored(t.spark, f"{out}/rows", "first_round int, last_round int, rows bigint, constant boolean").select("batch_id", "first_round", "last_round", "rows", "constant")
+    replay({"live": d}, "chunk", CHUNKS, lambda s, _: rounds.round_constancy(s["live"], out, f"{out}/checkpoint"))
+    return stored(t.spark, f"{out}/rounds", "first_round int, last_round int, rows bigint, constant boolean, before int, changed boolean").select(
+        "batch_id", "first_round", "last_round", "rows", "constant", "before", "changed")

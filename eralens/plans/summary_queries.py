@@ -174,16 +174,16 @@ def _(t):
     return d.select("arm", "era", *r("mean"), "seeds", *r("level", "half_width"))
 
 
-@query("sanity_band", with_(PRED + f""",
+@query("sanity_band", with_(ES + f""",
 sp0 AS (SELECT arm, seed, era, {avg_rank_sql('prediction', 'arm, seed, era')} AS x, {avg_rank_sql('target', 'arm, seed, era')} AS y FROM pred),
 sp AS (SELECT arm, seed, era, CASE WHEN stddev_pop(x) > 1e-12 AND stddev_pop(y) > 1e-12 THEN corr(x, y) END AS s FROM sp0 GROUP BY 1, 2, 3),
-spm AS (SELECT arm, seed, avg(s) AS spearman_mean FROM sp GROUP BY 1, 2),
-lv AS (SELECT arm, seed, spearman_mean AS corr_mean, spearman_mean FROM spm), ref AS (SELECT corr_mean AS ref FROM lv WHERE arm = 'plain' AND seed = 0)""",
-    """SELECT arm, seed, round(corr_mean, 8) AS corr_mean, round(spearman_mean, 8) AS spearman_mean, round(0.25e0*ref, 8) AS band_low, round(1.5e0*ref, 8) AS band_high,
+spm AS (SELECT arm, seed, avg(s) AS spearman_mean FROM sp GROUP BY 1, 2), cm AS (SELECT arm, seed, avg(corr) AS corr_mean FROM era_scores GROUP BY 1, 2),
+lv AS (SELECT arm, seed, corr_mean, spearman_mean FROM spm JOIN cm USING (arm, seed)), ref AS (SELECT corr_mean AS ref FROM lv WHERE arm = 'plain' AND seed = 0)""",
+    """SELECT arm, seed, round(corr_mean, 8) + 0e0 AS corr_mean, round(spearman_mean, 8) + 0e0 AS spearman_mean, round(0.25e0*ref, 8) + 0e0 AS band_low, round(1.5e0*ref, 8) + 0e0 AS band_high,
  corr_mean BETWEEN 0.25e0*ref AND 1.5e0*ref AS inside, corr_mean > 2e0*ref OR spearman_mean > 0.06e0 AS gate_fired FROM lv CROSS JOIN ref"""))
 def _(t):
-    sp = score.spearman_per_era(t.pred(), ["arm", "seed", "era"], plan=t.plan())
-    levels = sp.groupBy(*MODEL).agg(F.avg("spearman").alias("corr_mean"), F.avg("spearman").alias("spearman_mean"))
+    sp = score.spearman_per_era(t.pred(), ["arm", "seed", "era"], plan=t.plan()).groupBy(*MODEL).agg(F.avg("spearman").alias("spearman_mean"))
+    levels = t.era_scores().groupBy(*MODEL).agg(F.avg("corr").alias("corr_mean")).join(sp, MODEL)
     ref = levels.where((F.col("arm") == "plain") & (F.col("seed") == 0))
     return summary.sanity_band(levels, ref).select(*MODEL, *r("corr_mean", "spearman_mean", "band_low", "band_high"), "inside", "gate_fired")
 

@@ -172,8 +172,13 @@ ec AS (SELECT era, n, row_number() OVER (ORDER BY era) - 1 AS e FROM (SELECT era
 ew AS (SELECT era, n, row_number() OVER (ORDER BY era) - 1 AS e FROM (SELECT era, count(*) AS n FROM r GROUP BY era) WHERE n >= {B + 8}),
 a AS (SELECT 'rows' AS mode, step, slot, id, false AS held_out FROM sl JOIN ra ON pos = {hu("'5:rows:' || step || ':' || slot")} % (SELECT count(*) FROM r)),
 b AS (SELECT 'era' AS mode, step, slot, re.id, false AS held_out FROM sl JOIN ec ON ec.e = {hu("'5:era:' || step")} % (SELECT count(*) FROM ec) JOIN re ON re.era = ec.era AND re.pos = {hu("'5:slot:' || step || ':' || slot")} % ec.n),
-c AS (SELECT 'within' AS mode, step, k - 1 AS slot, id, k > {B} AS held_out FROM (SELECT step, r.id, row_number() OVER (PARTITION BY step ORDER BY md5('5:' || step || ':' || r.id), r.id) AS k
- FROM st JOIN ew ON ew.e = {hu("'5:within:' || step")} % (SELECT count(*) FROM ew) JOIN r ON r.era = ew.era) WHERE k <= {B + 8})"""
+w0 AS (SELECT step, ew.era, ew.n, CAST(ceil(sqrt(ew.n)) AS BIGINT) AS a FROM st JOIN ew ON ew.e = {hu("'5:within:' || step")} % (SELECT count(*) FROM ew)),
+w1 AS (SELECT *, CAST(ceil(n / CAST(a AS DOUBLE)) AS BIGINT) AS b FROM w0),
+w2 AS (SELECT *, unnest(range(least(a*b, {B + 8} + a*b - n))) AS cell FROM w1), w3 AS (SELECT *, cell % a AS x, cell // a AS y FROM w2),
+w4 AS (SELECT * REPLACE ((x + {hu("'5:mix:' || step || ':0:' || y")}) % a AS x) FROM w3), w5 AS (SELECT * REPLACE ((y + {hu("'5:mix:' || step || ':1:' || x")}) % b AS y) FROM w4),
+w6 AS (SELECT * REPLACE ((x + {hu("'5:mix:' || step || ':2:' || y")}) % a AS x) FROM w5), w7 AS (SELECT * REPLACE ((y + {hu("'5:mix:' || step || ':3:' || x")}) % b AS y) FROM w6),
+w8 AS (SELECT step, era, x + a*y AS pos, row_number() OVER (PARTITION BY step ORDER BY cell) AS k FROM w7 WHERE x + a*y < n),
+c AS (SELECT 'within' AS mode, step, k - 1 AS slot, re.id, k > {B} AS held_out FROM w8 JOIN re USING (era, pos) WHERE k <= {B + 8})"""
 
 
 @query("batch_assignment", with_(TRAIN_SQL, "SELECT mode, CAST(step AS INT) AS step, CAST(slot AS INT) AS slot, id, held_out FROM (FROM a UNION ALL FROM b UNION ALL FROM c)"))

@@ -25,6 +25,7 @@ RESOLVED_UNTIL = 76      # later eras have no target yet
 TRAIN_UNTIL = 40
 ARMS = ("filtered", "plain")
 SEEDS = (0, 1, 2)
+BUDGETS = (5000, 20000, 100000)
 FEATURES = ("price", "quantity", "discount", "tax", "lines", "balance")
 
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eralens.functions.checks import violation
+from eralens.functions.checks import ensure, violation
+from eralens.session import scratch
 
 SCORE_SCHEMA = "arm string, config_id int, split string, updates int, seed int, corr_mean double, bmc_mean double, runs bigint"
 MANIFEST_SCHEMA = "job string, split string, updates int, seed int, arm string, config_id int"
@@ -38,6 +39,16 @@ def write_panel(df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[str
     writer.option("header", "true").format(fmt).save(path)
 
 
+def write_bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Store a table in buckets of ``key``, sorted in each, and return it. Joins and windows on the
+    key of two tables with the same number of buckets need no shuffle."""
+    spark = df.sparkSession
+    path = scratch(spark, "bucketed")
+    name = "eralens_" + path.rsplit("-", 1)[-1]
+    df.repartition(buckets, key).write.option("path", path).bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def scan_panel(spark: SparkSession, path: str, columns: Sequence[str], eras: Sequence[int] | None = None,
                first: int | None = None, last: int | None = None) -> DataFrame:
     """Only the named columns; era conditions prune partitions or reach the scan."""
@@ -53,7 +64,8 @@ def scan_panel(spark: SparkSession, path: str, columns: Sequence[str], eras: Seq
 
 def read_results(spark: SparkSession, path: str, schema: str, split: str | None = None,
                  updates: int | None = None, seed: int | None = None) -> DataFrame:
-    """Result documents below ``path``; identity comes from the directory name."""
+    """Result documents below ``path``; identity comes from the directory name, and a file whose
+    directory does not name a task fails the read."""
     d = spark.read.schema(schema).option("recursiveFileLookup", "true").option("mode", "FAILFAST").json(path)
     where = F.col("_metadata.file_path")
     d = d.select(
@@ -62,6 +74,7 @@ def read_results(spark: SparkSession, path: str, schema: str, split: str | None
         F.regexp_extract(where, TASK_PATTERN, 3).cast("int").alias("seed"),
         F.regexp_extract(where, TASK_PATTERN, 4).alias("arm"),
     )
+    d = ensure(d, F.col("arm") != "", F.concat(F.lit("no task in the path "), where))
     for name, want in (("split", split), ("updates", updates), ("seed", seed)):
         if want is not None:
             d = d.where(F.col(name) == want)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from eralens.functions.checks import findings, together, violation
@@ -105,12 +103,28 @@ def era_moments(stream: DataFrame, ts: str, x: str, y: str, width: str = "1 day"
     ).select(F.col("window.start").alias("start"), "n", "sx", "sy", "sxx", "syy", "sxy", "sse")
 
 
-def round_constancy(round_key: str = "round") -> Callable[[DataFrame, int], DataFrame]:
-    """Batch check: all rows of a micro-batch must belong to one round."""
+def round_constancy(stream: DataFrame, out: str, checkpoint: str, round_key: str = "round") -> str:
+    """Is the round the same in all rows of a micro-batch, and the same as in the batch before?
+
+    Rows are written to ``rows``; what is seen while they are read (an ``Observation``: no pass
+    of its own) is one row per batch in ``rounds``: ``first_round, last_round, rows, constant,
+    before, changed``. ``before`` is the last round of the batch before, from that batch's
+    own folder, so a replay or a restart finds the same. Returns the path of ``rounds``."""
+    from eralens.streaming.sink import run_available
 
-    def check(batch: DataFrame, batch_id: int) -> DataFrame:
-        return batch.agg(
-            F.min(round_key).alias("first_round"), F.max(round_key).alias("last_round"), F.count(F.lit(1)).alias("rows")
-        ).withColumn("constant", F.col("first_round") == F.col("last_round"))
+    spark, kind = stream.sparkSession, dict(stream.dtypes)[round_key]
+    schema = f"first_round {kind}, last_round {kind}, rows bigint, constant boolean, before {kind}, changed boolean"
 
-    return check
+    def body(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation()
+        c = F.col(round_key)
+        batch.observe(seen, F.min(c).alias("first"), F.max(c).alias("last"), F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{out}/rows/batch_id={batch_id}")
+        got = seen.get
+        last = spark.read.schema(schema).parquet(f"{out}/rounds/batch_id={batch_id - 1}").first() if batch_id else None
+        before = last["last_round"] if last and last["rows"] else last["before"] if last else None
+        first = got["first"]
+        row = (first, got["last"], got["rows"], first == got["last"], before, first is not None and before is not None and first != before)
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{out}/rounds/batch_id={batch_id}")
+
+    run_available(stream, body, checkpoint)
+    return f"{out}/rounds"
