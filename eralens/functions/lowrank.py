@@ -62,6 +62,38 @@ def outer_sum(c: np.ndarray, decay: float) -> np.ndarray:
     return (c * w[:, None]).T @ c
 
 
+# ---- sketches ---------------------------------------------------------------------------
+# Rows whose products add up to nearly the covariance: C - slack <= B'B <= C in every direction.
+# Too many rows are turned to their principal axes and the squares of all lengths lowered by that
+# of the first axis that goes; ``slack`` is the sum of what was taken off, faded like the rows.
+
+def shrink(rows: np.ndarray, size: int) -> tuple[np.ndarray, float]:
+    """At most ``size`` rows for many, and the square that was taken off."""
+    if len(rows) <= size:
+        return rows, 0.0
+    _, s, axes = np.linalg.svd(rows, full_matrices=False)
+    off = float(s[size]) ** 2 if len(s) > size else 0.0
+    return np.sqrt(np.clip(s[:size] ** 2 - off, 0.0, None))[:, None] * axes[:size], off
+
+
+def fold_rows(sketch: np.ndarray, slack: float, c: np.ndarray, decay: float, size: int) -> tuple[np.ndarray, float]:
+    """The sketch after consecutive distances: C <- decay C + (1 - decay) c c'."""
+    for at in range(0, len(c), size):
+        part = c[at:at + size]
+        weight = np.sqrt((1.0 - decay) * decay ** np.arange(len(part) - 1, -1, -1, dtype=np.float64))
+        sketch, off = shrink(np.vstack([sketch * decay ** (len(part) / 2.0), part * weight[:, None]]), size)
+        slack = slack * decay ** len(part) + off
+    return sketch, slack
+
+
+def leading_rows(sketch: np.ndarray, rank: int, tol: float = TOL) -> tuple[np.ndarray, np.ndarray]:
+    """Largest eigenvalues of B'B and their directions, none below ``tol`` of the largest."""
+    _, s, axes = np.linalg.svd(sketch, full_matrices=False) if sketch.any() else (None, np.zeros(0), np.zeros((0, sketch.shape[1])))
+    values = np.square(s)
+    n = min(rank, int(np.count_nonzero(values > tol * values.max(initial=0.0))))
+    return axes[:n].T, values[:n]
+
+
 def leading(cov: np.ndarray, rank: int, tol: float = TOL) -> tuple[np.ndarray, np.ndarray]:
     """Largest eigenvalues and their directions, none below ``tol`` of the largest."""
     size = float(np.abs(cov).max(initial=0.0))

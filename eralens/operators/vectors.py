@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from eralens.functions.exprs import hash_u32, keyed, moments_corr
 from eralens.functions.lowrank import (
-    distances, effective_rank, hashed_normals, leading, mean_share, orthogonality_error, outer_sum, project, soft_project, turnover,
+    distances, effective_rank, fold_rows, hashed_normals, leading, leading_rows, mean_share, orthogonality_error, outer_sum, project, shrink, soft_project, turnover,
 )
 from eralens.functions.ranking import AUTO, Plan, exact_quantiles, on_keys, row_positions
 from eralens.operators import products
@@ -235,18 +235,9 @@ def _stack(vectors_) -> np.ndarray:
     return np.array([np.asarray(v, dtype=np.float64) for v in vectors_])
 
 
-def decayed_moments(df: DataFrame, keys: Sequence[str], order: str, vector: str, decay: float, centre: str = "before",
-                    plan: Plan = AUTO, block: int = BLOCK_ROWS) -> DataFrame:
-    """(keys, rows, sums) of the exponentially weighted mean and covariance of each key's
-    vectors in order: C <- decay C + (1 - decay) c c', c measured from the mean before the row
-    (``centre='after'``: from the one after it); the first row sets the mean. All rows count.
-
-    A key is cut into blocks of consecutive rows. Each gives its share of the mean; a pass over
-    these shares, one row per block, gives the mean a block starts from; then blocks sum their
-    outer products on their own, and the decayed sums are added up by element. ``sums`` holds
-    the covariance before the last row, the last c, the mean, and the last vector. Rows without
-    a vector do not count; a null key is a key."""
-    keys = list(keys)
+def block_starts(df: DataFrame, keys: list[str], order: str, vector: str, decay: float, plan: Plan, block: int) -> tuple[DataFrame, DataFrame, str]:
+    """Rows of each key in blocks of consecutive ones, the mean each block starts from, and the
+    keys' types."""
     given = df.select(*keys, order, vector).where(F.col(vector).isNotNull())
     d = row_positions(given, keys, order, "__pos", plan, total="__len").withColumn("__block", F.floor(F.col("__pos") / block))
     d = cut_lineage(d.select(*keys, "__block", "__pos", "__len", F.col(vector).cast("array<double>").alias("__x")), "decayed-rows")
@@ -275,6 +266,22 @@ def decayed_moments(df: DataFrame, keys: Sequence[str], order: str, vector: str,
 
     sorted_shares = shares.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "__block")
     before = cut_lineage(sorted_shares.mapInPandas(starts, f"{named}, __block bigint, __mean array<double>"), "decayed-means")
+    return d, before, named
+
+
+def decayed_moments(df: DataFrame, keys: Sequence[str], order: str, vector: str, decay: float, centre: str = "before",
+                    plan: Plan = AUTO, block: int = BLOCK_ROWS) -> DataFrame:
+    """(keys, rows, sums) of the exponentially weighted mean and covariance of each key's
+    vectors in order: C <- decay C + (1 - decay) c c', c measured from the mean before the row
+    (``centre='after'``: from the one after it); the first row sets the mean. All rows count.
+
+    A key is cut into blocks of consecutive rows. Each gives its share of the mean; a pass over
+    these shares, one row per block, gives the mean a block starts from; then blocks sum their
+    outer products on their own, and the decayed sums are added up by element. ``sums`` holds
+    the covariance before the last row, the last c, the mean, and the last vector. Rows without
+    a vector do not count; a null key is a key."""
+    keys = list(keys)
+    d, before, named = block_starts(df, keys, order, vector, decay, plan, block)
 
     def sums(rows, start):
         rows = rows.sort_values("__pos")
@@ -305,26 +312,77 @@ def moments_of(sums: np.ndarray, decay: float) -> tuple[np.ndarray, np.ndarray,
     return prior, decay * prior + (1.0 - decay) * np.outer(c, c), mean, last
 
 
+def decayed_sketches(df: DataFrame, keys: Sequence[str], order: str, vector: str, decay: float, size: int, centre: str = "before",
+                     plan: Plan = AUTO, block: int = BLOCK_ROWS) -> DataFrame:
+    """(keys, rows, dim, prior, slack, tail): as ``decayed_moments``, with the covariance before the
+    last row as a sketch of at most ``size`` rows (64-bit floats in a row) in place of dim x dim
+    numbers. A block is sketched by its own task; a key's sketches, ``size`` x dim numbers a
+    block, are put together in order. ``tail`` holds the last c, the mean and the last vector."""
+    keys = list(keys)
+    d, before, named = block_starts(df, keys, order, vector, decay, plan, block)
+
+    def sketches(rows, start):
+        rows = rows.sort_values("__pos")
+        n, pos = int(rows["__len"].iloc[0]), rows["__pos"].to_numpy()
+        x, mean = _stack(rows["__x"]), start["__mean"].iloc[0]
+        c, mean = distances(x, decay, None if mean is None else np.asarray(mean, dtype=np.float64))
+        if centre == "after":
+            c = c * decay
+        ends = pos[-1] == n - 1
+        own = c[:-1] if ends else c
+        sketch, slack = fold_rows(np.zeros((0, x.shape[1])), 0.0, own, decay, size)
+        out = rows.iloc[:1][[*keys, "__block"]].copy()
+        out["rows"], out["dim"], out["m"], out["sketch"], out["slack"] = n, x.shape[1], len(own), [sketch.tobytes()], slack
+        out["tail"] = [np.concatenate([c[-1], mean, x[-1]]).tobytes() if ends else None]
+        return out
+
+    schema = f"{named}, __block bigint, rows bigint, dim int, m bigint, sketch binary, slack double, tail binary"
+    parts = d.groupBy(*keys, "__block").cogroup(before.groupBy(*keys, "__block")).applyInPandas(sketches, schema)
+
+    def merge(batches):
+        sketch = slack = None
+        for pdf in batches:
+            done = []
+            for row in pdf.itertuples(index=False):
+                own = np.frombuffer(row.sketch).reshape(-1, row.dim)
+                if row.at == 0:
+                    sketch, slack = own, row.slack
+                else:
+                    sketch, off = shrink(np.vstack([sketch * decay ** (row.m / 2.0), own]), size)
+                    slack = slack * decay ** row.m + row.slack + off
+                if row.tail is not None:
+                    done.append((*row[: len(keys)], row.rows, row.dim, sketch.tobytes(), slack, row.tail))
+            yield pd.DataFrame(done, columns=[*keys, "rows", "dim", "prior", "slack", "tail"])
+
+    ordered = parts.withColumnRenamed("__block", "at").repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "at")
+    return ordered.mapInPandas(merge, f"{named}, rows bigint, dim int, prior binary, slack double, tail binary")
+
+
 def streaming_lowrank_cov(df: DataFrame, group: str, order: str, vector: str, rank: int = 8, decay: float = 0.99,
-                          tol: float = 1e-12, centre: str = "before", plan: Plan = AUTO, block: int = BLOCK_ROWS) -> DataFrame:
+                          tol: float = 1e-12, centre: str = "before", plan: Plan = AUTO, block: int = BLOCK_ROWS, size: int | None = None) -> DataFrame:
     """Per key the decayed mean, the leading part of the decayed covariance, and diagnostics.
-    The rank is cut once, from the whole sum."""
 
-    def one(g, n, sums):
-        prior, cov, mean, _ = moments_of(sums, decay)
-        basis, values = leading(cov, rank, tol)
+    The covariance is a sketch of ``size`` rows (four times the rank unless given): its
+    eigenvalues are at most ``error_bound`` below those of the whole one, and never above.
+    Vectors of no more coordinates than that lose nothing."""
+    size = size or 4 * rank
+
+    def one(g, n, dim, prior, slack, tail):
+        prior, (c, mean, _) = np.frombuffer(prior).reshape(-1, dim), np.frombuffer(tail).reshape(3, dim)
+        sketch, bound = fold_rows(prior, slack, c[None, :], decay, size)
+        basis, values = leading_rows(sketch, rank, tol)
         return (g, n, basis.shape[1], values.tolist(), mean.tolist(), basis.T.ravel().tolist(), effective_rank(values),
-                turnover(leading(prior, rank, tol)[0], basis), orthogonality_error(basis))
+                turnover(leading_rows(prior, rank, tol)[0], basis), orthogonality_error(basis), bound)
 
-    names = [group, "rows", "basis_rank", "eigenvalues", "mean", "basis", "effective_rank", "turnover", "orthogonality_error"]
+    names = [group, "rows", "basis_rank", "eigenvalues", "mean", "basis", "effective_rank", "turnover", "orthogonality_error", "error_bound"]
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame([one(*row) for row in zip(pdf[group], pdf["rows"], pdf["sums"])], columns=names)
+            yield pd.DataFrame([one(*row) for row in zip(*(pdf[c] for c in (group, "rows", "dim", "prior", "slack", "tail")))], columns=names)
 
     schema = (f"{group} {dict(df.dtypes)[group]}, rows bigint, basis_rank int, eigenvalues array<double>, mean array<double>, basis array<double>, "
-              "effective_rank double, turnover double, orthogonality_error double")
-    return decayed_moments(df, [group], order, vector, decay, centre, plan, block).mapInPandas(run, schema)
+              "effective_rank double, turnover double, orthogonality_error double, error_bound double")
+    return decayed_sketches(df, [group], order, vector, decay, size, centre, plan, block).mapInPandas(run, schema)
 
 
 def _vector_udf(fn):

@@ -105,8 +105,8 @@ def _(t):
     d = d.withColumn("chunk", F.least(F.lit(CHUNKS - 1), F.floor(F.col("vec_id") * CHUNKS / (last + 1))).cast("int"))
     out = scratch(t.spark, "lowrank")
     arrive({"vectors": d}, lambda vectors: keyed.stream_lowrank_cov(vectors, "label", "vec_id", "embedding"), out, "update")
-    rows = stored(t.spark, f"{out}/rows", "label int, rows bigint, eigenvalues array<double>, effective_rank double, turnover double, orthogonality_error double")
-    return latest(rows, ["label"], ["rows", "eigenvalues", "effective_rank", "turnover", "orthogonality_error"])
+    rows = stored(t.spark, f"{out}/rows", "label int, rows bigint, eigenvalues array<double>, effective_rank double, turnover double, orthogonality_error double, error_bound double")
+    return latest(rows, ["label"], ["rows", "eigenvalues", "effective_rank", "turnover", "orthogonality_error", "error_bound"])
 
 
 @query("stream_era_moments", """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS n, round(corr(value, user_id), 8) + 0e0 AS corr, round(avg((value - user_id) * (value - user_id)), 6) AS mse FROM events GROUP BY 1""")

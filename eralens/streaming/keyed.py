@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from eralens.functions.lowrank import distances, effective_rank, leading, mean_share, orthogonality_error, outer_sum, turnover
+from eralens.functions.lowrank import distances, effective_rank, fold_rows, leading_rows, mean_share, orthogonality_error, turnover
 
 
 def _ordered(frames: Iterable[pd.DataFrame], order: str, after) -> pd.DataFrame:
@@ -24,29 +24,30 @@ def _types(df: DataFrame, cols: list[str]) -> str:
     return ", ".join(f"{c} {kinds[c]}" for c in cols)
 
 
-def stream_lowrank_cov(stream: DataFrame, key: str, order: str, vector: str, rank: int = 8, decay: float = 0.99) -> DataFrame:
-    """Decayed mean and covariance per key; emits the summary after every micro-batch. The
-    state is the whole covariance (dim x dim), so batch sizes do not change the result."""
+def stream_lowrank_cov(stream: DataFrame, key: str, order: str, vector: str, rank: int = 8, decay: float = 0.99, size: int | None = None) -> DataFrame:
+    """Decayed mean and covariance per key; emits the summary after every micro-batch. The state
+    is the mean and a sketch of ``size`` rows (four times the rank unless given), not the whole
+    covariance; ``error_bound`` is how far an eigenvalue can be below the true one."""
+    size = size or 4 * rank
 
     def run(name: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        mean, cov, seen, last = state.get if state.exists else (None, None, 0, None)
+        mean, sketch, slack, seen, last = state.get if state.exists else (None, None, 0.0, 0, None)
         rows = _ordered(frames, order, last)
         if rows.empty:
             return
         x = np.array([np.asarray(v, dtype=np.float64) for v in rows[vector]])
         c, mean = distances(x, decay, None if mean is None else np.asarray(mean, dtype=np.float64))
-        prior = outer_sum(c[:-1], decay)
-        if cov is not None:
-            prior = prior + decay ** (len(x) - 1) * np.asarray(cov).reshape(prior.shape)
-        cov = decay * prior + (1.0 - decay) * np.outer(c[-1], c[-1])
+        start = np.zeros((0, x.shape[1])) if sketch is None else np.asarray(sketch, dtype=np.float64).reshape(-1, x.shape[1])
+        prior, off = fold_rows(start, slack, c[:-1], decay, size)
+        now, slack = fold_rows(prior, off, c[-1:], decay, size)
         seen, last = seen + len(x), int(rows[order].iloc[-1])
-        state.update((mean.tolist(), cov.ravel().tolist(), seen, last))
-        basis, values = leading(cov, rank)
+        state.update((mean.tolist(), now.ravel().tolist(), slack, seen, last))
+        basis, values = leading_rows(now, rank)
         yield pd.DataFrame({key: [name[0]], "rows": [seen], "eigenvalues": [values.tolist()], "effective_rank": [effective_rank(values)],
-                            "turnover": [turnover(leading(prior, rank)[0], basis)], "orthogonality_error": [orthogonality_error(basis)]})
+                            "turnover": [turnover(leading_rows(prior, rank)[0], basis)], "orthogonality_error": [orthogonality_error(basis)], "error_bound": [slack]})
 
-    out = f"{_types(stream, [key])}, rows bigint, eigenvalues array<double>, effective_rank double, turnover double, orthogonality_error double"
-    saved = "mean array<double>, cov array<double>, seen bigint, last bigint"
+    out = f"{_types(stream, [key])}, rows bigint, eigenvalues array<double>, effective_rank double, turnover double, orthogonality_error double, error_bound double"
+    saved = "mean array<double>, sketch array<double>, slack double, seen bigint, last bigint"
     return stream.select(key, order, vector).groupBy(key).applyInPandasWithState(run, out, saved, "update", "NoTimeout")
 
 

@@ -139,6 +139,38 @@ def test_old_rows_keep_their_directions(spark, block):
     assert np.allclose(np.array(r["eigenvalues"])[:2] / want[:2], 1.0, rtol=1e-6)
 
 
+def sketch_holds(values, basis, bound, cov):
+    """B'B is below the covariance in every direction, by the bound at most."""
+    gap = np.linalg.eigvalsh(cov)[::-1][: len(values)] - values
+    assert gap.min() > -1e-10 and gap.max() <= bound + 1e-10 and bound < 0.5 * np.trace(cov)
+    if basis is not None:
+        assert np.linalg.eigvalsh(cov - (basis * values) @ basis.T).min() > -1e-10
+
+
+@pytest.mark.parametrize("block", [9, 64, 4096])
+def test_sketch_within_its_bound(spark, block):
+    g = np.random.default_rng(8)
+    x = g.standard_normal((500, 40)) * np.r_[6.0, 4.0, 3.0, np.ones(37)]
+    df = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "grp int, seq long, vec array<double>").repartition(3)
+    r = vectors.streaming_lowrank_cov(df, "grp", "seq", "vec", 4, 0.98, block=block, size=20).first()
+    mean, cov = dense_fold(x, 0.98)
+    assert np.allclose(r["mean"], mean) and r["basis_rank"] == 4 and r["orthogonality_error"] < 1e-12
+    sketch_holds(np.array(r["eigenvalues"]), np.array(r["basis"]).reshape(-1, 40).T, r["error_bound"], cov)
+
+
+@pytest.mark.parametrize("chunks", [2, 7])
+def test_sketch_state_survives_restarts(spark, chunks):
+    g = np.random.default_rng(9)
+    x = g.standard_normal((210, 40)) * np.r_[6.0, 4.0, 3.0, np.ones(37)]
+    df = spark.createDataFrame([(0, i, v.tolist(), i * chunks // 210) for i, v in enumerate(x)], "grp int, seq long, vec array<double>, chunk int")
+    out = scratch(spark, "sketch")
+    arrive(df, chunks, lambda s: keyed.stream_lowrank_cov(s, "grp", "seq", "vec", 4, 0.98, 20), out, "update")
+    got = latest(stored(spark, f"{out}/rows", "grp int, rows bigint, eigenvalues array<double>, error_bound double"), ["grp"], ["rows", "eigenvalues", "error_bound"]).first()
+    _, cov = dense_fold(x, 0.98)
+    sketch_holds(np.array(got["eigenvalues"]), None, got["error_bound"], cov)
+    assert got["rows"] == 210
+
+
 def test_projections():
     g = np.random.default_rng(0)
     basis, x = np.linalg.qr(g.standard_normal((6, 2)))[0], g.standard_normal((5, 6))
