@@ -269,6 +269,11 @@ def consistency_compare(first: DataFrame, second: DataFrame, keys: Sequence[str]
         "same_sign", F.signum("estimate_a") == F.signum("estimate_b"))
 
 
+def verdict_share(verdicts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Share of the verdicts that are one of the three, per ``keys``."""
+    return verdicts.groupBy(*keys).agg(F.avg(F.when(F.col("category") != "no_verdict", 1.0).otherwise(0.0)).alias("any_verdict"), F.count(F.lit(1)).alias("verdicts"))
+
+
 def power_gate(power: DataFrame, keys: Sequence[str], probability: str, least: float = 0.6) -> DataFrame:
     worst = power.groupBy(*keys).agg(F.min(probability).alias("gate_value"), F.count(F.lit(1)).alias("scenarios"))
     return worst.withColumn("decision", F.when(F.col("gate_value") >= least, "GO").otherwise("NO-GO"))

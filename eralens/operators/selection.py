@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from eralens.functions.checks import ensure, findings, together, violation
 from eralens.functions.exprs import on_grid, finite
 from eralens.functions.ranking import AUTO, Plan, exact_quantiles, top_n
+from eralens.session import cut_lineage
 
 CELL = ("split", "seed")
 ARMS = ("filtered", "plain")
@@ -39,12 +40,15 @@ def equal_coverage(scores: DataFrame, candidate: Sequence[str], cells: Sequence[
     """Violations: duplicate or incomplete cells, mixed budgets, candidates whose cells
     differ from the most frequent coverage, candidates one arm lacks."""
     key = F.concat_ws(":", *[F.col(c).cast("string") for c in candidate])
+    # the input is read once, into a row per cell with the number of its rows and of broken ones
+    more = [c for c in ([*(["updates"] if single_budget else []), *(["arm"] if arms else [])]) if c not in (*candidate, *cells)]
+    scores = cut_lineage(scores.groupBy(*candidate, *cells, *more).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~finite(F.col(value)), 1)).alias("broken")), "coverage-cells")
     cov = candidate_coverage(scores, candidate, cells)
     shape = ["cells", "__h1", "__h2"]
     common = cov.groupBy(*shape).agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("m"), F.desc("cells"), F.asc("__h1")).limit(1)
     differs = cov.join(common, shape, "left_anti")
-    dup = scores.groupBy(*candidate, *cells).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    missing = scores.where(~finite(F.col(value)))
+    dup = scores.groupBy(*candidate, *cells).agg(F.sum("n").alias("n")).where(F.col("n") > 1)
+    missing = scores.where("broken > 0").withColumn("each", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("broken"))))
     parts = [
         violation(differs, "coverage", key, F.col("cells")),
         violation(dup, "duplicate", key, F.concat_ws(":", *[F.col(c).cast("string") for c in cells])),
@@ -265,6 +269,18 @@ def leaderboard_violations(rows: DataFrame, user: str = "username") -> DataFrame
     return together(violation(twice, "duplicate", F.col(user), F.col("count")), violation(rows.where(F.col(user).isNull()), "missing", F.lit("")))
 
 
+def grid_axis_shapes(trials: DataFrame, axis: str, others: Sequence[str], value: str) -> DataFrame:
+    """The shape of every slice along ``axis``, one for each setting of the other axes: falling
+    throughout, rising throughout, a peak inside, or irregular. An axis has few values."""
+    points = F.transform(F.array_sort(F.collect_list(F.struct(axis, value))), lambda p: p[value])
+    s = trials.groupBy(*others).agg(points.alias("points"))
+    steps = F.transform(F.sequence(F.lit(1), F.size("points") - 1), lambda i: F.get(F.col("points"), i) - F.get(F.col("points"), i - 1))
+    s = s.withColumn("steps", F.when(F.size("points") > 1, steps).otherwise(F.array().cast("array<double>")))
+    inside = (F.get("steps", F.lit(0)) > 0) & (F.get("steps", F.size("steps") - 1) < 0)
+    shape = F.when(F.forall("steps", lambda d: d <= 0), "falling").when(F.forall("steps", lambda d: d >= 0), "rising").when(inside, "interior_peak").otherwise("irregular")
+    return s.select(*others, F.size("points").alias("points"), shape.alias("shape"))
+
+
 def grid_axis_slices(trials: DataFrame, axes: Sequence[str], value: str) -> DataFrame:
     """For each axis the slice through the best trial: is the best on the boundary, is it
     still improving there, and the shape of the slice. A grid axis has few values."""

@@ -94,6 +94,7 @@ def direction_gains(lam: np.ndarray, n: int, mode: str, factor: float, soft_temp
     share = lam * (n / lam.sum())
     strong = int(np.count_nonzero(share > factor))
     if mode == "soft":
+        # the logistic function by tanh, which does not overflow for large arguments
         return 0.5 + 0.5 * np.tanh((share - factor) / (2.0 * soft_temp)), strong
     kept = strong if mode == "hard" else 1 + int(np.searchsorted(np.cumsum(share), variance * n))
     kept = int(np.clip(kept, 1, len(lam)))
@@ -414,10 +415,11 @@ def block_spectral(df: DataFrame, group: str, order: str, vector: str, dim: int,
     """Coordinates in fixed blocks, the rank spread evenly (the first blocks get the
     remainder); each (key, block) has its own decayed covariance and filters its last vector."""
     sizes = [min(block, dim - i) for i in range(0, dim, block)]
-    if total_rank < len(sizes):
-        raise ValueError("total rank must be at least the number of blocks")
-    q, rem = divmod(total_rank, len(sizes))
-    caps = [q + (i < rem) for i in range(len(sizes))]
+    if len(sizes) > total_rank:
+        raise ValueError(f"{len(sizes)} blocks of coordinates need a rank of {len(sizes)} or more")
+    caps: list[int] = []
+    for left in range(len(sizes), 0, -1):
+        caps.append(-(-(total_rank - sum(caps)) // left))          # an even share of what is left, rounded up
     parts = F.posexplode(F.array(*[F.slice(F.col(vector), 1 + i * block, s) for i, s in enumerate(sizes)])).alias("block", "part")
     sums = decayed_moments(df.select(group, order, parts), [group, "block"], order, "part", decay, plan=plan)
 

@@ -147,10 +147,13 @@ def _(t):
     return got.select("pair", *r("estimate_a"), "category_a", *r("estimate_b"), "category_b", "same_category", "same_sign")
 
 
-@query("power_gate", with_(BOOT, "SELECT 'P(positive)' AS gate, round(min(probability_positive), 8) AS gate_value, count(*) AS scenarios, CASE WHEN min(probability_positive) >= 0.6 THEN 'GO' ELSE 'NO-GO' END AS decision FROM bt_ci"))
+@query("power_gate", with_(SHARED + f", v AS (SELECT metric, avg(CASE WHEN {VERDICT.format(t='0.005e0')} <> 'no_verdict' THEN 1e0 ELSE 0e0 END) AS p FROM bt_ci GROUP BY metric)",
+    "SELECT 'P(any verdict)' AS gate, round(min(p), 8) AS gate_value, count(*) AS scenarios, CASE WHEN min(p) >= 0.6 THEN 'GO' ELSE 'NO-GO' END AS decision FROM v"))
 def _(t):
-    p = boot(t).withColumn("gate", F.lit("P(positive)"))
-    return inference.power_gate(p, ["gate"], "probability_positive").select("gate", *r("gate_value"), "scenarios", "decision")
+    """A scenario is a metric, and its probability the share of comparisons that reach a verdict."""
+    m = inference.pair_matrix(t.era_scores(), ["arm", "seed"], ["corr", "bmc"], named_pairs(t), 0.005, L, 10_000)
+    p = inference.verdict_share(m, ["metric"]).withColumn("gate", F.lit("P(any verdict)"))
+    return inference.power_gate(p, ["gate"], "any_verdict").select("gate", *r("gate_value"), "scenarios", "decision")
 
 
 @query("signed_tests", with_(DIFF + """,

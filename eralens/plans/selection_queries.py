@@ -203,6 +203,16 @@ def _(t):
     return selection.grid_axis_slices(trials, ["lr", "wd", "dropout"], "v")
 
 
+@query("grid_axis_shapes", """WITH tr AS (SELECT l_linenumber AS lr, CAST(round(l_tax*100) AS INT) AS wd, CAST(round(l_discount*100) AS INT) AS dropout, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT)/CAST(count(*) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2, 3),
+s AS (SELECT wd, dropout, list(v ORDER BY lr) AS p FROM tr GROUP BY 1, 2), d AS (SELECT *, [p[i + 1] - p[i] for i in range(1, len(p))] AS d FROM s)
+SELECT wd, dropout, CAST(len(p) AS INT) AS points, CASE WHEN len([x for x in d if x > 0]) = 0 THEN 'falling' WHEN len([x for x in d if x < 0]) = 0 THEN 'rising' WHEN d[1] > 0 AND d[-1] < 0 THEN 'interior_peak' ELSE 'irregular' END AS shape FROM d""")
+def _(t):
+    trials = t.table("lineitem").groupBy(
+        F.col("l_linenumber").alias("lr"), F.rint(F.col("l_tax") * 100).cast("int").alias("wd"), F.rint(F.col("l_discount") * 100).cast("int").alias("dropout"),
+    ).agg((F.sum(F.col("l_quantity").cast("bigint")) / F.count(F.lit(1))).alias("v"))
+    return selection.grid_axis_shapes(trials, "lr", ["wd", "dropout"], "v")
+
+
 # ---- audits ---------------------------------------------------------------------------
 
 @query("metric_reproduction", with_(ERA_SCORES + """, c AS (SELECT corr, bmc, round(corr, 7) AS rc, bmc AS rb FROM era_scores)""",
