@@ -21,9 +21,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     id stays, once: a document is an id with its text, so another text of the same id is
     judged by itself. Of equal rows, and of rows that differ in other columns only, the first
     in the order of all columns stays. Documents without an id are no one's duplicates."""
-    node = fresh("node", docs.columns)
-    body = F.coalesce(F.unhex(F.md5("text")), F.lit(b""))            # a null text is not an empty one
-    named = docs.withColumn(node, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", body.alias("body"))))
+    node, hashed = fresh("node", docs.columns), F.xxhash64("text")
+    # nearly all ids have one text; only where an id has several is the text a part of its name
+    several = stage(docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(hashed).alias("low"), F.max(hashed).alias("high")).where("low <> high").select(F.col("doc_id").alias(node)), "several")
+    body = F.when(F.col(node).isNotNull(), hashed).otherwise(F.lit(0).cast("bigint"))
+    named = docs.join(several, F.col("doc_id") == F.col(node), "left").withColumn(node, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", body.alias("body"))))
     known = named.where(F.col(node).isNotNull())
     seen = stage(minhash.deduplicate(known.select(node, "text"), node, "text", words=5).select(F.col("doc_id").alias(node), "kept"), "judged")
     gone = stage(seen.where(~F.col("kept")).select(node).distinct(), "gone")
