@@ -205,13 +205,17 @@ def compared(blocks_: DataFrame, kind: str) -> DataFrame:
     return near.join(load("two", "y"), "two").join(load("one", "x"), "one").select("one", "two", "docs_x", "sets_x", "docs_y", "sets_y").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def linked(classes: DataFrame, held_sets, name: str) -> DataFrame:
+def linked(classes: DataFrame, held_sets, name: str, keys_first: bool = False) -> DataFrame:
     """Components of the link graph of classes: ``node, component`` for those with a link.
 
-    ``classes``: ``doc, n_shingles, bands``. ``held_sets(ids)``: ``doc, shingles`` of these."""
+    ``classes``: ``doc, n_shingles, bands``. ``held_sets(ids)``: ``doc, shingles`` of these. With
+    ``keys_first``, keys that several classes have are stored before classes are joined with
+    them, so that many small classes are on disk in one shuffle at a time, not in two."""
     kind = classes.schema["doc"].dataType.simpleString()
     entry = classes.select("doc", "n_shingles", F.explode("bands").alias("key"))
     lead = entry.groupBy("key").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    if keys_first:
+        lead = stage(lead, f"{name}-keys")
     bucket = stage(entry.join(lead, "key"), f"{name}-buckets")          # key, doc, n_shingles, first
     held = stage(held_sets(bucket.select("doc").distinct()), f"{name}-sets")
     # 1. with the first of each bucket; a pair that several buckets share counts once

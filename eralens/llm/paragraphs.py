@@ -335,7 +335,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     classes = stage(scanned.join(same, "same").where("node = rep").select(F.col("node").alias("doc"), "n_shingles", "bands", "same", "low", "high").dropDuplicates(["doc"]), "paragraph-classes")
     seen = stage(scanned.where("same is not null").select("node", "start", "stop", "n_words", "same"), "paragraph-places")
     release(scanned)
-    comp = linked(classes.select("doc", "n_shingles", "bands"), lambda ids: sets_of(rows, ids), "paragraph-links")
+    comp = linked(classes.select("doc", "n_shingles", "bands"), lambda ids: sets_of(rows, ids), "paragraph-links", keys_first=True)
     placed = classes.select("doc", "same", "low", "high").join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("same", "low", "high", F.coalesce("component", "doc").alias("first"))
     many = placed.groupBy("first").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("first")
     label = stage(placed.join(many, "first").select("same", "first"), "paragraph-labels")
