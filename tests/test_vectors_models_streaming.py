@@ -296,6 +296,55 @@ def test_ids_leave_as_three_kinds(spark):
     assert {r["kind"]: r["count"] for r in got} == {"first": 90, "repeated": 2, "late": 4}
 
 
+@pytest.mark.parametrize("hold", [True, False])
+def test_state_calls_do_not_grow_with_rows(monkeypatch, hold):
+    """A share's rows go to the state store in blocks; all of them come out when the round closes."""
+    import pandas as pd
+
+    from eralens.streaming import arrivals
+
+    class Store(dict):
+        calls = 0
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+        def iterator(self):
+            self.calls += 1
+            return iter(list(self.items()))
+
+    class Handle:
+        timers = []
+
+        def getMapState(self, *_):
+            return Store()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    monkeypatch.setattr(arrivals, "BLOCK", 400)
+    state = arrivals.RoundState(["id"], {"id": "bigint", "x": "double"}, hold)
+    state.init(Handle())
+    store = state.blocks
+    frame = lambda a, b: pd.DataFrame({"id": range(a, b), "x": [i / 2 for i in range(a, b)], "closes_ms": 10, "arrived_ms": 5})
+    first = pd.concat(state.handleInputRows(("k",), iter([frame(0, 600), frame(500, 1000)]), Now()))
+    again = pd.concat(state.handleInputRows(("k",), iter([frame(900, 1100)]), Now()))
+    assert (first["kind"] == "repeated").sum() == 100 and (again["kind"] == "repeated").sum() == 100
+    assert store.calls <= 6
+    closed = list(state.handleExpiredTimer(("k",), Now(), None))
+    if hold:
+        rows = pd.concat(closed)
+        assert sorted(rows["id"]) == list(range(1100)) and (rows["x"] == rows["id"] / 2).all()
+    else:
+        assert not closed and (first["kind"] == "first").sum() == 1000 and (again["kind"] == "first").sum() == 100
+    assert not store
+
+
 def test_rows_that_spark_drops_raise(spark):
     import datetime as dt
 
