@@ -4,7 +4,9 @@ A whole table without groups is always cut into ranges of its order (``_whole_ta
 groups there are two plans, chosen by a count of the largest one (``plan_groups``):
 
 * up to ``MAX_GROUP_ROWS`` rows per group: a window per group. Every rank and
-  every aggregate on the same keys then shares one shuffle.
+  every aggregate on the same keys then shares one shuffle. Tables beyond ``DEAL_FROM``
+  rows are dealt to partitions by their number of rows (``Whole``), so that a task's sorts
+  hold a few groups however large the table is, not a fixed share of it.
 * beyond it: the group is cut into value ranges. Cut points are drawn by hash, so
   they depend on the data alone and all branches of the plan (and retried tasks)
   see the same ones. A range is ranked by its own task and gets the row count of
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 from eralens.functions.exprs import avg_rank_unit
 from eralens.session import cut_lineage
 
-MAX_GROUP_ROWS = 4_000_000
+MAX_GROUP_ROWS = 1_000_000
+DEAL_FROM = 4_000_000
+TASK_ROWS = 250_000       # rows of a partition on average; groups stay whole
 
 
 @dataclass(frozen=True)
@@ -37,26 +41,42 @@ class Split:
     sample: int = 16          # one key in `sample` may become a cut point
 
 
+@dataclass(frozen=True)
+class Whole:
+    """A window per group, groups dealt to so many partitions."""
+
+    partitions: int
+
+
 DEFAULT_SPLIT = Split()
 AUTO = "auto"
-Plan = Split | None | str     # None: window per group; AUTO: count, then choose
+Plan = Split | Whole | None | str     # None: window per group as Spark deals it; AUTO: count, then choose
 
 
-def plan_groups(df: DataFrame, keys: Sequence[str], bound: int | None = None) -> Split | None:
-    """None if no group of ``keys`` exceeds ``bound`` rows, else a Split."""
-    largest = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"))
-        if keys
-        else df.agg(F.count(F.lit(1)).alias("n"))
-    ).first()["n"]
-    return None if (largest or 0) <= (MAX_GROUP_ROWS if bound is None else bound) else DEFAULT_SPLIT
+def plan_groups(df: DataFrame, keys: Sequence[str], bound: int | None = None, times: int = 1) -> Split | Whole | None:
+    """A Split if a group of ``keys`` exceeds ``bound`` rows, else a window per group. The plan is
+    for frames of up to ``times`` groups for each one of ``df``."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if keys else df.agg(F.count(F.lit(1)).alias("n"))
+    largest, rows = (x or 0 for x in sizes.agg(F.max("n"), F.sum("n")).first())
+    if largest > (MAX_GROUP_ROWS if bound is None else bound):
+        return DEFAULT_SPLIT
+    return Whole(-(-rows * times // TASK_ROWS)) if rows * times > DEAL_FROM else None
 
 
-def resolve(df: DataFrame, keys: Sequence[str], plan: Plan) -> Split | None:
+def resolve(df: DataFrame, keys: Sequence[str], plan: Plan) -> Split | Whole | None:
     """Without keys there is one plan only (``_whole_table``), so nothing is counted."""
     return plan_groups(df, keys) if plan == AUTO and keys else None if plan == AUTO else plan
 
 
+def dealt(df: DataFrame, keys: Sequence[str], plan: Plan) -> tuple[DataFrame, Split | None]:
+    """The frame as its plan deals it, and the plan for all that follows on the same keys:
+    windows and sums on them need no other shuffle."""
+    split = resolve(df, keys, plan)
+    if isinstance(split, Whole):
+        return (df.repartition(split.partitions, *keys) if keys else df), None
+    return df, split
+
+
 def on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", plain: Sequence[str] = ()) -> DataFrame:
     """Equi-join in which a null key equals itself, as it does in windows and groups; the
     ``plain`` columns are compared as usual. The key columns of ``left`` stay."""
@@ -118,8 +138,8 @@ def running_weight(
     cols = [order] if isinstance(order, str) else list(order)
     if not keys:
         return _whole_table(df, cols, weight)
-    split = resolve(df, keys, plan)
-    given, keys_, kept = df, list(keys), df.columns
+    given, split = dealt(df, keys, plan)
+    keys_, kept = list(keys), df.columns
     if split is None:
         g = W.partitionBy(*keys_)
         upto = g.orderBy(*cols).rowsBetween(W.unboundedPreceding, 0)
@@ -190,9 +210,9 @@ def with_rank(
 ) -> DataFrame:
     """Row-level rank, ties averaged; ``formula(below, ties, total)`` gives the
     value, by default (average rank - 1/2) / n. NULLs get NULL and do not count."""
-    split = resolve(df, keys, plan)
+    given, split = dealt(df, keys, plan)
     if split is None and keys:
-        given, keys_ = df, list(keys)
+        keys_ = list(keys)
         present = F.col(value).isNotNull()
         g = W.partitionBy(*keys_)
         ordered = g.orderBy(F.col(value).asc_nulls_last())

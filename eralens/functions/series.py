@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eralens.functions.ranking import AUTO, Plan, on_keys, resolve, row_positions
+from eralens.functions.ranking import AUTO, Plan, dealt, on_keys, row_positions
 
 BLOCK = 262_144
 
@@ -23,7 +23,7 @@ BLOCK = 262_144
 def rolling(df: DataFrame, keys: Sequence[str], order: str, value: str, width: int, least: int,
             out: str, plan: Plan = AUTO, block: int = BLOCK) -> DataFrame:
     """Mean of the last ``width`` values, NULL before ``least`` of them exist."""
-    split = resolve(df, keys, plan)
+    df, split = dealt(df, keys, plan)
     v = F.col(value)
 
     def mean(w):

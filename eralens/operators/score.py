@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eralens.functions.exprs import on_grid, moments_corr, signed_pow, with_probit
-from eralens.functions.ranking import AUTO, Plan, distinct_ranks, on_keys, resolve, row_positions, with_rank
+from eralens.functions.ranking import AUTO, Plan, dealt, distinct_ranks, on_keys, resolve, row_positions, with_rank
 
 
 def rank_within_era(df: DataFrame, value: str = "prediction", keys: Sequence[str] = ("era",),
@@ -82,7 +82,7 @@ def corr_official(df: DataFrame, keys: Sequence[str], pred: str = "prediction",
                   plan: Plan = AUTO, out: str = "corr") -> DataFrame:
     """(avg rank - 1/2)/n -> normal quantile -> power, against the mean-centred target."""
     d = _scorable(df, pred, target)
-    split = resolve(d, keys, plan)
+    d, split = dealt(d, keys, plan)
     r = gaussian_rank(_centred_target(d, keys, target, split), keys, pred, "__z", split)
     return pearson(r, keys, signed_pow(F.col("__z")), signed_pow(F.col("__tc")), out, True)
 
@@ -92,7 +92,7 @@ def bmc(df: DataFrame, keys: Sequence[str], pred: str = "prediction", benchmark:
     """Contribution over a benchmark: covariance with the target of the part of the
     gaussianised prediction that is orthogonal to the gaussianised benchmark."""
     d = _scorable(df, pred, benchmark, target)
-    split = resolve(d, keys, plan)
+    d, split = dealt(d, keys, plan)
     g = gaussian_rank(gaussian_rank(d, keys, benchmark, "m", split), keys, pred, "p", split).withColumn("t", F.col(target))
     s = g.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.sum("p").alias("sp"), F.sum("m").alias("sm"), F.avg("t").alias("tm"),
@@ -110,7 +110,7 @@ def bmc_covered_only(df: DataFrame, keys: Sequence[str], plan: Plan = AUTO, benc
     Both scores come from one pass: each rank is taken within the group, the bmc
     ranks within its covered rows only."""
     d = _scorable(df, pred, target)
-    split = resolve(d, keys, plan)
+    d, split = dealt(d, keys, plan)
     covered = F.col(benchmark).isNotNull()
     d = _centred_target(d, keys, target, split)
     d = d.withColumn("__cp", F.when(covered, F.col(pred)))
@@ -141,7 +141,7 @@ def _contribution(rows: str) -> Column:
 def spearman_per_era(df: DataFrame, keys: Sequence[str], pred: str = "prediction", target: str = "target",
                      plan: Plan = AUTO, out: str = "spearman") -> DataFrame:
     d = _scorable(df, pred, target)
-    split = resolve(d, keys, plan)
+    d, split = dealt(d, keys, plan)
     r = with_rank(with_rank(d, keys, target, "__ry", plan=split), keys, pred, "__rx", plan=split)
     return pearson(r, keys, F.col("__rx"), F.col("__ry"), out, True)
 
@@ -190,20 +190,22 @@ def benchmark_blend(df: DataFrame, weights: Sequence[float] = (0.1, 0.25, 0.5, 0
     """Re-ranked weighted mean of the model's and the benchmark's within-era rank."""
     keys = list(keys)
     d = _scorable(df, pred, benchmark)
-    split = resolve(d, keys, plan)
+    d, split = dealt(d, keys, plan)
     r = with_rank(with_rank(d, keys, pred, "__m", plan=split), keys, benchmark, "__b", plan=split)
-    w = r.withColumn("weight", F.explode(F.array(*[F.lit(float(x)) for x in weights])))
-    mixed = w.withColumn("__mix", F.col("weight") * F.col("__m") + (F.lit(1.0) - F.col("weight")) * F.col("__b"))
-    # sums of the same ranks in another order differ in the last digit: compare at 12 places
-    mixed = mixed.withColumn("__mix", on_grid(F.col("__mix"), 12))
-    return with_rank(mixed, ["weight", *keys], "__mix", "blend", plan=split).drop("__m", "__b", "__mix")
+    # one weight after the other, so that a sort holds the rows once and not once per weight
+    for i, x in enumerate(weights):
+        mix = F.lit(float(x)) * F.col("__m") + (F.lit(1.0) - F.lit(float(x))) * F.col("__b")
+        # sums of the same ranks in another order differ in the last digit: compare at 12 places
+        r = with_rank(r.withColumn("__mix", on_grid(mix, 12)), keys, "__mix", f"__blend{i}", plan=split).drop("__mix")
+    each = F.inline(F.array(*[F.struct(F.lit(float(x)).alias("weight"), F.col(f"__blend{i}").alias("blend")) for i, x in enumerate(weights)]))
+    return r.select(*d.columns, each)
 
 
 def target_rank_ensemble(df: DataFrame, targets: Sequence[str], keys: Sequence[str] = ("era",),
                          plan: Plan = AUTO, out: str = "target_ensemble") -> DataFrame:
     """Re-ranked mean of the within-era ranks of several targets; NULL unless all exist."""
     keys = list(keys)
-    split = resolve(df, keys, plan)
+    df, split = dealt(df, keys, plan)
     everywhere = F.lit(True)
     for t in targets:
         everywhere = everywhere & F.col(t).isNotNull()

@@ -139,7 +139,7 @@ lt AS (SELECT arm, seed, era, prediction, 'target' AS target_name, target, bench
 {official_sql("lt", "target_name, arm, seed, era")},{bmc_sql("lt", "target_name, arm, seed, era")}""",
     "SELECT target_name, arm, seed, era, round(corr, 8) + 0e0 AS corr, round(bmc, 8) + 0e0 AS bmc FROM o_corr LEFT JOIN b_bmc USING (target_name, arm, seed, era)"))
 def _(t):
-    got = score.secondary_targets(t.pred(), [("target", "benchmark"), ("target_b", "benchmark_b")], plan=t.plan())
+    got = score.secondary_targets(t.pred(), [("target", "benchmark"), ("target_b", "benchmark_b")], plan=t.plan(12))
     return got.select("target_name", *KEYS, rounded(F.col("corr")).alias("corr"), rounded(F.col("bmc")).alias("bmc"))
 
 

@@ -141,7 +141,7 @@ def _(t):
     pred, fold = t.pred().where(F.col("benchmark").isNotNull()), F.expr(FOLD)
     ens = score.seed_ensemble(t.pred(), plan=t.plan()).withColumn("prediction", on_grid(F.col("prediction"), 10)).where(F.col("benchmark").isNotNull())
     blend = score.benchmark_blend(ens, keys=["arm", "era"], plan=t.plan()).select("arm", "weight", "era", "target", "benchmark", F.col("blend").alias("prediction"))
-    bs = score.bmc_covered_only(blend, ["arm", "weight", "era"], plan=t.plan()).withColumn("split", fold)
+    bs = score.bmc_covered_only(blend, ["arm", "weight", "era"], plan=t.plan(10)).withColumn("split", fold)
     es = score.corr_official(ens, ["arm", "era"], plan=t.plan()).withColumn("split", fold)
     ss = score.corr_official(pred, KEYS, plan=t.plan()).withColumn("split", fold)
     got = selection.select_blend(bs, es, ss)

@@ -62,9 +62,10 @@ class Tables:
     def eras(self) -> DataFrame:
         return self.table("orders").select(F.col("o_orderkey").alias("id"), F.expr(ERA_SQL).alias("era"))
 
-    def plan(self):
-        """Window or range plan for era groups: counted once on the order table."""
-        return self._once("plan", lambda: plan_groups(self.eras(), ["era"]))
+    def plan(self, times: int = len(ARMS) * len(SEEDS)):
+        """Window or range plan for era groups, counted once on the order table; ``times`` is how
+        many rows a frame has for each order, by default as many as the predictions."""
+        return self._once(f"plan-{times}", lambda: plan_groups(self.eras(), ["era"], times=times))
 
     def _once(self, name: str, build):
         slot = (self.spark.sparkContext.applicationId, self.sf_dir, name)

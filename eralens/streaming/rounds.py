@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eralens.functions.checks import findings, together, violation
 from eralens.functions.exprs import on_grid, finite
-from eralens.functions.ranking import AUTO, resolve, with_rank
+from eralens.functions.ranking import AUTO, dealt, with_rank
 
 ROUND_CHECKS = "kind string, key string, detail string"
 
@@ -27,7 +27,7 @@ def round_violations(rounds: DataFrame, models: list[str], benchmark: str, key:
 def score_whole_rounds(rounds: DataFrame, models: list[str], benchmark: str, weight: float, key: str = "id",
                        round_key: str = "round") -> DataFrame:
     """Rank every model within the round, average, blend with the benchmark rank, re-rank."""
-    d, split = rounds, resolve(rounds, [round_key], AUTO)
+    d, split = dealt(rounds, [round_key], AUTO)
     for i, m in enumerate([*models, benchmark]):
         d = with_rank(d, [round_key], m, f"__r{i}", plan=split)
     mean = F.col("__r0")

@@ -88,6 +88,22 @@ def test_plan_follows_the_largest_group(skewed):
     assert isinstance(R.plan_groups(df, ["era"], bound=100), R.Split)
 
 
+def test_tasks_hold_a_few_groups_however_large_the_table(spark, skewed, monkeypatch):
+    """Partitions follow the rows, so a task's share of a growing table does not grow."""
+    _, df = skewed
+    monkeypatch.setattr(R, "DEAL_FROM", 1000)
+    monkeypatch.setattr(R, "TASK_ROWS", 50)
+    d = spark.range(4000).select("id", F.pmod("id", F.lit(80)).alias("era"), F.pmod(F.col("id") * 37, F.lit(101)).cast("double").alias("value"))
+    assert R.plan_groups(d, ["era"]) == R.Whole(80) and R.plan_groups(d, ["era"], times=3) == R.Whole(240)
+    whole = R.with_rank(d, ["era"], "value", "rank")
+    assert whole.rdd.getNumPartitions() == 80
+    share = whole.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert share <= 6 * 50
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, R.with_rank(d, ["era"], "value", "rank", plan=None).collect()))
+    pos = [sorted(map(tuple, R.row_positions(d, ["era"], "id", plan=p, total="n").collect())) for p in (R.Whole(80), None)]
+    assert pos[0] == pos[1]
+
+
 def test_large_groups_are_cut(skewed):
     """The biggest era must end up in many ranges, and ties must not pile up rows."""
     _, df = skewed
