@@ -27,6 +27,7 @@ from pyspark.sql.types import StructType
 
 RANGE_BYTES = 32 << 20
 BATCH_ROWS = 8192
+FILE_ROWS, FILE_BYTES = 1 << 18, 64 << 20     # an archive is full at either
 SQL_TYPES = {"f4": "float", "f8": "double", "i1": "tinyint", "i2": "smallint", "i4": "int", "i8": "bigint", "u1": "smallint", "u2": "int", "u4": "bigint", "b1": "boolean"}
 WIDER = {"u1": "<i2", "u2": "<i4", "u4": "<i8"}
 MAGIC = b"\x93NUMPY"
@@ -153,31 +154,49 @@ class ArrayReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array([os.path.basename(partition.path)] * n), rows, *columns], names=["file", "row", *self.names])
 
 
-def write_arrays(df: DataFrame, path: str, compress: bool = False) -> DataFrame:
-    """One .npz archive per task, with an array for each column (numbers, or lists of equal
-    length; no nulls). Returns ``file, rows``. A task that is run again replaces its file."""
+def write_arrays(df: DataFrame, path: str, compress: bool = False, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Archives (.npz) of up to ``file_rows`` rows and some ``FILE_BYTES``, with an array for each column (numbers, or lists
+    of equal length; no nulls). A task holds one archive's rows at a time. Returns ``file, rows``,
+    one row per archive. A task that is run again replaces its files."""
     names = df.columns
 
     def run(batches):
         from pyspark import TaskContext
 
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        arrays = {}
-        for n, column in zip(names, table.columns):
-            column = column.combine_chunks()
-            if column.null_count:
-                raise ValueError(f"column {n} has nulls")
-            lists = pa.types.is_list(column.type)
-            arrays[n] = (column.flatten() if lists else column).to_numpy(zero_copy_only=False).reshape(*([len(column), -1] if lists else [-1]))
-        os.makedirs(path, exist_ok=True)
-        place, own = os.path.join(path, f"part-{TaskContext.get().partitionId():05d}.npz"), f".{TaskContext.get().taskAttemptId()}"
-        with open(place + own, "wb") as f:
-            (np.savez_compressed if compress else np.savez)(f, **arrays)
-        os.replace(place + own, place)
-        yield pa.RecordBatch.from_arrays([pa.array([os.path.basename(place)]), pa.array([table.num_rows])], names=["file", "rows"])
+        part, own = f"part-{TaskContext.get().partitionId():05d}", f".{TaskContext.get().taskAttemptId()}"
+
+        def store(number, held):
+            table = pa.Table.from_batches(held).combine_chunks()
+            arrays = {}
+            for n, column in zip(names, table.columns):
+                column = column.combine_chunks()
+                if column.null_count:
+                    raise ValueError(f"column {n} has nulls")
+                lists = pa.types.is_list(column.type)
+                arrays[n] = (column.flatten() if lists else column).to_numpy(zero_copy_only=False).reshape(*([len(column), -1] if lists else [-1]))
+            os.makedirs(path, exist_ok=True)
+            place = os.path.join(path, f"{part}-{number:05d}.npz")
+            with open(place + own, "wb") as f:
+                (np.savez_compressed if compress else np.savez)(f, **arrays)
+            os.replace(place + own, place)
+            return pa.RecordBatch.from_arrays([pa.array([os.path.basename(place)]), pa.array([table.num_rows])], names=["file", "rows"])
+
+        held, n, size, files = [], 0, 0, 0
+        for batch in batches:
+            while batch.num_rows:
+                taken = batch.slice(0, file_rows - n)
+                held.append(taken)
+                n, batch = n + taken.num_rows, batch.slice(taken.num_rows)
+                size += taken.nbytes
+                if n == file_rows or size >= FILE_BYTES:
+                    yield store(files, held)
+                    held, n, size, files = [], 0, 0, files + 1
+        if held:
+            yield store(files, held)
+            files += 1
+        while os.path.exists(stale := os.path.join(path, f"{part}-{files:05d}.npz")):    # of a run with more rows
+            os.remove(stale)
+            files += 1
 
     path = path.removeprefix("file:")
     return df.mapInArrow(run, "file string, rows bigint")

@@ -38,6 +38,17 @@ def test_arrays_written_by_tasks(spark, tmp_path):
         arrays.write_arrays(d.withColumn("id", F.when(F.col("id") > 5, F.col("id"))), str(tmp_path / "d")).collect()
 
 
+def test_a_task_holds_one_archive_at_a_time(spark, tmp_path):
+    """However many rows a task has, they go to archives of bounded size; all are read back."""
+    d, path = spark.range(0, 1000, 1, 2).select("id", (F.col("id") / 4).alias("x")), str(tmp_path / "a")
+    for _ in range(2):                          # the second run replaces the first one's files
+        wrote = arrays.write_arrays(d, path, file_rows=150).collect()
+        assert sorted(r["rows"] for r in wrote) == [50, 50] + [150] * 6
+    arrays.write_arrays(d.where("id < 700"), path, file_rows=150).collect()
+    got = arrays.read_arrays(spark, path, ["id", "x"]).select("id", "x").collect()
+    assert sorted(map(tuple, got)) == [(i, i / 4) for i in range(700)]
+
+
 def fails(df, what):
     with pytest.raises(PySparkException, match=what):
         df.collect()
