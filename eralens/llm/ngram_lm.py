@@ -5,8 +5,9 @@ scale. A filter of bits holds an n-gram of level q under q keys, (n-gram, 1) to
 a probe asks for growing levels until one is missing, and so errs upwards only, and rarely
 by more than a level. Workers hold the filter whole; its size is a parameter (``FILTER_MB``),
 not a function of the corpus: every pair is counted exactly, and the filter takes all pairs
-from the smallest count on that fits it at the intended error rate. Words come first; pairs
-seen once are left out.
+from the smallest count on that fits it at the intended error rate. Words come first. What
+does not fit is looked up by joins on the exact counts (``corrections``), so a score does not
+depend on the filter's size but for its errors. Pairs seen once are no part of the model.
 
 Probability: absolute discounting over pairs, backing off to add-one smoothed words. The
 mass that a context leaves comes from exact sums over classes of contexts (hashed to
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from eralens.llm.common import ASCII_LOWER, blocks, byte_texts, stage, text_bytes
 from eralens.llm.minhash import Hashes, mix
@@ -257,8 +259,8 @@ def probe(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def left_over(counts: DataFrame, pair: int) -> np.ndarray:
-    """What share of a context class its held pairs leave to backing off."""
+def left_over(counts: DataFrame, pair: int = MIN_PAIR) -> np.ndarray:
+    """What share of a context class its pairs leave to backing off."""
 
     def run(batches):
         for batch in batches:
@@ -283,14 +285,47 @@ def left_over(counts: DataFrame, pair: int) -> np.ndarray:
     return out
 
 
-def score_texts(docs: DataFrame, shared, kind: str) -> DataFrame:
-    """Rows of two sorts: sums of a document (rare null), and counts of its rare words."""
+def outside(counts: DataFrame, kind: int, least: int, below: int) -> DataFrame:
+    """``h, low, high``: bounds of the levels of n-grams that the filter does not hold."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                keys, n = read_counts(batch)
+                rest = (n >= least) & (n < below)
+                q = level(n[rest])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[rest].view(np.int64)), pa.array(LOW[q]), pa.array(HIGH[q])], names=["h", "low", "high"])
+
+    return counts.where(F.col("kind") == kind).select("keys", "counts", "wide").mapInArrow(run, "h bigint, low double, high double")
+
+
+def corrections(open_: DataFrame, counts: DataFrame, word: int, pair: int, floor: int) -> DataFrame:
+    """``row, better``: what the score of a document gains when n-grams that the filter does not
+    hold are looked up in the exact counts. ``open_`` has one row for each distinct token (with
+    the word before it) of a document that the filter leaves open."""
+    c, d = F.col, open_
+    by = lambda name, kind, least, below: outside(counts, kind, least, below).select(F.col("h").alias(name), F.col("low").alias(f"{name}_low"), F.col("high").alias(f"{name}_high"))
+    d = d.join(by("pair", 2, MIN_PAIR, pair), "pair", "left") if pair > MIN_PAIR else d.withColumn("pair_low", F.lit(None).cast("double"))
+    for name in ("word", "before"):
+        d = d.join(by(name, 1, 1, word), name, "left") if word > 1 else d.withColumn(f"{name}_low", F.lit(None).cast("double")).withColumn(f"{name}_high", F.lit(None).cast("double"))
+    d = d.where(F.coalesce("pair_low", "word_low", "before_low").isNotNull())
+    found, low, context = F.coalesce("pair_low", "found"), F.coalesce("word_low", "low"), F.coalesce("before_high", "context")
+    single = (low + 1) / F.lit(float(floor))
+    seen = F.least(F.greatest(found - DISCOUNT, F.lit(0.0)) / F.greatest(context, F.lit(1.0)), F.lit(1 - 1e-3))
+    model = F.when(context > 0, seen + c("share") * single).otherwise(single)
+    return d.groupBy("row").agg(F.sum(c("times") * (F.log10(model) - c("scored"))).alias("better"))
+
+
+def score_texts(docs: DataFrame, shared) -> DataFrame:
+    """Rows of three sorts: sums of a document (times null), counts of its rare words (rare), and its
+    tokens that need counts the filter does not hold (scored); hashes that the filter has are null."""
 
     def run(batches):
         m = shared.value
         filter_, freq_keys, freq_counts, share, n_train, vocabulary = m["filter"], m["keys"], m["counts"], m["share"], m["n"], m["v"]
         memo, floor = Hashes(), n_train + vocabulary + 1
         base_of = np.log10(freq_counts + 1.0)
+        word_open, pair_open = m["word"] > 1, m["pair"] > MIN_PAIR
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
@@ -324,42 +359,63 @@ def score_texts(docs: DataFrame, shared, kind: str) -> DataFrame:
                 new = np.flatnonzero(np.concatenate(([True], (rare[1:] != rare[:-1]) | (rare_doc[1:] != rare_doc[:-1])))) if len(rare) else np.zeros(0, np.int64)
                 times = np.diff(np.append(new, len(rare)))
                 one, many = len(hashes), len(new)
-                none = lambda n, t: pa.nulls(n, t)
                 rows = part.column(0)
-                yield pa.RecordBatch.from_arrays([rows, part.column(1), none(one, pa.int64()), none(one, pa.int64()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score)], names=NAMES)
-                yield pa.RecordBatch.from_arrays([rows.take(pa.array(rare_doc[new])), none(many, part.column(1).type), pa.array(rare[new].view(np.int64)), pa.array(times, pa.int64()), none(many, pa.int64()), none(many, pa.int64()), none(many, pa.float64()), none(many, pa.float64())], names=NAMES)
+                yield record(one, row=rows, doc=part.column(1), n_tokens=pa.array(sizes, pa.int64()), known=pa.array(known, pa.int64()), base=pa.array(base), score=pa.array(score))
+                yield record(many, row=rows.take(pa.array(rare_doc[new])), rare=pa.array(rare[new].view(np.int64)), times=pa.array(times, pa.int64()))
+                if not (word_open or pair_open):
+                    continue
+                no_word, no_before = word_open & (q[where] == 0), word_open & (context == 0)
+                no_pair = pair_open & (found == 0) & ((context > 0) | word_open)
+                left = np.flatnonzero(no_word | no_before | no_pair)
+                if len(left):                   # one row for a pair of a document
+                    left = left[np.lexsort((back[left], doc[left]))]
+                    head = np.flatnonzero(np.concatenate(([True], (doc[left][1:] != doc[left][:-1]) | (back[left][1:] != back[left][:-1]))))
+                    often, at = np.diff(np.append(head, len(left))), left[head]
+                    hashed = lambda x, is_open: pa.array(x.view(np.int64), mask=~is_open)
+                    yield record(len(at), row=rows.take(pa.array(doc[at])), times=pa.array(often, pa.int64()), pair=hashed(pairs[back[at]], no_pair[at]), word=hashed(h[at], no_word[at]),
+                                 before=hashed(before[at], no_before[at]), found=pa.array(found[at]), low=pa.array(low[at]), context=pa.array(context[at]),
+                                 share=pa.array(share[classes(before[at]).astype(np.int64)]), scored=pa.array(np.log10(model[at])))
+
+    types = dict(TYPES, doc=docs.schema["doc"].dataType.simpleString())
+    arrow = {n: to_arrow_type(docs.schema["doc"].dataType) if n == "doc" else pa.int64() if t == "bigint" else pa.float64() for n, t in types.items()}
+
+    def record(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in arrow.items()], names=list(arrow))
 
-    return docs.mapInArrow(run, f"row bigint, doc {kind}, rare bigint, times bigint, n_tokens bigint, known bigint, base double, score double")
+    return docs.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in types.items()))
 
 
-NAMES = ["row", "doc", "rare", "times", "n_tokens", "known", "base", "score"]
+TYPES = dict(row="bigint", doc="bigint", rare="bigint", times="bigint", n_tokens="bigint", known="bigint", base="double", score="double", pair="bigint", word="bigint", before="bigint",
+             found="double", low="double", context="double", share="double", scored="double")
 
 
-def score(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str = "text", filter_mb: int = FILTER_MB) -> DataFrame:
+def score(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str = "text", filter_mb: float = FILTER_MB) -> DataFrame:
     """One row per document: ``doc_id, n_tokens, n_known, train_tokens,
     base_score, score``. ``train_if`` is a condition on ``docs``; null counts as false.
 
     Null texts are empty: one token, the end. Repeated rows count and are scored as they
     stand. Without training texts every probability is one over one."""
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.coalesce(train_if, F.lit(False)).alias("train"))
     buckets = blocks(text_bytes(rows, "text"), BUCKET_BYTES, 64)
     counts = stage(count_ngrams(rows.where("train").select("text"), buckets), "lm-counts")
     singles = unpacked(counts.where("kind = 1"))
     total = singles.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     sizes = level_sizes(counts)
-    word, pair, bits = choose(sizes, filter_mb << 23)
+    word, pair, bits = choose(sizes, max(2, int(filter_mb * (1 << 23)) // (SECTIONS * 64)) * SECTIONS * 64)
     often = frequent_from(sizes)
     top = singles.where(F.col("c") >= often).toPandas()          # FREQUENT rows at most
     keys = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast({"filter": build(counts, word, pair, bits), "share": left_over(counts, pair), "n": total["n"], "v": total["v"], "keys": keys[order], "counts": top["c"].to_numpy(np.int64)[order]})
+    shared = spark.sparkContext.broadcast({"filter": build(counts, word, pair, bits), "share": left_over(counts), "word": word, "pair": pair, "n": total["n"], "v": total["v"], "keys": keys[order], "counts": top["c"].to_numpy(np.int64)[order]})
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc", "text")
-    scored = stage(score_texts(numbered, shared, kind), "lm-scores")
+    scored = stage(score_texts(numbered, shared), "lm-scores")
     rare = scored.where("rare is not null").select("row", F.col("rare").alias("h"), "times")
     others = singles.where(F.col("c") < often)
     extra = rare.join(others, "h").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("gain"))
-    out = scored.where("rare is null").join(extra, "row", "left")
+    out = scored.where("times is null").join(extra, "row", "left")
+    if word > 1 or pair > MIN_PAIR:
+        better = corrections(scored.where("scored is not null"), counts, word, pair, total["n"] + total["v"] + 1)
+        out = out.join(better, "row", "left").withColumn("score", F.col("score") + F.coalesce("better", F.lit(0.0)))
     return out.select(F.col("doc").alias("doc_id"), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total["n"])).cast("bigint").alias("train_tokens"),
                       (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), "score")

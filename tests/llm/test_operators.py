@@ -156,6 +156,22 @@ def test_language_model(docs, empty):
     assert ngram_lm.score(empty, F.lit(True)).count() == 0
 
 
+def test_scores_do_not_depend_on_the_size_of_the_filter(rows, monkeypatch):
+    """What the filter has no room for is looked up in the exact counts."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ngram_lm, "ERROR_BITS", 60)         # hardly any false levels
+    rng, held = np.random.default_rng(5), []
+    choose = ngram_lm.choose
+    monkeypatch.setattr(ngram_lm, "choose", lambda *a: held.append(choose(*a)) or held[-1])
+    texts = [(i, " ".join(f"w{min(2000, x)}" for x in rng.zipf(1.3, 120))) for i in range(300)]
+    d = rows(texts, "doc_id bigint, text string")
+    whole, part = ({r["doc_id"]: r["score"] for r in ngram_lm.score(d, F.col("doc_id") % 7 != 2, filter_mb=mb).collect()} for mb in (8, 0.02))
+    assert held[0][:2] == (1, ngram_lm.MIN_PAIR) and held[1][0] > 1 and held[1][1] > ngram_lm.MIN_PAIR
+    assert set(whole) == set(part) == set(range(300))
+    assert max(abs(whole[i] - part[i]) / abs(whole[i]) for i in whole) < 0.002
+
+
 def test_filter_levels():
     rng = np.random.default_rng(1)
     keys, count = rng.integers(0, 1 << 63, 3000, dtype=np.uint64), rng.integers(1, 500, 3000)
