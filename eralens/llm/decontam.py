@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ THRESHOLD = 0.5            # of the score of an item for its own text
 SHINGLE, OVERLAP = 5, 0.8
 K1, B = 1.2, 0.75
 PER_BLOCK = 16             # items in a block of the index
+CELLS = 1 << 18            # scores, of items in windows, that are summed at once
 WORD = re.compile(r"\w+")
 MATCH = "array<struct<item_id:{kind},score:double,question_overlap:double,answer_overlap:double,start_word:int,end_word:int>>"
 
@@ -106,37 +108,45 @@ class Index:
         ends = np.cumsum(length)
         return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)
 
-    def retrieve(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """Items that score THRESHOLD or more for these distinct terms."""
-        at = self.ranges(self.b_start[terms], self.b_length[terms])
-        bound = np.bincount(self.block[at], self.b_most[at], self.n_blocks)
-        alive = bound >= THRESHOLD - 1e-9
-        if not alive.any():
-            return []
-        at = self.ranges(self.start[terms], self.length[terms])
-        at = at[alive[self.item[at] // PER_BLOCK]]
-        score = np.bincount(self.item[at], self.impact[at], len(self.ids))
-        return [(i, float(score[i])) for i in np.flatnonzero(score >= THRESHOLD - 1e-9).tolist()]
+    def retrieve(self, ids: np.ndarray, starts: np.ndarray, size: int):
+        """``start, item, score`` of the items that score THRESHOLD or more in the windows from
+        these starts on. Many windows are summed in one go, as far as their scores fit ``CELLS``."""
+        n = max(1, len(self.ids))
+        step = max(1, CELLS // n)
+        for first in range(0, len(starts), step):
+            begin = starts[first:first + step]
+            width = np.minimum(begin + size, len(ids)) - begin
+            own, window = ids[self.ranges(begin, width)], np.repeat(np.arange(len(begin)), width)
+            known = own >= 0
+            key = np.sort(window[known] * len(self.term) + own[known])       # distinct terms, window by window
+            key = key[np.flatnonzero(np.diff(key, prepend=-1))]
+            window = key // max(1, len(self.term))
+            own = key - window * len(self.term)
+            at = self.ranges(self.b_start[own], self.b_length[own])
+            bound = np.bincount(np.repeat(window * self.n_blocks, self.b_length[own]) + self.block[at], self.b_most[at], len(begin) * self.n_blocks)
+            alive = bound >= THRESHOLD - 1e-9
+            some = alive.reshape(len(begin), self.n_blocks).any(axis=1)[window]
+            window, own = window[some], own[some]
+            at, window = self.ranges(self.start[own], self.length[own]), np.repeat(window, self.length[own])
+            item = self.item[at]
+            some = alive[window * self.n_blocks + item // PER_BLOCK]
+            score = np.bincount(window[some] * n + item[some], self.impact[at[some]], len(begin) * n)
+            for k in np.flatnonzero(score >= THRESHOLD - 1e-9).tolist():
+                yield int(begin[k // n]), k % n, float(score[k])
 
     def matches(self, text: str) -> list[dict]:
         words = WORD.findall(text.lower())
-        get = self.term.get
-        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        ids = np.fromiter(map(self.term.get, words, repeat(-1)), np.int64, len(words))
         size = 2 * self.longest
         total = np.concatenate(([0.0], np.cumsum(self.upper[ids])))
         starts = np.arange(0, max(1, len(words) - self.longest), self.longest)
         ends = np.minimum(starts + size, len(words))
         out: dict[object, dict] = {}
-        for a in starts[total[ends] - total[starts] >= THRESHOLD - self.common - 1e-9].tolist():
-            own = np.unique(ids[a:a + size])
-            own = own[own >= 0]
-            if not len(own):
-                continue
-            for i, score in self.retrieve(own):
-                near = words[max(0, a - self.longest):a + size + self.longest]
-                q, r = (len(s & shingles(near, n)) / len(s) if s else 1.0 for n, s in self.qa[i])
-                if q >= OVERLAP and r >= OVERLAP and (self.ids[i] not in out or out[self.ids[i]]["score"] < score):
-                    out[self.ids[i]] = {"item_id": self.ids[i], "score": score, "question_overlap": q, "answer_overlap": r, "start_word": a, "end_word": min(a + size, len(words))}
+        for a, i, score in self.retrieve(ids, starts[total[ends] - total[starts] >= THRESHOLD - self.common - 1e-9], size):
+            near = words[max(0, a - self.longest):a + size + self.longest]
+            q, r = (len(s & shingles(near, n)) / len(s) if s else 1.0 for n, s in self.qa[i])
+            if q >= OVERLAP and r >= OVERLAP and (self.ids[i] not in out or out[self.ids[i]]["score"] < score):
+                out[self.ids[i]] = {"item_id": self.ids[i], "score": score, "question_overlap": q, "answer_overlap": r, "start_word": a, "end_word": min(a + size, len(words))}
         return list(out.values())
 
 

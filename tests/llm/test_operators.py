@@ -131,6 +131,25 @@ def test_segments():
         assert all(abs(x[a:b].sum() - s) < 1e-9 for a, b, s in found) and all(p[1] <= q[0] for p, q in zip(found, found[1:]))
 
 
+def test_decontamination_windows_at_once(monkeypatch):
+    """Scores of many windows in one go are those of each window by itself, however many fit."""
+    index = decontam.Index([(k, " ".join(A.split()[k % 7:k % 7 + 9]) + f" mark{k} end{k}") for k in range(40)])
+    words = (A + " mark3 end3 " + C + " mark8 " + LONG[:2000]).split()
+    ids = np.array([index.term.get(w, -1) for w in words])
+    starts, size = np.arange(0, len(words) - index.longest, index.longest), 2 * index.longest
+    plain = []
+    for a in starts.tolist():
+        score = np.zeros(len(index.ids))
+        for t in sorted({x for x in ids[a:a + size].tolist() if x >= 0}):
+            at = slice(index.start[t], index.start[t] + index.length[t])
+            score[index.item[at]] += index.impact[at]
+        plain += [(a, i, score[i]) for i in np.flatnonzero(score >= decontam.THRESHOLD - 1e-9).tolist()]
+    assert plain
+    for cells in (1, 80, 1 << 18):
+        monkeypatch.setattr(decontam, "CELLS", cells)
+        assert list(index.retrieve(ids, starts, size)) == plain
+
+
 def test_decontamination(rows, docs, empty):
     items = [(k, t) for k, t in TEXTS if k in (3, 15)] + [(90, None), (91, ""), (92, "something else entirely, never seen in any text at all")]
     benchmark = rows(items, "item_id bigint, text string")
