@@ -83,7 +83,7 @@ def corr_official(df: DataFrame, keys: Sequence[str], pred: str = "prediction",
     """(avg rank - 1/2)/n -> normal quantile -> power, against the mean-centred target."""
     d = _scorable(df, pred, target)
     d, split = dealt(d, keys, plan)
-    r = gaussian_rank(_centred_target(d, keys, target, split), keys, pred, "__z", split)
+    r = _centred_target(gaussian_rank(d, keys, pred, "__z", split), keys, target, split)
     return pearson(r, keys, signed_pow(F.col("__z")), signed_pow(F.col("__tc")), out, True)
 
 
@@ -112,9 +112,10 @@ def bmc_covered_only(df: DataFrame, keys: Sequence[str], plan: Plan = AUTO, benc
     d = _scorable(df, pred, target)
     d, split = dealt(d, keys, plan)
     covered = F.col(benchmark).isNotNull()
-    d = _centred_target(d, keys, target, split)
+    # ranked first: the mean then finds its groups in order and needs no sort of its own
+    d = _centred_target(gaussian_rank(d, keys, pred, "z", split), keys, target, split)
     d = d.withColumn("__cp", F.when(covered, F.col(pred)))
-    for source, name in ((pred, "z"), ("__cp", "p"), (benchmark, "m")):
+    for source, name in (("__cp", "p"), (benchmark, "m")):
         d = gaussian_rank(d, keys, source, name, split)
     d = d.select(*keys, "p", "m", signed_pow(F.col("z")).alias("x"), signed_pow(F.col("__tc")).alias("y"),
                  F.when(covered, F.col(target)).alias("t"))

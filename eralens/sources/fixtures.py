@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eralens.functions.exprs import AS241_CENTRE, AS241_FAR, AS241_MIDDLE, hash_unit, keyed, ratio_text
-from eralens.functions.ranking import plan_groups
+from eralens.functions.ranking import TASK_ROWS, plan_groups
 from eralens.session import cut_lineage
 from eralens.sources.tables import read_spread
 
@@ -75,11 +75,11 @@ class Tables:
 
     def panel(self) -> DataFrame:
         """The panel as a stored table, built once per application."""
-        return self._once("panel", lambda: cut_lineage(self.build_panel(), "panel"))
+        return self._once("panel", lambda: cut_lineage(self.build_panel(), "panel", TASK_ROWS))
 
     def pred(self) -> DataFrame:
         """The predictions as a stored table, built once per application."""
-        return self._once("pred", lambda: cut_lineage(self.build_pred(), "pred"))
+        return self._once("pred", lambda: cut_lineage(self.build_pred(), "pred", TASK_ROWS))
 
     def build_panel(self) -> DataFrame:
         lines = self.table("lineitem").groupBy("l_orderkey").agg(

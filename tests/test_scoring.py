@@ -153,3 +153,19 @@ def test_mann_whitney_and_wilcoxon(rows):
     assert inference.mann_whitney(d, ["k"], "g", "a", "b", "v").first()["u"] == pytest.approx(u)
     s = rows([("k", v) for v in [0.3, -0.1, 0.2, 0.0, -0.4]], "k string, v double")
     assert inference.signed_tests(s, ["k"], "v").first()["w_plus"] == pytest.approx(3 + 2)
+
+
+def test_scores_sort_once_for_each_rank(rows):
+    """The target's mean finds its groups in the order of the first rank."""
+    d = rows([(1, 0.1, 0.2, 0.5)], "era int, prediction double, benchmark double, target double")
+    sorts = lambda df: str(df._jdf.queryExecution().executedPlan()).count("Sort [")
+    assert sorts(score.bmc_covered_only(d, ["era"], plan=None)) == 3 and sorts(score.corr_official(d, ["era"], plan=None)) == 1
+
+
+def test_stored_files_are_bounded(spark):
+    """A scan's task reads a bounded number of rows only if files are bounded."""
+    from eralens.session import cut_lineage
+
+    stored = cut_lineage(spark.range(0, 1000, 1, 2), "bounded", 100)
+    assert len(stored.inputFiles()) == 10 and stored.count() == 1000
+    assert all(spark.read.parquet(f).count() <= 100 for f in stored.inputFiles())
