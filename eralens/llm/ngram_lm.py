@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from eralens.llm.common import ASCII_LOWER, blocks, byte_texts, stage, text_bytes
+from eralens.llm.common import ASCII_LOWER, arrow_rows, blocks, byte_texts, stage, text_bytes
 from eralens.llm.minhash import Hashes, mix
 
 FILTER_MB = 48
@@ -43,6 +43,7 @@ CLASSES = 1 << CLASS_BITS
 SECTIONS = 512                   # parts of the filter, each built by one group
 BUCKET_BYTES = 8 << 20
 HELD = 1_500_000
+TEXT_ROWS, BUCKET_ROWS = 512, 2  # texts, and packed counts (megabytes each), that a worker gets at once
 U = np.uint64
 END = 0x5E7D0F00D5E7D0F1         # the word that ends a text
 PAIR_MASK = U((1 << (64 - CLASS_BITS)) - 1)
@@ -151,8 +152,8 @@ def unpacked(counts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                keys, n = read_counts(batch)
+            for row in range(batch.num_rows):
+                keys, n = read_counts(batch.slice(row, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["h", "c"])
 
     return counts.select("keys", "counts", "wide").mapInArrow(run, "h bigint, c bigint")
@@ -290,8 +291,8 @@ def outside(counts: DataFrame, kind: int, least: int, below: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                keys, n = read_counts(batch)
+            for row in range(batch.num_rows):
+                keys, n = read_counts(batch.slice(row, 1))
                 rest = (n >= least) & (n < below)
                 q = level(n[rest])
                 yield pa.RecordBatch.from_arrays([pa.array(keys[rest].view(np.int64)), pa.array(LOW[q]), pa.array(HIGH[q])], names=["h", "low", "high"])
@@ -398,18 +399,21 @@ def score(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.coalesce(train_if, F.lit(False)).alias("train"))
     buckets = blocks(text_bytes(rows, "text"), BUCKET_BYTES, 64)
-    counts = stage(count_ngrams(rows.where("train").select("text"), buckets), "lm-counts")
+    with arrow_rows(spark, TEXT_ROWS):
+        counts = stage(count_ngrams(rows.where("train").select("text"), buckets), "lm-counts")
     singles = unpacked(counts.where("kind = 1"))
-    total = singles.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    sizes = level_sizes(counts)
+    with arrow_rows(spark, BUCKET_ROWS):
+        total = singles.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+        sizes, share = level_sizes(counts), left_over(counts)
     word, pair, bits = choose(sizes, max(2, int(filter_mb * (1 << 23)) // (SECTIONS * 64)) * SECTIONS * 64)
     often = frequent_from(sizes)
     top = singles.where(F.col("c") >= often).toPandas()          # FREQUENT rows at most
     keys = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast({"filter": build(counts, word, pair, bits), "share": left_over(counts), "word": word, "pair": pair, "n": total["n"], "v": total["v"], "keys": keys[order], "counts": top["c"].to_numpy(np.int64)[order]})
+    shared = spark.sparkContext.broadcast({"filter": build(counts, word, pair, bits), "share": share, "word": word, "pair": pair, "n": total["n"], "v": total["v"], "keys": keys[order], "counts": top["c"].to_numpy(np.int64)[order]})
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc", "text")
-    scored = stage(score_texts(numbered, shared), "lm-scores")
+    with arrow_rows(spark, TEXT_ROWS):
+        scored = stage(score_texts(numbered, shared), "lm-scores")
     rare = scored.where("rare is not null").select("row", F.col("rare").alias("h"), "times")
     others = singles.where(F.col("c") < often)
     extra = rare.join(others, "h").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("gain"))

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -131,6 +132,28 @@ def test_segments():
         assert all(abs(x[a:b].sum() - s) < 1e-9 for a, b, s in found) and all(p[1] <= q[0] for p, q in zip(found, found[1:]))
 
 
+def test_arrow_rows(spark, rows):
+    """Workers get so many rows at once, and the session's own number afterwards."""
+    sizes = lambda: {r["n"] for r in spark.range(0, 100, 1, 1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n bigint").collect()}
+    before = spark.conf.get(common.ARROW_ROWS)
+    with pytest.raises(ZeroDivisionError), common.arrow_rows(spark, 7):
+        assert max(sizes()) == 7
+        1 / 0
+    assert spark.conf.get(common.ARROW_ROWS) == before and sizes() == {100}
+
+
+def test_counts_unpacked_by_row():
+    """A worker holds one bucket of counts at a time, however many come in a batch."""
+    class Given:
+        def select(self, *_): return self
+        def where(self, _): return self
+        def mapInArrow(self, run, _): return [b.num_rows for b in run([batch])]
+
+    counts = [ngram_lm.packed(4, 1, np.arange(12, dtype=np.uint64), np.full(12, 5))[k] for k in range(4)]
+    batch = ngram_lm.count_batch(counts)
+    assert ngram_lm.unpacked(Given()) == [3] * 4
+
+
 def test_decontamination_windows_at_once(monkeypatch):
     """Scores of many windows in one go are those of each window by itself, however many fit."""
     index = decontam.Index([(k, " ".join(A.split()[k % 7:k % 7 + 9]) + f" mark{k} end{k}") for k in range(40)])
