@@ -29,7 +29,7 @@ from eralens.session import cut_lineage
 
 MAX_GROUP_ROWS = 1_000_000
 DEAL_FROM = 4_000_000
-TASK_ROWS = 250_000       # rows of a partition on average; groups stay whole
+TASK_ROWS = 100_000       # rows of a partition on average; groups stay whole, so finer partitions hold fewer of them by chance
 
 
 @dataclass(frozen=True)
@@ -70,7 +70,8 @@ def resolve(df: DataFrame, keys: Sequence[str], plan: Plan) -> Split | Whole | N
 
 def dealt(df: DataFrame, keys: Sequence[str], plan: Plan) -> tuple[DataFrame, Split | None]:
     """The frame as its plan deals it, and the plan for all that follows on the same keys:
-    windows and sums on them need no other shuffle."""
+    windows and sums on them need no other shuffle. That does not hold for keys of a floating
+    type: Spark takes them in a normal form there and deals again, as it sees fit."""
     split = resolve(df, keys, plan)
     if isinstance(split, Whole):
         return (df.repartition(split.partitions, *keys) if keys else df), None

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eralens.functions.exprs import AS241_CENTRE, AS241_FAR, AS241_MIDDLE, hash_unit, keyed, ratio_text
-from eralens.functions.ranking import TASK_ROWS, plan_groups
-from eralens.session import cut_lineage
+from eralens.functions.ranking import plan_groups
+from eralens.session import cut_lineage, scan_bytes
 from eralens.sources.tables import read_spread
 
 ERA_SQL = "CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INT)"
@@ -25,6 +25,8 @@ RESOLVED_UNTIL = 76      # later eras have no target yet
 TRAIN_UNTIL = 40
 ARMS = ("filtered", "plain")
 SEEDS = (0, 1, 2)
+FILE_ROWS = 62_500       # of a stored file; a scan takes some 30 files a task, as each counts as 4 MB at least
+SCAN_BYTES = 16 << 20    # of the given tables that a task reads
 BUDGETS = (5000, 20000, 100000)
 FEATURES = ("price", "quantity", "discount", "tax", "lines", "balance")
 
@@ -75,11 +77,15 @@ class Tables:
 
     def panel(self) -> DataFrame:
         """The panel as a stored table, built once per application."""
-        return self._once("panel", lambda: cut_lineage(self.build_panel(), "panel", TASK_ROWS))
+        def build() -> DataFrame:
+            with scan_bytes(self.spark, SCAN_BYTES):
+                return cut_lineage(self.build_panel(), "panel", FILE_ROWS)
+
+        return self._once("panel", build)
 
     def pred(self) -> DataFrame:
         """The predictions as a stored table, built once per application."""
-        return self._once("pred", lambda: cut_lineage(self.build_pred(), "pred", TASK_ROWS))
+        return self._once("pred", lambda: cut_lineage(self.build_pred(), "pred", FILE_ROWS))
 
     def build_panel(self) -> DataFrame:
         lines = self.table("lineitem").groupBy("l_orderkey").agg(

@@ -169,3 +169,29 @@ def test_stored_files_are_bounded(spark):
     stored = cut_lineage(spark.range(0, 1000, 1, 2), "bounded", 100)
     assert len(stored.inputFiles()) == 10 and stored.count() == 1000
     assert all(spark.read.parquet(f).count() <= 100 for f in stored.inputFiles())
+
+
+def test_scans_inside_read_few_bytes(spark, tmp_path):
+    """A task reads so many bytes at most, and the session's own number holds again afterwards."""
+    from eralens.session import SPLIT_BYTES, scan_bytes
+
+    for k in range(4):
+        spark.range(k * 1000, k * 1000 + 1000, 1, 1).write.mode("append").parquet(str(tmp_path / "ids"))
+    before = spark.conf.get(SPLIT_BYTES)
+    with scan_bytes(spark, 4096):
+        assert spark.read.parquet(str(tmp_path / "ids")).rdd.getNumPartitions() >= 4
+        with scan_bytes(spark, 1 << 30):
+            assert spark.conf.get(SPLIT_BYTES) == "4096"
+    assert spark.conf.get(SPLIT_BYTES) == before
+
+
+def test_the_panel_and_predictions_are_stored_in_small_files(spark, tmp_path, monkeypatch):
+    """Files bound what a task reads, adds up and deals, at any size of the tables."""
+    import os
+
+    from eralens.sources import fixtures
+
+    monkeypatch.setattr(fixtures, "FILE_ROWS", 50)
+    t = fixtures.Tables(spark, os.path.join(os.environ.get("ERALENS_TEST_ROOT", "/root/testdata"), "sf0.001"))
+    monkeypatch.setattr(fixtures, "STORED", {})
+    assert all(spark.read.parquet(f).count() <= 50 for f in t.panel().inputFiles()[:4] + t.pred().inputFiles()[:4])
