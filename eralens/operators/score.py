@@ -202,6 +202,14 @@ def benchmark_blend(df: DataFrame, weights: Sequence[float] = (0.1, 0.25, 0.5, 0
     return r.select(*d.columns, each)
 
 
+def blend_scores(blends: DataFrame, plan: Plan = AUTO, keys: Sequence[str] = ("era",), weight: str = "weight",
+                 pred: str = "blend") -> DataFrame:
+    """corr and bmc of every blend per group. Weights are text while they are keys: by a floating
+    key the rows would be dealt a second time, by a number of partitions that does not follow them."""
+    d = blends.withColumn(weight, F.col(weight).cast("string"))
+    return bmc_covered_only(d, [*keys, weight], plan, pred=pred).withColumn(weight, F.col(weight).cast("double"))
+
+
 def target_rank_ensemble(df: DataFrame, targets: Sequence[str], keys: Sequence[str] = ("era",),
                          plan: Plan = AUTO, out: str = "target_ensemble") -> DataFrame:
     """Re-ranked mean of the within-era ranks of several targets; NULL unless all exist."""

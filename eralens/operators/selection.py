@@ -205,6 +205,8 @@ def split_mean_worst(scores: DataFrame, keys: Sequence[str], value: str = "corr"
 def select_blend(blend_scores: DataFrame, ensemble_scores: DataFrame, seed_scores: DataFrame, split: str = "split") -> DataFrame:
     """Best (arm, weight) among arms whose ensemble and every seed have a positive mean in
     every split; order: mean corr, worst split, mean bmc, weight, 'filtered' first."""
+    blend_scores = cut_lineage(blend_scores, "blend-scores")      # read twice: blends are ranked once
+
     def positive(df, keys):
         m = df.groupBy("arm", *keys, split).agg(F.avg("corr").alias("m"))
         return m.groupBy("arm").agg(F.bool_and(F.col("m") > 0).alias("ok"))

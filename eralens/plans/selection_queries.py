@@ -8,7 +8,8 @@ from eralens.functions.exprs import on_grid, rounded
 from eralens.operators import audit, score, selection
 from eralens.plans.registry import query, with_
 from eralens.plans.score_queries import BLEND, ENSEMBLE_ROUNDED, K, KEYS
-from eralens.sources.fixtures import CELLS, ERA_SCORES, LOGS, PANEL, PRED, bmc_sql, official_sql, probit_sql, spow
+from eralens.session import cut_lineage
+from eralens.sources.fixtures import CELLS, ERA_SCORES, FILE_ROWS, LOGS, PANEL, PRED, bmc_sql, official_sql, probit_sql, spow
 
 FOLD = "CASE WHEN era <= 25 THEN 'fold_1' WHEN era <= 50 THEN 'fold_2' ELSE 'fold_3' END"
 SOURCE_ID = 7
@@ -140,8 +141,9 @@ rk AS (SELECT *, row_number() OVER (ORDER BY stable DESC, round(corr, 10) DESC,
 def _(t):
     pred, fold = t.pred().where(F.col("benchmark").isNotNull()), F.expr(FOLD)
     ens = score.seed_ensemble(t.pred(), plan=t.plan()).withColumn("prediction", on_grid(F.col("prediction"), 10)).where(F.col("benchmark").isNotNull())
-    blend = score.benchmark_blend(ens, keys=["arm", "era"], plan=t.plan()).select("arm", "weight", "era", "target", "benchmark", F.col("blend").alias("prediction"))
-    bs = score.bmc_covered_only(blend, ["arm", "weight", "era"], plan=t.plan(10)).withColumn("split", fold)
+    ens = cut_lineage(ens, "ensemble", FILE_ROWS)      # blended and scored
+    blend = score.benchmark_blend(ens, keys=["arm", "era"], plan=t.plan()).select("arm", "weight", "era", "target", "benchmark", "blend")
+    bs = score.blend_scores(blend, t.plan(10), ["arm", "era"]).withColumn("split", fold)
     es = score.corr_official(ens, ["arm", "era"], plan=t.plan()).withColumn("split", fold)
     ss = score.corr_official(pred, KEYS, plan=t.plan()).withColumn("split", fold)
     got = selection.select_blend(bs, es, ss)

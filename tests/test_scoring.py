@@ -171,6 +171,19 @@ def test_stored_files_are_bounded(spark):
     assert all(spark.read.parquet(f).count() <= 100 for f in stored.inputFiles())
 
 
+def test_blends_are_dealt_once(rows):
+    """A floating weight among the keys would deal all rows again, by Spark's own number of partitions."""
+    from eralens.functions import ranking as R
+
+    d = rows([(1, w, i / 7, (i * 3 % 5) / 5, float(i % 2)) for w in (0.1, 0.25, 1.0) for i in range(6)], "era int, weight double, blend double, benchmark double, target double")
+    shuffles = lambda df: str(df._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning")
+    got = score.blend_scores(d, R.Whole(5))
+    assert shuffles(got) == 1 < shuffles(score.bmc_covered_only(d, ["era", "weight"], R.Whole(5), pred="blend"))
+    want = score.bmc_covered_only(d, ["era", "weight"], pred="blend", plan=None)
+    assert got.schema["weight"].dataType.simpleString() == "double"
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_scans_inside_read_few_bytes(spark, tmp_path):
     """A task reads so many bytes at most, and the session's own number holds again afterwards."""
     from eralens.session import SPLIT_BYTES, scan_bytes
