@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eralens.llm.common import ASCII_LOWER, byte_texts, components, stage
+from eralens.llm.common import ASCII_LOWER, byte_texts, components, release, stage
 
 WORDS = 4
 BANDS, ROWS = 20, 3          # 30 permutations
@@ -209,14 +209,19 @@ def linked(classes: DataFrame, held_sets, name: str, keys_first: bool = False) -
     """Components of the link graph of classes: ``node, component`` for those with a link.
 
     ``classes``: ``doc, n_shingles, bands``. ``held_sets(ids)``: ``doc, shingles`` of these. With
-    ``keys_first``, keys that several classes have are stored before classes are joined with
-    them, so that many small classes are on disk in one shuffle at a time, not in two."""
+    ``keys_first``, keys that several classes have are counted and stored before classes are
+    joined with them, so that many small classes are on disk in one shuffle at a time, not in
+    two, and only the key of an entry is in that one: the first class of a key is taken from
+    what the join leaves. (A least struct would sort all entries, a count does not.)"""
     kind = classes.schema["doc"].dataType.simpleString()
     entry = classes.select("doc", "n_shingles", F.explode("bands").alias("key"))
-    lead = entry.groupBy("key").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    least = lambda rows: rows.groupBy("key").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     if keys_first:
-        lead = stage(lead, f"{name}-keys")
-    bucket = stage(entry.join(lead, "key"), f"{name}-buckets")          # key, doc, n_shingles, first
+        many = stage(entry.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), f"{name}-keys")
+        entry = stage(entry.join(many, "key"), f"{name}-repeated")
+    bucket = stage(entry.join(stage(least(entry), f"{name}-lead") if keys_first else least(entry), "key"), f"{name}-buckets")          # key, doc, n_shingles, first
+    if keys_first:
+        release(entry)
     held = stage(held_sets(bucket.select("doc").distinct()), f"{name}-sets")
     # 1. with the first of each bucket; a pair that several buckets share counts once
     star = bucket.where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct()

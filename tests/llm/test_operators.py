@@ -489,3 +489,22 @@ def test_pipeline(spark, rows, tmp_path):
     want = collections.Counter(i for i, t, *_ in out["pii"] for _ in range(0, len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1, 2048))
     assert collections.Counter(r[0] for r in out["packing"]) == want
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(out["packing"])
+
+
+def test_repeated_band_keys_are_counted_without_a_sort(rows, monkeypatch):
+    """Entries of many small classes are the most rows of all: none but their key is dealt, and none is sorted."""
+    plans, staged = {}, minhash.stage
+
+    def seen(df, name):
+        plans[name] = str(df._jdf.queryExecution().executedPlan())
+        return staged(df, name)
+
+    monkeypatch.setattr(minhash, "stage", seen)
+    sets = {(1, 0): range(40), (2, 3): range(39), (3, 1): range(100, 140), (4, 0): range(1, 41), (9, 9): range(7, 9)}
+    held = {k: np.array(list(v), np.uint64) for k, v in sets.items()}
+    node = "struct<doc:bigint,para:int>"
+    classes = rows([(k, len(v), [int(b) for b in minhash.min_max([v])[0].view(np.int64)]) for k, v in held.items()], f"doc {node}, n_shingles bigint, bands array<bigint>")
+    known = rows([(k, bytearray(v.tobytes())) for k, v in held.items()], f"doc {node}, shingles binary")
+    got = [sorted(tuple(map(tuple, r)) for r in minhash.linked(classes, lambda ids: known.join(ids, "doc"), "probe", keys_first=first).collect()) for first in (True, False)]
+    assert got[0] == got[1] == [((1, 0), (1, 0)), ((2, 3), (1, 0)), ((4, 0), (1, 0))]
+    assert "SortAggregate" not in plans["probe-keys"] and "HashAggregate" in plans["probe-keys"]
