@@ -20,15 +20,19 @@ broadcast ones holds at most 1 / FREQUENT of all tokens, that join has no hot ke
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from eralens.llm.common import ASCII_LOWER, arrow_rows, blocks, byte_texts, stage, text_bytes
-from eralens.llm.minhash import Hashes, mix
+from eralens.llm.minhash import KNOWN_WORDS, mix
 
 FILTER_MB = 48
 ERROR_BITS = 10                  # bits for each key held; about one false level in a hundred probes
@@ -46,6 +50,12 @@ HELD = 1_500_000
 TEXT_ROWS, BUCKET_ROWS = 512, 2  # texts, and packed counts (megabytes each), that a worker gets at once
 U = np.uint64
 END = 0x5E7D0F00D5E7D0F1         # the word that ends a text
+PLACES = 64                      # places in a word with random numbers of their own
+DRAWN = np.random.default_rng(11).integers(0, 1 << 64, PLACES << 8, dtype=np.uint64)
+PIECE_BYTES, PART_BYTES = 1 << 18, 1 << 20
+GAP = re.compile(rb"[\x20\x09-\x0D]")
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 PAIR_MASK = U((1 << (64 - CLASS_BITS)) - 1)
 
 
@@ -67,16 +77,72 @@ LOW[0] = 0.0
 HIGH = np.append(LOW[1:] - 1, LOW[-1])                           # largest count of a level
 
 
-def token_hashes(memo: Hashes, text: bytes) -> np.ndarray:
-    words = text.translate(ASCII_LOWER).split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    out[-1] = END
-    return out
+def words_of(text: bytes, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each of the words between ASCII white space, and where they start and stop in
+    a text of which this begins at ``at``. Equal words have equal numbers: the sum of a random
+    number for each byte and place. So words are found and told apart in one go."""
+    letters = np.frombuffer(text, np.uint8)
+    inside = ~SPACE[letters]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, stop = edges[::2], edges[1::2]
+    if not len(start):
+        return np.zeros(0, np.uint64), start, stop
+    letters, size = letters[inside], stop - start
+    first = np.cumsum(size) - size
+    place = np.arange(len(letters)) - np.repeat(first, size)
+    each = DRAWN[((place & (PLACES - 1)) << 8) + letters]
+    if size.max() > PLACES:                  # places beyond the drawn ones: those again, mixed with how often
+        far = np.flatnonzero(place >= PLACES)
+        each[far] = mix(each[far] + (place[far] // PLACES).astype(np.uint64) * U(0x9E3779B97F4A7C15))
+    return np.add.reduceat(each, first) + size.astype(np.uint64), start + at, stop + at
+
+
+class Known:
+    """Hashes of the words met so far by their numbers, both in the numbers' order."""
+
+    def __init__(self):
+        self.numbers = self.hashes = np.zeros(0, np.uint64)
+
+    def hashes_of(self, numbers: np.ndarray, text: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Of distinct words, in the order of their numbers, and where they stand in the text."""
+        at = np.searchsorted(self.numbers, numbers)
+        new = np.flatnonzero((at == len(self.numbers)) | (np.append(self.numbers, U(0))[at] != numbers))
+        out = np.append(self.hashes, U(0))[at]
+        out[new] = np.fromiter((xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(start[new].tolist(), stop[new].tolist())), np.uint64, len(new))
+        if len(self.numbers) + len(new) > KNOWN_WORDS:
+            self.numbers, self.hashes = numbers, out
+        else:
+            self.numbers, self.hashes = np.insert(self.numbers, at[new], numbers[new]), np.insert(self.hashes, at[new], out[new])
+        return out
+
+
+def token_hashes(found: list[bytes], known: Known) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of some texts in a row, and how many each text has: its words and an end."""
+    text, at, each = b"\n".join(found).translate(ASCII_LOWER), 0, [words_of(b"", 0)]
+    while at < len(text):                    # pieces that fit a processor's cache, cut at white space
+        cut = GAP.search(text, at + PIECE_BYTES)
+        end = cut.end() if cut else len(text)
+        each.append(words_of(text[at:end], at))
+        at = end
+    number, start, stop = (np.concatenate(x) for x in zip(*each))
+    numbers, one, where = np.unique(number, return_index=True, return_inverse=True)
+    h = known.hashes_of(numbers, text, start[one], stop[one])[where]
+    upto = np.searchsorted(start, np.cumsum([len(t) + 1 for t in found], dtype=np.int64))
+    return np.insert(h, upto, U(END)), np.diff(upto, prepend=0) + 1
+
+
+def parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Rows in a row whose texts have ``PART_BYTES`` at most, or one row of more."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PART_BYTES, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def with_start(h: np.ndarray) -> np.ndarray:
-    """What stands before each token; a text starts after an end."""
+    """What stands before each token; a text starts after an end, the first and all others."""
     return np.concatenate((np.array([END], np.uint64), h[:-1]))
 
 
@@ -118,7 +184,7 @@ def count_ngrams(texts: DataFrame, buckets: int) -> DataFrame:
     bucket. Tasks add up their own first, so a frequent n-gram is one entry for each."""
 
     def partial(batches):
-        memo, held, n = Hashes(), [[], []], 0
+        known, held, n = Known(), [[], []], 0
 
         def flush():
             rows = []
@@ -128,8 +194,8 @@ def count_ngrams(texts: DataFrame, buckets: int) -> DataFrame:
             return count_batch(rows)
 
         for batch in batches:
-            for text in byte_texts(batch.column(0)):
-                h = token_hashes(memo, text)
+            for part in parts(batch, 0):
+                h, _ = token_hashes(list(byte_texts(part.column(0))), known)
                 held[0].append(h), held[1].append(pair_keys(with_start(h), h))
                 n += len(h)
                 if n > HELD:
@@ -198,12 +264,21 @@ def frequent_from(sizes: dict[tuple[int, int], int]) -> int:
     return least
 
 
-def spots(keys: np.ndarray, q: np.ndarray | int, section_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def sections(keys: np.ndarray) -> np.ndarray:
+    """The filter's section of each n-gram, the same at all levels."""
+    return (mix(keys) >> U(64 - SECTIONS.bit_length() + 1)).astype(np.int64)
+
+
+def steps(keys: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the bits of each key at level q begin, and how far apart they are."""
+    a = mix(keys * U(0xC2B2AE3D27D4EB4F) + np.array([q + 1], np.uint64) * U(0x165667B19E3779F9))
+    return a, mix(a) | U(1)
+
+
+def spots(keys: np.ndarray, q: int, section_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Section of each key (by n-gram alone) and its bits there at level q, one column each."""
-    section = (mix(keys) >> U(64 - SECTIONS.bit_length() + 1)).astype(np.int64)
-    a = mix(keys * U(0xC2B2AE3D27D4EB4F) + (np.atleast_1d(q).astype(np.uint64) + U(1)) * U(0x165667B19E3779F9))
-    b = mix(a) | U(1)
-    return section, np.stack([((a + U(k) * b) % U(section_bits)).astype(np.int64) for k in range(PROBES)], axis=1)
+    a, b = steps(keys, q)
+    return sections(keys), np.stack([((a + U(k) * b) % U(section_bits)).astype(np.int64) for k in range(PROBES)], axis=1)
 
 
 def build(counts: DataFrame, word: int, pair: int, bits: int) -> np.ndarray:
@@ -223,7 +298,7 @@ def build(counts: DataFrame, word: int, pair: int, bits: int) -> np.ndarray:
                     keys = mix(keys + U(0x2B))
                 if not len(keys):
                     continue
-                section = (mix(keys) >> U(64 - SECTIONS.bit_length() + 1)).astype(np.int32)
+                section = sections(keys).astype(np.int32)
                 order = np.argsort(section, kind="stable")
                 section, keys, q = section[order], keys[order], q[order]
                 at = np.flatnonzero(np.concatenate(([True], section[1:] != section[:-1])))
@@ -232,10 +307,13 @@ def build(counts: DataFrame, word: int, pair: int, bits: int) -> np.ndarray:
 
     def fill(table: pa.Table) -> pa.Table:
         out = np.zeros(section_bits, bool)
-        for k, v in zip(table.column("keys"), table.column("levels")):
-            keys, top = np.frombuffer(k.as_buffer(), np.uint64), np.frombuffer(v.as_buffer(), np.int16)
-            for q in range(1, int(top.max(initial=0)) + 1):
-                out[spots(keys[top >= q], q, section_bits)[1].ravel()] = True
+        # all of the section at once: one bucket's share of it is a few keys
+        keys = np.concatenate([np.frombuffer(k.as_buffer(), np.uint64) for k in table.column("keys")])
+        top = np.concatenate([np.frombuffer(v.as_buffer(), np.int16) for v in table.column("levels")])
+        for q in range(1, int(top.max(initial=0)) + 1):
+            held = top >= q
+            keys, top = keys[held], top[held]
+            out[spots(keys, q, section_bits)[1].ravel()] = True
         return pa.table({"section": pa.array([table.column("section")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
 
     rows = counts.mapInArrow(spread, "section int, keys binary, levels binary").groupBy("section").applyInArrow(fill, "section int, bits binary").collect()
@@ -247,14 +325,18 @@ def build(counts: DataFrame, word: int, pair: int, bits: int) -> np.ndarray:
 
 
 def probe(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Levels of n-grams: probed one level after the other until one is missing."""
+    """Levels of n-grams: probed one level after the other until one is missing, and a level one
+    bit after the other."""
     section_bits = len(filter_) * 8 // SECTIONS
     out, alive, q = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
+    first = sections(keys) * section_bits
     while len(alive) and q <= LEVELS:
-        section, bit = spots(keys[alive], q, section_bits)
-        at = section[:, None] * (section_bits // 8) + (bit >> 3)
-        held = ((filter_[at] >> (bit & 7).astype(np.uint8)) & 1).all(axis=1)
-        alive = alive[held]
+        a, b = steps(keys, q)
+        for k in range(PROBES):
+            bit = first + (a % U(section_bits)).astype(np.int64)
+            held = np.flatnonzero((filter_[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+            keys, first, alive, b = keys[held], first[held], alive[held], b[held]
+            a = a[held] + b
         out[alive] = q
         q += 1
     return out
@@ -324,43 +406,39 @@ def score_texts(docs: DataFrame, shared) -> DataFrame:
     def run(batches):
         m = shared.value
         filter_, freq_keys, freq_counts, share, n_train, vocabulary = m["filter"], m["keys"], m["counts"], m["share"], m["n"], m["v"]
-        memo, floor = Hashes(), n_train + vocabulary + 1
+        words_met, floor = Known(), n_train + vocabulary + 1
         base_of = np.log10(freq_counts + 1.0)
         word_open, pair_open = m["word"] > 1, m["pair"] > MIN_PAIR
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                hashes = [token_hashes(memo, t) for t in byte_texts(part.column(2))]
-                sizes = np.array([len(h) for h in hashes])
-                first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-                h, doc = np.concatenate(hashes), np.repeat(np.arange(len(hashes)), sizes)
-                before = np.concatenate([with_start(x) for x in hashes])
+            for part in parts(batch, 2):
+                h, sizes = token_hashes(list(byte_texts(part.column(2))), words_met)
+                one, doc, before = len(sizes), np.repeat(np.arange(len(sizes)), sizes), with_start(h)
                 # the model
                 words, where = np.unique(h, return_inverse=True)
                 q = probe(filter_, words)
-                low, high = LOW[q][where], HIGH[q][where]
-                starts = np.empty(len(h), np.int64)
-                starts[1:] = where[:-1]
-                starts[first] = np.searchsorted(words, U(END))
-                context = HIGH[q][starts]
-                pairs, back = np.unique(pair_keys(before, h), return_inverse=True)
-                found = LOW[probe(filter_, mix(pairs + U(0x2B)))][back]
+                low, high, end = LOW[q][where], HIGH[q], np.searchsorted(words, U(END))
+                prior = np.concatenate(([end], where[:-1]))
+                context = high[prior]
+                pairs = pair_keys(before, h)
+                found = LOW[probe(filter_, mix(pairs + U(0x2B)))]
+                kept = share[classes(words).astype(np.int64)][prior]
                 single = (low + 1) / floor
                 seen = np.where(context > 0, np.minimum(np.maximum(found - DISCOUNT, 0) / np.maximum(context, 1), 1 - 1e-3), 0.0)
-                model = np.where(context > 0, seen + share[classes(before).astype(np.int64)] * single, single)
-                score = np.bincount(doc, np.log10(model), len(hashes))
+                model = np.log10(np.where(context > 0, seen + kept * single, single))
+                score = np.bincount(doc, model, one)
                 # the base: frequent words here, others by a join
-                at = np.minimum(np.searchsorted(freq_keys, h), max(0, len(freq_keys) - 1))
-                common = freq_keys[at] == h if len(freq_keys) else np.zeros(len(h), bool)
-                base = np.bincount(doc[common], base_of[at[common]], len(hashes)) - sizes * math.log10(floor)
-                known = np.bincount(doc[common], minlength=len(hashes))
+                at = np.minimum(np.searchsorted(freq_keys, words), max(0, len(freq_keys) - 1))
+                hit = freq_keys[at] == words if len(freq_keys) else np.zeros(len(words), bool)
+                gain, common = np.zeros(len(words)), hit[where]
+                gain[hit] = base_of[at[hit]]
+                base = np.bincount(doc, gain[where], one) - sizes * math.log10(floor)
+                known = np.bincount(doc[common], minlength=one)
                 rare_doc, rare = doc[~common], h[~common]
                 order = np.lexsort((rare, rare_doc))
                 rare_doc, rare = rare_doc[order], rare[order]
                 new = np.flatnonzero(np.concatenate(([True], (rare[1:] != rare[:-1]) | (rare_doc[1:] != rare_doc[:-1])))) if len(rare) else np.zeros(0, np.int64)
                 times = np.diff(np.append(new, len(rare)))
-                one, many = len(hashes), len(new)
-                rows = part.column(0)
+                many, rows = len(new), part.column(0)
                 yield record(one, row=rows, doc=part.column(1), n_tokens=pa.array(sizes, pa.int64()), known=pa.array(known, pa.int64()), base=pa.array(base), score=pa.array(score))
                 yield record(many, row=rows.take(pa.array(rare_doc[new])), rare=pa.array(rare[new].view(np.int64)), times=pa.array(times, pa.int64()))
                 if not (word_open or pair_open):
@@ -369,13 +447,13 @@ def score_texts(docs: DataFrame, shared) -> DataFrame:
                 no_pair = pair_open & (found == 0) & ((context > 0) | word_open)
                 left = np.flatnonzero(no_word | no_before | no_pair)
                 if len(left):                   # one row for a pair of a document
-                    left = left[np.lexsort((back[left], doc[left]))]
-                    head = np.flatnonzero(np.concatenate(([True], (doc[left][1:] != doc[left][:-1]) | (back[left][1:] != back[left][:-1]))))
+                    left = left[np.lexsort((pairs[left], doc[left]))]
+                    head = np.flatnonzero(np.concatenate(([True], (doc[left][1:] != doc[left][:-1]) | (pairs[left][1:] != pairs[left][:-1]))))
                     often, at = np.diff(np.append(head, len(left))), left[head]
                     hashed = lambda x, is_open: pa.array(x.view(np.int64), mask=~is_open)
-                    yield record(len(at), row=rows.take(pa.array(doc[at])), times=pa.array(often, pa.int64()), pair=hashed(pairs[back[at]], no_pair[at]), word=hashed(h[at], no_word[at]),
+                    yield record(len(at), row=rows.take(pa.array(doc[at])), times=pa.array(often, pa.int64()), pair=hashed(pairs[at], no_pair[at]), word=hashed(h[at], no_word[at]),
                                  before=hashed(before[at], no_before[at]), found=pa.array(found[at]), low=pa.array(low[at]), context=pa.array(context[at]),
-                                 share=pa.array(share[classes(before[at]).astype(np.int64)]), scored=pa.array(np.log10(model[at])))
+                                 share=pa.array(kept[at]), scored=pa.array(model[at]))
 
     types = dict(TYPES, doc=docs.schema["doc"].dataType.simpleString())
     arrow = {n: to_arrow_type(docs.schema["doc"].dataType) if n == "doc" else pa.int64() if t == "bigint" else pa.float64() for n, t in types.items()}

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -198,6 +199,48 @@ def test_language_model(docs, empty):
     assert ngram_lm.score(empty, F.lit(True)).count() == 0
 
 
+def test_tokens_of_many_texts_at_once(monkeypatch):
+    """Equal words have equal hashes wherever they stand, others have others; every text ends."""
+    long = "x" * 70 + "y" * 70
+    texts = ["", "Aa bB\taa", "\u00e9t\u00e9 \x1c \u00a0 aa\r\n\x0bBB\x0c", "   ", f"{long} {long}z {long[::-1]} {long[64:]} aa", "ab ba a b", None, "aa"]
+    given = [(t or "").encode() for t in texts]
+    want = [[*t.translate(common.ASCII_LOWER).split(), None] for t in given]
+    for size in (1, 40, 1 << 18):
+        monkeypatch.setattr(ngram_lm, "PIECE_BYTES", size)
+        known = ngram_lm.Known()
+        h, n = ngram_lm.token_hashes(given, known)
+        assert (h == ngram_lm.token_hashes(given, known)[0]).all() and {b"aa", b"bb"} <= {w for ws in want for w in ws}
+        assert h[1] == xxhash.xxh3_64_intdigest(b"aa")
+        assert n.tolist() == [len(w) for w in want]
+        named = set(zip((w for ws in want for w in ws), h.tolist()))
+        assert len(named) == len({a for a, _ in named}) == len({b for _, b in named})
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    monkeypatch.setattr(ngram_lm, "PART_BYTES", 30)
+    cut = [p.column(0).to_pylist() for p in ngram_lm.parts(batch, 0)]
+    assert sum(cut, []) == texts and max(len(c) for c in cut) > 1 and all(len(c) == 1 or sum(len((t or "").encode()) for t in c) <= 30 for c in cut)
+
+
+def test_filter_section_filled_at_once(monkeypatch):
+    """A section's keys are set level by level, not bucket by bucket."""
+    calls, spots = [], ngram_lm.spots
+    monkeypatch.setattr(ngram_lm, "spots", lambda keys, q, bits: calls.append(q) or spots(keys, q, bits))
+    sent = []
+
+    class Given:
+        def mapInArrow(self, run, _): sent.append(run); return self
+        def groupBy(self, _): return self
+        def applyInArrow(self, fill, _): sent.append(fill); return self
+        def collect(self): return []
+
+    ngram_lm.build(Given(), 1, 2, ngram_lm.SECTIONS * 640)
+    keys = np.arange(40, dtype=np.uint64)
+    rows = pa.table({"section": pa.array([3] * 4, pa.int32()), "keys": [keys[k::4].tobytes() for k in range(4)], "levels": [np.full(10, 2 + k % 2, np.int16).tobytes() for k in range(4)]})
+    bits = np.unpackbits(np.frombuffer(sent[1](rows).column("bits")[0].as_py(), np.uint8), bitorder="little")
+    assert calls == [1, 2, 3]
+    for q, held in ((1, keys), (2, keys), (3, np.concatenate((keys[1::4], keys[3::4])))):
+        assert bits[spots(held, q, 640)[1].ravel()].all()
+
+
 def test_scores_do_not_depend_on_the_size_of_the_filter(rows, monkeypatch):
     """What the filter has no room for is looked up in the exact counts."""
     from pyspark.sql import functions as F
