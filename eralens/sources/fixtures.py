@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from eralens.functions.exprs import AS241_CENTRE, AS241_FAR, AS241_MIDDLE, hash_unit, keyed, ratio_text
 from eralens.functions.ranking import plan_groups
-from eralens.session import cut_lineage, scan_bytes
+from eralens.session import cut_lineage, scan_bytes, shuffles_of
 from eralens.sources.tables import read_spread
 
 ERA_SQL = "CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INT)"
@@ -26,6 +26,8 @@ TRAIN_UNTIL = 40
 ARMS = ("filtered", "plain")
 SEEDS = (0, 1, 2)
 FILE_ROWS = 62_500       # of a stored file; a scan takes some 30 files a task, as each counts as 4 MB at least
+JOIN_ROWS = 250_000      # of the largest given table that a task of the panel's joins gets
+JOIN_BYTES = 4 << 20     # of their shuffles
 SCAN_BYTES = 16 << 20    # of the given tables that a task reads
 BUDGETS = (5000, 20000, 100000)
 FEATURES = ("price", "quantity", "discount", "tax", "lines", "balance")
@@ -78,7 +80,8 @@ class Tables:
     def panel(self) -> DataFrame:
         """The panel as a stored table, built once per application."""
         def build() -> DataFrame:
-            with scan_bytes(self.spark, SCAN_BYTES):
+            rows = max(self.table(name).count() for name in ("lineitem", "orders", "customer"))
+            with scan_bytes(self.spark, SCAN_BYTES), shuffles_of(self.spark, rows, JOIN_ROWS, JOIN_BYTES):
                 return cut_lineage(self.build_panel(), "panel", FILE_ROWS)
 
         return self._once("panel", build)

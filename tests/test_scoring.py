@@ -208,3 +208,20 @@ def test_the_panel_and_predictions_are_stored_in_small_files(spark, tmp_path, mo
     t = fixtures.Tables(spark, os.path.join(os.environ.get("ERALENS_TEST_ROOT", "/root/testdata"), "sf0.001"))
     monkeypatch.setattr(fixtures, "STORED", {})
     assert all(spark.read.parquet(f).count() <= 50 for f in t.panel().inputFiles()[:4] + t.pred().inputFiles()[:4])
+
+
+def test_partitions_follow_the_rows(spark):
+    from eralens.session import SHUFFLES, TOGETHER, shuffles_of
+
+    before, together = int(spark.conf.get(SHUFFLES)), spark.conf.get(TOGETHER)
+    for rows, want in ((0, before), (1000 * before, before), (7001 * before, 7 * before + 1)):
+        with shuffles_of(spark, rows, 1000, 1 << 20):
+            assert int(spark.conf.get(SHUFFLES)) == want and spark.conf.get(TOGETHER) == str(1 << 20)
+    spark.conf.set(TOGETHER, "16k")          # a finer setting stays
+    try:
+        with pytest.raises(ZeroDivisionError), shuffles_of(spark, 10**6, 10, 1 << 20):
+            assert spark.conf.get(TOGETHER) == str(16 << 10)
+            1 / 0
+        assert int(spark.conf.get(SHUFFLES)) == before and spark.conf.get(TOGETHER) == "16k"
+    finally:
+        spark.conf.set(TOGETHER, together)
