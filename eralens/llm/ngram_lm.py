@@ -6,7 +6,7 @@ a probe asks for growing levels until one is missing, and so errs upwards only,
 by more than a level. Workers hold the filter whole; its size is a parameter (``FILTER_MB``),
 not a function of the corpus: every pair is counted exactly, and the filter takes all pairs
 from the smallest count on that fits it at the intended error rate. Words come first. What
-does not fit is looked up by joins on the exact counts (``corrections``), so a score does not
+does not fit is looked up in the exact counts (``looked_up``), so a score does not
 depend on the filter's size but for its errors. Pairs seen once are no part of the model.
 
 Probability: absolute discounting over pairs, backing off to add-one smoothed words. The
@@ -14,11 +14,17 @@ mass that a context leaves comes from exact sums over classes of contexts (hashe
 ``CLASSES``), so that probabilities add up to at most one.
 
 Word counts for the base score are exact: the ``FREQUENT`` most frequent words are
-broadcast, those of other words come by a join on their hash. As a word beyond the
-broadcast ones holds at most 1 / FREQUENT of all tokens, that join has no hot key."""
+broadcast, those of other words are looked up.
+
+What is looked up is no row by itself: the texts that a task reads in a row, some ``CHUNK``
+tokens, are a chunk, which asks each hash bucket of the counts once for all n-grams that it
+needs, packed, and gets their counts in the same order. What it needs of its texts until then is
+packed, too. Where the filter has no room, most n-grams are asked for, so the texts are scored
+in ``WAVES`` shares by hash, one after the other, and disk holds what one of them asks."""
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -31,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from eralens.llm.common import ASCII_LOWER, arrow_rows, blocks, byte_texts, stage, text_bytes
+from eralens.llm.common import ASCII_LOWER, arrow_rows, blocks, byte_texts, release, stage, text_bytes
 from eralens.llm.minhash import KNOWN_WORDS, mix
 
 FILTER_MB = 48
@@ -46,7 +52,8 @@ CLASS_BITS = 16
 CLASSES = 1 << CLASS_BITS
 SECTIONS = 512                   # parts of the filter, each built by one group
 BUCKET_BYTES = 8 << 20
-HELD = 1_500_000
+WAVES = 4                        # shares of the texts that are scored one after the other if the filter lacks room
+HELD, CHUNK = 1_500_000, 250_000  # tokens that a task counts before it passes counts on, and of a chunk
 TEXT_ROWS, BUCKET_ROWS = 512, 2  # texts, and packed counts (megabytes each), that a worker gets at once
 U = np.uint64
 END = 0x5E7D0F00D5E7D0F1         # the word that ends a text
@@ -161,8 +168,13 @@ def packed(buckets: int, kind: int, keys: np.ndarray, counts: np.ndarray) -> lis
     order = np.argsort(bucket, kind="stable")
     bucket, keys, counts = bucket[order], keys[order], counts[order]
     at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-    small = np.uint16 if counts.max(initial=0) < 1 << 16 else np.int64
-    return [(kind, int(bucket[a]), keys[a:b].tobytes(), counts[a:b].astype(small).tobytes(), small is np.int64) for a, b in zip(at, np.append(at[1:], len(bucket)))]
+    return [(kind, int(bucket[a]), keys[a:b].tobytes(), *narrow(counts[a:b])) for a, b in zip(at, np.append(at[1:], len(bucket)))]
+
+
+def narrow(counts: np.ndarray) -> tuple[bytes, bool]:
+    """Counts as bytes, and whether they are wide ones."""
+    wide = bool(counts.max(initial=0) >= 1 << 16)
+    return counts.astype(np.int64 if wide else np.uint16).tobytes(), wide
 
 
 COUNTS = "kind int, bucket int, keys binary, counts binary, wide boolean"
@@ -180,8 +192,9 @@ def read_counts(table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_ngrams(texts: DataFrame, buckets: int) -> DataFrame:
-    """Exact counts: rows of packed keys and counts by kind (1 words, 2 pairs) and hash
-    bucket. Tasks add up their own first, so a frequent n-gram is one entry for each."""
+    """Exact counts: rows of packed keys, sorted, and counts by kind (1 words, 2 pairs) and hash
+    bucket. Tasks add up their own first, so a frequent n-gram is one entry for each. All pairs are
+    counted; those below ``MIN_PAIR``, which nothing reads, are not written."""
 
     def partial(batches):
         known, held, n = Known(), [[], []], 0
@@ -207,8 +220,9 @@ def count_ngrams(texts: DataFrame, buckets: int) -> DataFrame:
     def total(table: pa.Table) -> pa.Table:
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
         keys, counts = summed(*read_counts(table))
-        wide = bool(counts.max(initial=0) >= 1 << 16)
-        return pa.Table.from_batches([count_batch([(kind, bucket, keys.tobytes(), counts.astype(np.int64 if wide else np.uint16).tobytes(), wide)])])
+        if kind == 2:
+            keys, counts = keys[counts >= MIN_PAIR], counts[counts >= MIN_PAIR]
+        return pa.Table.from_batches([count_batch([(kind, bucket, keys.tobytes(), *narrow(counts))] if len(keys) else [])])
 
     return texts.mapInArrow(partial, COUNTS).groupBy("kind", "bucket").applyInArrow(total, COUNTS)
 
@@ -368,47 +382,110 @@ def left_over(counts: DataFrame, pair: int = MIN_PAIR) -> np.ndarray:
     return out
 
 
-def outside(counts: DataFrame, kind: int, least: int, below: int) -> DataFrame:
-    """``h, low, high``: bounds of the levels of n-grams that the filter does not hold."""
+def outside(counts: DataFrame, word: int, pair: int, often: int) -> DataFrame:
+    """Packed counts of the n-grams that can be asked for: words and pairs that the filter does
+    not hold, and words that are not broadcast."""
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                keys, n = read_counts(batch.slice(row, 1))
-                rest = (n >= least) & (n < below)
-                q = level(n[rest])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[rest].view(np.int64)), pa.array(LOW[q]), pa.array(HIGH[q])], names=["h", "low", "high"])
-
-    return counts.where(F.col("kind") == kind).select("keys", "counts", "wide").mapInArrow(run, "h bigint, low double, high double")
-
-
-def corrections(open_: DataFrame, counts: DataFrame, word: int, pair: int, floor: int) -> DataFrame:
-    """``row, better``: what the score of a document gains when n-grams that the filter does not
-    hold are looked up in the exact counts. ``open_`` has one row for each distinct token (with
-    the word before it) of a document that the filter leaves open."""
-    c, d = F.col, open_
-    by = lambda name, kind, least, below: outside(counts, kind, least, below).select(F.col("h").alias(name), F.col("low").alias(f"{name}_low"), F.col("high").alias(f"{name}_high"))
-    d = d.join(by("pair", 2, MIN_PAIR, pair), "pair", "left") if pair > MIN_PAIR else d.withColumn("pair_low", F.lit(None).cast("double"))
-    for name in ("word", "before"):
-        d = d.join(by(name, 1, 1, word), name, "left") if word > 1 else d.withColumn(f"{name}_low", F.lit(None).cast("double")).withColumn(f"{name}_high", F.lit(None).cast("double"))
-    d = d.where(F.coalesce("pair_low", "word_low", "before_low").isNotNull())
-    found, low, context = F.coalesce("pair_low", "found"), F.coalesce("word_low", "low"), F.coalesce("before_high", "context")
-    single = (low + 1) / F.lit(float(floor))
-    seen = F.least(F.greatest(found - DISCOUNT, F.lit(0.0)) / F.greatest(context, F.lit(1.0)), F.lit(1 - 1e-3))
-    model = F.when(context > 0, seen + c("share") * single).otherwise(single)
-    return d.groupBy("row").agg(F.sum(c("times") * (F.log10(model) - c("scored"))).alias("better"))
-
-
-def score_texts(docs: DataFrame, shared) -> DataFrame:
-    """Rows of three sorts: sums of a document (times null), counts of its rare words (rare), and its
-    tokens that need counts the filter does not hold (scored); hashes that the filter has are null."""
+                one = batch.slice(row, 1)
+                kind, bucket = one.column("kind")[0].as_py(), one.column("bucket")[0].as_py()
+                keys, n = read_counts(one)
+                rest = n < (max(word, often) if kind == 1 else pair)
+                if rest.any():
+                    yield count_batch([(kind, bucket, keys[rest].tobytes(), *narrow(n[rest]))])
+
+    return counts.mapInArrow(run, COUNTS)
+
+
+def modelled(found: np.ndarray, low: np.ndarray, context: np.ndarray, share: np.ndarray, floor: int) -> np.ndarray:
+    """Logarithms of the probabilities of words: counts of the pair and of the word, which err
+    downwards, and of the word before, which errs upwards, and what that leaves to backing off."""
+    single = (low + 1) / floor
+    seen = np.where(context > 0, np.minimum(np.maximum(found - DISCOUNT, 0) / np.maximum(context, 1), 1 - 1e-3), 0.0)
+    return np.log10(np.where(context > 0, seen + share * single, single))
+
+
+class Chunk:
+    """What the texts of a chunk need of the counts: distinct words of a text that are not broadcast
+    (rare), and distinct pairs of a text that the filter leaves open, by themselves or for their words."""
+
+    def __init__(self, first: int):
+        self.first, self.size, self.tokens, self.rare, self.open = first, 0, 0, [], []
+
+    def packed(self, buckets: int) -> tuple[list[int], list[int], pa.Array]:
+        """``kind, bucket, keys``: what is asked for, by kind and bucket, and under the numbers of
+        ``STATE`` what gives the scores of the texts when that is known."""
+        rare_doc, rare, rare_times = (np.concatenate(x) for x in zip(*self.rare))
+        doc, pair, times, *each = (np.concatenate(x) for x in zip(*self.open)) if self.open else (np.zeros(0, t) for t in OPEN)
+        self.rare, self.open = [], []
+        pair, one, where = np.unique(pair, return_index=True, return_inverse=True)
+        word, before, no_pair, no_word, no_before, *levels = (x[one] for x in each)
+        order = np.lexsort((pair % U(buckets), ~no_pair))                # those asked for, as they are asked for, then others
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        words = np.unique(np.concatenate((rare, word[no_word], before[no_before])))
+        words = words[np.argsort(words % U(buckets), kind="stable")]
+        by_hash = np.argsort(words).astype(np.uint32)
+
+        def number(w, is_asked):
+            out = np.zeros(len(w), np.uint32)
+            out[is_asked] = by_hash[np.searchsorted(words, w[is_asked], sorter=by_hash)] + 1
+            return out
+
+        state = dict(rare_size=np.bincount(rare_doc, minlength=self.size), rare_word=number(rare, np.ones(len(rare), bool)), rare_times=rare_times, size=np.bincount(doc, minlength=self.size), pair=place[where], times=times,
+                     word=number(word, no_word)[order], before=number(before, no_before)[order], found=levels[0][order], low=levels[1][order], context=levels[2][order], share=(pair >> U(64 - CLASS_BITS))[order])
+        asked = [asks(buckets, kind, keys) for kind, keys in ((1, words), (2, pair[order[:np.count_nonzero(no_pair)]]))]
+        kind, bucket, keys = zip(([-k for k in range(1, len(STATE) + 1)], [0] * len(STATE), pa.array([state[n].astype(t).tobytes() for n, t in STATE.items()], pa.binary())), *asked)
+        return sum(kind, []), sum(bucket, []), pa.concat_arrays(keys)
+
+
+#: Of an open pair of a text: which text, pair, how often, its words, whether pair, word and word before are open, levels of these.
+OPEN = [np.uint32, np.uint64, np.uint32, np.uint64, np.uint64, bool, bool, bool, np.uint8, np.uint8, np.uint8]
+#: Of a chunk: how many entries each text has, rare words and open pairs, and for each entry the number of the word or pair and how
+#: often it occurs; for each pair the numbers of its word and of the word before, if they are asked for, levels, and the context's class.
+STATE = dict(rare_size=np.uint32, rare_word=np.uint32, rare_times=np.uint32, size=np.uint32, pair=np.uint32, times=np.uint32, word=np.uint32, before=np.uint32, found=np.uint8, low=np.uint8,
+             context=np.uint8, share=np.uint16)
+
+
+def cells(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Binary values of so many bytes each, which lie one after the other in the data."""
+    upto = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(upto), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def values(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """All numbers of binary values."""
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in column)])
+
+
+def asks(buckets: int, kind: int, keys: np.ndarray) -> tuple[list[int], list[int], pa.Array]:
+    """Kinds, buckets, and the keys of each: keys come in the order of their buckets."""
+    bucket = keys % U(buckets)
+    at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return [kind] * len(at), bucket[at].tolist(), cells(np.diff(np.append(at, len(keys))) * 8, keys)
+
+
+def score_texts(docs: DataFrame, shared, buckets: int) -> DataFrame:
+    """Rows of chunks: documents (kind null) with their scores so far, and those of ``Chunk.packed``."""
+    chunk_tokens = CHUNK
+    types = dict(chunk=pa.int64(), kind=pa.int32(), bucket=pa.int32(), keys=pa.binary(), doc=to_arrow_type(docs.schema["doc"].dataType), at=pa.int64(), n_tokens=pa.int64(), known=pa.int64(), base=pa.float64(), score=pa.float64())
+
+    def record(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in types.items()], names=list(types))
 
     def run(batches):
         m = shared.value
         filter_, freq_keys, freq_counts, share, n_train, vocabulary = m["filter"], m["keys"], m["counts"], m["share"], m["n"], m["v"]
-        words_met, floor = Known(), n_train + vocabulary + 1
+        words_met, floor, chunk = Known(), n_train + vocabulary + 1, None
         base_of = np.log10(freq_counts + 1.0)
         word_open, pair_open = m["word"] > 1, m["pair"] > MIN_PAIR
+
+        def ended(chunk):
+            kind, bucket, keys = chunk.packed(buckets)
+            return record(len(kind), chunk=pa.array([chunk.first] * len(kind), pa.int64()), kind=pa.array(kind, pa.int32()), bucket=pa.array(bucket, pa.int32()), keys=keys)
+
         for batch in batches:
             for part in parts(batch, 2):
                 h, sizes = token_hashes(list(byte_texts(part.column(2))), words_met)
@@ -416,56 +493,95 @@ def score_texts(docs: DataFrame, shared) -> DataFrame:
                 # the model
                 words, where = np.unique(h, return_inverse=True)
                 q = probe(filter_, words)
-                low, high, end = LOW[q][where], HIGH[q], np.searchsorted(words, U(END))
-                prior = np.concatenate(([end], where[:-1]))
-                context = high[prior]
+                end, prior = np.searchsorted(words, U(END)), np.empty(len(h), np.int64)
+                prior[0], prior[1:] = end, where[:-1]
                 pairs = pair_keys(before, h)
-                found = LOW[probe(filter_, mix(pairs + U(0x2B)))]
-                kept = share[classes(words).astype(np.int64)][prior]
-                single = (low + 1) / floor
-                seen = np.where(context > 0, np.minimum(np.maximum(found - DISCOUNT, 0) / np.maximum(context, 1), 1 - 1e-3), 0.0)
-                model = np.log10(np.where(context > 0, seen + kept * single, single))
+                q_pair, q_word, q_before = probe(filter_, mix(pairs + U(0x2B))), q[where], q[prior]
+                context = HIGH[q_before]
+                model = modelled(LOW[q_pair], LOW[q_word], context, share[classes(words).astype(np.int64)][prior], floor)
                 score = np.bincount(doc, model, one)
-                # the base: frequent words here, others by a join
+                # the base: frequent words here, others are looked up
                 at = np.minimum(np.searchsorted(freq_keys, words), max(0, len(freq_keys) - 1))
                 hit = freq_keys[at] == words if len(freq_keys) else np.zeros(len(words), bool)
                 gain, common = np.zeros(len(words)), hit[where]
                 gain[hit] = base_of[at[hit]]
                 base = np.bincount(doc, gain[where], one) - sizes * math.log10(floor)
                 known = np.bincount(doc[common], minlength=one)
+                chunk = chunk or Chunk(part.column(0)[0].as_py())
+                yield record(one, chunk=pa.array(np.full(one, chunk.first)), doc=part.column(1), at=pa.array(np.arange(chunk.size, chunk.size + one)), n_tokens=pa.array(sizes, pa.int64()), known=pa.array(known, pa.int64()), base=pa.array(base), score=pa.array(score))
                 rare_doc, rare = doc[~common], h[~common]
                 order = np.lexsort((rare, rare_doc))
                 rare_doc, rare = rare_doc[order], rare[order]
                 new = np.flatnonzero(np.concatenate(([True], (rare[1:] != rare[:-1]) | (rare_doc[1:] != rare_doc[:-1])))) if len(rare) else np.zeros(0, np.int64)
-                times = np.diff(np.append(new, len(rare)))
-                many, rows = len(new), part.column(0)
-                yield record(one, row=rows, doc=part.column(1), n_tokens=pa.array(sizes, pa.int64()), known=pa.array(known, pa.int64()), base=pa.array(base), score=pa.array(score))
-                yield record(many, row=rows.take(pa.array(rare_doc[new])), rare=pa.array(rare[new].view(np.int64)), times=pa.array(times, pa.int64()))
-                if not (word_open or pair_open):
-                    continue
-                no_word, no_before = word_open & (q[where] == 0), word_open & (context == 0)
-                no_pair = pair_open & (found == 0) & ((context > 0) | word_open)
+                chunk.rare.append(((rare_doc[new] + chunk.size).astype(np.uint32), rare[new], np.diff(np.append(new, len(rare))).astype(np.uint32)))
+                no_word, no_before = word_open & (q_word == 0), word_open & (context == 0)
+                no_pair = pair_open & (q_pair == 0) & ((context > 0) | word_open)
                 left = np.flatnonzero(no_word | no_before | no_pair)
-                if len(left):                   # one row for a pair of a document
+                if len(left):                   # one entry for a pair of a document
                     left = left[np.lexsort((pairs[left], doc[left]))]
                     head = np.flatnonzero(np.concatenate(([True], (doc[left][1:] != doc[left][:-1]) | (pairs[left][1:] != pairs[left][:-1]))))
                     often, at = np.diff(np.append(head, len(left))), left[head]
-                    hashed = lambda x, is_open: pa.array(x.view(np.int64), mask=~is_open)
-                    yield record(len(at), row=rows.take(pa.array(doc[at])), times=pa.array(often, pa.int64()), pair=hashed(pairs[at], no_pair[at]), word=hashed(h[at], no_word[at]),
-                                 before=hashed(before[at], no_before[at]), found=pa.array(found[at]), low=pa.array(low[at]), context=pa.array(context[at]),
-                                 share=pa.array(kept[at]), scored=pa.array(model[at]))
-
-    types = dict(TYPES, doc=docs.schema["doc"].dataType.simpleString())
-    arrow = {n: to_arrow_type(docs.schema["doc"].dataType) if n == "doc" else pa.int64() if t == "bigint" else pa.float64() for n, t in types.items()}
-
-    def record(n: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in arrow.items()], names=list(arrow))
-
-    return docs.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in types.items()))
-
-
-TYPES = dict(row="bigint", doc="bigint", rare="bigint", times="bigint", n_tokens="bigint", known="bigint", base="double", score="double", pair="bigint", word="bigint", before="bigint",
-             found="double", low="double", context="double", share="double", scored="double")
+                    chunk.open.append(((doc[at] + chunk.size).astype(np.uint32), pairs[at], often.astype(np.uint32), h[at], before[at], no_pair[at], no_word[at], no_before[at], *(x[at].astype(np.uint8) for x in (q_pair, q_word, q_before))))
+                chunk.size, chunk.tokens = chunk.size + one, chunk.tokens + len(h)
+                if chunk.tokens > chunk_tokens:
+                    yield ended(chunk)
+                    chunk = None
+        if chunk:
+            yield ended(chunk)
+
+    kinds = dict(chunk="bigint", kind="int", bucket="int", keys="binary", doc=docs.schema["doc"].dataType.simpleString(), at="bigint", n_tokens="bigint", known="bigint", base="double", score="double")
+    return docs.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in kinds.items()))
+
+
+def looked_up(scored: DataFrame, left_out: DataFrame, buckets: int) -> DataFrame:
+    """``chunk, kind, bucket, counts, wide``: the counts that chunks ask for, in the order of their
+    keys. The buckets of ``left_out`` may be more, by a factor."""
+
+    def run(counts: pa.Table, asked: pa.Table) -> pa.Table:
+        keys, n = summed(*read_counts(counts)) if counts.num_rows else (np.zeros(1, np.uint64), np.zeros(1, np.int64))
+        wanted, sizes = values(asked.column("keys"), np.uint64), pc.binary_length(asked.column("keys")).to_numpy() // 8
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        data, wide = narrow(np.where(keys[at] == wanted, n[at], 0))
+        found = cells(sizes * (8 if wide else 2), np.frombuffer(data, np.uint8))
+        return pa.table([asked.column("chunk"), asked.column("kind"), asked.column("bucket"), found, pa.array([wide] * len(sizes), pa.bool_())], names=["chunk", "kind", "bucket", "counts", "wide"])
+
+    asked = scored.where("kind > 0").select("chunk", "kind", "bucket", "keys")
+    own = left_out.withColumn("bucket", F.col("bucket") % buckets)
+    return own.groupBy("kind", "bucket").cogroup(asked.groupBy("kind", "bucket")).applyInArrow(run, "chunk bigint, kind int, bucket int, counts binary, wide boolean")
+
+
+def corrected(scored: DataFrame, answers: DataFrame, share: np.ndarray, word: int, pair: int, n_train: int, vocabulary: int) -> DataFrame:
+    """A row for each document: its scores with what was looked up."""
+    floor = n_train + vocabulary + 1
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        packed_ = {k: b for k, b in zip(rows.column("kind").to_pylist(), rows.column("keys")) if k is not None}
+        s = {n: np.frombuffer(packed_[-k].as_buffer(), t) for k, (n, t) in enumerate(STATE.items(), 1)}
+        docs = rows.filter(pc.is_null(rows.column("kind"))).sort_by("at")
+
+        def got(kind):
+            own = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("bucket")
+            if not pc.any(own.column("wide")).as_py():
+                return values(own.column("counts"), np.uint16)
+            return np.concatenate([np.frombuffer(c.as_buffer(), np.int64 if w else np.uint16) for c, w in zip(own.column("counts"), own.column("wide").to_pylist())])
+
+        words, pairs = np.append(0, got(1)), got(2)                      # word 0 is one that is not asked for
+        # the base: rare words
+        doc, n = np.repeat(np.arange(docs.num_rows), s["rare_size"]), words[s["rare_word"]]
+        base = docs.column("base").to_numpy() + np.bincount(doc, s["rare_times"] * np.log10(n + 1.0), docs.num_rows)
+        known = docs.column("known").to_numpy() + np.bincount(doc[n > 0], s["rare_times"][n > 0], docs.num_rows).astype(np.int64)
+        # the model: levels by exact counts where the filter has none
+        exact = lambda q, n, below: np.where((n > 0) & (n < below), level(n), q).astype(np.uint8)
+        found, low, context = s["found"].copy(), exact(s["low"], words[s["word"]], word), exact(s["context"], words[s["before"]], word)
+        found[:len(pairs)] = exact(found[:len(pairs)], pairs, pair)
+        before, after = (modelled(LOW[f], LOW[w], HIGH[c], share[s["share"]], floor) for f, w, c in ((s["found"], s["low"], s["context"]), (found, low, context)))
+        doc = np.repeat(np.arange(docs.num_rows), s["size"])
+        score = docs.column("score").to_numpy() + np.bincount(doc, s["times"] * (after - before)[s["pair"]], docs.num_rows)
+        return pa.table([docs.column("doc"), docs.column("n_tokens"), pa.array(known), pa.array(np.full(docs.num_rows, n_train)), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    kind = scored.schema["doc"].dataType.simpleString()
+    held = scored.where("kind is null or kind < 0").drop("bucket")
+    return held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, f"doc_id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def score(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str = "text", filter_mb: float = FILTER_MB) -> DataFrame:
@@ -476,7 +592,7 @@ def score(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str = "te
     stand. Without training texts every probability is one over one."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.coalesce(train_if, F.lit(False)).alias("train"))
-    buckets = blocks(text_bytes(rows, "text"), BUCKET_BYTES, 64)
+    buckets = blocks(text_bytes(rows, "text"), BUCKET_BYTES * WAVES, 64 // WAVES) * WAVES
     with arrow_rows(spark, TEXT_ROWS):
         counts = stage(count_ngrams(rows.where("train").select("text"), buckets), "lm-counts")
     singles = unpacked(counts.where("kind = 1"))
@@ -489,15 +605,14 @@ def score(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str = "te
     keys = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     shared = spark.sparkContext.broadcast({"filter": build(counts, word, pair, bits), "share": share, "word": word, "pair": pair, "n": total["n"], "v": total["v"], "keys": keys[order], "counts": top["c"].to_numpy(np.int64)[order]})
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc", "text")
-    with arrow_rows(spark, TEXT_ROWS):
-        scored = stage(score_texts(numbered, shared), "lm-scores")
-    rare = scored.where("rare is not null").select("row", F.col("rare").alias("h"), "times")
-    others = singles.where(F.col("c") < often)
-    extra = rare.join(others, "h").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("gain"))
-    out = scored.where("times is null").join(extra, "row", "left")
-    if word > 1 or pair > MIN_PAIR:
-        better = corrections(scored.where("scored is not null"), counts, word, pair, total["n"] + total["v"] + 1)
-        out = out.join(better, "row", "left").withColumn("score", F.col("score") + F.coalesce("better", F.lit(0.0)))
-    return out.select(F.col("doc").alias("doc_id"), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(total["n"])).cast("bigint").alias("train_tokens"),
-                      (F.col("base") + F.coalesce("gain", F.lit(0.0))).alias("base_score"), "score")
+    numbered = lambda d: d.select(F.monotonically_increasing_id().alias("row"), "doc", "text")
+    waves, done = WAVES if word > 1 or pair > MIN_PAIR else 1, []
+    for wave in range(waves):
+        own = rows if waves == 1 else rows.where(F.pmod(F.xxhash64("doc", "text"), F.lit(waves)) == wave)
+        with arrow_rows(spark, TEXT_ROWS):
+            scored = stage(score_texts(numbered(own), shared, buckets // waves), "lm-scores")
+        answers = looked_up(scored, outside(counts, word, pair, often), buckets // waves)
+        done.append(stage(corrected(scored, answers, share, word, pair, total["n"], total["v"]), "lm-scored"))
+        release(scored)
+    release(counts)
+    return functools.reduce(DataFrame.unionByName, done)

@@ -257,6 +257,69 @@ def test_scores_do_not_depend_on_the_size_of_the_filter(rows, monkeypatch):
     assert max(abs(whole[i] - part[i]) / abs(whole[i]) for i in whole) < 0.002
 
 
+def test_scores_from_plain_counts(rows, monkeypatch):
+    """Scores are those of a plain version, whether words and pairs are in the filter, broadcast or looked up by many chunks."""
+    from pyspark.sql import functions as F
+
+    for name, value in dict(ERROR_BITS=200, TEXT_ROWS=20, CHUNK=1000, FREQUENT=30).items():
+        monkeypatch.setattr(ngram_lm, name, value)
+    rng, end = np.random.default_rng(8), int(ngram_lm.END)
+    texts = [(i, None if i == 9 else " ".join(f"v{min(900, x)}" for x in rng.zipf(1.3, rng.integers(0, 90)))) for i in range(160)] + [(3, "v1 v2 v1"), (3, "v1 v2 v1"), (None, "v1 v2 never"), (160, "v1 " * 3000)]
+    train = lambda i: i is not None and i % 7 != 2
+    tokens = [(i, [xxhash.xxh3_64_intdigest(w.encode()) for w in (t or "").split()] + [end]) for i, t in texts]
+    pairs_of = lambda ws: zip([end, *ws[:-1]], ws)
+    word = collections.Counter(w for i, ws in tokens if train(i) for w in ws)
+    pair = collections.Counter(p for i, ws in tokens if train(i) for p in pairs_of(ws))
+    of, level = lambda w: int(ngram_lm.classes(np.array([w], np.uint64))[0]), lambda c: int(ngram_lm.level(np.array([c]))[0]) if c else 0
+    mass, own, n, v = collections.Counter(), collections.Counter(), sum(word.values()), len(word)
+    for w, c in word.items():
+        own[of(w)] += c
+    for (a, _), c in pair.items():
+        mass[of(a)] += ngram_lm.LOW[level(c)] - ngram_lm.DISCOUNT if c >= ngram_lm.MIN_PAIR else 0
+
+    def model(a, w):
+        single, context, c = (ngram_lm.LOW[level(word[w])] + 1) / (n + v + 1), ngram_lm.HIGH[level(word[a])], pair[a, w] if pair[a, w] >= ngram_lm.MIN_PAIR else 0
+        share = min(1.0, max(1e-3, 1 - mass[of(a)] / own[of(a)])) if own[of(a)] else 1.0
+        return math.log10(min(max(ngram_lm.LOW[level(c)] - ngram_lm.DISCOUNT, 0) / context, 1 - 1e-3) + share * single if context else single)
+
+    want = sorted(((-1 if i is None else i, len(ws), sum(word[w] > 0 for w in ws), n, sum(math.log10((word[w] + 1) / (n + v + 1)) for w in ws), sum(model(a, w) for a, w in pairs_of(ws))) for i, ws in tokens))
+    d = rows(texts, "doc_id bigint, text string").repartition(3)
+    held, choose = [], ngram_lm.choose
+    monkeypatch.setattr(ngram_lm, "choose", lambda *a: held.append(choose(*a)) or held[-1])
+    for mb in (8, 0.02):
+        got = sorted((-1 if r[0] is None else r[0], *r[1:]) for r in ngram_lm.score(d, F.col("doc_id") % 7 != 2, filter_mb=mb).collect())
+        assert [g[:4] for g in got] == [w[:4] for w in want] and max(abs(g[4] - w[4]) for g, w in zip(got, want)) < 1e-6
+        assert np.mean([abs(g[5] - w[5]) < 1e-6 for g, w in zip(got, want)]) > 0.95      # but for the filter's rare errors
+    assert held[0][:2] == (1, ngram_lm.MIN_PAIR) and held[1][0] > 1 and held[1][1] > ngram_lm.MIN_PAIR
+
+
+def test_lookups_are_packed(spark, rows, monkeypatch):
+    """Where the filter lacks room, no row stands for a token, one share of the texts is on disk at a time, and pairs seen once are not stored."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ngram_lm, "FREQUENT", 20)
+    kept, stage = [], ngram_lm.stage
+
+    def counted(df, name):
+        held = sum(spark.read.parquet(f.rsplit("/", 1)[0]).count() for n, out, _ in kept if n == "lm-scores" for f in out.inputFiles()[:1])
+        kept.append((name, out := stage(df, name), out.count()))
+        assert name != "lm-scores" or not held                          # the last share's rows are gone
+        return out
+
+    monkeypatch.setattr(ngram_lm, "stage", counted)
+    rng = np.random.default_rng(6)
+    texts = [(i, " ".join(f"w{min(2000, x)}" for x in rng.zipf(1.2, 300))) for i in range(300)]
+    out = ngram_lm.score(rows(texts, "doc_id bigint, text string").coalesce(2), F.lit(True), filter_mb=0.01)
+    shares = [n for name, _, n in kept if name == "lm-scores"]
+    assert sum(shares) < 300 * 301 / 20 and len(shares) == ngram_lm.WAVES
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(300))
+    assert all(spark.read.parquet(kept[k][1].inputFiles()[0].rsplit("/", 1)[0]).isEmpty() for k in range(len(kept)) if kept[k][0] in ("lm-scores", "lm-counts"))
+    monkeypatch.setattr(ngram_lm, "stage", stage)
+    counts = ngram_lm.count_ngrams(rows(texts, "doc_id bigint, text string").select("text"), 8)
+    pairs = collections.Counter(p for _, t in texts for ws in [[None, *t.split(), None]] for p in zip(ws, ws[1:]))
+    assert sum(n for (kind, _), n in ngram_lm.level_sizes(counts).items() if kind == 2) == sum(c >= ngram_lm.MIN_PAIR for c in pairs.values()) < len(pairs)
+
+
 def test_filter_levels():
     rng = np.random.default_rng(1)
     keys, count = rng.integers(0, 1 << 63, 3000, dtype=np.uint64), rng.integers(1, 500, 3000)
