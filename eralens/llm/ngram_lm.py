@@ -356,6 +356,25 @@ def probe(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+class Levels:
+    """Levels of the words met so far, both in the order of their hashes."""
+
+    def __init__(self, filter_: np.ndarray):
+        self.filter, self.words, self.levels = filter_, np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """Of distinct words, in the order of their hashes."""
+        at = np.searchsorted(self.words, words)
+        new = np.flatnonzero((at == len(self.words)) | (np.append(self.words, U(0))[at] != words))
+        out = np.append(self.levels, np.uint8(0))[at]
+        out[new] = probe(self.filter, words[new])
+        if len(self.words) + len(new) > KNOWN_WORDS:
+            self.words, self.levels = words, out
+        else:
+            self.words, self.levels = np.insert(self.words, at[new], words[new]), np.insert(self.levels, at[new], out[new])
+        return out
+
+
 def left_over(counts: DataFrame, pair: int = MIN_PAIR) -> np.ndarray:
     """What share of a context class its pairs leave to backing off."""
 
@@ -478,7 +497,7 @@ def score_texts(docs: DataFrame, shared, buckets: int) -> DataFrame:
     def run(batches):
         m = shared.value
         filter_, freq_keys, freq_counts, share, n_train, vocabulary = m["filter"], m["keys"], m["counts"], m["share"], m["n"], m["v"]
-        words_met, floor, chunk = Known(), n_train + vocabulary + 1, None
+        words_met, levels, floor, chunk = Known(), Levels(filter_), n_train + vocabulary + 1, None
         base_of = np.log10(freq_counts + 1.0)
         word_open, pair_open = m["word"] > 1, m["pair"] > MIN_PAIR
 
@@ -492,11 +511,12 @@ def score_texts(docs: DataFrame, shared, buckets: int) -> DataFrame:
                 one, doc, before = len(sizes), np.repeat(np.arange(len(sizes)), sizes), with_start(h)
                 # the model
                 words, where = np.unique(h, return_inverse=True)
-                q = probe(filter_, words)
+                q = levels.of(words)
                 end, prior = np.searchsorted(words, U(END)), np.empty(len(h), np.int64)
                 prior[0], prior[1:] = end, where[:-1]
                 pairs = pair_keys(before, h)
-                q_pair, q_word, q_before = probe(filter_, mix(pairs + U(0x2B))), q[where], q[prior]
+                distinct, pair_at = np.unique(pairs, return_inverse=True)
+                q_pair, q_word, q_before = probe(filter_, mix(distinct + U(0x2B)))[pair_at], q[where], q[prior]
                 context = HIGH[q_before]
                 model = modelled(LOW[q_pair], LOW[q_word], context, share[classes(words).astype(np.int64)][prior], floor)
                 score = np.bincount(doc, model, one)

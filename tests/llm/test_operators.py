@@ -293,6 +293,19 @@ def test_scores_from_plain_counts(rows, monkeypatch):
     assert held[0][:2] == (1, ngram_lm.MIN_PAIR) and held[1][0] > 1 and held[1][1] > ngram_lm.MIN_PAIR
 
 
+def test_levels_of_words_probed_once(monkeypatch):
+    """Words met before are not probed again, and what is remembered is bounded."""
+    probed, probe = [], ngram_lm.probe
+    monkeypatch.setattr(ngram_lm, "probe", lambda f, keys: probed.append(len(keys)) or probe(f, keys))
+    monkeypatch.setattr(ngram_lm, "KNOWN_WORDS", 60)
+    filter_ = np.random.default_rng(2).integers(0, 256, ngram_lm.SECTIONS * 8, dtype=np.uint8) | np.uint8(0x77)
+    words, levels = np.sort(np.random.default_rng(3).integers(0, 1 << 64, 80, dtype=np.uint64)), ngram_lm.Levels(filter_)
+    words[0] = 0
+    for own, new in ((words[10:40], 30), (words[:50], 20), (words[20:30], 0), (words[::2], 15), (words[::2], 0), (words[:0], 0), (words[:50], 25)):
+        assert (levels.of(own) == probe(filter_, own)).all() and probed[-1] == new and len(levels.words) <= 60
+    assert len(set(probe(filter_, words).tolist())) > 3
+
+
 def test_lookups_are_packed(spark, rows, monkeypatch):
     """Where the filter lacks room, no row stands for a token, one share of the texts is on disk at a time, and pairs seen once are not stored."""
     from pyspark.sql import functions as F
