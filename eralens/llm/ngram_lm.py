@@ -512,8 +512,7 @@ def score_texts(docs: DataFrame, shared, buckets: int) -> DataFrame:
                 # the model
                 words, where = np.unique(h, return_inverse=True)
                 q = levels.of(words)
-                end, prior = np.searchsorted(words, U(END)), np.empty(len(h), np.int64)
-                prior[0], prior[1:] = end, where[:-1]
+                prior = np.concatenate(([np.searchsorted(words, U(END))], where[:-1]))
                 pairs = pair_keys(before, h)
                 distinct, pair_at = np.unique(pairs, return_inverse=True)
                 q_pair, q_word, q_before = probe(filter_, mix(distinct + U(0x2B)))[pair_at], q[where], q[prior]
@@ -582,8 +581,8 @@ def corrected(scored: DataFrame, answers: DataFrame, share: np.ndarray, word: in
         def got(kind):
             own = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("bucket")
             if not pc.any(own.column("wide")).as_py():
-                return values(own.column("counts"), np.uint16)
-            return np.concatenate([np.frombuffer(c.as_buffer(), np.int64 if w else np.uint16) for c, w in zip(own.column("counts"), own.column("wide").to_pylist())])
+                return values(own.column("counts"), np.uint16).astype(np.int64)
+            return np.concatenate([np.frombuffer(c.as_buffer(), np.int64 if w else np.uint16).astype(np.int64) for c, w in zip(own.column("counts"), own.column("wide").to_pylist())])
 
         words, pairs = np.append(0, got(1)), got(2)                      # word 0 is one that is not asked for
         # the base: rare words
@@ -626,13 +625,16 @@ def score(docs: DataFrame, train_if, id_col: str = "doc_id", text_col: str = "te
     order = np.argsort(keys)
     shared = spark.sparkContext.broadcast({"filter": build(counts, word, pair, bits), "share": share, "word": word, "pair": pair, "n": total["n"], "v": total["v"], "keys": keys[order], "counts": top["c"].to_numpy(np.int64)[order]})
     numbered = lambda d: d.select(F.monotonically_increasing_id().alias("row"), "doc", "text")
+    with arrow_rows(spark, BUCKET_ROWS):
+        left_out = stage(outside(counts, word, pair, often), "lm-left")
+    release(counts)
     waves, done = WAVES if word > 1 or pair > MIN_PAIR else 1, []
     for wave in range(waves):
         own = rows if waves == 1 else rows.where(F.pmod(F.xxhash64("doc", "text"), F.lit(waves)) == wave)
         with arrow_rows(spark, TEXT_ROWS):
             scored = stage(score_texts(numbered(own), shared, buckets // waves), "lm-scores")
-        answers = looked_up(scored, outside(counts, word, pair, often), buckets // waves)
+        answers = looked_up(scored, left_out, buckets // waves)
         done.append(stage(corrected(scored, answers, share, word, pair, total["n"], total["v"]), "lm-scored"))
         release(scored)
-    release(counts)
+    release(left_out)
     return functools.reduce(DataFrame.unionByName, done)
